@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from placeloom.llm import mixing, sharding
+from placeloom.llm import jaccard_join, licenses, mixing, sharding, spotsigs, topk, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_topk": topk.op5_topk,
     "op6_mixing": mixing.op6_mixing,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
+    "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL = {
+    "op4_license_scan": licenses.SQL,
+    "op5_topk": topk.SQL,
     "op6_mixing": mixing.SQL,
+    "op8_ngram_jaccard": jaccard_join.SQL,
 }
