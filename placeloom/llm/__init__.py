@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from placeloom.llm import jaccard_join, licenses, mixing, sharding, spotsigs, topk, url_filter
+from placeloom.llm import jaccard_join, licenses, mixing, packing, quality, sharding, spotsigs, token_records, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_packing": packing.op2_packing,
+    "op3_quality": quality.op3_quality,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_topk": topk.op5_topk,
     "op6_mixing": mixing.op6_mixing,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_sharding": sharding.op9_sharding,
+    "op10_token_records": token_records.op10_token_records,
 }
 
 ORACLE_SQL = {

@@ -5,7 +5,8 @@ similarity shares one of the first shingles of both in a common order, so sets t
 meet in a block. In a block the sets are the leaves of a signature tree, whose nodes hold the OR of
 their leaves' bitmaps and the range of their sizes. The tree is traversed against itself (or another
 one); a pair of nodes is dropped when sizes or the largest possible overlap rule out every pair of
-leaves, and what is left is checked on the whole sets.
+leaves. That is done twice: over narrow bitmaps alone, so that only sets with a possible partner are
+sent to their blocks, and there over wider ones, where what is left is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,8 +29,16 @@ from placeloom.llm.tokenizing import small_batches
 BUCKET_BITS = 16
 #: Children of a node, and sets of a block's tile.
 FANOUT, TILE = 4, 1024
-#: Bits of a bitmap: WIDTH a set's size, at most MOST_BITS.
-WIDTH, MOST_BITS = 16, 1 << 15
+#: Bits of the narrow bitmaps; those of the wide ones: WIDTH a set's size, at most MOST_BITS.
+NARROW, WIDTH, MOST_BITS = 2048, 16, 1 << 15
+
+
+def bitmaps(flat: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of each set, as 64-bit words; flat has their elements one set after another."""
+    at = (flat & np.uint64(bits - 1)).astype(np.int64)
+    maps = np.zeros((len(sizes), bits // 8), np.uint8)
+    np.bitwise_or.at(maps, (np.repeat(np.arange(len(sizes)), sizes), at >> 3), (1 << (at & 7)).astype(np.uint8))
+    return maps.view(np.uint64)
 
 
 class SignatureTree:
@@ -40,14 +49,7 @@ class SignatureTree:
     its bits.
     """
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        at = (flat & np.uint64(bits - 1)).astype(np.int64)
-        maps = np.zeros((len(sets), bits // 8), np.uint8)
-        np.bitwise_or.at(maps, (np.repeat(np.arange(len(sets)), sizes), at >> 3), (1 << (at & 7)).astype(np.uint8))
-        maps = maps.view(np.uint64)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
         lost = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, lost)]
         while len(self.levels[-1][0]) > 1:
@@ -99,6 +101,20 @@ def traverse(left: SignatureTree, right: SignatureTree, percent: int) -> tuple[n
     return (a[a != b], b[a != b]) if own else (a, b)
 
 
+def by_size(sizes: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+    """Indices of each side, small sets first."""
+    order = np.argsort(sizes, kind="stable")
+    return [order[side[order] == x] for x in np.unique(side)]
+
+
+def hopeful(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Sets of a block that may have a partner, by their narrow bitmaps."""
+    groups = by_size(sizes, side)
+    trees = [SignatureTree(maps[g], sizes[g]) for g in groups]
+    a, b = traverse(trees[0], trees[-1], percent)
+    return np.union1d(groups[0][a], groups[-1][b])
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= percent * (len(x) + len(y) - shared)
@@ -110,12 +126,12 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     side: all alike, every pair counts; else only pairs of different sides. Pairs that links already
     connect aren't checked; every other pair that the tree can't rule out is.
     """
-    order = np.lexsort((np.arange(len(sets)), [len(s) for s in sets]))
-    groups = [order[side[order] == s] for s in np.unique(side)]
-    bits = min(MOST_BITS, max(64, 1 << int(WIDTH * max(len(s) for s in sets) - 1).bit_length()))
-    trees = [SignatureTree([sets[i] for i in g], bits) for g in groups]
-    left, right = trees[0], trees[-1]
-    a, b = traverse(left, right, percent)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    groups = by_size(sizes, side)
+    bits = min(MOST_BITS, max(64, 1 << int(WIDTH * sizes.max() - 1).bit_length()))
+    maps = bitmaps(np.concatenate(sets), sizes, bits)
+    trees = [SignatureTree(maps[g], sizes[g]) for g in groups]
+    a, b = traverse(trees[0], trees[-1], percent)
     a, b = groups[0][a], groups[-1][b]
     first = np.lexsort((b, a))
     a, b = a[first], b[first]
@@ -132,8 +148,8 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
 
 
 def _facts(size: int):
-    """Rows of documents (doc_id, n, name, twin), then counts of buckets (bucket, count) of the partition."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("twin", pa.int64()), ("bucket", pa.int32()), ("count", pa.int64())])
+    """Rows of documents (doc_id, n, name, twin, marks), then counts of buckets (bucket, count) of the partition."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("twin", pa.int64()), ("marks", pa.binary()), ("bucket", pa.int32()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -142,10 +158,10 @@ def _facts(size: int):
             counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
             name, twin = set_names(hashes, bounds)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(name.view(np.int64)), pa.array(twin.view(np.int64)), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(name.view(np.int64)), pa.array(twin.view(np.int64)), pa.array([m.tobytes() for m in bitmaps(hashes, np.diff(bounds), NARROW)], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(seen.astype(np.int32)), pa.array(counts[seen])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], schema=schema)
 
     return run
 
@@ -207,12 +223,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
 
     A set goes to the blocks it shares a first shingle in, not to each of them: the sets of a shingle
-    meet under the smallest name among them. A block above TILE sets is cut into tiles, and each pair
+    meet under the smallest name among them, and only sets with a possible partner go at all. A block above TILE sets is cut into tiles, and each pair
     of tiles is a task, so no task holds a whole hot block. Links of a block only span what they connect.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    facts = written(texts.mapInArrow(_facts(size), "doc_id long, n long, name long, twin long, bucket int, count long"), "facts")
+    facts = written(texts.mapInArrow(_facts(size), "doc_id long, n long, name long, twin long, marks binary, bucket int, count long"), "facts")
     counts = facts.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count"))
     by_bucket = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, count in counts.collect():  # at most 2^BUCKET_BITS rows
@@ -220,6 +236,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     rank = np.empty(len(by_bucket), np.int32)
     rank[np.argsort(by_bucket, kind="stable")] = np.arange(len(by_bucket))
 
+    marks = facts.where("n > 0").select("name", "n", "marks")
     facts = facts.where("doc_id is not null").select("doc_id", "n", "name", "twin")
     classes = written(facts.where("n > 0").groupBy("name", "twin", "n").agg(F.min("doc_id").alias("first")), "classes")
     heads = texts.select("text").mapInArrow(_heads(size, percent, rank), "token long, name long")
@@ -230,8 +247,21 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
     tile = F.pmod(F.xxhash64("name"), F.col("tiles"))
     places = blocks.join(tiles, "block").select("name", "block", tile.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    places = places.select("name", F.struct("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile").alias("place"))
-    places = places.groupBy("name").agg(F.collect_list("place").alias("places"))
+    places = places.select("name", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
+
+    def hope(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("name").sort_values("name", kind="stable")
+        side = group["tile"].to_numpy()
+        # two tiles of a block of which one is empty have no pair to look at
+        if len(group) < 2 or group["low"].iloc[0] != group["high"].iloc[0] and (side == side[0]).all():
+            return group[["name", "block", "low", "high", "tile"]].iloc[:0]
+        maps = np.frombuffer(b"".join(group["marks"]), np.uint64).reshape(len(group), -1)
+        kept = hopeful(maps, group["n"].to_numpy(np.int64), side, percent)
+        return group[["name", "block", "low", "high", "tile"]].iloc[kept]
+
+    marked = places.join(marks.dropDuplicates(["name", "n"]), "name")
+    places = marked.groupBy("block", "low", "high").applyInPandas(hope, "name long, block long, low long, high long, tile long")
+    places = places.groupBy("name").agg(F.collect_list(F.struct("block", "low", "high", "tile")).alias("places"))
     wanted = classes.join(places, "name").select(F.col("first").alias("doc_id"), "name", "places")
     members = texts.join(wanted, "doc_id").mapInArrow(_members(size), "block long, low long, high long, tile long, doc_id long, tokens binary")
 
@@ -239,7 +269,6 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         group = group.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
         ids, side = group["doc_id"].to_numpy(), group["tile"].to_numpy()
         sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
-        # two tiles of a block of which one is empty have no pair to look at
         none = len(sets) < 2 or (group["low"].iloc[0] != group["high"].iloc[0] and (side == side[0]).all())
         found = [] if none else block_links(sets, side, percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeloom.llm.common import SPACE, ascii_lower, in_order, written
+from placeloom.llm.common import in_order, written
 
 # Frequent function words of the four languages of the corpus.
 ANCHORS = (
@@ -23,38 +23,50 @@ ANCHORS = (
     "der die das ein eine und ist zu den dem von mit sich des auf "
     "el los las uno una y es que por con para su al del no se lo"
 ).split()
-#: ASCII punctuation at the start or the end of a word.
-EDGES = r"[!-/:-@\[-`{-~]+(?=[\x20\x09-\x0D]|$)|(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+"
-#: Content words of a chain, and how many words after the anchor it is looked for in.
-CHAIN, REACH = 3, 8
+#: Content words of a chain.
+CHAIN = 3
 
 
-def with_signatures(df: DataFrame, text: str, name: str, anchors: tuple[str, ...] | list[str] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
-    """Adds column `name`: the sorted distinct 32-bit hashes of the spot signatures of column `text`.
+def one_of(words: list[str]) -> str:
+    """A regular expression of the words, tried by their first letter: a miss costs one look a letter.
 
-    Words are parted by white space, A-Z lower-cased, and stripped of ASCII punctuation at both ends. A
-    text with no anchor, or none that a content word follows, has one signature of the whole text, so
-    that different texts keep different fingerprints; null is an empty text.
+    >>> one_of(["the", "a", "an", "to"])
+    '(?:a(?:n)?|t(?:he|o))'
     """
-    common = sorted(set(anchors))
-    words, spots = F.col(f"{name}_words"), F.col(f"{name}_spots")
-    bare = F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), EDGES, "")
-    # columns of their own: an expression in a lambda would be worked out for every word
-    df = df.withColumn(f"{name}_words", F.filter(F.split(bare, SPACE), lambda w: w != ""))
-    at = F.transform(words, lambda w, i: F.when(w.isin(common), i))
-    df = df.withColumn(f"{name}_spots", F.filter(at, lambda i: i.isNotNull()))
+    letters: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        letters.setdefault(w[0], []).append(w[1:])
+
+    def rest(tails: list[str]) -> str:
+        longer = sorted((t for t in tails if t), key=lambda t: (-len(t), t))
+        return f"(?:{'|'.join(longer)})" + ("?" if "" in tails else "") if longer else ""
+
+    return f"(?:{'|'.join(k + rest(v) for k, v in letters.items())})"
 
-    def spot(i: Column) -> Column:
-        after = F.filter(F.slice(words, i + 2, F.lit(reach)), lambda w: ~w.isin(common))
-        return F.hash(F.get(words, i), F.array_join(F.slice(after, 1, chain), " "))
 
-    def followed(i: Column) -> Column:
-        return F.exists(F.slice(words, i + 2, F.lit(reach)), lambda w: ~w.isin(common))
+def with_signatures(df: DataFrame, text: str, name: str, anchors: tuple[str, ...] | list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """Adds column `name`: the sorted distinct 32-bit hashes of the spot signatures of column `text`.
+
+    Words are lower-case runs of letters and digits. A run of anchors and the next `chain` words that are
+    none make one signature. A text without one has one signature of the whole text, so that different
+    texts keep different fingerprints; null is an empty text.
+    """
+    run = f" ((?:{one_of(list(anchors))} )+)"
+    text_or_empty = F.coalesce(F.col(text), F.lit(""))
+    bare, runs, parts = (F.col(f"{name}_{x}") for x in ("bare", "runs", "parts"))
+    # columns of their own: an expression in a lambda would be worked out for every part
+    df = df.withColumn(f"{name}_bare", F.concat(F.lit(" "), F.regexp_replace(F.lower(text_or_empty), r"[^a-z0-9\x{80}-\x{10ffff}]+", " "), F.lit(" ")))
+    df = df.withColumns({f"{name}_parts": F.split(bare, run), f"{name}_runs": F.regexp_extract_all(bare, F.lit(run), F.lit(1))})
 
-    found = F.array_sort(F.array_distinct(F.transform(F.filter(spots, followed), spot)))
-    df = df.withColumn(name, found)
-    df = df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.hash(F.lit("whole"), F.coalesce(F.col(text), F.lit(""))))))
-    return df.drop(f"{name}_words", f"{name}_spots")
+    def spot(i: Column) -> Column:
+        # between two runs lies a content word at least, so that so many parts hold the chain
+        words = F.concat_ws(" ", *[F.nullif(F.trim(F.get(parts, i + k)), F.lit("")) for k in range(1, chain + 1)])
+        return F.when(words != "", F.hash(F.get(runs, i), F.substring_index(words, " ", chain)))
+
+    spots = F.transform(F.sequence(F.lit(0), F.size(runs) - 1), spot)
+    df = df.withColumn(name, F.when(F.size(runs) > 0, F.array_sort(F.array_distinct(F.filter(spots, lambda s: s.isNotNull())))))
+    df = df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.hash(F.lit("whole"), text_or_empty))))
+    return df.drop(*[f"{name}_{x}" for x in ("bare", "runs", "parts")])
 
 
 def fingerprint(sigs: Column) -> Column:
