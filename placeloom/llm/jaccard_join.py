@@ -5,8 +5,9 @@ similarity shares one of the first shingles of both in a common order, so sets t
 meet in a block. In a block the sets are the leaves of a signature tree, whose nodes hold the OR of
 their leaves' bitmaps and the range of their sizes. The tree is traversed against itself (or another
 one); a pair of nodes is dropped when sizes or the largest possible overlap rule out every pair of
-leaves. That is done twice: over narrow bitmaps alone, so that only sets with a possible partner are
-sent to their blocks, and there over wider ones, where what is left is checked on the whole sets.
+leaves. That is done twice: over narrow bitmaps alone, whose pairs connect the sets to clusters, and
+over wider ones in a cluster, where what is left is checked on the whole sets. So a whole set is sent
+to one cluster, not to each block.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,12 +107,94 @@ def by_size(sizes: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
     return [order[side[order] == x] for x in np.unique(side)]
 
 
-def hopeful(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Sets of a block that may have a partner, by their narrow bitmaps."""
+def hopeful(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the sets of a block whose similarity the narrow bitmaps can't rule out."""
     groups = by_size(sizes, side)
     trees = [SignatureTree(maps[g], sizes[g]) for g in groups]
     a, b = traverse(trees[0], trees[-1], percent)
-    return np.union1d(groups[0][a], groups[-1][b])
+    a, b = groups[0][a], groups[-1][b]
+    label = np.arange(len(sizes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return label[moved], moved
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and where each begins (and the end), of rows sorted by the keys."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        starts = group_starts(table, keys)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
+        kept = table.slice(starts[-1]) if len(starts) else table
+    if kept is not None and kept.num_rows:
+        yield kept, np.array([0, kept.num_rows])
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    values = np.stack([np.asarray(table.column(k)) for k in keys])
+    return np.flatnonzero(np.concatenate(([True], (values[:, 1:] != values[:, :-1]).any(axis=0)))) if table.num_rows else np.empty(0, np.int64)
+
+
+def pairs_within(starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows in the groups of at most `most` rows."""
+    first, size = starts[:-1], np.diff(starts)
+    small = (size > 1) & (size <= most)
+    at = [(first[small & (size > j)] + i, first[small & (size > j)] + j) for i in range(most) for j in range(i + 1, most)]
+    return np.concatenate([x for x, _ in at]), np.concatenate([x for _, x in at])
+
+
+PLACE = ["block", "low", "high"]
+
+
+def _hopes(percent: int):
+    """(a, b) names of pairs to connect, from rows (block, low, high, tile, name, n, marks) sorted by block, low, high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, PLACE):
+            names, sizes, tile = (np.asarray(table.column(c)) for c in ("name", "n", "tile"))
+            mixed_sides = np.asarray(table.column("low")) != np.asarray(table.column("high"))
+            maps = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint64).reshape(len(names), -1)
+            # a group of a node's children: its tree has the leaves and their root alone
+            a, b = pairs_within(starts, FANOUT)
+            fit = ~mixed_sides[a] | (tile[a] != tile[b])
+            a, b = a[fit], b[fit]
+            leaves = SignatureTree.__new__(SignatureTree)
+            leaves.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
+            keep = possible(leaves, leaves, (0, 0), a, b, percent)
+            found = [(names[a[keep]], names[b[keep]])]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if hi - lo > FANOUT and not (mixed_sides[lo] and (tile[lo:hi] == tile[lo]).all()):
+                    x, y = hopeful(maps[lo:hi], sizes[lo:hi], tile[lo:hi], percent)
+                    found.append((names[lo + x], names[lo + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _links(percent: int):
+    """(a, b) doc_ids of links, from rows (block, low, high, tile, doc_id, tokens) sorted by block, low, high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, PLACE):
+            ids, tile = np.asarray(table.column("doc_id")), np.asarray(table.column("tile"))
+            mixed_sides = np.asarray(table.column("low")) != np.asarray(table.column("high"))
+            found = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if hi - lo > 1 and not (mixed_sides[lo] and (tile[lo:hi] == tile[lo]).all()):
+                    sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").slice(lo, hi - lo).to_pylist()]
+                    found += [(ids[lo + x], ids[lo + y]) for x, y in block_links(sets, tile[lo:hi], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -213,6 +295,14 @@ def _members(size: int):
     return run
 
 
+def tiled(blocks: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (block, name) with their tile, once for each pair (low, high) of tiles of the block that it is in."""
+    tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    placed = blocks.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return placed.select("name", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of percent or more of their shingle sets.
 
@@ -222,9 +312,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     Repeated rows are equal documents; rows without doc_id are left out. An empty table gives an empty
     result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
 
-    A set goes to the blocks it shares a first shingle in, not to each of them: the sets of a shingle
-    meet under the smallest name among them, and only sets with a possible partner go at all. A block above TILE sets is cut into tiles, and each pair
-    of tiles is a task, so no task holds a whole hot block. Links of a block only span what they connect.
+    The sets of a shingle meet under the smallest name among them. A block or cluster above TILE sets is cut
+    into tiles, and each pair of tiles is a group of its own, so that no task holds a whole hot block.
+    Links of a group only span what they connect.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null")
@@ -244,36 +334,14 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     heads = heads.withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
     blocks = written(heads.where("block <> last").select("block", "name").distinct(), "blocks")
 
-    tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    tile = F.pmod(F.xxhash64("name"), F.col("tiles"))
-    places = blocks.join(tiles, "block").select("name", "block", tile.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    places = places.select("name", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
-
-    def hope(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("name").sort_values("name", kind="stable")
-        side = group["tile"].to_numpy()
-        # two tiles of a block of which one is empty have no pair to look at
-        if len(group) < 2 or group["low"].iloc[0] != group["high"].iloc[0] and (side == side[0]).all():
-            return group[["name", "block", "low", "high", "tile"]].iloc[:0]
-        maps = np.frombuffer(b"".join(group["marks"]), np.uint64).reshape(len(group), -1)
-        kept = hopeful(maps, group["n"].to_numpy(np.int64), side, percent)
-        return group[["name", "block", "low", "high", "tile"]].iloc[kept]
-
-    marked = places.join(marks.dropDuplicates(["name", "n"]), "name")
-    places = marked.groupBy("block", "low", "high").applyInPandas(hope, "name long, block long, low long, high long, tile long")
-    places = places.groupBy("name").agg(F.collect_list(F.struct("block", "low", "high", "tile")).alias("places"))
+    marked = tiled(blocks).join(marks.dropDuplicates(["name", "n"]), "name").repartition(*PLACE).sortWithinPartitions(*PLACE, "name")
+    hopes = marked.select(*PLACE, "tile", "name", "n", "marks").mapInArrow(_hopes(percent), "a long, b long")
+    clusters = components(hopes).select(F.col("component").alias("block"), F.col("node").alias("name"))
+    places = tiled(written(clusters, "clusters")).groupBy("name").agg(F.collect_list(F.struct(*PLACE, "tile")).alias("places"))
     wanted = classes.join(places, "name").select(F.col("first").alias("doc_id"), "name", "places")
     members = texts.join(wanted, "doc_id").mapInArrow(_members(size), "block long, low long, high long, tile long, doc_id long, tokens binary")
-
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-        ids, side = group["doc_id"].to_numpy(), group["tile"].to_numpy()
-        sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
-        none = len(sets) < 2 or (group["low"].iloc[0] != group["high"].iloc[0] and (side == side[0]).all())
-        found = [] if none else block_links(sets, side, percent)
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
-
-    edges = members.groupBy("block", "low", "high").applyInPandas(links, "a long, b long")
+    members = members.repartition(*PLACE).sortWithinPartitions(*PLACE, "doc_id")
+    edges = members.mapInArrow(_links(percent), "a long, b long")
     found = components(edges)
     joined = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     joined = joined.select("name", "twin", F.col("n").alias("of"), F.coalesce("component", "first").alias("component"))
