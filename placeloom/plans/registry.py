@@ -29,6 +29,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spark_sql(sql: str, needs: tuple[str, ...]) -> str:
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in needs:
         sql = sql.replace(f"@{n}", "{" + n + "}")
     return sql
