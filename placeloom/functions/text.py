@@ -93,13 +93,13 @@ def is_parent_name(name: Column) -> Column:
     return F.coalesce(name.rlike("(?i)" + "|".join(PARENT_PATTERNS)), F.lit(False))
 
 
+def _literal(words: tuple[str, ...]) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words)
+
+
 def in_domains(host: Column, domains: tuple[str, ...]) -> Column:
     """Whether host is one of the domains or a subdomain of one; a bounded list, so no join."""
-    host = F.lower(F.trim(host, F.lit(".")))
-    test = host.isin(*domains)
-    for d in domains:
-        test = test | host.endswith("." + d)
-    return F.coalesce(test, F.lit(False))
+    return F.coalesce(F.lower(host).rlike(rf"(^|\.)({_literal(domains)})\.?$"), F.lit(False))
 
 
 def domain_class(host: Column) -> Column:
@@ -108,10 +108,7 @@ def domain_class(host: Column) -> Column:
 
 def is_denied_host(host: Column) -> Column:
     """Whether a denied fragment lies anywhere in the host (so x.com also denies fedex.com)."""
-    test = F.lit(False)
-    for d in DENIED_FRAGMENTS:
-        test = test | host.contains(d)
-    return F.coalesce(test, F.lit(False))
+    return F.coalesce(host.rlike(_literal(DENIED_FRAGMENTS)), F.lit(False))
 
 
 def strip_tags(html: Column) -> Column:

@@ -90,3 +90,28 @@ define("change_events", ("events",), """
 SELECT event_id, event_type AS kind, user_id AS place_id, event_id % 25 AS version_id, props AS payload FROM @events""")
 
 define("fetches", ("events",), "SELECT event_id, ts, user_id AS source_id, event_type <> 'error' AS success FROM @events")
+
+
+def _name(k: str) -> str:
+    return (f"CASE {k} % 7 WHEN 0 THEN 'Central' WHEN 1 THEN 'East' WHEN 2 THEN 'St. Mary''s' WHEN 3 THEN 'Green  Lane' WHEN 4 THEN 'North-West' WHEN 5 THEN 'Riverside' ELSE 'Old Town' END || ' ' || "
+            f"CASE ({k} DIV 7) % 5 WHEN 0 THEN 'Hall' WHEN 1 THEN 'Education Trust' WHEN 2 THEN 'Centre' WHEN 3 THEN 'Welfare Association' ELSE 'House' END")
+
+
+# incoming feed rows: some like a place, some near one, some new
+define("feed_keys", ("supplier", "part"), "SELECT s_suppkey * 2 + 1 AS record_id, s_suppkey AS t, s_nationkey AS nation FROM @supplier UNION ALL SELECT p_partkey * 2 AS record_id, p_partkey AS t, CAST(p_size % 25 AS INT) AS nation FROM @part")
+define("records", ("feed_keys",), f"""
+SELECT record_id, CASE record_id % 5 WHEN 0 THEN 'The ' || {_name("t")} WHEN 1 THEN 'New ' || {_name("(t + 3)")} ELSE {_name("t")} || ' ' || CAST(nation AS STRING) END AS name,
+ CASE WHEN record_id % 4 = 3 THEN NULL ELSE chr(CAST(65 + t % 5 AS INT)) || CAST(t % 9 + 1 AS STRING) || CASE WHEN record_id % 2 = 0 THEN ' ' ELSE '' END || CAST((t DIV 45) % 10 AS STRING) || 'ab' END AS postcode,
+ CASE WHEN record_id % 11 = 0 THEN NULL ELSE 'CITY ' || CAST(t DIV 40 AS STRING) END AS city, CASE WHEN nation % 5 = 0 THEN 'IE' ELSE 'GB' END AS country,
+ 51 + ((t DIV 4) * 7919 % 5000) / CAST(10000.0 AS DOUBLE) + CASE record_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 40 WHEN 3 THEN 80 WHEN 4 THEN 120 WHEN 5 THEN 300 ELSE 900 END / CAST(111195.0 AS DOUBLE) AS lat,
+ -1 + ((t DIV 4) * 104729 % 5000) / CAST(10000.0 AS DOUBLE) AS lon,
+ CASE WHEN record_id % 6 = 0 THEN NULL ELSE 'https://place' || CAST(t % 50 AS STRING) || '.example.org' END AS website,
+ CASE record_id % 9 WHEN 0 THEN 'approximate' ELSE 'precise' END AS precision, CASE record_id % 13 WHEN 0 THEN 'low' ELSE 'high' END AS confidence, CASE record_id % 8 WHEN 0 THEN 'multi_faith' WHEN 1 THEN 'prayer_room' ELSE 'mosque' END AS class,
+ CASE WHEN record_id % 3 = 0 THEN 'map_dump' ELSE 'partner_feed' END AS source_type, 'x' || CAST(record_id AS STRING) AS external_id, record_id % 4 <> 1 AS public, DATE '2023-06-01' + CAST(record_id % 300 AS INT) AS record_date
+FROM @feed_keys""")
+
+define("register", ("customer",), f"""
+SELECT c_custkey AS number, {_name("c_custkey")} || ' Community ' || CAST(c_custkey % 3 AS STRING) AS name,
+ CASE WHEN c_custkey % 12 = 0 THEN '' ELSE chr(CAST(65 + c_custkey % 5 AS INT)) || CAST(c_custkey % 9 + 1 AS STRING) || ' ' || CAST((c_custkey DIV 45) % 10 AS STRING) || 'ab' END AS postcode,
+ CASE c_custkey % 6 WHEN 0 THEN 'www.facebook.com/x' WHEN 1 THEN 'place' || CAST(c_custkey AS STRING) || '.org' WHEN 2 THEN 'https://reg' || CAST(c_custkey AS STRING) || '.org/home' WHEN 3 THEN ' ' WHEN 4 THEN 'http://fedex.com' ELSE 'https://ok.example.net' END AS web
+FROM @customer""")
