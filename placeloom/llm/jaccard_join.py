@@ -29,8 +29,9 @@ from placeloom.llm.tokenizing import small_batches
 BUCKET_BITS = 16
 #: Children of a node, and sets of a block's tile.
 FANOUT, TILE = 4, 1024
-#: Bits of the narrow bitmaps; those of the wide ones: WIDTH a set's size, at most MOST_BITS.
-NARROW, WIDTH, MOST_BITS = 2048, 16, 1 << 15
+#: Bits of a narrow bitmap: NARROW times the least size of its class, a power of two; of a wide one: WIDTH
+#: times a set's size, at most MOST_BITS.
+NARROW, WIDTH, MOST_BITS = 4, 16, 1 << 15
 
 
 def bitmaps(flat: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
@@ -41,6 +42,35 @@ def bitmaps(flat: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
     return maps.view(np.uint64)
 
 
+def size_class(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class k of each size (2^k up to below 2^(k + 1)), and whether it can link with one of class k + 1."""
+    k = np.frexp(np.maximum(sizes, 1).astype(np.float64))[1].astype(np.int64) - 1
+    return k, 100 * sizes >= percent * (np.int64(2) << k)
+
+
+def narrow_bits(k: int) -> int:
+    return max(64, NARROW << int(k))
+
+
+def narrow_bitmaps(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> list[bytes]:
+    """A bitmap of each set, of the width of the highest class that it is compared in."""
+    sizes = np.diff(bounds)
+    k, up = size_class(sizes, percent)
+    k = k + up
+    owner, out = np.repeat(k, sizes), np.empty(len(sizes), object)
+    for c in np.unique(k):
+        maps = bitmaps(hashes[owner == c], sizes[k == c], narrow_bits(c))
+        out[k == c] = [m.tobytes() for m in maps]
+    return list(out)
+
+
+def folded(marks: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps as 64-bit words, those of twice the width folded to `bits`."""
+    size = bits // 8
+    rows = [m if len(m) == size else (int.from_bytes(m[:size], "little") | int.from_bytes(m[size:], "little")).to_bytes(size, "little") for m in marks]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
 class SignatureTree:
     """Bitmaps and size ranges of sets, and of groups of FANOUT of them up to a root.
 
@@ -49,10 +79,10 @@ class SignatureTree:
     its bits.
     """
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, leaves: bool = False):
         lost = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, lost)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels[-1][0]) > 1 and not leaves:
             maps, low, high, lost = self.levels[-1]
             cut = np.arange(0, len(maps), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(maps, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(lost, cut)))
@@ -152,28 +182,31 @@ def pairs_within(starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([x for x, _ in at]), np.concatenate([x for _, x in at])
 
 
-PLACE = ["block", "low", "high"]
+PLACE = ["block", "class", "low", "high"]
 
 
 def _hopes(percent: int):
-    """(a, b) names of pairs to connect, from rows (block, low, high, tile, name, n, marks) sorted by block, low, high."""
+    """(a, b) names of pairs to connect, from rows (block, class, low, high, tile, name, n, marks) sorted by PLACE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, PLACE):
-            names, sizes, tile = (np.asarray(table.column(c)) for c in ("name", "n", "tile"))
-            mixed_sides = np.asarray(table.column("low")) != np.asarray(table.column("high"))
-            maps = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint64).reshape(len(names), -1)
+            names, sizes, tile, kind = (np.asarray(table.column(c)) for c in ("name", "n", "tile", "class"))
+            crossed = np.asarray(table.column("low")) != np.asarray(table.column("high"))
+            marks = table.column("marks").to_pylist()
+            found = [(names[:0], names[:0])]
             # a group of a node's children: its tree has the leaves and their root alone
             a, b = pairs_within(starts, FANOUT)
-            fit = ~mixed_sides[a] | (tile[a] != tile[b])
+            fit = ~crossed[a] | (tile[a] != tile[b])
             a, b = a[fit], b[fit]
-            leaves = SignatureTree.__new__(SignatureTree)
-            leaves.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
-            keep = possible(leaves, leaves, (0, 0), a, b, percent)
-            found = [(names[a[keep]], names[b[keep]])]
+            for c in np.unique(kind[a]):
+                x, y = a[kind[a] == c], b[kind[a] == c]
+                rows, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+                tree = SignatureTree(folded([marks[i] for i in rows], narrow_bits(c)), sizes[rows], leaves=True)
+                keep = possible(tree, tree, (0, 0), at[: len(x)], at[len(x) :], percent)
+                found.append((names[x[keep]], names[y[keep]]))
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                if hi - lo > FANOUT and not (mixed_sides[lo] and (tile[lo:hi] == tile[lo]).all()):
-                    x, y = hopeful(maps[lo:hi], sizes[lo:hi], tile[lo:hi], percent)
+                if hi - lo > FANOUT and not (crossed[lo] and (tile[lo:hi] == tile[lo]).all()):
+                    x, y = hopeful(folded(marks[lo:hi], narrow_bits(kind[lo])), sizes[lo:hi], tile[lo:hi], percent)
                     found.append((names[lo + x], names[lo + y]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -181,7 +214,7 @@ def _hopes(percent: int):
 
 
 def _links(percent: int):
-    """(a, b) doc_ids of links, from rows (block, low, high, tile, doc_id, tokens) sorted by block, low, high."""
+    """(a, b) doc_ids of links, from rows (block, class, low, high, tile, doc_id, tokens) sorted by PLACE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, PLACE):
@@ -229,7 +262,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     return links
 
 
-def _facts(size: int):
+def _facts(size: int, percent: int):
     """Rows of documents (doc_id, n, name, twin, marks), then counts of buckets (bucket, count) of the partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("twin", pa.int64()), ("marks", pa.binary()), ("bucket", pa.int32()), ("count", pa.int64())])
 
@@ -240,7 +273,7 @@ def _facts(size: int):
             counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
             name, twin = set_names(hashes, bounds)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(name.view(np.int64)), pa.array(twin.view(np.int64)), pa.array([m.tobytes() for m in bitmaps(hashes, np.diff(bounds), NARROW)], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(name.view(np.int64)), pa.array(twin.view(np.int64)), pa.array(narrow_bitmaps(hashes, bounds, percent), pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], schema=schema)
@@ -254,7 +287,10 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _heads(size: int, percent: int, rank: np.ndarray):
-    """(token, name) of the first shingles of each set, rare buckets first; equal sets once a partition."""
+    """(token, class, name) of the first shingles of each set, rare buckets first; equal sets once a partition.
+
+    A set that can link with one of the next size class is in both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -271,7 +307,11 @@ def _heads(size: int, percent: int, rank: np.ndarray):
                     met.add(names[i])
                     new[i] = True
             head = (place < (n - least_overlap(n, percent) + 1)[owner]) & new[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][head].view(np.int64)), pa.array(names[owner][head].view(np.int64))], names=["token", "name"])
+            tokens, who = hashes[order][head].view(np.int64), owner[head]
+            k, up = size_class(n, percent)
+            also = up[who]
+            columns = np.concatenate((tokens, tokens[also])), np.concatenate((k[who], k[who[also]] + 1)), names.view(np.int64)[np.concatenate((who, who[also]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "name"])
 
     return run
 
@@ -289,18 +329,18 @@ def _members(size: int):
                 rows = [(p, i) for i in good[lo : lo + 64] for p in places[int(i)].as_py()]
                 at = pa.array([i for _, i in rows], pa.int64())
                 sets = [hashes[bounds[i] : bounds[i + 1]].tobytes() for _, i in rows]
-                cols = [pa.array([p[k] for p, _ in rows], pa.int64()) for k in ("block", "low", "high", "tile")]
-                yield pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(at).cast(pa.int64()), pa.array(sets, pa.binary())], names=["block", "low", "high", "tile", "doc_id", "tokens"])
+                cols = [pa.array([p[k] for p, _ in rows], pa.int64()) for k in (*PLACE, "tile")]
+                yield pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(at).cast(pa.int64()), pa.array(sets, pa.binary())], names=[*PLACE, "tile", "doc_id", "tokens"])
 
     return run
 
 
 def tiled(blocks: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rows (block, name) with their tile, once for each pair (low, high) of tiles of the block that it is in."""
-    tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    placed = blocks.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
+    """Rows (block, class, name) with their tile, once for each pair (low, high) of tiles of the block that it is in."""
+    tiles = blocks.groupBy("block", "class").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    placed = blocks.join(tiles, ["block", "class"]).withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return placed.select("name", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
+    return placed.select("name", "block", "class", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -312,13 +352,13 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     Repeated rows are equal documents; rows without doc_id are left out. An empty table gives an empty
     result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
 
-    The sets of a shingle meet under the smallest name among them. A block or cluster above TILE sets is cut
+    The sets of a shingle and a size class meet under the smallest name among them. A block or cluster above TILE sets is cut
     into tiles, and each pair of tiles is a group of its own, so that no task holds a whole hot block.
     Links of a group only span what they connect.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    facts = written(texts.mapInArrow(_facts(size), "doc_id long, n long, name long, twin long, marks binary, bucket int, count long"), "facts")
+    facts = written(texts.mapInArrow(_facts(size, percent), "doc_id long, n long, name long, twin long, marks binary, bucket int, count long"), "facts")
     counts = facts.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count"))
     by_bucket = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, count in counts.collect():  # at most 2^BUCKET_BITS rows
@@ -329,17 +369,17 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     marks = facts.where("n > 0").select("name", "n", "marks")
     facts = facts.where("doc_id is not null").select("doc_id", "n", "name", "twin")
     classes = written(facts.where("n > 0").groupBy("name", "twin", "n").agg(F.min("doc_id").alias("first")), "classes")
-    heads = texts.select("text").mapInArrow(_heads(size, percent, rank), "token long, name long")
-    by_token = Window.partitionBy("token")
+    heads = texts.select("text").mapInArrow(_heads(size, percent, rank), "token long, class long, name long")
+    by_token = Window.partitionBy("token", "class")
     heads = heads.withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
-    blocks = written(heads.where("block <> last").select("block", "name").distinct(), "blocks")
+    blocks = written(heads.where("block <> last").select("block", "class", "name").distinct(), "blocks")
 
     marked = tiled(blocks).join(marks.dropDuplicates(["name", "n"]), "name").repartition(*PLACE).sortWithinPartitions(*PLACE, "name")
     hopes = marked.select(*PLACE, "tile", "name", "n", "marks").mapInArrow(_hopes(percent), "a long, b long")
-    clusters = components(hopes).select(F.col("component").alias("block"), F.col("node").alias("name"))
+    clusters = components(hopes).select(F.col("component").alias("block"), F.lit(0).cast("long").alias("class"), F.col("node").alias("name"))
     places = tiled(written(clusters, "clusters")).groupBy("name").agg(F.collect_list(F.struct(*PLACE, "tile")).alias("places"))
     wanted = classes.join(places, "name").select(F.col("first").alias("doc_id"), "name", "places")
-    members = texts.join(wanted, "doc_id").mapInArrow(_members(size), "block long, low long, high long, tile long, doc_id long, tokens binary")
+    members = texts.join(wanted, "doc_id").mapInArrow(_members(size), "block long, class long, low long, high long, tile long, doc_id long, tokens binary")
     members = members.repartition(*PLACE).sortWithinPartitions(*PLACE, "doc_id")
     edges = members.mapInArrow(_links(percent), "a long, b long")
     found = components(edges)
