@@ -31,6 +31,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts (A-Z lower-cased), and the row it is of."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -44,9 +51,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    up, down = _powers(len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * up, dtype=np.uint64)))
-    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = span_hashes(_LOWER[raw], starts, ends)
     return words, np.searchsorted(offsets, starts, "right") - 1
 
 
