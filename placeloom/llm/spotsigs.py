@@ -51,7 +51,8 @@ def with_signatures(df: DataFrame, text: str, name: str, anchors: tuple[str, ...
     none make one signature. A text without one has one signature of the whole text, so that different
     texts keep different fingerprints; null is an empty text.
     """
-    run = f" ((?:{one_of(list(anchors))} )+)"
+    # possessive: the match of a long run takes no stack
+    run = f" ((?:{one_of(list(anchors))} )++)"
     text_or_empty = F.coalesce(F.col(text), F.lit(""))
     bare, runs, parts = (F.col(f"{name}_{x}") for x in ("bare", "runs", "parts"))
     # columns of their own: an expression in a lambda would be worked out for every part
