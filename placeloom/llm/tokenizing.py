@@ -156,7 +156,7 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> list[np.ndarray]
     return [np.concatenate(x) for x in zip(rows, itertools.repeat(tail))]
 
 
-def small_batches(batches, rows: int = 1024, chars: int = 8_000_000, column: str = "text"):
+def small_batches(batches, rows: int = 1024, chars: int = 2_000_000, column: str = "text"):
     """Record batches of bounded text size: a few very long texts don't meet in one batch."""
     for batch in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
