@@ -26,7 +26,7 @@ BITS = 18
 RUN = 16
 SIZE = (1 << BITS) + RUN + 1
 #: Labelled rows of each class that the model is fitted on, at most.
-ROWS = 2500
+ROWS = 1500
 #: Of them, one in so many calibrates the score.
 CALIBRATION = 5
 #: Score from which a text counts as good.
