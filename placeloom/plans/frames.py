@@ -26,9 +26,9 @@ define("aliases", ("places",), """
 SELECT place_id, 'Alias ' || CAST(place_id % 6 AS STRING) || ' ' || substr(name, 1, 5) AS alias FROM @places WHERE place_id % 4 = 1
 UNION ALL SELECT place_id, name AS alias FROM @places WHERE place_id % 9 = 2""")
 
-define("numbers3", ("region",), "SELECT r_regionkey AS j FROM @region WHERE r_regionkey < 3")
+define("customer3", ("customer",), "SELECT *, EACH(3) AS j FROM @customer")
 
-define("sources", ("customer", "numbers3"), """
+define("sources", ("customer3",), """
 SELECT c_custkey * 3 + j AS source_id,
  CASE WHEN (c_custkey * 3 + j) % 23 = 0 THEN NULL ELSE c_custkey DIV 10 END AS place_id,
  CASE j WHEN 0 THEN 'partner_feed' WHEN 1 THEN 'website' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'community' ELSE 'map_dump' END END AS source_type,
@@ -46,11 +46,11 @@ SELECT c_custkey * 3 + j AS source_id,
  CASE WHEN c_custkey % 7 < 3 THEN 'pending' WHEN c_custkey % 7 < 5 THEN 'failed' WHEN c_custkey % 7 = 5 THEN 'deployed' ELSE 'skipped_review' END AS task_status,
  CASE WHEN c_custkey % 2 = 0 THEN 'transient_network' ELSE 'aggregator' END AS failure_category,
  CAST(c_custkey % 5 AS INT) AS attempts
-FROM @customer CROSS JOIN @numbers3""")
+FROM @customer3""")
 
-define("numbers6", ("nation",), "SELECT n_nationkey AS slot FROM @nation WHERE n_nationkey < 6")
+define("orders6", ("orders",), "SELECT *, EACH(6) AS slot FROM @orders")
 
-define("candidates", ("orders", "numbers6"), """
+define("candidates", ("orders6",), """
 SELECT o_orderkey * 6 + slot AS candidate_id,
  o_custkey * 3 + o_orderkey % 3 AS source_id,
  CASE WHEN (o_custkey * 3 + o_orderkey % 3) % 23 = 0 THEN NULL ELSE o_custkey DIV 10 END AS place_id,
@@ -66,7 +66,7 @@ SELECT o_orderkey * 6 + slot AS candidate_id,
  CASE o_orderkey % 4 WHEN 0 THEN '{"contract":"site_extractor/v1","gate_passed":true}' WHEN 1 THEN '{"contract":"site_extractor/v1","gate_passed":false}' WHEN 2 THEN '{"ramadan_schedule":true,"ramadan_span_days":40}' ELSE NULL END AS evidence,
  CASE o_orderkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'imported' ELSE 'calculated' END AS confidence,
  CASE WHEN slot = 5 THEN 'Session ' || CAST((o_orderkey DIV 60) % 2 AS STRING) ELSE NULL END AS label
-FROM @orders CROSS JOIN @numbers6""")
+FROM @orders6""")
 
 define("previous", ("candidates",), """
 SELECT place_id, slot_date, slot, session_no, min(candidate_id) AS candidate_id, min(source_id) AS source_id,

@@ -1,11 +1,13 @@
 """Registered queries, and frames of the library's shapes that SQL derives from the given tables.
 
-A frame is one SELECT that Spark and DuckDB read alike: `DIV` stands for integer division. Spark runs
-it over the tables, the SQL check repeats it as a common table expression.
+A frame is one SELECT that Spark and DuckDB read alike: `DIV` stands for integer division, `EACH(n)` for a
+row for each number below n. Spark runs it over the tables, the SQL check repeats it as a common
+table expression.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spark_sql(sql: str, needs: tuple[str, ...]) -> str:
     sql = sql.replace("{", "{{").replace("}", "}}")
     for n in needs:
-        sql = sql.replace(f"@{n}", "{" + n + "}")
-    return sql
+        sql = re.sub(rf"@{n}\b", "{" + n + "}", sql)
+    return re.sub(r"EACH\((\d+)\)", r"explode(sequence(0, \1 - 1))", sql)
 
 
 def duck_sql(sql: str) -> str:
-    return sql.replace(" DIV ", " // ").replace("@", "")
+    return re.sub(r"EACH\((\d+)\)", r"unnest(range(\1))", sql).replace(" DIV ", " // ").replace("@", "")
 
 
 def with_frames(names: tuple[str, ...], sql: str) -> str:
