@@ -61,6 +61,25 @@ def admitted(spark: SparkSession, templates: dict[str, str], least: float) -> Da
     return spark.createDataFrame(rows, "size int, license string, template array<string>")
 
 
+def telling_words(templates: dict[str, str]) -> list[str]:
+    """Words of which a text that reaches LEAST with a template has at least one.
+
+    Such a text shares two thirds of the template's bigrams or more (for 0.8), so it can't lack the words
+    that lie in more than the rest of them. The longest words are taken, for few texts have those.
+    """
+    found: set[str] = set()
+    for text in templates.values():
+        grams = template_bigrams(text)
+        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (len(w), w), reverse=True)
+        covered: set[str] = set()
+        for w in words:
+            if len(covered) > len(grams) * (1 - LEAST / (2 - LEAST)) + 1e-9:
+                break
+            covered |= {g for g in grams if w in g.split()}
+            found.add(w)
+    return sorted(found)
+
+
 def bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(pairs)
@@ -70,16 +89,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     """Licences that a line or a paragraph of a document matches.
 
     Returns doc_id, license, dice (the best of the document, to six places) and hits (matching units).
-    Units are all lines, and all paragraphs (parted by an empty line) of more than one line. Normalised
-    means lower case, with everything but letters and digits as space. Null and empty texts match nothing;
-    texts of any length are scanned whole; repeated doc_ids count as one document. An empty table gives an
-    empty result. Other columns are ignored.
+    Units are all lines, and all paragraphs (parted by an empty line) of more than one line; those without
+    a telling word of any template are passed over. Normalised means lower case, with everything but
+    letters and digits as space. Null and empty texts match nothing; texts of any length are scanned whole;
+    repeated doc_ids count as one document. An empty table gives an empty result. Other columns are ignored.
     """
     table = admitted(docs.sparkSession, templates, least)
     most = max([size_bounds(len(template_bigrams(t)), least)[1] for t in templates.values()], default=0)
     text = F.lower(F.col("text"))
     blocks = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda b: F.instr(F.trim(b), "\n") > 0)
     units = docs.where("text is not null").select("doc_id", F.explode(F.concat(F.split(text, "\n"), blocks)).alias("unit"))
+    if least >= LEAST:
+        units = units.where(F.col("unit").rlike(rf"\b(?:{'|'.join(map(re.escape, telling_words(templates)))})"))
     clean = F.trim(F.regexp_replace("unit", r"[^\p{L}\p{N}]+", " "))
     # a set of bigrams holds fewer than there are words, but repeats may shrink a long unit's set
     words = units.select("doc_id", F.split(clean, " ").alias("words")).where(F.size("words") > 1)
