@@ -134,10 +134,12 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     unique = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(rows) else rows
     links = written(following(unique.select("doc_id", F.char_length("text").alias("n"))), "links")
-    # the next document gives the head of its text and its set to the one before it
-    heads = with_signatures(unique, "text", "next_sigs").withColumnRenamed("doc_id", "after").join(links, "after")
-    heads = heads.select("doc_id", F.expr("substring(text, 1, int(n div 2))").alias("head"), "next_sigs")
-    both = unique.join(heads, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    # the next document gives the head of its text and its set to the one before it; both joins have the
+    # texts by doc_id, so that Spark shuffles them once
+    links = links.select(F.col("doc_id").alias("of"), "n", "after")
+    heads = with_signatures(unique.join(links, unique.doc_id == links.after), "text", "next_sigs")
+    heads = heads.select("of", F.expr("substring(text, 1, int(n div 2))").alias("head"), "next_sigs")
+    both = unique.join(heads, unique.doc_id == heads["of"]).drop("of").withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), F.col("head")))
     both = with_signatures(with_signatures(both, "text", "sigs"), "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
