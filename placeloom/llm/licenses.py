@@ -1,14 +1,16 @@
 """License scans (native): word-bigram Dice against license templates, with size bounds.
 
-Lines and paragraphs of a document are normalised and turned into sets of word bigrams. A set of m
-bigrams and a template of n can reach the Dice coefficient t only if m lies between n t / (2 - t) and
-n (2 - t) / t, so a unit meets just the templates that its size admits; most meet none.
+Lines, paragraphs and runs of lines of a document are normalised and turned into sets of word bigrams.
+A set of m bigrams and a template of n can reach the Dice coefficient t only if m lies between
+n t / (2 - t) and n (2 - t) / t, so a unit meets just the templates that its size admits; most meet none.
+A run of lines grows only while its set stays below that bound.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,12 +87,94 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _dice(grams: Column, template: Column) -> Column:
+    return F.round(2.0 * F.size(F.array_intersect(grams, template)) / F.greatest(F.size(grams) + F.size(template), F.lit(1)), 6)
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, which later uses don't work out again: a generator stops the optimizer from copying them."""
+    rest = [c for c in df.columns if c not in columns]
+    df = df.select(*rest, F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("made"))
+    return df.select(*rest, *[F.col(f"made.{k}").alias(k) for k in columns])
+
+
+def line_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """(doc_id, license, dice, hits) of each row of docs (doc_id, text in lower case) in which a run of two or more lines matches.
+
+    Lines without words are passed over, so a run may cross empty lines. dice is the best of all runs; hits
+    are the most runs that don't overlap each other, nor a line or paragraph that matches by itself.
+    A run is as good without a first line that adds none of the template's bigrams to it, so those whose
+    bigrams of the template the next line has too start no run. A row meets only templates of which it
+    has bigrams enough for a match.
+    """
+    spark = docs.sparkSession
+    rows = [(name, grams, size_bounds(len(grams), least)[1]) for name, text in templates.items() if (grams := template_bigrams(text))]
+    table = F.broadcast(spark.createDataFrame(rows, "license string, template array<string>, most int"))
+    every = F.broadcast(spark.createDataFrame([(sorted({g for _, grams, _ in rows for g in grams}),)], "every array<string>"))
+    spelled = F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")
+    rows = docs.crossJoin(every)
+    rows = _once(rows, common=F.array_intersect(bigrams(F.split(F.trim(spelled), " ")), "every")).drop("every")
+    rows = rows.join(table, F.size(F.array_intersect("common", "template")) >= F.size("template") * (least / (2 - least)) - 1e-9)
+
+    words = lambda x: F.split(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")), " ")
+    paragraph = lambda p, k: F.transform(F.split(p, "\n"), lambda x: F.struct(words(x).alias("words"), k.alias("at")))
+    paragraphs = F.split("text", r"\n[ \t\r]*\n")
+    lines = F.filter(F.flatten(F.transform(paragraphs, paragraph)), lambda x: x["words"][0] != "")
+    fits = F.transform(paragraphs, lambda p: _dice(bigrams(words(p)), F.col("template")) >= least)
+    rows = _once(rows, lines=lines, fits=fits)
+
+    def line(x: Column, k: Column) -> Column:
+        link = F.concat(F.element_at(F.get("lines", k - 1)["words"], -1), F.lit(" "), x["words"][0])
+        link = F.when(k > 0, F.array(link)).otherwise(F.array().cast("array<string>"))
+        alone = lambda g: (_dice(g, F.col("template")) >= least) | F.get("fits", x["at"])
+        return _let(bigrams(x["words"]), lambda g: F.struct(g.alias("grams"), link.alias("link"), alone(g).alias("alone")))
+
+    rows = _once(rows.where(F.size("lines") > 1), lines=F.transform("lines", line))
+
+    def starts(k: Column) -> Column:
+        here, after = F.get("lines", k), F.get("lines", k + 1)
+        return F.size(F.array_except(F.array_intersect(F.concat(here["grams"], after["link"]), F.col("template")), after["grams"])) > 0
+
+    rows = _once(rows, first=F.filter(F.sequence(F.lit(0), F.size("lines") - 2), starts))
+    none = F.array().cast("array<string>")
+
+    def step(run: Column, x: Column) -> Column:
+        # once the set is too large, a step only passes the state on
+        def grown(grams: Column) -> Column:
+            is_open = run["open"] & (F.size(grams) <= F.col("most"))
+            return F.struct(F.when(is_open, grams).otherwise(none).alias("grams"), is_open.alias("open"), F.when(is_open, _dice(grams, F.col("template"))).otherwise(0.0).alias("dice"))
+
+        def taken(y: Column) -> Column:
+            free = run["free"] & ~x["alone"]
+            end = F.when(run["end"].isNull() & free & (y["dice"] >= least), run["at"] + 1).otherwise(run["end"])
+            return F.struct(y["grams"].alias("grams"), y["open"].alias("open"), free.alias("free"), (run["at"] + 1).alias("at"), end.alias("end"), F.greatest(run["best"], y["dice"]).alias("best"))
+
+        return F.when(run["open"], _let(_let(F.array_union(run["grams"], F.concat(x["link"], x["grams"])), grown), taken)).otherwise(run)
+
+    def run_from(k: Column) -> Column:
+        x = F.get("lines", k)
+        begin = F.struct(x["grams"].alias("grams"), (F.size(x["grams"]) <= F.col("most")).alias("open"), (~x["alone"]).alias("free"), k.alias("at"), F.lit(None).cast("int").alias("end"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.slice("lines", k + 2, F.size("lines")), begin, step, lambda run: F.struct(run["end"].alias("end"), k.alias("start"), run["best"].alias("best")))
+
+    rows = _once(rows, runs=F.transform("first", run_from))
+    rows = _once(rows, dice=F.array_max(F.transform("runs", lambda x: x["best"]))).where(F.col("dice") >= least)
+    apart = F.aggregate(F.array_sort(F.filter("runs", lambda x: x["end"].isNotNull())), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("last")),
+        lambda a, x: F.when(x["start"] > a["last"], F.struct((a["n"] + 1).alias("n"), x["end"].alias("last"))).otherwise(a), lambda a: a["n"])
+    return rows.select("doc_id", "license", "dice", apart.alias("hits"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Licences that a line or a paragraph of a document matches.
+    """Licences that a line, a paragraph or a run of lines of a document matches.
 
     Returns doc_id, license, dice (the best of the document, to six places) and hits (matching units).
-    Units are all lines, and all paragraphs (parted by an empty line) of more than one line; those without
-    a telling word of any template are passed over. Normalised means lower case, with everything but
+    Units are all lines, all paragraphs (parted by an empty line) of more than one line, and runs of lines
+    (`line_runs`), which may span several paragraphs or a part of one; those without a telling word of any
+    template are passed over. Normalised means lower case, with everything but
     letters and digits as space. Null and empty texts match nothing; texts of any length are scanned whole;
     repeated doc_ids count as one document. An empty table gives an empty result. Other columns are ignored.
     """
@@ -99,8 +183,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     text = F.lower(F.col("text"))
     blocks = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda b: F.instr(F.trim(b), "\n") > 0)
     units = docs.where("text is not null").select("doc_id", F.explode(F.concat(F.split(text, "\n"), blocks)).alias("unit"))
+    rows = docs.where("text is not null").select("doc_id", text.alias("text"))
     if least >= LEAST:
-        units = units.where(F.col("unit").rlike(rf"\b(?:{'|'.join(map(re.escape, telling_words(templates)))})"))
+        telling = rf"\b(?:{'|'.join(map(re.escape, telling_words(templates)))})"
+        units, rows = units.where(F.col("unit").rlike(telling)), rows.where(F.col("text").rlike(telling))
     clean = F.trim(F.regexp_replace("unit", r"[^\p{L}\p{N}]+", " "))
     # a set of bigrams holds fewer than there are words, but repeats may shrink a long unit's set
     words = units.select("doc_id", F.split(clean, " ").alias("words")).where(F.size("words") > 1)
@@ -109,7 +195,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     shared = F.size(F.array_intersect("grams", "template"))
     dice = F.round(2.0 * shared / (F.col("size") + F.size("template")), 6)
     matched = pairs.select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= least)
-    return matched.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("hits"))
+    matched = matched.withColumn("hits", F.lit(1).cast("long")).unionByName(line_runs(rows, templates, least))
+    return matched.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("hits").alias("hits"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,49 @@ def test_license_edges(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_license_over_paragraphs(spark):
+    isc = licenses.TEMPLATES["ISC"].replace("copies. THE", "copies.\n\nTHE")
+    around = "\n".join(f"line {i} says nothing" for i in range(30))
+    texts = [MIT, APACHE, f"The MIT License\n\nCopyright (c) 2020 Some One\n\n{MIT}\n\n\n{around}", f"{MIT}\n\n{MIT}", isc, f"{around}\n{MIT.replace(chr(10) * 2, chr(10))}\n{around}", MIT.split("\n\n")[0], MIT.replace("\n\n", "\r\n \t\r\n" + "foo\n\n" * 300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.license): (r.dice, r.hits) for r in licenses.scan(docs).collect()}
+    assert found[0, "MIT"] == (1.0, 1) and found[1, "Apache-2.0-header"] == (1.0, 1) and found[2, "MIT"] == (1.0, 1)
+    assert found[3, "MIT"][1] == 2 and found[4, "ISC"] == (1.0, 1) and found[5, "MIT"] == (1.0, 1)
+    assert (6, "MIT") not in found and found[7, "MIT"][0] > 0.95
+
+
 def test_license_size_bounds():
     for n in range(1, 60):
         lo, hi = licenses.size_bounds(n, 0.8)
