@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates (five words, 0.8)."""
+    """One row, that with the smallest doc_id (null last), of each group of near-duplicates (five words, 0.8)."""
     return jaccard_join.one_of_each(docs, size=5, percent=80)
 
 

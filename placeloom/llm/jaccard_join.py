@@ -390,9 +390,22 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of docs, one of each component: that with the smallest doc_id (a repeated row once)."""
-    kept = similar_components(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of docs, one of each component: that with the smallest doc_id, null ids last, then the smallest hash of its text.
+
+    Every row takes part by itself, so rows without doc_id and different texts under one doc_id are told
+    apart by their texts alone. Texts without words are copies of nothing; of such rows only those with
+    equal doc_id (not null) and text count as one.
+    """
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias("row_key")), "rows")
+    found = similar_components(rows.select(F.col("row_key").alias("doc_id"), "text"), size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("digest"), "row_key")
+    ranked = rows.select("row_key", order.alias("order")).join(found.withColumnRenamed("doc_id", "row_key"), "row_key")
+    wordless = (F.col("n_shingles") == 0) & ~F.col("order.no_id")
+    # rows with words, or without id, meet in their component; the others under their id and text
+    key = F.when(wordless, F.struct(F.lit(None).cast("long").alias("component"), F.col("order.doc_id").alias("doc_id"), F.col("order.digest").alias("digest")))
+    key = F.coalesce(key, F.struct(F.col("component_id").alias("component"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("digest")))
+    kept = ranked.groupBy(key.alias("key")).agg(F.min("order").alias("order")).select("order.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

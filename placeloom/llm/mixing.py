@@ -43,17 +43,17 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return sums.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * level, F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, carried: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns doc_id, source, size, source_size, target and taken. taken is at most epochs x size; the
     document at the cut gives only the words up to it, so a source's sum is its target rounded down.
     Nulls: a null text has size 0, null sources are one source (the last), a null doc_id sorts as an
     empty key. Repeated rows count each; ties of the key go by doc_id, then size. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result. The columns `carried` are returned too, and break ties last; others are ignored.
     """
     key = key if key is not None else F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
+    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *carried), "sizes")
     base = base.withColumn("slice", F.substring("key", 1, DIGITS))
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     slices = written(slices, "slices")
@@ -63,23 +63,27 @@ def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = W
     # null sources meet too: the flag and an empty name stand for null
     named = lambda df: df.withColumn("no_source", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     slices = named(slices).join(named(targets).drop("source"), ["name", "no_source"]).select("name", "no_source", "slice", "shift", "source_size", "target")
-    inner = Window.partitionBy("name", "no_source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("name", "no_source", "slice").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     rows = named(base).withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(slices, ["name", "no_source", "slice"])
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("shift") - F.col("before")
     taken = whole * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with the columns of docs: a row for each epoch that takes one.
 
-    Whole documents only: one that the cut goes through stays whole in that epoch. doc_id must be
-    unique and not null here; rows without it are left out, as are those that the mix takes nothing of.
+    Whole documents only: one that the cut goes through stays whole in that epoch. Those that the mix takes
+    nothing of are left out. Every row counts by itself, whether its doc_id is null, repeated or unique;
+    the key of a row without doc_id is that of its text, so they don't meet in one slice.
     """
-    taken = mix(docs, **options).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    kept = docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias("row_key")), "rows")
+    text = F.when(word_count(F.col("text")) > 0, F.col("text"))
+    options.setdefault("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.col("row_key").cast("string"))))
+    taken = mix(rows, carried=("row_key",), **options).where("taken > 0").select("row_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    kept = rows.join(taken, "row_key").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return kept.select(*docs.columns)
 
 

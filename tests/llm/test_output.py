@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placeloom.llm import common, jaccard_join, mixing, packing, quality, sharding, token_records, tokenizing
@@ -210,3 +211,18 @@ def test_pipeline(spark):
     assert tokens == {i: counts[i] * sizes[i] for i in counts}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
     json.dumps(sorted(sizes))
+
+
+def test_pipeline_stages_keep_rows_by_their_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20 + k))
+    ids = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (5, text(3)), (6, text(4)), (None, text(4)), (7, None), (7, None), (None, ""), (None, None)]
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in ids], "doc_id long, text string, row_id string").withColumn("source", F.lit("a"))
+    single = jaccard_join.one_of_each(rows)
+    order = lambda x: repr(x)
+    wanted = [(None, text(0)), (None, text(1)), (5, text(2)), (5, text(3)), (6, text(4))]
+    assert single.columns == rows.columns
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=order) == sorted([*wanted, (7, None), (None, ""), (None, None)], key=order)
+    # the whole of each source twice: no row is lost or multiplied
+    mixed = mixing.mixed_documents(single, share=2.0)
+    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=order) == sorted(wanted * 2, key=order)
+    assert mixed.columns == rows.columns
