@@ -23,10 +23,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set.
+    Only a local session that has none (tests, a laptop) gets a temporary folder; a cluster without one
+    is an error, for no machine sees what another writes to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -85,13 +88,23 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], na
     return out.drop("slice", *[f"{k}_{x}" for k in sums for x in ("in", "off", "before")])
 
 
-def numbered(df: DataFrame, group: list[str], spread: Column, order: list[Column], number: str, slices: int = 256) -> DataFrame:
+def slices_for(rows: int, least: int = 256, most_rows: int = 50_000) -> int:
+    """How many slices keep a slice of `rows` rows in all at about most_rows or below.
+
+    >>> slices_for(1000), slices_for(10**9)
+    (256, 20000)
+    """
+    return max(least, -(-rows // most_rows))
+
+
+def numbered(df: DataFrame, group: list[str], spread: Column, order: list[Column], number: str, rows: int = 0) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps; no group meets in one task.
 
-    A group is spread over `slices` by a hash of `spread`; the rows of a slice are numbered in a
-    window and shifted by the counts of the slices before it. The table of counts has at most
-    groups x slices rows.
+    A group is spread over slices by a hash of `spread`, as many as `rows` (about how many df has) asks for;
+    the rows of a slice are numbered in a window and shifted by the counts of the slices before it. The
+    table of counts has at most groups x slices rows.
     """
+    slices = slices_for(rows)
     df = df.withColumn("spread", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
     before = Window.partitionBy(*group).orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*group, "spread").agg(F.count(F.lit(1)).alias("n"))
@@ -100,3 +113,20 @@ def numbered(df: DataFrame, group: list[str], spread: Column, order: list[Column
     out = df.withColumn(number, F.row_number().over(inner).cast("long") - 1)
     out = out.join(offsets, [*group, "spread"])
     return out.withColumn(number, F.col(number) + F.col("shift")).drop("spread", "shift")
+
+
+#: A key with one in so many of all rows, or more, counts as hot; so there are at most HOT hot keys.
+HOT = 50_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The inner join of rows with facts (one row a key; column `count` tells how many of rows have it).
+
+    Keys that hold one in HOT of all rows or more, of which there are at most HOT, are broadcast, so that
+    no hot key meets in one task; the others are shuffled. Both inputs are read twice and should be written.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT >= total
+    hot, cold = facts.where(is_hot), facts.where(~is_hot)
+    beside = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(beside)
