@@ -4,6 +4,10 @@ Host rules decide what they fit. The urls they decide are also the accepted and
 from which two variable-order Markov models over characters are counted; a url that no rule fits
 is judged by the difference of its log-likelihoods under both, divided by its length, against a
 threshold calibrated on rule-decided urls that the models haven't seen.
+
+The models read whole urls, scheme, query string and fragment included, in their own characters. What
+they gather is a table of the distinct character n-grams of all urls, which grows with the input and
+stays distributed.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeloom.llm.common import ascii_lower, written
+from placeloom.llm.common import ascii_lower, join_counted, written
 
-#: Characters are mapped to 32 symbols, so that tables of 4 symbols have at most 32^4 entries.
-SYMBOLS = 32
-#: Symbols of a context.
-ORDER = 3
+#: Characters of a context.
+ORDER = 5
 #: A context seen less often than this is left for the next shorter one.
 LEAST_SEEN = 2
+#: Probability of a character that nothing is known of.
+FLOOR = 1 / 256
+#: Stands before the first character of a url.
+START = "\x02"
 #: One url in so many is kept from the models for the calibration.
 FOLDS = 5
 #: Steps of the threshold in one unit of log-likelihood a character, and its range.
@@ -67,76 +73,70 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.coalesce(*named) if named else F.lit(None).cast("struct<name:string,verdict:string>")
 
 
-def symbols(text: Column) -> Column:
-    """Codes of the characters, 1 to 31, after ORDER zeros for the start.
-
-    a to z are 1 to 26 in either case, a digit 27, / 28, . 29, - and _ 30, any other character 31.
-    """
-    spelled = F.translate(ascii_lower(text), "`{|}~0123456789/.-_", "\x7f\x7f\x7f\x7f\x7f{{{{{{{{{{|}~~")
-    spelled = F.regexp_replace(spelled, "[^a-z{|}~]", "\x7f")
-    codes = F.transform(F.split(spelled, ""), lambda c: F.ascii(c) - 96)
-    return F.concat(F.array(*[F.lit(0)] * ORDER), F.filter(codes, lambda c: c > 0))
-
-
-def _gram(codes: Column, i: Column) -> tuple[Column, Column]:
-    """Number of the two symbols before the last two at i, and of the last two."""
-    at = lambda k: F.get(codes, i - k)
-    return at(3) * SYMBOLS + at(2), at(1) * SYMBOLS + at(0)
+def grams(url: Column, order: int = ORDER) -> Column:
+    """The n-gram of each character of a url: its context of `order` characters (START before the first) and itself."""
+    padded = F.concat(F.lit(START * order), url)
+    return F.transform(F.sequence(F.lit(1), F.char_length(url)), lambda i: F.substring(padded, i, F.lit(order + 1)))
 
 
-def language_models(labelled: DataFrame) -> DataFrame:
-    """One row: `ratio`, an array of arrays that has log P(last | context, accepted) - log P(..., rejected).
+def gram_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, ratio) of counts (gram, n, good, bad): log P(last | context, accepted) - log P(last | context, rejected).
 
-    labelled: codes, accepted. All its positions are counted. P is smoothed by Witten-Bell over the
-    orders 0 to ORDER down to 1/32; a context seen less than LEAST_SEEN times gives way to the next
-    shorter one (the variable order). The tables are bounded by 32^2 to 32^4 entries, whatever the
-    number of urls, so the small ones are broadcast.
+    good and bad count the gram in the accepted and the rejected urls that the models learn from. P is smoothed by
+    Witten-Bell over the orders 0 to `order`, down to FLOOR; a context seen less than LEAST_SEEN times gives
+    way to the next shorter one (the variable order). Every table has at most one row for each distinct gram;
+    the joins are by a gram's suffix or context, which at most as many rows share as there are characters.
+    """
+    sides = ("good", "bad")
+    levels = [counts]
+    for k in range(order, 0, -1):
+        shorter = levels[0].groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(*[F.sum(s).alias(s) for s in sides])
+        levels.insert(0, written(shorter, "grams"))
+
+    def level(df: DataFrame, k: int, lower: DataFrame | None) -> DataFrame:
+        df = df.withColumn("context", F.left("gram", F.lit(k)))
+        facts = [f(s).alias(f"{s}_{name}") for s in sides for f, name in ((F.sum, "seen"), (lambda s: F.count_if(F.col(s) > 0), "kinds"))]
+        df = df.join(df.groupBy("context").agg(*facts), "context")
+        if lower is None:
+            df = df.withColumns({f"{s}_lower": F.lit(FLOOR) for s in sides})
+        else:
+            lower = lower.select(F.col("gram").alias("suffix"), *[F.col(f"{s}_p").alias(f"{s}_lower") for s in sides])
+            df = df.withColumn("suffix", F.right("gram", F.lit(k))).join(lower, "suffix")
+        smooth = lambda s: (F.col(s) + F.col(f"{s}_kinds") * F.col(f"{s}_lower")) / (F.col(f"{s}_seen") + F.col(f"{s}_kinds"))
+        df = df.withColumns({f"{s}_p": F.when(F.col(f"{s}_seen") >= LEAST_SEEN, smooth(s)).otherwise(F.col(f"{s}_lower")) for s in sides})
+        return df.select(*levels[k].columns, *[f"{s}_p" for s in sides])
+
+    lower = None
+    for k, df in enumerate(levels):
+        lower = level(df, k, lower)
+    return lower.select("gram", "n", (F.ln("good_p") - F.ln("bad_p")).alias("ratio"))
+
+
+def url_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """(url_id, score): length-normalised log-likelihood difference of urls (url_id, url, n, accepted).
+
+    url_id is unique; n urls are that one; accepted is null for those that the models don't learn from. The
+    positions of all urls meet the table of grams; grams that very many positions have are broadcast
+    (`join_counted`). An empty url has no row.
     """
-    pos = labelled.select("accepted", "codes", F.explode(F.sequence(F.lit(ORDER), F.size("codes") - 1)).alias("i"))
-    high, low = _gram(F.col("codes"), F.col("i"))
-    grams = pos.select("accepted", (high * SYMBOLS**2 + low).alias("gram")).groupBy("accepted", "gram").agg(F.count(F.lit(1)).alias("n"))
-    grams = written(grams, "grams")
-    spark = labelled.sparkSession
-    prob = spark.range(2).select((F.col("id") == 1).alias("accepted"), F.lit(0).cast("long").alias("gram"), F.lit(1.0 / SYMBOLS).alias("p"))
-    for order in range(ORDER + 1):
-        here = grams.groupBy("accepted", (F.col("gram") % SYMBOLS ** (order + 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        context = here.groupBy("accepted", F.expr(f"gram div {SYMBOLS}").alias("context")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
-        context = context.where(F.col("seen") >= LEAST_SEEN)
-        every = spark.range(2 * SYMBOLS ** (order + 1)).select((F.col("id") % 2 == 1).alias("accepted"), F.expr("id div 2").alias("gram"))
-        every = every.withColumn("context", F.expr(f"gram div {SYMBOLS}")).withColumn("shorter", F.col("gram") % SYMBOLS**order if order else F.lit(0).cast("long"))
-        every = every.join(F.broadcast(prob.withColumnRenamed("gram", "shorter")), ["accepted", "shorter"])
-        every = every.join(F.broadcast(context), ["accepted", "context"], "left").join(F.broadcast(here), ["accepted", "gram"], "left")
-        smooth = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("seen") + F.col("kinds"))
-        prob = every.select("accepted", "gram", F.coalesce(smooth, "p").alias("p"))
-        if 0 < order < ORDER:
-            prob = written(prob, "orders")
-    log = F.sum(F.when(F.col("accepted"), F.ln("p")).otherwise(-F.ln("p")))
-    table = prob.groupBy("gram").agg(log.alias("ratio"))
-    block = SYMBOLS**2
-    rows = table.groupBy(F.expr(f"gram div {block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("gram", "ratio"))).alias("cells"))
-    rows = rows.select("block", F.col("cells.ratio").alias("cells"))
-    return rows.agg(F.sort_array(F.collect_list(F.struct("block", "cells"))).alias("blocks")).select(F.col("blocks.cells").alias("ratio"))
-
-
-def likelihood(codes: Column, ratio: Column) -> Column:
-    """Length-normalised log-likelihood difference; 0 for an empty url."""
-    def step(total: Column, i: Column) -> Column:
-        high, low = _gram(codes, i)
-        return total + F.get(F.get(ratio, high), low)
-
-    length = F.size(codes) - ORDER
-    sums = F.aggregate(F.sequence(F.lit(ORDER), F.size(codes) - 1), F.lit(0.0), step)
-    return F.when(length > 0, sums / length).otherwise(0.0)
+    positions = written(urls.select("url_id", "n", "accepted", F.explode(grams(F.col("url"), order)).alias("gram")), "positions")
+    of = lambda side: F.sum(F.when(side, F.col("n")).otherwise(0))
+    counts = positions.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), of(F.col("accepted")).alias("good"), of(~F.col("accepted")).alias("bad"))
+    ratios = written(gram_ratios(written(counts, "counts"), order), "ratios")
+    scored = join_counted(positions.select("url_id", "gram"), ratios, ["gram"], "n")
+    # the sum of whole steps doesn't depend on the order of the rows
+    exact = F.sum(F.round(F.col("ratio") * 2.0**32).cast("long")) / 2.0**32
+    return scored.groupBy("url_id").agg((exact / F.count(F.lit(1))).alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row: the threshold with the least sum of both error rates on (score, accepted).
+    """One row: the threshold with the least sum of both error rates on (score, accepted, n urls).
 
     Scores fall into 2 x RANGE x STEPS bins, so the window has a bounded number of rows. Ties go to the
     threshold nearest 0. Without both kinds it is 0.
     """
     bins = F.greatest(F.lit(-RANGE * STEPS), F.least(F.lit(RANGE * STEPS), F.floor(F.col("score") * STEPS)))
-    counts = scored.groupBy(bins.alias("bin")).agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
+    counts = scored.groupBy(bins.alias("bin")).agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("bad"))
     ordered = Window.orderBy("bin")
     below, above, every = (ordered.rowsBetween(*x) for x in ((Window.unboundedPreceding, -1), (0, Window.unboundedFollowing), (Window.unboundedPreceding, Window.unboundedFollowing)))
     lost = F.try_divide(F.coalesce(F.sum("good").over(below), F.lit(0)), F.sum("good").over(every))
@@ -150,20 +150,28 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Host, path, rule and verdict of every page, and the score that decides where no rule does.
 
     Returns page_id, host, path, rule, verdict, score, threshold. A null url, or one without ://, has an
-    empty host and path, fits no rule and scores 0. Urls of any length are read whole. Repeated rows are
-    judged (and counted) each. If no rule has accepted or none has rejected a url, every score is compared
-    with 0 and an even score allows. An empty table gives an empty result. Other columns are ignored.
+    empty host and path and fits no rule; a null or empty one scores 0. Urls of any length are read whole.
+    Repeated rows are judged (and counted) each, whatever their page_id, which may be null. If no rule has
+    accepted or none has rejected a url, every score is compared with 0 and an even score allows. An empty
+    table gives an empty result. Other columns are ignored.
     """
+    rows = written(pages.select("page_id", "url"), "urls")
     host, path = url_parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("address", F.concat("host", "path"))
-    coded = rows.withColumn("codes", symbols(F.col("address")))
-    labelled = coded.where("fit is not null and address <> ''").select("codes", (F.col("fit.verdict") == "allow").alias("accepted"), (F.pmod(F.crc32(F.col("address").cast("binary")), F.lit(FOLDS)) == 0).alias("held_out"))
-    model = written(language_models(labelled.where("not held_out")), "ratio")
-    ratio = model.select("ratio").scalar()
-    score = likelihood(F.col("codes"), F.col("ratio"))
-    limit = written(threshold(labelled.where("held_out").withColumn("ratio", ratio).select("accepted", score.alias("score"))), "threshold")
-    judged = coded.withColumn("ratio", ratio).select("page_id", "host", "path", "fit", score.alias("score")).withColumn("threshold", F.coalesce(limit.select("threshold").scalar(), F.lit(0.0)))
+    distinct = rows.where("url <> ''").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    # each url becomes as many rows as it has characters: not in one task
+    distinct = distinct.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = distinct.withColumn("url_id", F.monotonically_increasing_id()).withColumn("fit", rule_of(host, path, rules))
+    distinct = written(distinct.withColumn("held_out", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(FOLDS)) == 0), "distinct")
+    accepted = F.col("fit.verdict") == "allow"
+    scores = written(url_scores(distinct.select("url_id", "url", "n", F.when(~F.col("held_out"), accepted).alias("accepted"))), "scores")
+    scored = written(distinct.join(scores, "url_id").select("url", "n", "fit", "held_out", "score"), "scored")
+    limit = threshold(scored.where("held_out and fit is not null").select("score", "n", accepted.alias("accepted")))
+    limit = F.coalesce(written(limit, "threshold").select("threshold").scalar(), F.lit(0.0))
+    scored = scored.select("url", F.col("fit").alias("found"), F.col("score").alias("found_score"), "n")
+    # a url that a large share of the pages have is no hot key
+    judged = join_counted(rows.where("url <> ''"), scored, ["url"], "n").drop("n")
+    judged = judged.unionByName(rows.where("url is null or url = ''").select("page_id", "url", *[F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in ("found", "found_score")]))
+    judged = judged.select("page_id", host.alias("host"), path.alias("path"), F.col("found").alias("fit"), F.coalesce("found_score", F.lit(0.0)).alias("score"), limit.alias("threshold"))
     by_score = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", F.col("fit.name").alias("rule"), F.coalesce("fit.verdict", by_score).alias("verdict"), "score", "threshold")
 
