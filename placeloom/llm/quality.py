@@ -7,6 +7,7 @@ held-back training rows turns a margin into a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
+from placeloom.llm.common import written
 from placeloom.llm.shingles import word_hashes
 from placeloom.llm.tokenizing import small_batches
 
@@ -27,8 +30,12 @@ RUN = 16
 SIZE = (1 << BITS) + RUN + 1
 #: Labelled rows of each class that the model is fitted on, at most.
 ROWS = 1500
-#: Of them, one in so many calibrates the score.
+#: Indicators of the fitted rows of each class, about, at most: bounds what reaches the driver (4 bytes each).
+CELLS = 4_000_000
+#: Of the rows, one in so many calibrates the score.
 CALIBRATION = 5
+#: Up to so many n-grams of a text are sorted rather than marked in a table of all.
+FEW = 2000
 #: Score from which a text counts as good.
 CUT = 0.3
 
@@ -56,16 +63,24 @@ def indicators(texts: pa.Array, orders: tuple[int, ...] = ORDERS, bits: int = BI
     # a digit counts as 0, whichever it is
     raw = np.where((raw >= 48) & (raw <= 57), np.uint8(48), raw).astype(np.uint32)
     found, bounds = [], [0]
+    seen = np.zeros(1 << bits, bool)
     for lo, hi, run in zip(offsets[:-1], offsets[1:], runs, strict=True):
         text = raw[lo:hi]
-        seen, gram = np.zeros(1 << bits, bool), np.zeros(len(text), np.uint32)
+        gram, cells = np.zeros(len(text), np.uint32), []
         for n in range(1, max(orders) + 1):
             if len(text) < n:
                 break
             gram = gram[: len(text) - n + 1] * np.uint32(257) + text[n - 1 :] + np.uint32(1)
             if n in orders:
-                seen[((gram * np.uint32(2654435761) + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - bits)).astype(np.int64)] = True
-        found.append(np.concatenate((np.flatnonzero(seen), (1 << bits) + np.arange(2, run + 1))).astype(np.int32))
+                cells.append((gram * np.uint32(2654435761) + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - bits))
+        cells = np.concatenate(cells).astype(np.int64) if cells else np.empty(0, np.int64)
+        if len(cells) < FEW:
+            cells = np.unique(cells)
+        else:
+            seen[cells] = True
+            cells = np.flatnonzero(seen)
+            seen[cells] = False
+        found.append(np.concatenate((cells, (1 << bits) + np.arange(2, run + 1))).astype(np.int32))
         bounds.append(bounds[-1] + len(found[-1]))
     return np.concatenate(found) if found else np.empty(0, np.int32), np.array(bounds)
 
@@ -162,18 +177,17 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> QualityModel:
-    """A model of labels.quality, from at most `rows` labelled documents of each class.
+def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
+    """(doc_id, quality, found): the distinct indicators of the labelled documents that a model is fitted on.
 
-    The rows are those with the least hash of their doc_id among all labelled ones that aren't held out,
-    so the sample is spread evenly and bounded; it is broadcast to find their texts, and only the
-    distinct indicators of a text come back. A doc_id with several labels has its lowest.
+    At most `rows` documents of each class: those with the least hash of their doc_id among all labelled ones
+    that aren't held out. A doc_id with several labels has its lowest, one with several texts its least
+    text, so repeats don't multiply the sample. Of each class the first in the order of the hash are taken
+    until they hold `cells` indicators (the last may go beyond). All of it is a bounded sample, spread evenly.
     """
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    key = F.xxhash64("doc_id")
-    picked = [known.where(F.col("quality") == q).orderBy(key, "doc_id").limit(rows) for q in (0, 1)]
-    sample = picked[0].union(picked[1])
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -181,9 +195,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> QualityModel:
             packed = [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "quality", "found"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, quality int, found binary").collect()
-    got.sort(key=lambda r: (hash((r.doc_id * 2654435761) & 0xFFFFFFFF), r.doc_id, r.found))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = written(texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, found binary"), "sample")
+    # at most `rows` numbers a class
+    before = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = found.select("doc_id", "quality", F.octet_length("found").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return found.join(F.broadcast(first.where(F.col("before") < 4 * cells).select("doc_id")), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cells: int = CELLS) -> QualityModel:
+    """A model of labels.quality, fitted on the bounded `sample`."""
+    got = sample(docs, labels, rows, cells).collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return QualityModel([np.frombuffer(r.found, np.int32) for r in got], np.array([r.quality == 1 for r in got], bool))
 
 
