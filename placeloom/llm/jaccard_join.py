@@ -20,15 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeloom.llm.common import written
+from placeloom.llm.common import HOT, join_counted, written
 from placeloom.llm.components import components
 from placeloom.llm.shingles import set_names, shingle_sets
 from placeloom.llm.tokenizing import small_batches
 
 #: Shingles are counted in so many buckets of their hash (bits) to put frequent ones last.
 BUCKET_BITS = 16
+#: A bucket that holds more than one in so many of all shingles is busy; at most BUSY are.
+BUSY = 4096
 #: Children of a node, and sets of a block's tile.
 FANOUT, TILE = 4, 1024
+#: Names that a task remembers so as to send equal sets once, about, at most.
+MET = 500_000
 #: Bits of a narrow bitmap: NARROW times the least size of its class, a power of two; of a wide one: WIDTH
 #: times a set's size, at most MOST_BITS.
 NARROW, WIDTH, MOST_BITS = 4, 16, 1 << 15
@@ -286,8 +290,10 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _heads(size: int, percent: int, rank: np.ndarray):
-    """(token, class, name) of the first shingles of each set, rare buckets first; equal sets once a partition.
+def _heads(size: int, percent: int, rank: np.ndarray, busy: np.ndarray):
+    """(token, class, name, busy) of the first shingles of each set, rare buckets first; equal sets once a partition.
+
+    busy: whether the shingle's bucket is. Equal sets are sent once as long as a task remembers them.
 
     A set that can link with one of the next size class is in both.
     """
@@ -295,6 +301,8 @@ def _heads(size: int, percent: int, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in small_batches(batches):
+            if len(met) > MET:
+                met.clear()
             hashes, bounds = shingle_sets(batch.column("text"), size)
             names = set_names(hashes, bounds)[0]
             n = np.diff(bounds)
@@ -310,8 +318,9 @@ def _heads(size: int, percent: int, rank: np.ndarray):
             tokens, who = hashes[order][head].view(np.int64), owner[head]
             k, up = size_class(n, percent)
             also = up[who]
-            columns = np.concatenate((tokens, tokens[also])), np.concatenate((k[who], k[who[also]] + 1)), names.view(np.int64)[np.concatenate((who, who[also]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "name"])
+            tokens = np.concatenate((tokens, tokens[also]))
+            columns = tokens, np.concatenate((k[who], k[who[also]] + 1)), names.view(np.int64)[np.concatenate((who, who[also]))], busy[tokens.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "name", "busy"])
 
     return run
 
@@ -337,8 +346,16 @@ def _members(size: int):
 
 def tiled(blocks: DataFrame, tile: int = TILE) -> DataFrame:
     """Rows (block, class, name) with their tile, once for each pair (low, high) of tiles of the block that it is in."""
-    tiles = blocks.groupBy("block", "class").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    placed = blocks.join(tiles, ["block", "class"]).withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
+    keys = ["block", "class"]
+    counts = blocks.groupBy(keys).agg(F.count(F.lit(1)).alias("rows"))
+    large = written(counts.where(F.col("rows") > tile), "tiles")
+    # the others are one tile
+    if large.count() <= HOT:
+        placed = blocks.join(F.broadcast(large), keys, "left")
+    else:
+        placed = join_counted(blocks, written(counts, "counts"), keys, "rows")
+    placed = placed.withColumn("tiles", F.ceil(F.coalesce("rows", F.lit(1)) / tile))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     return placed.select("name", "block", "class", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
 
@@ -352,8 +369,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     Repeated rows are equal documents; rows without doc_id are left out. An empty table gives an empty
     result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
 
-    The sets of a shingle and a size class meet under the smallest name among them. A block or cluster above TILE sets is cut
-    into tiles, and each pair of tiles is a group of its own, so that no task holds a whole hot block.
+    The sets of a shingle and a size class meet under the smallest name among them; for shingles of busy
+    buckets it is found by an aggregate and a join, not in one window. A block or cluster above TILE sets is
+    cut into tiles, and each pair of tiles is a group of its own, so that no task holds a whole hot block.
     Links of a group only span what they connect.
     """
     spark = docs.sparkSession
@@ -369,10 +387,17 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     marks = facts.where("n > 0").select("name", "n", "marks")
     facts = facts.where("doc_id is not null").select("doc_id", "n", "name", "twin")
     classes = written(facts.where("n > 0").groupBy("name", "twin", "n").agg(F.min("doc_id").alias("first")), "classes")
-    heads = texts.select("text").mapInArrow(_heads(size, percent, rank), "token long, class long, name long")
-    by_token = Window.partitionBy("token", "class")
-    heads = heads.withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
-    blocks = written(heads.where("block <> last").select("block", "class", "name").distinct(), "blocks")
+    busy = by_bucket * BUSY > by_bucket.sum()
+    heads = texts.select("text").mapInArrow(_heads(size, percent, rank, busy), "token long, class long, name long, busy boolean")
+    heads, keys = written(heads, "heads"), ["token", "class"]
+    by_token = Window.partitionBy(*keys)
+    quiet = heads.where("not busy").withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
+    # shingles that very many sets may have don't meet in a window
+    busy = heads.where("busy").drop("busy")
+    shared = busy.groupBy(*keys).agg(F.min("name").alias("block"), F.max("name").alias("last"), F.count(F.lit(1)).alias("rows"))
+    busy = join_counted(busy, written(shared, "busy"), keys, "rows")
+    blocks = quiet.select("block", "last", "class", "name").unionByName(busy.select("block", "last", "class", "name"))
+    blocks = written(blocks.where("block <> last").select("block", "class", "name").distinct(), "blocks")
 
     marked = tiled(blocks).join(marks.dropDuplicates(["name", "n"]), "name").repartition(*PLACE).sortWithinPartitions(*PLACE, "name")
     hopes = marked.select(*PLACE, "tile", "name", "n", "marks").mapInArrow(_hopes(percent), "a long, b long")
@@ -396,16 +421,18 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     apart by their texts alone. Texts without words are copies of nothing; of such rows only those with
     equal doc_id (not null) and text count as one.
     """
-    rows = written(docs.select("*", F.monotonically_increasing_id().alias("row_key")), "rows")
-    found = similar_components(rows.select(F.col("row_key").alias("doc_id"), "text"), size, percent)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("digest"), "row_key")
+    # the columns of docs may have any names
+    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_key")), "rows")
+    found = similar_components(rows.select(F.col("row_key").alias("doc_id"), F.col("doc.text").alias("text")), size, percent)
+    doc_id = F.col("doc.doc_id")
+    order = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.xxhash64("doc.text").alias("digest"), "row_key")
     ranked = rows.select("row_key", order.alias("order")).join(found.withColumnRenamed("doc_id", "row_key"), "row_key")
     wordless = (F.col("n_shingles") == 0) & ~F.col("order.no_id")
     # rows with words, or without id, meet in their component; the others under their id and text
     key = F.when(wordless, F.struct(F.lit(None).cast("long").alias("component"), F.col("order.doc_id").alias("doc_id"), F.col("order.digest").alias("digest")))
     key = F.coalesce(key, F.struct(F.col("component_id").alias("component"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("digest")))
     kept = ranked.groupBy(key.alias("key")).agg(F.min("order").alias("order")).select("order.row_key")
-    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row_key", "left_semi").select("doc.*")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: Epochs at most: a source's target stops at this many times its size.
 EPOCHS = 2
-#: Hex digits of the key that name a slice of a source.
-DIGITS = 3
+#: Rows of a slice, about, and hex digits of the key that name one at least and at most.
+SLICE, DIGITS, MOST_DIGITS = 50_000, 3, 6
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -54,7 +54,9 @@ def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = W
     """
     key = key if key is not None else F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *carried), "sizes")
-    base = base.withColumn("slice", F.substring("key", 1, DIGITS))
+    rows = base.count()
+    digits = next((d for d in range(DIGITS, MOST_DIGITS) if rows <= SLICE << 4 * d), MOST_DIGITS)
+    base = base.withColumn("slice", F.substring("key", 1, digits))
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     slices = written(slices, "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
@@ -79,12 +81,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     nothing of are left out. Every row counts by itself, whether its doc_id is null, repeated or unique;
     the key of a row without doc_id is that of its text, so they don't meet in one slice.
     """
-    rows = written(docs.select("*", F.monotonically_increasing_id().alias("row_key")), "rows")
+    # the columns of docs may have any names
+    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_key")), "rows")
     text = F.when(word_count(F.col("text")) > 0, F.col("text"))
     options.setdefault("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.col("row_key").cast("string"))))
-    taken = mix(rows, carried=("row_key",), **options).where("taken > 0").select("row_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    sizes = rows.select("doc.doc_id", "doc.source", "doc.text", "row_key")
+    taken = mix(sizes, carried=("row_key",), **options).where("taken > 0").select("row_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
     kept = rows.join(taken, "row_key").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return kept.select(*docs.columns)
+    return kept.select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
