@@ -24,8 +24,10 @@ from placeloom.llm.common import shared_path, written
 from placeloom.llm.tokenizing import encoder, small_batches, with_end
 
 END = 2
-#: A file is closed at this size; bounds what a reader holds.
+#: A file is closed at this size.
 FILE_BYTES = 32_000_000
+#: Files that a task of a shuffled read has open at most.
+OPEN_FILES = 64
 
 
 def masked(data: bytes) -> int:
@@ -96,31 +98,101 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = END,
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # equal and null ids are spread too
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange("doc_id", F.col("row")).sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     ordered = ordered.withColumn("part", F.spark_partition_id().cast("long"))
     return written(ordered.mapInArrow(run, "part long, number long, file string, records long, tokens long"), "manifest")
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, place, doc_id, ids) of all records; place is the record's number in its file."""
+def opened(folder: str):
+    """A function that opens a file of the folder for reading at any place."""
+    store, path = fs.FileSystem.from_uri(folder)
+    return lambda name: store.open_input_file(f"{path}/{name}")
+
+
+def record_at(source, at: int) -> tuple[int | None, np.ndarray, int]:
+    """Like read_record, from an open file; only the one record is held."""
+    head = source.read_at(12, at)
+    if len(head) < 12 or masked(head[:8]) != struct.unpack_from("<I", head, 8)[0]:
+        raise ValueError(f"the length of the record at {at} is damaged")
+    size = struct.unpack("<Q", head[:8])[0]
+    doc_id, ids, end = read_record(memoryview(head + source.read_at(size + 4, at + 12)), 0)
+    return doc_id, ids, at + end
+
+
+_FACTS = "file string, place long, doc_id long, n_tokens long, ids_crc32 long"
+
+
+def _facts(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
+
+
+def fact(file: str, place: int, doc_id: int | None, ids: np.ndarray) -> tuple:
+    return file, place, doc_id, len(ids), zlib.crc32(ids.astype("<u4"))
+
+
+def read_records(manifest: DataFrame, folder: str) -> DataFrame:
+    """(file, place, doc_id, n_tokens, ids_crc32) of all records in the manifest's files; place is the record's number in its file.
+
+    A task reads its files record by record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_file = opened(folder)
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                data, at, rows = memoryview(content.as_buffer()), 0, []
-                while at < len(data):
-                    doc_id, ids, at = read_record(data, at)
-                    rows.append((file, doc_id, ids))
-                for lo in range(0, len(rows), 4096):
-                    some = rows[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in some]), pa.array(range(lo, lo + len(some)), pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([len(r[2]) for r in some], pa.int64()), pa.array([zlib.crc32(r[2].astype("<u4")) for r in some], pa.int64())],
-                        names=["file", "place", "doc_id", "n_tokens", "ids_crc32"],
-                    )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
+            for file in batch.column("file").to_pylist():
+                at, place, rows = 0, 0, []
+                with open_file(file) as source:
+                    while at < source.size():
+                        doc_id, ids, at = record_at(source, at)
+                        rows.append(fact(file, place, doc_id, ids))
+                        place += 1
+                        if len(rows) == 4096:
+                            yield _facts(rows)
+                            rows = []
+                yield _facts(rows)
+
+    return manifest.select("file").repartition("file").mapInArrow(run, _FACTS)
+
+
+def record_index(manifest: DataFrame, folder: str) -> DataFrame:
+    """(file, place, doc_id, offset, n_tokens) of all records, from the index files alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_file = opened(folder)
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with open_file(file.replace(".rec", ".idx")) as source:
+                    rows = np.frombuffer(source.read(), "<i8").reshape(-1, 3)
+                ids = pa.array(rows[:, 0], mask=rows[:, 0] == -(1 << 63))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(np.arange(len(rows))), ids, pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["file", "place", "doc_id", "offset", "n_tokens"])
+
+    return manifest.select("file").mapInArrow(run, "file string, place long, doc_id long, offset long, n_tokens long")
+
+
+def read_shuffled(index: DataFrame, folder: str, seed: int) -> DataFrame:
+    """The records of index entries in an order shuffled by `seed`: (at, file, place, doc_id, ids), at being the place in that order.
+
+    Entries are dealt by the range of a hash; each record is then read by its offset alone. A task opens a
+    file once, and holds one record at a time.
+    """
+    key = F.xxhash64(F.lit(seed), "file", "place")
+    dealt = index.select("file", "place", "offset", key.alias("at")).repartitionByRange("at").sortWithinPartitions("at", "file", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_file, sources = opened(folder), {}
+        for batch in batches:
+            for at, file, place, offset in zip(*(batch.column(c).to_pylist() for c in ("at", "file", "place", "offset")), strict=True):
+                if file not in sources:
+                    if len(sources) == OPEN_FILES:
+                        sources.pop(next(iter(sources))).close()
+                    sources[file] = open_file(file)
+                doc_id, ids, _ = record_at(sources[file], offset)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([file]), pa.array([place]), pa.array([doc_id], pa.int64()), pa.array([ids.astype(np.int64)])], names=["at", "file", "place", "doc_id", "ids"])
+
+    return dealt.mapInArrow(run, "at long, file string, place long, doc_id long, ids array<long>")
 
 
 def token_index(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -> DataFrame:
@@ -130,12 +202,11 @@ def token_index(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -
     with the end id alone; a null doc_id comes first; repeated ids keep a record each, in no set order. An
     empty table writes no file and gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     manifest = write_records(docs, folder, vocabulary, end)
     # one row a file
     ahead = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("shift"))
-    rows = read_records(spark, folder).join(files, "file")
+    rows = read_records(manifest, folder).join(files, "file")
     inner = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("shift") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
     return rows.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
