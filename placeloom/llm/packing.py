@@ -139,7 +139,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, depth: int = DEPTH) -> DataFra
     facts = tokens.select("row", "doc_id", "n", F.posexplode("crcs").alias("k", "crc")).withColumn("start", (F.col("k") * window).cast("long"))
     facts = facts.withColumn("length", F.least(F.lit(window), F.col("n") - F.col("start")).cast("long")).drop("k")
     facts = facts.withColumn("class", F.ceil(F.col("length") / CLASS).cast("int"))
-    pieces = written(numbered(facts, ["class"], F.struct("row", "start"), [F.col("row"), F.col("start")], "number"), "pieces")
+    pieces = written(numbered(facts, ["class"], F.struct("row", "start"), [F.col("row"), F.col("start")], "number", tokens.count()), "pieces")
 
     histogram = np.zeros(classes + 1, np.int64)
     for n, count in pieces.groupBy("class").count().collect():  # at most window / CLASS rows

@@ -4,7 +4,7 @@ Documents with equal texts form an atomic group. Groups are ordered by the hash
 the smallest capacity for which a greedy walk over the ordered group sizes needs at most n shards
 is found by binary search; the shards are cut where that walk cuts them.
 
-The walk never sees all groups: the driver holds sums of 2048 ranges of the hash, and only the
+The walk never sees all groups: the driver holds sums of 4096 ranges of the hash, and only the
 ranges in which a cut can fall are looked into, split again by the next bits where they hold too
 many groups.
 """
@@ -127,7 +127,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shard and slot of every document, sizes in bytes near equal and equal texts together.
 
     Returns doc_id, size, text_crc32, law, shard, slot and grown_shard. A null text counts as an empty
-    one (size 1, crc 0). Repeated rows each get a slot. A group above a fair share gets a shard as large as
+    one (size 1, crc 0). Repeated rows each get a slot, and so do rows without doc_id. A group above a fair share gets a shard as large as
     itself, for it stays whole. Fewer groups than shards leave shards empty; an empty table gives an
     empty result. Other columns are ignored.
     """
@@ -138,7 +138,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     bounds, _ = shard_bounds(groups, shards)
     number = sum([(F.col("key") >= b).cast("int") for b in bounds], F.lit(0))
     rows = rows.withColumn("shard", number)
-    out = numbered(rows, ["shard"], F.struct("doc_id", "key"), [F.col("key"), F.col("doc_id")], "slot")
+    out = numbered(rows, ["shard"], F.struct("doc_id", "key"), [F.col("key"), F.col("doc_id")], "slot", rows.count())
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
