@@ -1,6 +1,6 @@
 """op2, op6, op9, op10 and the pipeline: packing, mixing, sharding, token records."""
 
-import json
+import hashlib
 import random
 import zlib
 
@@ -78,6 +78,14 @@ def test_packing(spark, window):
     assert packing.packed_documents(docs(spark, []).limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "other", "s"), (None, "a b c", "s"), (None, None, "s")]
+    pieces = packing.packed_documents(docs(spark, rows), VOCABULARY, 64).collect()
+    sizes = [len(ids) for _, ids in whole(rows, packing.END)]
+    assert sum(p.length for p in pieces) == sum(sizes)
+    assert sorted((p.doc_id or 0, p.doc_tokens) for p in pieces if p.start == 0) == sorted((r[0] or 0, n) for r, n in zip(rows, sizes, strict=True))
+
+
 def test_least_squares_and_plan():
     columns = [{1: 2}, {1: 1, 2: 1}]
     assert packing.least_squares(columns, np.array([0.0, 30.0, 10.0])) == pytest.approx([10, 10], abs=1)
@@ -113,6 +121,8 @@ def test_mixing(spark):
         assert taken[s] == int(target[s] + 1e-9) and all(found[i].source_size == sums[s] for i, _, x in rows if x == s)
     assert mixing.mix(docs(spark, []).limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(docs(spark, [(1, None, "a"), (2, "", None)])).collect()} == {0}
+    again = mixing.mix(docs(spark, [(1, "a b", "a"), (1, "a b", "a"), (None, "c", "a"), (None, "c", "a")])).collect()
+    assert len(again) == 4 and sum(r.taken for r in again) == 9 and all(r.taken <= 2 * r.size for r in again)
 
 
 def test_mixed_documents(spark):
@@ -154,6 +164,9 @@ def test_sharding(spark, looked_at, monkeypatch):
         loads[r.shard] = loads.get(r.shard, 0) + r.size
     assert max(loads.values()) == brute_capacity(ordered, 8)
     assert sharding.shard(docs(spark, []).limit(0)).count() == 0
+    again = sharding.shard(docs(spark, [(1, "a", "s"), (1, "a", "s"), (None, "a", "s"), (None, None, "s")])).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in again) == [(0, 1), (0, 2), (1, 2), (1, 2)]
+    assert sorted(r.slot for r in again if r.size == 2) == [0, 1, 2]
 
 
 def test_shard_bounds_option(spark):
@@ -194,23 +207,116 @@ def test_record_format_and_index(spark, tmp_path):
                     where = token_records.read_record(memoryview(bytes(broken)), where)[2]
 
 
-def test_pipeline(spark):
-    pieces = corpus_pipeline.run(spark, SF).collect()
-    documents = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = quality.good_documents(documents, spark.read.parquet(f"{SF}/labels.parquet"))
-    single = jaccard_join.one_of_each(kept)
-    mixed = mixing.mixed_documents(single)
-    assert kept.columns == single.columns == mixed.columns == documents.columns
-    counts = {}
-    for r in mixed.collect():
-        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
-    tokens = {}
+def test_records_are_read_in_shuffled_order(spark):
+    folder = common.shared_path(spark, "shuffled")
+    rows = EDGES + [(None, "no id", "s"), (6, "again", "s")] + [(100 + i, f"text {i}", "s") for i in range(40)]
+    manifest = token_records.write_records(docs(spark, rows), folder, VOCABULARY, file_bytes=200)
+    index = token_records.record_index(manifest, folder)
+    orders = []
+    for seed in (1, 2):
+        found = token_records.read_shuffled(index, folder, seed).collect()
+        assert [r.at for r in found] == sorted(r.at for r in found)
+        key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+        assert sorted(((r.doc_id, r.ids) for r in found), key=key) == sorted(whole(rows, token_records.END), key=key)
+        orders.append([(r.file, r.place) for r in found])
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1]) and orders[0] != sorted(orders[0])
+    again = token_records.read_shuffled(index, folder, 1).collect()
+    assert [(r.file, r.place) for r in again] == orders[0]
+
+
+def shingle_components(texts, size, percent):
+    """Groups (lists of places) of texts that links of shingle sets connect, all pairs compared; texts without words alone."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in t or "")
+    words = [[w for w in low(t).split(" ") if w] for t in texts]
+    sets = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set() for w in words]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return {g: [i for i in range(len(texts)) if group[i] == g] for g in group}, [len(w) for w in words]
+
+
+def brute_pipeline(rows, model):
+    """How often the mix holds each (doc_id, text, source) of rows, by plain loops."""
+    kept = [r for r in rows if model.scores(pa.array([r[1]], pa.string()))[0] >= quality.CUT]
+    groups, _ = shingle_components([r[1] for r in kept], 5, 80)
+    single = [min((kept[i] for i in g), key=lambda r: r[0]) for g in groups.values()]
+    _, sizes = shingle_components([r[1] for r in single], 5, 80)
+    by_source = {}
+    for r, n in zip(single, sizes, strict=True):
+        by_source.setdefault(r[2], []).append((hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], n))
+    order = sorted(s for s in by_source if s is not None) + [None] * (None in by_source)
+    total = {s: sum(n for *_, n in by_source[s]) for s in order}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), mixing.SHARE * sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * total[s] < level * weight[s]}
+        target |= {s: 2.0 * total[s] for s in full} if full else {s: level * weight[s] for s in open_}
+        left -= sum(2 * total[s] for s in full)
+        open_ = open_ - full if full else set()
+    copies = {}
+    for s in order:
+        budget = int(target[s] + 1e-6)
+        for _, doc_id, n in sorted(by_source[s]) * 2:
+            if budget > 0 and n:
+                copies[doc_id] = copies.get(doc_id, 0) + 1
+                budget -= n
+    return copies
+
+
+def packed_copies(pieces):
+    """How often each doc_id lies in the sequences whole, from pieces whose ids are checked against its tokens."""
+    starts = {}
     for p in pieces:
-        tokens[p.doc_id] = tokens.get(p.doc_id, 0) + p.length
-    sizes = {p.doc_id: p.doc_tokens for p in pieces}
-    assert tokens == {i: counts[i] * sizes[i] for i in counts}
+        starts.setdefault((p.doc_id, p.doc_tokens), {}).setdefault(p.start, []).append(p)
+    copies = {}
+    for (doc_id, n), at in starts.items():
+        tokens = sum(p.length for ps in at.values() for p in ps)
+        assert tokens % n == 0
+        copies[doc_id] = copies.get(doc_id, 0) + tokens // n
+    places = {}
+    for p in pieces:
+        places.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    return copies
+
+
+def test_pipeline_is_brute_force(spark):
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text, r.source) for r in documents.orderBy("doc_id").collect()]
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert packed_copies(pieces) == brute_pipeline(rows, quality.fit(documents, labels))
+    encode = tokenizing.TextEncoder(VOCABULARY).tokenizer.encode
+    text = {i: t for i, t, _ in rows}
+    for p in pieces[::7]:
+        ids = encode(text[p.doc_id] or "", add_special_tokens=False).ids + [packing.END]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[p.start : p.start + p.length])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
-    json.dumps(sorted(sizes))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    ids = [(None, text(0)), (None, text(0)), (5, text(1)), (5, text(2)), (6, text(3)), (6, text(3)), (7, None), (8, ""), (9, " \n "), (10, "one"), (11, "word " * 30_000)]
+    rows = spark.createDataFrame([(i, t, None if k % 3 else "s", k, "clash", 0.5) for k, (i, t) in enumerate(ids)], "doc_id long, text string, source string, size long, row_key string, score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, kept in (("rows", rows), ("none", rows.limit(0))):
+        kept.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/rows")
+        assert docs.columns == rows.columns
+    # without labels every document stays; of copies one; the mix takes no text without words
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    assert set(packed_copies(pieces)) == {None, 5, 6, 10, 11} and packed_copies(pieces)[5] >= 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_pipeline_stages_keep_rows_by_their_text(spark):

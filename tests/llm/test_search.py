@@ -1,6 +1,7 @@
 """op5, op7, op8: top-k, SpotSigs, Jaccard join."""
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,38 @@ def test_topk_brute_force(spark, k):
     assert found == sorted(want)
 
 
+def brute_topk(rows, k):
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(rows) if n != at)[:k]
+            want += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("size", [1.0, 2e5, 1e9, 1e12])
+def test_topk_repeated_ids_and_large_values(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in (rng.normal(size=64) * size).round(2)]) for i in rng.integers(0, 30, 50)]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 5, tile=16, block=4).select("query_id", "rank", "vec_id", "score").collect())
+    assert found == brute_topk([(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows], 5)
+
+
+def test_topk_prunes_without_loss():
+    rng = np.random.default_rng(6)
+    vectors = np.floor(64 * rng.normal(size=(6000, 48)) * np.geomspace(4, 0.25, 48))
+    todo = topk.Search(np.arange(40), vectors[:40], 10)
+    for lo in range(0, 6000, 1000):
+        todo.tile(np.arange(lo, lo + 1000), np.arange(lo, lo + 1000), np.ascontiguousarray(vectors[lo : lo + 1000].T))
+    assert todo.summed < 0.7 * todo.pairs
+    every = vectors[:40] @ vectors.T
+    for i, scores, ids in todo.found():
+        want = sorted((-every[i, j], j) for j in range(6000) if j != i)[:10]
+        assert [(-s, j) for s, j in zip(scores, ids, strict=True)] == want
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
@@ -58,20 +91,66 @@ def test_edited_documents(spark):
     one = spotsigs.edited_documents(docs(spark, texts[:1])).collect()
     assert one[0].near_next == 1.0
     assert spotsigs.edited_documents(docs(spark, []).limit(0)).count() == 0
-    twice = spotsigs.edited_documents(docs(spark, [(1, "b"), (1, "a"), (2, "c"), (None, "d")])).collect()
-    assert sorted(r.doc_id for r in twice) == [1, 2]
+
+
+def brute_signatures(text, chain=spotsigs.CHAIN):
+    words = [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", text.lower()) if w]
+    anchors, found = set(spotsigs.ANCHORS), set()
+    for i, w in enumerate(words):
+        if w in anchors:
+            after = tuple([x for x in words[i + 1 :] if x not in anchors][:chain])
+            if after:
+                found.add((w, *after))
+    return found or {("whole", 0, text), ("whole", 1, text)}
+
+
+def check_edited(rows, found):
+    """rows: (doc_id, text) in descending order of the ids; found: rows of edited_documents in that order."""
+    prints = {}
+    for at, ((doc_id, text), r) in enumerate(zip(rows, found, strict=True)):
+        follow = rows[(at + 1) % len(rows)][1]
+        n = len(text)
+        edited = text[: n - n // 2] + follow[: n // 2]
+        own, changed, after = (brute_signatures(t) for t in (text, edited, follow))
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (doc_id, n, hashlib.sha256(edited.encode()).hexdigest())
+        assert r.n_signatures == len(own)
+        for other, likeness in ((changed, r.near_edited), (after, r.near_next)):
+            want = len(own & other) / len(own | other)
+            assert likeness == pytest.approx(want if want >= spotsigs.LEAST_LIKENESS else 0.0, abs=1e-12)
+        for sigs, name in ((own, r.fingerprint), (changed, r.edited_fingerprint)):
+            assert prints.setdefault(frozenset(sigs), name) == name
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_edited_documents_are_brute_force(spark):
+    some = spark.read.parquet(f"{SF}/documents.parquet")
+    found = sorted(spotsigs.edited_documents(some).collect(), key=lambda r: -r.doc_id)
+    check_edited([(r.doc_id, r.text or "") for r in some.orderBy(F.desc("doc_id")).collect()], found)
+
+
+def test_edited_documents_of_repeated_and_missing_ids(spark):
+    twice = spotsigs.edited_documents(docs(spark, [(1, "b"), (1, "a"), (2, "c of the d"), (None, "d"), (None, None), (2, "c of the d")])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in twice) == [(False, 1, 1), (False, 1, 1), (False, 2, 10), (False, 2, 10), (True, 0, 0), (True, 0, 1)]
+    # of the two equal rows one is the other's next
+    assert 1.0 in [r.near_next for r in twice if r.doc_id == 2]
 
 
 def test_spot_signatures_by_hand(spark):
-    df = spotsigs.with_signatures(docs(spark, [(1, "The red fox of the big old village. An end"), (2, "none here")]), "text", "sigs", anchors=["the", "of", "an"], chain=2)
+    df = spotsigs.with_signatures(docs(spark, [(1, "The red fox of the big old village. An end"), (2, "none here"), (3, "of the")]), "text", "sigs", anchors=["the", "of", "an"], chain=2)
     sigs = {r.doc_id: r.sigs for r in df.collect()}
-    want = spark.range(1).select(F.array_sort(F.array(F.hash(F.lit("the "), F.lit("red fox")), F.hash(F.lit("of the "), F.lit("big old")), F.hash(F.lit("an "), F.lit("end"))))).first()[0]
-    assert sigs[1] == want and len(sigs[2]) == 1
+    spots = [("the", "red", "fox"), ("of", "big", "old"), ("the", "big", "old"), ("an", "end", None)]
+    want = spark.range(1).select(F.array_sort(F.array(*[F.xxhash64(*[F.lit(x) for x in spot]) for spot in spots]))).first()[0]
+    assert sigs[1] == want and len(sigs[2]) == len(sigs[3]) == 2
 
 
-def test_spotsigs_pairs_are_brute_force(spark):
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_spotsigs_pairs_are_brute_force(spark, tile):
     some = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {(r.left, r.right) for r in spotsigs.near_pairs(some, 0.6).collect()}
+    hot = [(1000 + i, f"The shared start of a passage that is everywhere, and w{i} for the end of it. A tail on the text with a mark") for i in range(12)]
+    some = some.select("doc_id", "text").union(spark.createDataFrame(hot, "doc_id long, text string"))
+    pairs = spotsigs.near_pairs(some, 0.6, tile).collect()
+    found = {(r.left, r.right) for r in pairs}
+    assert len(found) == len(pairs) and spotsigs.near_pairs(some.limit(0)).count() == 0
     sets = {}
     for r in spotsigs.with_signatures(some, "text", "sigs").withColumn("fp", spotsigs.fingerprint(F.col("sigs"))).collect():
         sets[r.fp] = set(r.sigs)
