@@ -1,7 +1,14 @@
 """The corpus pipeline: what is kept of `documents`, mixed and packed for training.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is
-written as Parquet and read again as the next one's docs. All but the last keep the columns of docs.
+written as Parquet and read again as the next one's docs. All but the last keep the columns of docs,
+whatever their names.
+
+Null and empty texts, or without words: the classifier scores them like any, the join takes them as copies
+of nothing (of those with one doc_id one stays), the mix takes no word of them, so they end there. Rows
+without doc_id and different texts under one doc_id count by themselves, equal rows are copies. Ties: of a
+group of copies the smallest doc_id stays, null last, then the least hash of the text. Without labels every
+score is about 1/2, so no document is rejected. Empty tables give an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
