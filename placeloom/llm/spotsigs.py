@@ -150,18 +150,18 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     length = F.char_length("text").alias("n")
-    links = written(following(rows.select(F.col("doc_id").alias("key"), length), ["key"]), "links")
+    keyed = rows.select(F.col("doc_id").alias("key"), "text")
+    links = written(following(keyed.select("key", F.col("key").alias("doc_id"), length), ["key"]), "links")
     if links.agg(F.max("twin")).first()[0]:
         rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
+        keyed = rows.select("key", "text")
         links = written(following(rows.select("doc_id", F.xxhash64("text").alias("digest"), "key", length), ["doc_id", "digest", "key"]), "links")
-    else:
-        rows = rows.withColumn("key", F.col("doc_id"))
     # the next document gives the head of its text and its set to the one before it; both joins have the
-    # texts by key, so that Spark shuffles them once
-    links = links.select(F.col("key").alias("of"), "n", "after")
-    heads = with_signatures(rows.join(links, rows.key == links.after), "text", "next_sigs")
-    heads = heads.select("of", F.expr("substring(text, 1, int(n div 2))").alias("head"), "next_sigs")
-    both = rows.join(heads, rows.key == heads["of"]).drop("of", "key").withColumn("n_chars", F.char_length("text").cast("long"))
+    # texts by key, and nothing else, so that Spark shuffles them once
+    links = links.select(F.col("key").alias("of"), "doc_id", "n", "after")
+    heads = with_signatures(keyed.join(links, keyed.key == links.after), "text", "next_sigs")
+    heads = heads.select("of", "doc_id", F.expr("substring(text, 1, int(n div 2))").alias("head"), "next_sigs")
+    both = keyed.join(heads, keyed.key == heads["of"]).drop("of", "key").withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), F.col("head")))
     both = with_signatures(with_signatures(both, "text", "sigs"), "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
