@@ -121,40 +121,40 @@ def record_at(source, at: int) -> tuple[int | None, np.ndarray, int]:
     return doc_id, ids, at + end
 
 
-_FACTS = "file string, place long, doc_id long, n_tokens long, ids_crc32 long"
+_FACTS = "file string, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _facts(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
-
-
-def fact(file: str, place: int, doc_id: int | None, ids: np.ndarray) -> tuple:
-    return file, place, doc_id, len(ids), zlib.crc32(ids.astype("<u4"))
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 5), strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["file", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """(file, place, doc_id, n_tokens, ids_crc32) of all records in the manifest's files; place is the record's number in its file.
+    """(file, place, doc_id, start, n_tokens, ids_crc32) of all records in the manifest's files.
 
-    A task reads its files record by record.
+    manifest: file, and shift, the ids in all files before it. place is the record's number in its file, start
+    counts the ids before it. A task reads its files record by record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file = opened(folder)
         for batch in batches:
-            for file in batch.column("file").to_pylist():
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("shift").to_pylist(), strict=True):
                 at, place, rows = 0, 0, []
                 with open_file(file) as source:
                     while at < source.size():
                         doc_id, ids, at = record_at(source, at)
-                        rows.append(fact(file, place, doc_id, ids))
-                        place += 1
+                        rows.append((file, place, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
+                        place, start = place + 1, start + len(ids)
                         if len(rows) == 4096:
                             yield _facts(rows)
                             rows = []
                 yield _facts(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, _FACTS)
+    # a stated number, for rows as small as these would be gathered in one task
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file", "shift").repartition(parts).mapInArrow(run, _FACTS)
 
 
 def record_index(manifest: DataFrame, folder: str) -> DataFrame:
@@ -206,10 +206,7 @@ def token_index(docs: DataFrame, folder: str, vocabulary: str, end: int = END) -
     # one row a file
     ahead = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("shift"))
-    rows = read_records(manifest, folder).join(files, "file")
-    inner = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("shift") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
-    return rows.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
+    return read_records(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
