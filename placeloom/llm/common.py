@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,7 +48,31 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read again."""
+    for table in tables:
+        store, path = fs.FileSystem.from_uri(table.written_to)
+        store.delete_dir(path)
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id, text) with the columns no_id, id_or_none and digest before its own, packed in `doc`.
+
+    They tell rows apart by doc_id and text (by its 64-bit hash), and none is null, so they can be joined on.
+    """
+    missing = F.col("doc_id").isNull()
+    return docs.select(
+        missing.alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id_or_none"),
+        F.xxhash64("text").alias("digest"), F.struct(*docs.columns).alias("doc"),
+    )
+
+
+ROW_KEYS = ["no_id", "id_or_none", "digest"]
 
 
 def ascii_lower(c: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeloom.llm.common import HOT, join_counted, written
+from placeloom.llm.common import HOT, ROW_KEYS, WORD, dropped, join_counted, row_keys, written
 from placeloom.llm.components import components
 from placeloom.llm.shingles import set_names, shingle_sets
 from placeloom.llm.tokenizing import small_batches
@@ -393,10 +393,10 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     by_token = Window.partitionBy(*keys)
     quiet = heads.where("not busy").withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
     # shingles that very many sets may have don't meet in a window
-    busy = heads.where("busy").drop("busy")
-    shared = busy.groupBy(*keys).agg(F.min("name").alias("block"), F.max("name").alias("last"), F.count(F.lit(1)).alias("rows"))
-    busy = join_counted(busy, written(shared, "busy"), keys, "rows")
-    blocks = quiet.select("block", "last", "class", "name").unionByName(busy.select("block", "last", "class", "name"))
+    loud = heads.where("busy").drop("busy")
+    shared = loud.groupBy(*keys).agg(F.min("name").alias("block"), F.max("name").alias("last"), F.count(F.lit(1)).alias("rows"))
+    loud = join_counted(loud, written(shared, "busy"), keys, "rows")
+    blocks = quiet.select("block", "last", "class", "name").unionByName(loud.select("block", "last", "class", "name"))
     blocks = written(blocks.where("block <> last").select("block", "class", "name").distinct(), "blocks")
 
     marked = tiled(blocks).join(marks.dropDuplicates(["name", "n"]), "name").repartition(*PLACE).sortWithinPartitions(*PLACE, "name")
@@ -408,6 +408,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     members = members.repartition(*PLACE).sortWithinPartitions(*PLACE, "doc_id")
     edges = members.mapInArrow(_links(percent), "a long, b long")
     found = components(edges)
+    dropped(heads, blocks)
     joined = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     joined = joined.select("name", "twin", F.col("n").alias("of"), F.coalesce("component", "first").alias("component"))
     same = (facts.name == joined.name) & (facts.twin == joined.twin) & (facts.n == joined.of)
@@ -418,21 +419,27 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest doc_id, null ids last, then the smallest hash of its text.
 
     Every row takes part by itself, so rows without doc_id and different texts under one doc_id are told
-    apart by their texts alone. Texts without words are copies of nothing; of such rows only those with
+    apart by their texts alone (by 64-bit hashes); of equal rows with different other columns the one with the
+    least hash of them stays. Texts without words are copies of nothing; of such rows only those with
     equal doc_id (not null) and text count as one.
     """
-    # the columns of docs may have any names
-    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_key")), "rows")
-    found = similar_components(rows.select(F.col("row_key").alias("doc_id"), F.col("doc.text").alias("text")), size, percent)
-    doc_id = F.col("doc.doc_id")
-    order = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.xxhash64("doc.text").alias("digest"), "row_key")
-    ranked = rows.select("row_key", order.alias("order")).join(found.withColumnRenamed("doc_id", "row_key"), "row_key")
-    wordless = (F.col("n_shingles") == 0) & ~F.col("order.no_id")
-    # rows with words, or without id, meet in their component; the others under their id and text
-    key = F.when(wordless, F.struct(F.lit(None).cast("long").alias("component"), F.col("order.doc_id").alias("doc_id"), F.col("order.digest").alias("digest")))
-    key = F.coalesce(key, F.struct(F.col("component_id").alias("component"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("digest")))
-    kept = ranked.groupBy(key.alias("key")).agg(F.min("order").alias("order")).select("order.row_key")
-    return rows.join(kept, "row_key", "left_semi").select("doc.*")
+    rows = row_keys(docs)
+    facts = written(rows.select(*ROW_KEYS, (~F.coalesce(F.col("doc.text").rlike(WORD), F.lit(False))).alias("wordless")), "keys")
+    # equal texts are one node, so nothing but the texts is read again
+    found = similar_components(docs.select(F.xxhash64("text").alias("doc_id"), "text"), size, percent)
+    found = found.groupBy(F.col("doc_id").alias("digest")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    ranked = join_counted(facts.where("not wordless"), written(found, "found"), ["digest"], "n")
+    first = ranked.groupBy("component").agg(F.min(F.struct(*ROW_KEYS)).alias("first")).select("first.*")
+    first = first.unionByName(facts.where("wordless and not no_id").select(*ROW_KEYS).distinct())
+    # of equal rows one stays: the rare texts that have some are gathered, those without doc_id too
+    counts = facts.groupBy(*ROW_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    kept = written(counts.join(first, ROW_KEYS), "kept")
+    single = join_counted(rows, kept.where("n = 1"), ROW_KEYS, "n").select("doc.*")
+    several = join_counted(rows, kept.where("n > 1"), ROW_KEYS, "n")
+    spelled = F.xxhash64(F.to_json("doc"))
+    several = several.groupBy(*ROW_KEYS).agg(F.min_by("doc", spelled).alias("doc")).select("doc.*")
+    loose = docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return single.unionByName(several).unionByName(loose)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeloom.llm.common import running_sums, word_count, written
+from placeloom.llm.common import ROW_KEYS, row_keys, running_sums, word_count, written
 
 #: Weights of the sources by code point, again from the start after the last.
 WEIGHTS = (3, 1, 2)
@@ -50,10 +50,12 @@ def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = W
     document at the cut gives only the words up to it, so a source's sum is its target rounded down.
     Nulls: a null text has size 0, null sources are one source (the last), a null doc_id sorts as an
     empty key. Repeated rows count each; ties of the key go by doc_id, then size. An empty table gives
-    an empty result. The columns `carried` are returned too, and break ties last; others are ignored.
+    an empty result. The columns `carried` are returned too, and break ties last; others are ignored. A table
+    without text gives the number of words as `size`.
     """
     key = key if key is not None else F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *carried), "sizes")
+    size = F.col("size") if "text" not in docs.columns else word_count(F.col("text"))
+    base = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *carried), "sizes")
     rows = base.count()
     digits = next((d for d in range(DIGITS, MOST_DIGITS) if rows <= SLICE << 4 * d), MOST_DIGITS)
     base = base.withColumn("slice", F.substring("key", 1, digits))
@@ -81,13 +83,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     nothing of are left out. Every row counts by itself, whether its doc_id is null, repeated or unique;
     the key of a row without doc_id is that of its text, so they don't meet in one slice.
     """
-    # the columns of docs may have any names
-    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_key")), "rows")
-    text = F.when(word_count(F.col("text")) > 0, F.col("text"))
-    options.setdefault("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.col("row_key").cast("string"))))
-    sizes = rows.select("doc.doc_id", "doc.source", "doc.text", "row_key")
-    taken = mix(sizes, carried=("row_key",), **options).where("taken > 0").select("row_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    kept = rows.join(taken, "row_key").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = row_keys(docs)
+    light = written(rows.select(*ROW_KEYS, F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size")).where("size > 0"), "keys")
+    again = light.groupBy(*ROW_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        # equal rows need numbers of their own, so the whole is written
+        rows = written(rows.withColumn("digest", F.monotonically_increasing_id()), "rows")
+        light = written(rows.select(*ROW_KEYS, F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size")), "keys")
+    options.setdefault("key", F.md5(F.when(~F.col("no_id"), F.col("doc_id").cast("string")).otherwise(F.col("digest").cast("string"))))
+    taken = mix(light, carried=tuple(ROW_KEYS), **options).where("taken > 0")
+    taken = taken.select(*ROW_KEYS, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    kept = rows.join(taken, ROW_KEYS).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return kept.select("doc.*")
 
 
