@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS = 6_371_000.0
@@ -22,18 +22,39 @@ def lat_cell(lat: Column, metres: float) -> Column:
     return F.floor(lat / (metres / DEGREE)).cast("long")
 
 
-def lon_cell(lon: Column, row: Column, metres: float) -> Column:
-    """Cell of a longitude in a row of latitude cells; cells widen towards the poles.
+def columns_of(row: Column, metres: float) -> Column:
+    """How many cells go round the globe in a row of latitude cells: fewer towards the poles, one beyond 89 degrees.
 
-    The width is that at the row's edge farther from the equator, so that it is `metres` at least
-    everywhere in the row.
+    All cells of a row have one width, which is `metres` at least at the row's edge farther from the equator.
     """
     height = metres / DEGREE
-    edge = F.least(F.greatest(F.abs(row * height), F.abs((row + 1) * height)), F.lit(89.0))
-    return F.floor(lon / (metres / DEGREE / F.cos(F.radians(edge)))).cast("long")
+    edge = F.greatest(F.abs(row * height), F.abs((row + 1) * height))
+    width = metres / DEGREE / F.cos(F.radians(F.least(edge, F.lit(89.0))))
+    return F.when(edge >= 89, 1).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+
+def lon_cell(lon: Column, row: Column, metres: float) -> Column:
+    """Cell of a longitude in a row of latitude cells, from 0 at 180 degrees west; 180 degrees east is that again."""
+    n = columns_of(row, metres)
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1).cast("long")
 
 
 def near_cells(lat: Column, lon: Column, metres: float) -> Column:
-    """(row, column) of the cells that hold all points within `metres`: three rows, three columns in each."""
-    rows = F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: lat_cell(lat, metres) + k)
-    return F.flatten(F.transform(rows, lambda r: F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.struct(r.alias("row"), (lon_cell(lon, r, metres) + k).alias("column")))))
+    """(row, column) of the cells that hold all points within `metres`: three rows, up to three columns in each, round the globe."""
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    rows = F.transform(around, lambda k: lat_cell(lat, metres) + k)
+    beside = lambda r: F.array_distinct(F.transform(around, lambda k: F.pmod(lon_cell(lon, r, metres) + k, columns_of(r, metres))))
+    return F.flatten(F.transform(rows, lambda r: F.transform(beside(r), lambda c: F.struct(r.alias("row"), c.alias("column")))))
+
+
+def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float) -> DataFrame:
+    """(left_id, right_id, metres) of points within a distance, from (id, lat, lon) on both sides.
+
+    A range join as an equi-join on grid cells: the left points are put into the nine cells around them,
+    the exact distance is checked afterwards.
+    """
+    placed = right.where("lat is not null and lon is not null").withColumn("row", lat_cell(F.col("lat"), metres))
+    placed = placed.select(F.col(right_id), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", lon_cell(F.col("lon"), F.col("row"), metres).alias("column"))
+    looking = left.where("lat is not null and lon is not null").select(left_id, "lat", "lon", F.inline(near_cells(F.col("lat"), F.col("lon"), metres)))
+    met = looking.join(placed, ["row", "column"]).withColumn("metres", metres_between(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    return met.where(F.col("metres") <= metres).select(left_id, right_id, "metres")

@@ -5,6 +5,7 @@ Vectorised helpers over Arrow batches with the standard library's parser; the re
 
 from __future__ import annotations
 
+import html as entities
 import json
 import re
 from html.parser import HTMLParser
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 _SILENT = {"script", "style", "noscript"}
 # JSON-LD types of a place or organisation, and words of links to an official site.
 PLACE_TYPES = {"Place", "Organization", "PlaceOfWorship", "Mosque", "LocalBusiness", "CivicStructure", "NGO"}
+LABELLED_HOSTS = ("islamicfinder.org", "islamicfinder.com")
+LABELLED_LINK = re.compile(r"""website[:\s]*(?:<(?!a\s)[^>]*>\s*)*<a\s[^>]*href=["'](https?://[^"']+)""", re.IGNORECASE)
 LINK_WORDS = ("official website", "official site", "visit website", "website", "homepage")
 
 
@@ -146,9 +149,14 @@ def official_site(url: str | None, html: str | None) -> str | None:
             if set([kinds] if isinstance(kinds, str) else kinds or []) & PLACE_TYPES:
                 entity = item.get("mainEntity")
                 found = found or item.get("url") or (entity.get("url") if isinstance(entity, dict) else None)
+    host = re.sub(r"^www\.", "", (urlsplit(url or "").hostname or "").lower())
     for href, text in parser.links:
         if found is None and href and any(w in text.lower() for w in LINK_WORDS):
             found = urljoin(url or "", href)
+    if found is None and host in LABELLED_HOSTS:
+        # these sites name the link beside it
+        labelled = LABELLED_LINK.search(html or "")
+        found = labelled and labelled.group(1)
     if not isinstance(found, str):
         return None
     parts, own = urlsplit(found), urlsplit(url or "")
@@ -156,6 +164,11 @@ def official_site(url: str | None, html: str | None) -> str | None:
     return found if parts.scheme in ("http", "https") and parts.hostname and bare(parts.hostname) != bare(own.hostname) else None
 
 
+def unescaped(text: Column) -> Column:
+    """text with its character references resolved; no-break spaces are spaces."""
+    return F.pandas_udf(lambda s: s.map(lambda x: x and entities.unescape(x).replace("\u00a0", " ")), "string")(text)
+
+
 def parsed_tables(html: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(tables_of), "array<array<array<string>>>")(html)
 

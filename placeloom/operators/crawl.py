@@ -38,7 +38,18 @@ def match_scripts(scripts: DataFrame, sources: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = sources.where("host is not null").select("source_id", "place_name", F.explode(suffixes).alias("domain"))
     met = rest.join(hosts, "domain").where(F.contains(F.lower("place_name"), F.lower("name_part"))).select("key", "source_id", F.lit("domain").alias("how"))
-    return hinted.union(met).withColumn("matches", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    found = hinted.union(met)
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("matches"))
+    # a script that matches nothing stays, without a source
+    return scripts.select("key").distinct().join(found, "key", "left").join(counts, "key", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+
+
+def missing_scripts(assignments: DataFrame, scripts: DataFrame) -> DataFrame:
+    """assignments (source_id, key, status) with `status` missing_script where no script has their key; disabled ones stay so."""
+    known = scripts.select("key").distinct().withColumn("known", F.lit(True))
+    gone = F.col("known").isNull() & (F.col("status") != "disabled")
+    joined = assignments.join(known, "key", "left")
+    return joined.select(*[F.when(gone, "missing_script").otherwise(F.col("status")).alias(c) if c == "status" else F.col(c) for c in assignments.columns])
 
 
 def eligible(sources: DataFrame) -> DataFrame:
@@ -65,14 +76,42 @@ def target_verdict(url: Column, own: Column) -> Column:
     )
 
 
+def extractor_verdicts(targets: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(key, verdict) of extractors by their target urls (key, url) and assignments (key, status).
+
+    The first that fits: aggregator (any target of one), umbrella, no_active_assignment, keep. An extractor without
+    targets or without assignments is judged too.
+    """
+    kind = domain_class(domain_of(F.col("url")))
+    flags = targets.groupBy("key").agg(F.max(kind == "aggregator").alias("aggregator"), F.max(kind == "umbrella").alias("umbrella"))
+    active = assignments.groupBy("key").agg(F.max(F.col("status") == "active").alias("active"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    verdict = F.when(flag("aggregator"), "aggregator").when(flag("umbrella"), "umbrella").when(~flag("active"), "no_active_assignment").otherwise("keep")
+    return flags.join(active, "key", "full").select("key", verdict.alias("verdict"))
+
+
+def listing(sources: DataFrame, places: DataFrame, text: str | None = None) -> DataFrame:
+    """Website sources with their place's name and `missing_script` (no assignment); a source without place stays, but for a text search."""
+    kept = sources.where("source_type = 'website'")
+    if text is not None:
+        kept = kept.join(places.where(F.col("name").ilike(f"%{text}%")).select("place_id", "name"), "place_id")
+    else:
+        kept = kept.join(places.select("place_id", "name"), "place_id", "left")
+    return kept.withColumn("missing_script", F.col("assignment").isNull())
+
+
 def trailing_failures(fetches: DataFrame, key: str = "source_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """(key, failures, last_ok, state, wait_hours): failures since the last success, as a fold over the outcomes.
 
-    The last success is one aggregate that combines before the shuffle, the failures after it another.
+    The last success is one aggregate, the failures after it another; no key's outcomes are gathered.
     """
     at = F.struct(*order)
-    both = fetches.groupBy(key).agg(F.max(F.when(F.col("success"), at)).alias("ok"), F.max(at).alias("last"), F.sort_array(F.collect_list(F.when(~F.col("success"), at))).alias("bad"))
-    failures = F.size(F.filter("bad", lambda x: F.col("ok").isNull() | (x > F.col("ok")))).cast("long")
+    last = fetches.groupBy(key).agg(F.max(F.when(F.col("success"), at)).alias("ok"))
+    # one row a key on the right; both aggregates combine before their shuffle
+    later = fetches.where(~F.col("success")).select(key, at.alias("at")).join(last.where("ok is not null").select(key, F.col("ok").alias("last")), key, "left")
+    counts = later.where("last is null or at > last").groupBy(key).agg(F.count(F.lit(1)).alias("failures"))
+    both = last.join(counts, key, "left")
+    failures = F.coalesce("failures", F.lit(0)).cast("long")
     state = F.when(failures >= FAILED_AT, "source_failed").when(failures > 0, "degraded").otherwise("healthy")
     wait = F.when(failures == 0, 24).otherwise(F.least(F.lit(24), F.pow(F.lit(2), F.least(failures, F.lit(4))).cast("int")))
     return both.select(key, failures.alias("failures"), F.col(f"ok.{order[0]}").alias("last_ok"), state.alias("state"), wait.alias("wait_hours"))
@@ -84,6 +123,19 @@ def reschedule(failures: Column, success: Column, every_hours: Column) -> Column
     return F.when(success, every_hours).otherwise(pause)
 
 
+def artifacts(pages: DataFrame) -> DataFrame:
+    """(source_id, hash, page_id) of stored bodies: of equal ones of a source the first page."""
+    hashed = pages.select("source_id", "page_id", F.sha2("body", 256).alias("hash"))
+    return hashed.groupBy("source_id", "hash").agg(F.min("page_id").alias("page_id"))
+
+
+def convert_source_type(sources: DataFrame, old: str, new: str) -> DataFrame:
+    """sources with those of type `old` as `new`; where their place has one of that type already they go."""
+    taken = sources.where(F.col("source_type") == new).select("place_id")
+    moved = sources.where(F.col("source_type") == old).join(taken, "place_id", "left_anti").withColumn("source_type", F.lit(new))
+    return sources.where(F.col("source_type") != old).unionByName(moved.select(*sources.columns))
+
+
 def unchanged(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """Pages (source_id, hash) that need no new extraction: their hash has a successful run. Bodies stay out of the join."""
     done = runs.where("success").select("source_id", "hash").distinct()

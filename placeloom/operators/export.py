@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.functions.times import clock
-from placeloom.operators.reads import PUBLIC, place_details, public_only, time_order
+from placeloom.operators.reads import PUBLIC, latest_version, place_details, public_only, time_order
 
 CSV_COLUMNS = ("place_id", "place_name", "date", "slot", "session_no", "session_label", "start_time", "main_time", "timezone", "source_id", "confidence")
 
@@ -62,6 +62,17 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def version_to_export(versions: DataFrame, version: str | None = None) -> DataFrame:
+    """The one version to export (the latest published if none is named); an error if it isn't there or isn't published."""
+    found = latest_version(versions, version)
+    rows = found.select("version", "status").collect()  # one row at most
+    if not rows:
+        raise ValueError("dataset version not found")
+    if rows[0].status != "published":
+        raise ValueError("dataset version is not published")
+    return found
+
+
 def metadata(places: DataFrame, occurrences: DataFrame, sources: DataFrame, default: str) -> DataFrame:
     """One row: counts, and the attribution: the default line, then distinct ones of public sources by first source."""
     used = sources.join(places.where("status = 'active'").select("place_id"), "place_id", "left_semi")

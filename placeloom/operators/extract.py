@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.functions.html import parsed_tables
-from placeloom.functions.times import afternoon_where_due, british_date, in_window, minutes_loose, minutes_of, plus_minutes
+from placeloom.functions.times import afternoon_where_due, british_date, day_of_month, in_window, minutes_loose, minutes_of, plus_minutes
 
 
 def find_table(tables: Column, keywords: list[str]) -> Column:
@@ -20,23 +20,71 @@ def find_table(tables: Column, keywords: list[str]) -> Column:
     return F.get(F.filter(tables, fits), F.lit(0))
 
 
-def table_rows(pages: DataFrame, keywords: list[str], date_column: int, slot_columns: dict[str, int], year: int, carry_forward: bool = False) -> DataFrame:
-    """Slot rows (page_id, slot_date, slot, main_min, warning) of the first fitting table of each page.
+# Cells that repeat the one above.
+DITTO = ("", '"', "''", "-do-", "ditto")
 
-    Only the parse into cells is Python. A page without the table gives one row with no_table, a time that
-    can't be read or isn't plausible has its warning.
+
+def carried(cell: Column, down: Window) -> Column:
+    """The cell, or the last one above it in the window where it is blank or a ditto mark."""
+    own = F.when(~F.lower(F.trim(cell)).isin(*DITTO), cell)
+    return F.last(own, ignorenulls=True).over(down)
+
+
+def column_index(header: Column, spec: str | int) -> Column:
+    """Index of a column by number, or of the first header cell that holds a text; null if there is none."""
+    if isinstance(spec, int):
+        return F.lit(spec)
+    found = F.array_position(F.transform(header, lambda c: F.contains(F.lower(c), F.lit(spec.lower()))), True)
+    return F.when(found > 0, found - 1).cast("int")
+
+
+def table_rows(
+    pages: DataFrame, keywords: list[str], date_column: str | int, slot_columns: dict[str, str | int], year: int,
+    month: int | None = None, start_columns: dict[str, str | int] | None = None, carry_forward: bool = False,
+) -> DataFrame:
+    """Slot rows (page_id, row, slot_date, slot, main_min, start_min, warning) of the first fitting table of each page.
+
+    Columns are named by a part of their header or by index. Only the parse into cells is Python. A row has
+    a time or a warning: no_table and no_date_column once a page, missing_prayer_column once a page and
+    slot; unparseable_time and implausible_time at a cell. Rows without a date and blank cells give nothing.
+    A bare day of the month counts if `month` is given. carry_forward fills blank and ditto cells, the date's too.
     """
+    starts = start_columns or {}
     table = pages.select("page_id", find_table(parsed_tables(F.col("html")), keywords).alias("table"))
-    none = table.where("table is null").select("page_id", F.lit(None).cast("date").alias("slot_date"), F.lit(None).cast("string").alias("slot"), F.lit(None).cast("int").alias("main_min"), F.lit("no_table").alias("warning"))
-    rows = table.where("table is not null").select("page_id", F.posexplode("table").alias("row", "cells")).where("row > 0")
-    cells = F.create_map(*[x for s, i in slot_columns.items() for x in (F.lit(s), F.get("cells", F.lit(i)))])
-    long = rows.select("page_id", "row", british_date(F.get("cells", F.lit(date_column)), year).alias("slot_date"), F.explode(cells).alias("slot", "cell"))
+    header = F.get("table", F.lit(0))
+    index = {s: column_index(header, c) for s, c in slot_columns.items()}
+    start_index = {s: column_index(header, starts[s]) if s in starts else F.lit(None).cast("int") for s in slot_columns}
+    places = F.array(*[F.struct(F.lit(s).alias("slot"), index[s].alias("at"), start_index[s].alias("start_at")) for s in slot_columns])
+    found = table.select("page_id", "table", column_index(header, date_column).alias("date_at"), places.alias("places"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def warned(df: DataFrame, slot: Column, code: str) -> DataFrame:
+        fields = [none("int").alias("row"), none("date").alias("slot_date"), slot.alias("slot")]
+        return df.select("page_id", *fields, none("int").alias("main_min"), none("int").alias("start_min"), F.lit(code).alias("warning"))
+
+    dated = found.where("table is not null and date_at is not null")
+    missing = dated.select("page_id", F.inline("places")).where("at is null")
+    out = warned(found.where("table is null"), none("string"), "no_table")
+    out = out.unionByName(warned(found.where("table is not null and date_at is null"), none("string"), "no_date_column"))
+    out = out.unionByName(warned(missing, F.col("slot"), "missing_prayer_column"))
+
+    rows = dated.select("page_id", "date_at", "places", F.posexplode("table").alias("row", "cells")).where("row > 0")
+    rows = rows.select("page_id", "row", "cells", F.get("cells", F.col("date_at")).alias("day"), F.inline("places")).where("at is not null")
+    rows = rows.select("page_id", "row", "day", "slot", F.get("cells", F.col("at")).alias("cell"), F.get("cells", F.col("start_at")).alias("start"))
     if carry_forward:
         down = Window.partitionBy("page_id", "slot").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-        long = long.withColumn("cell", F.last(F.when(~F.trim("cell").isin("", '"', "''"), F.col("cell")), ignorenulls=True).over(down))
-    minutes = afternoon_where_due(minutes_loose(F.col("cell")), F.col("slot"))
-    warning = F.when(F.col("slot_date").isNull(), "bad_date").when(minutes.isNull(), "unparseable_time").when(~in_window(minutes, F.col("slot")), "implausible_time")
-    return long.select("page_id", "slot_date", "slot", minutes.alias("main_min"), warning.alias("warning")).unionByName(none)
+        rows = rows.withColumns({c: carried(F.coalesce(c, F.lit("")), down) for c in ("day", "cell", "start")})
+    date = british_date(F.col("day"), year)
+    if month is not None:
+        date = F.coalesce(date, F.try_to_date(F.concat_ws("-", F.lit(f"{year}-{month:02d}"), F.lpad(day_of_month(F.col("day")).cast("string"), 2, "0"))))
+    read = lambda c: afternoon_where_due(minutes_loose(F.col(c)), F.col("slot"))
+    rows = rows.withColumns({"slot_date": date, "time": read("cell"), "start_min": read("start")})
+    rows = rows.where(F.col("slot_date").isNotNull() & (F.coalesce(F.trim("cell"), F.lit("")) != ""))
+    warning = F.when(F.col("time").isNull(), "unparseable_time").when(~in_window(F.col("time"), F.col("slot")), "implausible_time")
+    rows = rows.withColumn("warning", warning)
+    kept = lambda c: F.when(F.col("warning").isNull(), F.col(c))
+    rows = rows.select("page_id", "row", "slot_date", "slot", kept("time").alias("main_min"), kept("start_min").alias("start_min"), "warning")
+    return rows.unionByName(out)
 
 
 def state_rows(pages: DataFrame) -> DataFrame:
@@ -54,24 +102,33 @@ def state_rows(pages: DataFrame) -> DataFrame:
 
 
 def calendar_rows(pages: DataFrame, year: int) -> DataFrame:
-    """Slot rows from a year calendar in `confData = {...};`: a map of days for each month, five times a day.
+    """Slot rows (page_id, slot_date, slot, session_no, main_min) from a year calendar in `confData = {...};`.
 
-    A time is absolute (HH:mm) or an offset (+m) from the start in `calendar`, whose places are 0, 2, 3, 4, 5.
+    A map of days for each month, five times a day. A time is absolute or an offset (+m) from the start in
+    `calendar`, whose places are 0, 2, 3, 4, 5; times outside their slot's window are left out. jumua, jumua2 and
+    jumua3 are the sessions of every Friday that the calendar has; those that are missing aren't counted.
     """
-    raw = F.regexp_extract("html", r"(?s)confData\s*=\s*(\{.*?\});", 1)
-    shape = "struct<calendar:array<map<string,array<string>>>,iqamaCalendar:array<map<string,array<string>>>>"
+    raw = F.regexp_extract("html", r"(?s)confData\s*=\s*(\{.*?\})\s*[;<]", 1)
+    shape = "struct<calendar:array<map<string,array<string>>>,iqamaCalendar:array<map<string,array<string>>>,jumua:string,jumua2:string,jumua3:string>"
     conf = pages.select("page_id", F.from_json(raw, shape).alias("c")).where("c is not null")
-    months = conf.select("page_id", "c.calendar", F.posexplode("c.iqamaCalendar").alias("month", "days"))
-    days = months.select("page_id", "calendar", "month", F.explode("days").alias("day", "times"))
-    starts = F.try_element_at(F.get("calendar", F.col("month")), F.col("day"))
-    slots = days.select("page_id", "month", "day", starts.alias("starts"), F.posexplode("times").alias("k", "time"))
-    slot = F.get(F.array(*[F.lit(s) for s in ("fajr", "dhuhr", "asr", "maghrib", "isha")]), F.col("k"))
-    start = minutes_of(F.get("starts", F.get(F.array(*[F.lit(i) for i in (0, 2, 3, 4, 5)]), F.col("k"))))
-    offset = F.regexp_extract("time", r"^\+(\d{1,3})$", 1).try_cast("int")
-    when = F.coalesce(minutes_of(F.col("time")), plus_minutes(start, offset))
+    fridays = F.filter(F.array("c.jumua", "c.jumua2", "c.jumua3"), lambda t: F.coalesce(t, F.lit("")) != "")
+    months = conf.select("page_id", "c.calendar", fridays.alias("fridays"), F.posexplode("c.iqamaCalendar").alias("month", "days"))
+    days = months.select("page_id", "calendar", "fridays", "month", F.explode("days").alias("day", "times"))
     date = F.try_to_date(F.concat_ws("-", F.lit(str(year)), F.lpad((F.col("month") + 1).cast("string"), 2, "0"), F.lpad("day", 2, "0")))
-    rows = slots.select("page_id", date.alias("slot_date"), slot.alias("slot"), when.alias("main_min"))
-    return rows.where(F.col("slot_date").isNotNull() & in_window(F.col("main_min"), F.col("slot")))
+    starts = F.try_element_at(F.get("calendar", F.col("month")), F.col("day"))
+    days = days.select("page_id", date.alias("slot_date"), starts.alias("starts"), "times", "fridays").where("slot_date is not null")
+    names, places = (F.array(*map(F.lit, x)) for x in (("fajr", "dhuhr", "asr", "maghrib", "isha"), (0, 2, 3, 4, 5)))
+    slots = days.select("page_id", "slot_date", "starts", F.posexplode(F.slice("times", 1, 5)).alias("k", "time"))
+    slots = slots.select("page_id", "slot_date", F.get(names, F.col("k")).alias("slot"), "time", F.get("starts", F.get(places, F.col("k"))).alias("start"))
+    read = lambda c, slot: afternoon_where_due(minutes_loose(c), slot)
+    offset = F.regexp_extract(F.trim("time"), r"^\+(\d{1,3})$", 1).try_cast("int")
+    absolute = F.when(F.contains("time", F.lit(":")), read(F.col("time"), F.col("slot")))
+    when = F.coalesce(absolute, plus_minutes(read(F.col("start"), F.col("slot")), offset))
+    daily = slots.select("page_id", "slot_date", "slot", F.lit(1).alias("session_no"), when.alias("main_min"))
+    daily = daily.where(in_window(F.col("main_min"), F.col("slot")))
+    friday = days.where(F.weekday("slot_date") == 4).select("page_id", "slot_date", F.posexplode("fridays").alias("k", "time"))
+    friday = friday.select("page_id", "slot_date", F.lit("jumuah").alias("slot"), (F.col("k") + 1).alias("session_no"), read(F.col("time"), F.lit("jumuah")).alias("main_min"))
+    return daily.unionByName(friday.where("main_min is not null"))
 
 
 RESULT = "page_id long, slot_date string, slot string, main_min int, error string"

@@ -6,6 +6,8 @@ the day. Keys: a slot is (place_id, slot_date, slot, session_no).
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +22,8 @@ STALE_DAYS, WINDOW_DAYS, FAILURES = 30, 8, 3
 ACTIVE = ("pending", "approved")
 # From the most trusted to the least.
 CONFIDENCE = ("verified", "imported", "inferred", "calculated")
-#: Time zones that candidates may name; a bounded list.
-ZONES = ("Europe/London", "Europe/Dublin", "Europe/Belfast", "Europe/Guernsey", "Europe/Jersey", "Europe/Isle_of_Man", "UTC")
+#: Time zones that candidates may name: all that the platform's zone database has (its pseudo-zones aside).
+ZONES = tuple(sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"}))
 
 
 def duplicates(candidates: DataFrame) -> DataFrame:
@@ -32,20 +34,28 @@ def duplicates(candidates: DataFrame) -> DataFrame:
 
 
 def issues(as_of: str) -> Column:
-    """Array of (code, severity, field) in rule order, over candidates with `others`."""
+    """Array of (code, severity, field) in rule order, over candidates with `others`.
+
+    as_of is a day, which is today everywhere, or an instant (UTC), of which today is the day in a candidate's zone.
+    """
+    zone = F.coalesce(F.col("timezone"), F.lit("Europe/London"))
+    known = zone.isin(*ZONES)
     today = F.lit(as_of).cast("date")
-    known = F.coalesce(F.col("timezone"), F.lit("Europe/London")).isin(*ZONES)
+    if len(as_of) > len("2024-02-01"):
+        # an unknown zone isn't looked up
+        today = F.when(known, F.from_utc_timestamp(F.lit(as_of).cast("timestamp_ntz"), F.when(known, zone).otherwise("UTC")).cast("date"))
     evidence = lambda k: F.get_json_object("evidence", f"$.{k}")
     span = F.coalesce(evidence("ramadan_span_days").try_cast("int"), F.lit(0))
+    # Codes and severities of issues.
     rules = [
         (~known, "invalid_timezone", "error", "timezone"),
-        (F.col("place_id").isNull(), "missing_place", "error", "place_id"),
-        (F.col("main_min").isNull(), "missing_time", "error", "main_min"),
+        (F.col("place_id").isNull(), "missing_mosque", "error", "place_id"),
+        (F.col("main_min").isNull(), "missing_jamaat", "error", "main_min"),
         (F.col("session_no") < 1, "invalid_session_number", "error", "session_no"),
         (known & ~F.col("slot_date").between(F.date_sub(today, PAST_DAYS), F.date_add(today, FUTURE_DAYS)), "date_out_of_range", "error", "slot_date"),
         (known & (F.col("slot") == "jumuah") & (F.weekday("slot_date") != 4), "jumuah_not_friday", "error", "slot_date"),
-        (known & (F.col("main_min") < F.col("start_min")), "main_before_start", "error", "main_min"),
-        (known & (F.col("main_min") - F.col("start_min") > FAR_MINUTES), "main_far_from_start", "warning", "main_min"),
+        (known & (F.col("main_min") < F.col("start_min")), "jamaat_before_start", "error", "main_min"),
+        (known & (F.col("main_min") - F.col("start_min") > FAR_MINUTES), "jamaat_far_from_start", "warning", "main_min"),
         (F.col("others") > 0, "duplicate_session", "error", "session_no"),
         ((evidence("ramadan_schedule") == "true") & (span > 35), "ramadan_metadata", "warning", "evidence"),
     ]
@@ -194,3 +204,15 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     rows = incoming.join(old, key, "left").withColumn("outcome", outcome)
     status = F.when(F.col("outcome") == "unchanged", F.col("old.status")).otherwise("pending")
     return rows.select(*key, "candidate_id", F.col("old.candidate_id").alias("old_id"), "outcome", status.alias("status"))
+
+
+def summary(marked: DataFrame, batch: DataFrame, result: DataFrame) -> DataFrame:
+    """One row about a publication: published, carried, removed, rows skipped by policy and by validation, sources that won a slot.
+
+    marked: publishable rows; batch: the winners of the slots; result: what publish made of them.
+    """
+    counts = result.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("published", "carried", "removed")])
+    reasons = {"skipped_policy": ("policy_not_public", "ai_needs_override"), "skipped_validation": ("invalid", "missing_time")}
+    skipped = marked.agg(*[F.count_if(F.col("outcome").isin(*v)).alias(k) for k, v in reasons.items()])
+    winners = batch.agg(F.countDistinct("source_id"))
+    return counts.select("*", *[skipped.select(c).scalar().alias(c) for c in reasons], winners.scalar().alias("sources"))

@@ -24,8 +24,11 @@ def beside(*frames: DataFrame) -> DataFrame:
     return first.select("*", *[f.select(c).scalar().alias(c) for f in rest for c in f.columns])
 
 
-def coverage(places: DataFrame, sources: DataFrame, occurrences: DataFrame, candidates: DataFrame, as_of: str) -> DataFrame:
-    """One row: totals, active places, published ones with their percentage, gaps and open candidates."""
+def coverage(
+    places: DataFrame, sources: DataFrame, occurrences: DataFrame, candidates: DataFrame,
+    reviews: DataFrame, corrections: DataFrame, claims: DataFrame, as_of: str,
+) -> DataFrame:
+    """One row: totals, active places, published ones with their percentage, gaps, candidates and open items."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     active = F.col("status") == "active"
     one = places.agg(
@@ -35,7 +38,9 @@ def coverage(places: DataFrame, sources: DataFrame, occurrences: DataFrame, cand
     two = occurrences.agg(F.countDistinct("place_id").alias("published"))
     three = sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if(stale(as_of)).alias("stale_sources"))
     four = candidates.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "approved").alias("approved"))
-    joined = beside(one, two, three, four)
+    open_ = lambda df, name: df.agg(F.count_if(F.col("status") == "pending").alias(name))
+    items = [open_(reviews, "pending_reviews"), open_(corrections, "open_corrections"), open_(claims, "open_claims")]
+    joined = beside(one, two, three, four, *items)
     return joined.withColumn("published_pct", F.when(F.col("active") > 0, F.round(100.0 * F.col("published") / F.col("active"), 1)).otherwise(0.0))
 
 
@@ -76,13 +81,76 @@ def plausibility(rows: DataFrame, windows: dict[str, tuple[int, int]], as_of: st
     return by_row.join(by_day, "source_id", "left")
 
 
-def feed_report(sources: DataFrame, places: DataFrame, as_of: str) -> DataFrame:
-    """(country, policy, sources, stale, no_coordinates) of a feed, unknown country where no place is linked."""
-    joined = sources.join(places.select("place_id", "country", "lat"), "place_id", "left")
-    return joined.groupBy(F.coalesce("country", F.lit("unknown")).alias("country"), "policy").agg(F.count(F.lit(1)).alias("sources"), F.count_if(stale(as_of)).alias("stale"), F.count_if(F.col("lat").isNull()).alias("no_coordinates"))
+def sections(df: DataFrame, **columns: Column) -> DataFrame:
+    """(section, value, n): counts of the values of each column that aren't null, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("section"), c.cast("string").alias("value")) for k, c in columns.items()])
+    rows = df.select(F.inline(pairs)).where("value is not null")
+    return rows.groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_recent(sources: DataFrame, candidates: DataFrame, as_of: str) -> DataFrame:
-    """Sources that are unlinked or have no slot from as_of on."""
-    recent = candidates.where(F.col("slot_date") >= F.lit(as_of).cast("date")).select("source_id")
-    return sources.where("place_id is not null").join(recent, "source_id", "left_anti").select("source_id").union(sources.where("place_id is null").select("source_id"))
+def partner_report(sources: DataFrame, candidates: DataFrame, corrections: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """(section, value, n) of a partner feed's sources.
+
+    total and linked; counts by policy and candidate_status; ids (n = 1 a source) of stale sources, not seen for
+    `days`, and of missing_recent ones, unlinked or without a slot from as_of on; open_corrections, of each linked
+    place once for each of its sources.
+    """
+    linked = F.when(F.col("place_id").isNotNull(), "all")
+    old = F.when(stale(as_of, days), F.col("external_id"))
+    out = sections(sources, total=F.lit("all"), linked=linked, policy=F.col("policy"), stale=old)
+    own = candidates.join(sources.select("source_id"), "source_id", "left_semi")
+    recent = own.where(F.col("slot_date") >= F.lit(as_of).cast("date")).select("source_id").distinct()
+    missing = sources.join(recent.withColumn("recent", F.lit(True)), "source_id", "left")
+    missing = missing.where("place_id is null or recent is null")
+    pending = corrections.where("status = 'pending'").join(sources.select("place_id"), "place_id")
+    parts = [sections(own, candidate_status=F.col("status")), sections(missing, missing_recent=F.col("external_id"))]
+    for part in [*parts, sections(pending, open_corrections=F.lit("all"))]:
+        out = out.unionByName(part)
+    return out
+
+
+def discovery_report(sources: DataFrame, places: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:
+    """(section, value, n) of a discovery feed's sources: country, policy, record_class, ids that are stale or lack a field.
+
+    The country is the place's, else that of the metadata, else unknown. pending_reviews counts those of the sources.
+    """
+    facts = places.select("place_id", F.col("country").alias("place_country"), "lat", "lon", "postcode", F.lit(True).alias("placed"))
+    rows = sources.join(facts, "place_id", "left")
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    country = F.coalesce(known(F.col("place_country")), known(F.col("metadata")["country"]), F.lit("unknown"))
+    where = lambda test: F.when(F.coalesce(test, F.lit(False)), F.col("external_id"))
+    out = sections(
+        rows, total=F.lit("all"), linked=F.when(F.col("place_id").isNotNull(), "all"), country=country, policy=F.col("policy"),
+        record_class=F.coalesce(known(F.col("metadata")["record_class"]), F.lit("unknown")), stale=where(stale(as_of)),
+        missing_coordinates=where(F.col("placed") & (F.col("lat").isNull() | F.col("lon").isNull())),
+        missing_postcode=where(F.col("placed") & known(F.col("postcode")).isNull()),
+    )
+    pending = reviews.where("status = 'pending'").join(sources.select("source_id"), "source_id")
+    return out.unionByName(sections(pending, pending_reviews=F.lit("all")))
+
+
+# Reasons that excuse a result without rows, wherever they stand in it.
+EMPTY_REASONS = ("jumuah_only", "awaiting ocr", "pdf target — awaiting parser")
+
+
+def result_contract(rows: DataFrame, runs: DataFrame, contract: str) -> DataFrame:
+    """What is wrong with the result of each run (run_id, reason), of its rows (run_id, slot_date, slot, session_no, evidence).
+
+    Counts: rows, duplicates (keys with more than one row), wrong_contract, gate_failed; empty_without_reason and
+    empty_not_allowed (no rows, and a reason that isn't an allowed one).
+    """
+    value = lambda k: F.get_json_object("evidence", f"$.{k}")
+    wrong = ~value("contract").eqNullSafe(F.lit(contract))
+    passed = F.coalesce(value("gate_passed") == "true", F.lit(False))
+    keys = rows.groupBy("run_id", "slot_date", "slot", "session_no")
+    keys = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(~passed).alias("failed"))
+    sums = keys.groupBy("run_id").agg(
+        F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("duplicates"),
+        F.sum("wrong").alias("wrong_contract"), F.sum("failed").alias("gate_failed"),
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "duplicates", "wrong_contract", "gate_failed")]
+    out = runs.select("run_id", "reason").join(sums, "run_id", "left").select("run_id", "reason", *counts)
+    empty, reason = F.col("rows") == 0, F.coalesce("reason", F.lit(""))
+    allowed = F.lower(reason).rlike("|".join(EMPTY_REASONS))
+    flags = {"empty_without_reason": empty & (reason == ""), "empty_not_allowed": empty & (reason != "") & ~allowed}
+    return out.withColumns(flags).drop("reason")

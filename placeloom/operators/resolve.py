@@ -11,29 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.functions import geo
+from placeloom.functions.geo import within
 from placeloom.functions.similarity import token_sort_ratio
 from placeloom.functions.text import compact_postcode, domain_of, is_parent_name, normalise_city, normalise_name, normalise_postcode
 
 NEAR_METRES, IDENTITY_METRES = 500, 25
+# Ratios of names, terms of a score, thresholds of a decision.
 STRONG, LIKELY = 92, 85
+SAME_POSTCODE, STRONG_NAME, LIKELY_NAME, STRONG_ALIAS, SAME_DOMAIN, SAME_CITY = 0.35, 0.30, 0.15, 0.20, 0.25, 0.10
 AUTO_LINK, PARENT_PENALTY, LEAST_SCORE, OVERRIDE_GAP = 0.75, 0.20, 0.25, 0.25
 # Metres, score with and without identity allowed.
 BANDS = ((25, 0.75, 0.25), (50, 0.45, 0.20), (100, 0.35, 0.20), (150, 0.25, 0.15), (500, 0.15, 0.10))
 
 
-def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float) -> DataFrame:
-    """(left_id, right_id, metres) of points within a distance, from (id, lat, lon) on both sides.
-
-    A range join as an equi-join on grid cells: the left points are put into the nine cells around them,
-    the exact distance is checked afterwards.
-    """
-    placed = right.where("lat is not null and lon is not null").withColumn("row", geo.lat_cell(F.col("lat"), metres))
-    placed = placed.select(F.col(right_id), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", geo.lon_cell(F.col("lon"), F.col("row"), metres).alias("column"))
-    looking = left.where("lat is not null and lon is not null").select(left_id, "lat", "lon", F.inline(geo.near_cells(F.col("lat"), F.col("lon"), metres)))
-    met = looking.join(placed, ["row", "column"]).withColumn("metres", geo.metres_between(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return met.where(F.col("metres") <= metres).select(left_id, right_id, "metres")
-
-
 def keyed(df: DataFrame) -> DataFrame:
     """df with the keys that blocking and scoring compare."""
     return df.withColumns({"post": normalise_postcode(F.col("postcode")), "compact": compact_postcode(F.col("postcode")), "town": normalise_city(F.col("city")), "plain": normalise_name(F.col("name")), "domain": domain_of(F.col("website"))})
@@ -44,13 +34,65 @@ def block(records: DataFrame, places: DataFrame) -> DataFrame:
     rec, pla = keyed(records), keyed(places)
     right = lambda *cols: pla.select("place_id", F.col("country"), *cols)
     by_post = rec.where("compact is not null").join(right("compact"), ["country", "compact"])
-    by_town = rec.where("town is not null").join(right("town"), ["country", "town"])
+    # the records of a city are dealt into parts, so that a large one is no hot task
+    salted = rec.where("town is not null").withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALT)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part")
+    by_town = salted.join(right("town", parts), ["country", "town", "part"])
     near = within(records, places, "record_id", "place_id", NEAR_METRES)
     same = near.join(records.select("record_id", "country"), "record_id").join(places.select("place_id", F.col("country").alias("other")), "place_id").where("country = other")
     ids = ["record_id", "place_id"]
     return by_post.select(ids).union(by_town.select(ids)).union(same.select(ids)).distinct()
 
 
+#: Letters of a name that its mark tells apart, with a first and a second occurrence; 52 bits of a long.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Parts that the records of one city are dealt into.
+SALT = 8
+
+
+def name_mark(plain: Column) -> Column:
+    """(bits, size, rest) of a name: a bit for each first and second occurrence of a letter, and what has none."""
+    every = F.sequence(F.lit(1), F.lit(len(LETTERS)))
+    without = lambda i: F.char_length(F.replace(plain, F.substring(F.lit(LETTERS), i, F.lit(1)), F.lit("")))
+    seen = F.transform(every, lambda i: F.least(F.char_length(plain) - without(i), F.lit(2)))
+    # none, one or two of a letter are the bits 0, 1 and 11 at its place
+    values = F.array(*[F.lit(v).cast("long") for v in (0, 1, 3)])
+    place = F.array(*[F.lit(1 << 2 * i).cast("long") for i in range(len(LETTERS))])
+    bits = F.aggregate(F.zip_with(seen, place, lambda n, p: F.get(values, n) * p), F.lit(0).cast("long"), lambda a, x: a + x)
+    some = F.aggregate(seen, F.lit(0), lambda a, n: a + n)
+    return F.struct(bits.alias("bits"), F.char_length(plain).alias("size"), (F.char_length(plain) - some).alias("rest"))
+
+
+def may_reach(a: Column, b: Column, ratio: float) -> Column:
+    """Whether names with these marks can have the ratio: no common subsequence is longer than the letters they share."""
+    most = F.bit_count(a["bits"].bitwiseAND(b["bits"])) + F.least(a["rest"], b["rest"])
+    return 200 * most >= ratio * (a["size"] + b["size"]) - 1e-6
+
+
+def promising(records: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The pairs of `block` that are plausible and can score 0.25 or more; no other pair is left out.
+
+    A pair that shares the city alone needs a missing postcode to be plausible, and an equal domain, a likely name
+    or a strong alias to score; bounds of the ratios rule most of them out inside the join. The records of a
+    city are dealt into parts, so that a large one is no hot task.
+    """
+    rec, pla = keyed(records), keyed(places)
+    named = aliases.select("place_id", name_mark(normalise_name(F.col("alias"))).alias("mark")).groupBy("place_id").agg(F.collect_set("mark").alias("alias_marks"))
+    ids = ["record_id", "place_id"]
+    by_post = rec.where("compact is not null").join(pla.select("place_id", "country", "compact"), ["country", "compact"]).select(ids)
+    near = within(records, places, "record_id", "place_id", NEAR_METRES)
+    near = near.join(records.select("record_id", "country"), "record_id").join(places.select("place_id", F.col("country").alias("other")), "place_id")
+    left = rec.where("town is not null").select("record_id", "country", "town", "post", "domain", name_mark(F.col("plain")).alias("mark"))
+    left = left.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALT)))
+    right = pla.where("town is not null").join(named, "place_id", "left")
+    right = right.select("place_id", "country", "town", F.col("post").alias("other_post"), F.col("domain").alias("other_domain"), name_mark(F.col("plain")).alias("other_mark"), "alias_marks")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    alias = F.coalesce(F.exists("alias_marks", lambda m: may_reach(F.col("mark"), m, STRONG)), F.lit(False))
+    fits = F.coalesce(F.col("domain") == F.col("other_domain"), F.lit(False)) | may_reach(F.col("mark"), F.col("other_mark"), LIKELY) | alias
+    by_town = left.join(right, ["country", "town", "part"]).where((F.col("post").isNull() | F.col("other_post").isNull()) & fits)
+    return by_post.union(near.where("country = other").select(ids)).union(by_town.select(ids)).distinct()
+
+
 def pair_facts(pairs: DataFrame, records: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs with a struct of each side and their distance."""
     cols = ("name", "plain", "post", "town", "domain", "lat", "lon")
@@ -86,7 +128,9 @@ def with_ratios(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     other = aliases.select("place_id", normalise_name(F.col("alias")).alias("alias"))
     wanted = pairs.select(F.col("r.plain").alias("a"), F.col("p.plain").alias("b"))
     named = pairs.select("record_id", "place_id", F.col("r.plain").alias("a")).join(other, "place_id")
-    wanted = wanted.union(named.select("a", F.col("alias").alias("b"))).distinct()
+    # the ratio is the dear part: its small rows shouldn't be gathered in a few tasks
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = wanted.union(named.select("a", F.col("alias").alias("b"))).distinct().repartition(parts)
     ratios = wanted.select("a", "b", token_sort_ratio(F.col("a"), F.col("b")).alias("found"))
     best = named.join(ratios.withColumnRenamed("b", "alias"), ["a", "alias"]).groupBy("record_id", "place_id").agg(F.max("found").alias("alias_ratio"))
     direct = pairs.withColumns({"a": F.col("r.plain"), "b": F.col("p.plain")}).join(ratios, ["a", "b"], "left").drop("a", "b").withColumnRenamed("found", "ratio")
@@ -104,11 +148,11 @@ def score(facts: DataFrame) -> DataFrame:
     rounded = lambda c: F.bround(c, 0).cast("int")
     best, near = F.greatest(ratio, alias), geo_score()
     parent = (is_parent_name(F.col("r.name")) | is_parent_name(F.col("p.name"))) & (best < LIKELY)
-    total = F.when(same("post"), 0.35).otherwise(0.0)
-    total = total + F.when(ratio >= STRONG, 0.30).when(ratio >= LIKELY, 0.15).otherwise(0.0)
-    total = total + F.when(alias >= STRONG, 0.20).otherwise(0.0)
-    total = total + F.when(same("domain"), 0.25).otherwise(0.0)
-    total = total + F.when(same("town"), 0.10).otherwise(0.0)
+    total = F.when(same("post"), SAME_POSTCODE).otherwise(0.0)
+    total = total + F.when(ratio >= STRONG, STRONG_NAME).when(ratio >= LIKELY, LIKELY_NAME).otherwise(0.0)
+    total = total + F.when(alias >= STRONG, STRONG_ALIAS).otherwise(0.0)
+    total = total + F.when(same("domain"), SAME_DOMAIN).otherwise(0.0)
+    total = total + F.when(same("town"), SAME_CITY).otherwise(0.0)
     total = total + near - F.when(parent, PARENT_PENALTY).otherwise(0.0)
     reasons = [
         F.when(same("post"), F.lit("postcode_match")), F.when(ratio >= LIKELY, F.concat(F.lit("name_ratio_"), rounded(ratio).cast("string"))), F.when(alias >= STRONG, F.concat(F.lit("alias_ratio_"), rounded(alias).cast("string"))),
@@ -137,7 +181,8 @@ def decide(records: DataFrame, scored: DataFrame) -> DataFrame:
     chosen = F.when(~F.col("top_named") & (F.col("promoted_gap") <= OVERRIDE_GAP + 1e-9), F.col("first_named")).otherwise(1)
     rows = rows.withColumn("chosen", F.coalesce(chosen, F.lit(1)))
     rows = rows.withColumn("order", F.when(F.col("rank") == F.col("chosen"), 0).otherwise(F.col("rank")))
-    by = rows.groupBy("record_id").agg(
+    # the chosen one and three others at most, whatever the number of candidates
+    by = rows.where((F.col("order") == 0) | (F.col("rank") <= 3)).groupBy("record_id").agg(
         F.min_by(F.struct("place_id", "score", "strong", "identity", "reasons"), "order").alias("best"),
         F.max(F.when(F.col("order") != 0, F.col("score"))).alias("second"),
         F.slice(F.array_sort(F.collect_list(F.struct("order", "place_id", "score"))), 1, 3).alias("alternatives"),
@@ -151,7 +196,7 @@ def decide(records: DataFrame, scored: DataFrame) -> DataFrame:
 
 def resolve(records: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
     """Decisions for a batch of records against the places there are."""
-    facts = pair_facts(block(records, places), records, places).where(plausible())
+    facts = pair_facts(promising(records, places, aliases), records, places).where(plausible())
     return decide(records, score(with_ratios(facts, aliases)))
 
 
@@ -166,12 +211,26 @@ def resolve_batch(records: DataFrame, places: DataFrame, aliases: DataFrame, sou
     return done.unionByName(decided.select("record_id", F.col("decision").alias("outcome"), "place_id", new_id.alias("new_place")))
 
 
-def survive(places: DataFrame, linked: DataFrame) -> DataFrame:
-    """places with empty fields filled from linked public records (place_id, website, city, lat, lon); a location comes whole."""
-    new = linked.where("public").groupBy("place_id").agg(F.min_by(F.struct("website", "city", "lat", "lon"), "record_id").alias("n"))
-    keep = lambda k: F.coalesce(F.nullif(F.col(k), F.lit("")), F.col(f"n.{k}")).alias(k)
-    whole = F.col("lat").isNull() & F.col("n.lat").isNotNull() & F.col("n.lon").isNotNull()
-    return places.join(new, "place_id", "left").select("place_id", "name", keep("website"), keep("city"), F.when(whole, F.col("n.lat")).otherwise(F.col("lat")).alias("lat"), F.when(whole, F.col("n.lon")).otherwise(F.col("lon")).alias("lon"))
+#: Fields of a place that records may fill.
+FIELDS = ("name", "postcode", "city", "country", "website")
+
+
+def survive(places: DataFrame, linked: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """places with fields taken from their public records (place_id, public, created, fields, lat, lon).
+
+    Of several records of a place the one with the smallest record_id counts. A place that it created takes
+    every field that the record has; others take it only where theirs is empty. A location comes whole.
+    """
+    new = linked.where("public").groupBy("place_id").agg(F.min_by(F.struct("created", *fields, "lat", "lon"), "record_id").alias("n"))
+    created = F.coalesce(F.col("n.created"), F.lit(False))
+
+    def keep(k: str) -> Column:
+        own, other = F.nullif(F.trim(k), F.lit("")), F.nullif(F.trim(f"n.{k}"), F.lit(""))
+        return F.when((created | own.isNull()) & other.isNotNull(), F.col(f"n.{k}")).otherwise(F.col(k)).alias(k)
+
+    whole = F.col("n.lat").isNotNull() & F.col("n.lon").isNotNull() & (created | F.col("lat").isNull())
+    located = [F.when(whole, F.col(f"n.{k}")).otherwise(F.col(k)).alias(k) for k in ("lat", "lon")]
+    return places.join(new, "place_id", "left").select("place_id", *[keep(k) for k in fields], *located)
 
 
 def newer_names(places: DataFrame, linked: DataFrame) -> DataFrame:
@@ -216,10 +275,13 @@ def review_candidates() -> Column:
     return F.array_distinct(F.filter(F.array("proposed_id", "alternative_1", "alternative_2"), lambda x: x.isNotNull()))
 
 
-def review_queue(reviews: DataFrame, status: str, reason: str | None = None) -> DataFrame:
+def review_queue(reviews: DataFrame, status: str, reason: str | None = None, source_type: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Reviews of a status with their candidates, of one reason token and one type of source where asked for."""
     found = reviews.where(F.col("status") == status)
     if reason is not None:
         found = found.where(F.array_contains(F.split("reasons", ","), reason))
+    if source_type is not None:
+        found = found.join(sources.where(F.col("source_type") == source_type).select("source_id"), "source_id", "left_semi")
     return found.withColumn("candidates", review_candidates())
 
 
@@ -238,14 +300,52 @@ def bulk_activate(places: DataFrame, sources: DataFrame, reviews: DataFrame, lim
     return first.join(open_, "place_id", "left_anti").join(public, "place_id", "left_semi")
 
 
-def merge_places(merges: DataFrame, sources: DataFrame, aliases: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
-    """Re-keyed tables after merging (duplicate_id, canonical_id): sources, aliases (names of duplicates too) and places."""
-    rekey = lambda df: df.join(merges, df.place_id == merges.duplicate_id, "left").withColumn("place_id", F.coalesce("canonical_id", "place_id")).drop("duplicate_id", "canonical_id")
-    names = places.join(merges, places.place_id == merges.duplicate_id).select(F.col("canonical_id").alias("place_id"), F.col("name").alias("alias"))
-    kept = rekey(aliases).select("place_id", "alias").union(names).withColumn("plain", normalise_name(F.col("alias")))
-    kept = kept.groupBy("place_id", "plain").agg(F.min("alias").alias("alias")).drop("plain")
-    status = places.join(merges, places.place_id == merges.duplicate_id, "left").withColumn("status", F.when(F.col("duplicate_id").isNotNull(), "duplicate").otherwise(F.col("status")))
-    return {"sources": rekey(sources), "aliases": kept, "places": status.drop("duplicate_id", "canonical_id")}
+def final_targets(merges: DataFrame, rounds: int = 32) -> DataFrame:
+    """merges (duplicate_id, canonical_id) with chains followed to their end; at most 2^rounds long, a circle has no end."""
+    found = merges.where("duplicate_id <> canonical_id")
+    for _ in range(rounds):
+        after = found.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
+        if found.join(after, "canonical_id", "left_semi").isEmpty():
+            return found
+        found = found.join(after, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"))
+    raise ValueError("the merges go in a circle")
+
+
+def merge_places(merges: DataFrame, places: DataFrame, aliases: DataFrame, keyed_tables: dict[str, tuple[DataFrame, list[str]]], adopted: tuple[str, ...] = ("postcode", "city", "website")) -> dict[str, DataFrame]:
+    """Tables after merging (duplicate_id, canonical_id), by name; places and aliases beside the given ones.
+
+    keyed_tables: name to (table, its columns that name places): sources, candidates, occurrences, claims,
+    corrections, reviews. Duplicates get that status, their names become aliases of the canonical place (once
+    each, by normalised form), and a canonical place without an `adopted` attribute or a location takes that
+    of its smallest duplicate that has one.
+    """
+    merges = final_targets(merges)
+
+    def rekeyed(df: DataFrame, column: str) -> DataFrame:
+        to = merges.select(F.col("duplicate_id").alias(column), F.col("canonical_id").alias("merged into"))
+        moved = df.join(to, column, "left").withColumn(column, F.coalesce("merged into", column))
+        return moved.select(*df.columns)
+
+    out = {}
+    for name, (df, columns) in keyed_tables.items():
+        for c in columns:
+            df = rekeyed(df, c)
+        out[name] = df
+    dead = places.join(merges, places.place_id == merges.duplicate_id)
+    names = dead.select(F.col("canonical_id").alias("place_id"), F.col("name").alias("alias"))
+    kept = rekeyed(aliases.select("place_id", "alias"), "place_id").union(names).withColumn("plain", normalise_name(F.col("alias")))
+    out["aliases"] = kept.groupBy("place_id", "plain").agg(F.min("alias").alias("alias")).drop("plain")
+    first = lambda c: F.min_by(F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.col(c)), F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.col("duplicate_id"))).alias(f"other {c}")
+    at = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
+    best = dead.groupBy("canonical_id").agg(*[first(c) for c in adopted], F.min_by(at, F.when(at.isNotNull(), F.col("duplicate_id"))).alias("other at"))
+    gone = merges.select(F.col("duplicate_id").alias("place_id"), F.lit(True).alias("gone"))
+    joined = places.join(gone, "place_id", "left").join(best.withColumnRenamed("canonical_id", "place_id"), "place_id", "left")
+    lost = F.col("lat").isNull() | F.col("lon").isNull()
+    filled = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(f"other {c}")) for c in adopted}
+    filled |= {c: F.when(lost & F.col("other at").isNotNull(), F.col("other at")[c]).otherwise(F.col(c)) for c in ("lat", "lon")}
+    filled["status"] = F.when(F.col("gone"), "duplicate").otherwise(F.col("status"))
+    out["places"] = joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in places.columns])
+    return out
 
 
 def backfill_websites(sources: DataFrame, places: DataFrame) -> DataFrame:

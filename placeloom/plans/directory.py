@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from placeloom.functions import geo
 from placeloom.functions.times import SLOTS, slot_order
-from placeloom.operators import publish, reads
+from placeloom.operators import contributions, extract, publish, reads
 from placeloom.plans.frames import AS_OF
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import haversine_sql
@@ -42,7 +42,7 @@ def c04(candidates):
 
 @query("c05_json_predicates", "candidates", "SELECT candidate_id, json_extract_string(evidence, '$.contract') AS contract, coalesce(json_extract_string(evidence, '$.gate_passed') = 'true', false) AS passed FROM candidates WHERE coalesce(json_extract_string(evidence, '$.contract'), '') <> ''")
 def c05(candidates):
-    value = lambda k: F.get_json_object("evidence", f"$.{k}")
+    value = reads.evidence_value
     return candidates.where(F.coalesce(value("contract"), F.lit("")) != "").select("candidate_id", value("contract").alias("contract"), F.coalesce(value("gate_passed") == "true", F.lit(False)).alias("passed"))
 
 
@@ -59,7 +59,16 @@ def c07(previous, sources):
 
 @query("c08_due_sources", "sources", f"SELECT source_id FROM sources WHERE enabled AND assignment = 'active' AND (next_run IS NULL OR next_run <= {DAY})")
 def c08(sources):
-    return reads.due_sources(sources, AS_OF).select("source_id")
+    return reads.due_sources(sources.withColumn("next_fetch_at", F.lit(None).cast("string")), AS_OF).select("source_id")
+
+
+define("metadata_sources", ("sources",), """
+SELECT source_id, source_type, enabled, 'disabled' AS assignment, next_run, CASE source_id DIV 3 % 4 WHEN 0 THEN NULL WHEN 1 THEN 'soon' WHEN 2 THEN '2024-01-30 08:00:00' ELSE '2024-02-09 08:00:00' END AS next_fetch_at FROM @sources""")
+
+
+@query("c08_due_by_metadata", "metadata_sources", f"SELECT source_id FROM metadata_sources WHERE enabled AND source_type = 'website' AND NOT coalesce(TRY_CAST(next_fetch_at AS TIMESTAMP) > {DAY}, false)")
+def c08b(metadata_sources):
+    return reads.due_sources(metadata_sources, AS_OF).select("source_id")
 
 
 @query("c09_missing_website", "places", "SELECT place_id FROM places WHERE coalesce(website, '') = '' AND postcode IS NOT NULL")
@@ -102,9 +111,8 @@ SELECT event_id, coalesce(last_value(cell IGNORE NULLS) OVER (PARTITION BY user_
 FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN NULL ELSE NULL END AS cell FROM events)""")
 def g04(events):
     raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, "").otherwise('"')
-    cell = F.when(~F.trim(raw).isin("", '"', "''", "-do-", "ditto"), raw)
     down = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("event_id", F.coalesce(F.last(cell, ignorenulls=True).over(down), F.lit("")).alias("filled"))
+    return events.select("event_id", F.coalesce(extract.carried(raw, down), F.lit("")).alias("filled"))
 
 
 @query("g05_change_page", ("change_events", "versions"), "SELECT event_id, kind, version FROM change_events LEFT JOIN versions USING (version_id) WHERE event_id > 1000 ORDER BY event_id LIMIT 100")
@@ -115,8 +123,7 @@ def g05(change_events, versions):
 
 @query("g06_next_version", "versions", "SELECT split_part(version, '.', 1) AS day, split_part(version, '.', 1) || '.' || (max(split_part(version, '.', 2)::INT) + 1) AS next_version FROM versions GROUP BY 1")
 def g06(versions):
-    day, patch = (F.substring_index("version", ".", k) for k in (1, -1))
-    return versions.groupBy(day.alias("day")).agg((F.max(patch.try_cast("int")) + 1).alias("n")).select("day", F.concat("day", F.lit("."), F.col("n").cast("string")).alias("next_version"))
+    return reads.next_versions(versions)
 
 
 @query("g07_health_listing", "sources", "SELECT source_id, failures, (SELECT count(*) FROM sources WHERE failures > 0) AS total FROM sources WHERE failures > 0 ORDER BY last_success DESC NULLS LAST, source_id LIMIT 30 OFFSET 10")
@@ -125,13 +132,14 @@ def g07(sources):
     return reads.page(found, [F.desc_nulls_last("last_success"), F.col("source_id")], 10, 30).select("source_id", "failures").withColumn("total", found.agg(F.count(F.lit(1))).scalar())
 
 
-ZONES = ", ".join(f"'{z}'" for z in publish.ZONES)
+# the frame's zones that no zone database has
+NO_ZONE = "'Mars/Base', 'europe/paris '"
 VALID = f"""
 act AS (SELECT *, count(*) OVER (PARTITION BY {_KEYS5}) - 1 AS oth FROM candidates WHERE status IN ('pending', 'approved')),
-iss AS (SELECT *, timezone IN ({ZONES}) AS tz, list_filter([
- CASE WHEN timezone NOT IN ({ZONES}) THEN 'invalid_timezone' END, CASE WHEN place_id IS NULL THEN 'missing_place' END, CASE WHEN main_min IS NULL THEN 'missing_time' END, CASE WHEN session_no < 1 THEN 'invalid_session_number' END,
- CASE WHEN timezone IN ({ZONES}) AND NOT slot_date BETWEEN {DAY} - 7 AND {DAY} + 400 THEN 'date_out_of_range' END, CASE WHEN timezone IN ({ZONES}) AND slot = 'jumuah' AND dayofweek(slot_date) <> 5 THEN 'jumuah_not_friday' END,
- CASE WHEN timezone IN ({ZONES}) AND main_min < start_min THEN 'main_before_start' END, CASE WHEN timezone IN ({ZONES}) AND main_min - start_min > 90 THEN '~main_far_from_start' END,
+iss AS (SELECT *, timezone NOT IN ({NO_ZONE}) AS tz, list_filter([
+ CASE WHEN timezone IN ({NO_ZONE}) THEN 'invalid_timezone' END, CASE WHEN place_id IS NULL THEN 'missing_mosque' END, CASE WHEN main_min IS NULL THEN 'missing_jamaat' END, CASE WHEN session_no < 1 THEN 'invalid_session_number' END,
+ CASE WHEN timezone NOT IN ({NO_ZONE}) AND NOT slot_date BETWEEN {DAY} - 7 AND {DAY} + 400 THEN 'date_out_of_range' END, CASE WHEN timezone NOT IN ({NO_ZONE}) AND slot = 'jumuah' AND dayofweek(slot_date) <> 5 THEN 'jumuah_not_friday' END,
+ CASE WHEN timezone NOT IN ({NO_ZONE}) AND main_min < start_min THEN 'jamaat_before_start' END, CASE WHEN timezone NOT IN ({NO_ZONE}) AND main_min - start_min > 90 THEN '~jamaat_far_from_start' END,
  CASE WHEN place_id IS NOT NULL AND oth > 0 THEN 'duplicate_session' END, CASE WHEN json_extract_string(evidence, '$.ramadan_schedule') = 'true' AND json_extract_string(evidence, '$.ramadan_span_days')::INT > 35 THEN '~ramadan_metadata' END], lambda x: x IS NOT NULL) AS found FROM act),
 val AS (SELECT *, len(list_filter(found, lambda x: NOT starts_with(x, '~'))) = 0 AS valid FROM iss),
 chk AS (SELECT v.*, s.policy, s.source_type, array_to_string(list_transform(CASE WHEN valid AND run_kind = 'ai' THEN list_append(found, '~ai_requires_review') ELSE found END, lambda x: ltrim(x, '~')), ',') AS codes,
@@ -232,11 +240,25 @@ def p09(previous, sources, candidates):
 SELECT submission, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, min(first_error) AS first_error FROM (SELECT id // 4 AS submission, slot IS NOT NULL AND minutes IS NOT NULL AS ok, CASE WHEN slot IS NULL THEN 'unsupported slot' WHEN minutes IS NULL THEN 'invalid time' END AS first_error FROM
  (SELECT id, CASE lower(trim(label_text)) WHEN 'fajr' THEN 'fajr' WHEN 'zuhr' THEN 'dhuhr' WHEN 'jummah' THEN 'jumuah' END AS slot, CASE WHEN regexp_full_match(trim(time_text), '\d{1,2}:\d{2}') AND split_part(trim(time_text), ':', 1)::INT <= 23 AND split_part(trim(time_text), ':', 2)::INT <= 59 THEN 1 END AS minutes FROM cells)) GROUP BY submission""")
 def p10(cells):
-    from placeloom.functions.times import minutes_of, slot_of
+    rows = cells.select(F.expr("id div 4").alias("submission"), F.lit(1).alias("place_id"), F.lit("2024-02-02").cast("date").alias("slot_date"), F.col("label_text").alias("slot"), F.col("time_text").alias("main_time"), F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("int").alias("session_no"))
+    return contributions.intake(contributions.schedule_rows(rows))
+
+
+# corrections of known and unknown places, some of which are there already
+define("sent", ("events",), "SELECT event_id AS correction_id, user_id * 11 AS place_id, 'Name ' || CAST(event_id AS STRING) AS name, 'mail ' || CAST(event_id AS STRING) AS email FROM @events WHERE event_id % 3 < 2")
+
+
+@query("p10_corrections", ("corrections", "sent", "places"), """
+SELECT correction_id, place_id, status FROM corrections UNION ALL SELECT correction_id, place_id, 'pending' FROM sent s WHERE place_id IN (SELECT place_id FROM places) AND NOT EXISTS (SELECT 1 FROM corrections c WHERE c.correction_id = s.correction_id)""")
+def p10b(corrections, sent, places):
+    known = corrections.withColumn("contact", F.lit(None).cast("struct<name:string,email:string>"))
+    return contributions.public_view(contributions.appended(known, sent, places, "correction_id"))
+
 
-    error = F.when(slot_of(F.col("label_text")).isNull(), "unsupported slot").when(minutes_of(F.col("time_text")).isNull(), "invalid time")
-    rows = cells.select(F.expr("id div 4").alias("submission"), error.alias("error"))
-    return rows.groupBy("submission").agg(F.count_if(F.col("error").isNull()).alias("accepted"), F.count_if(F.col("error").isNotNull()).alias("rejected"), F.min("error").alias("first_error"))
+@query("p10_new_places", ("sent", "places", "aliases", "sources"), "SELECT correction_id AS submission, 'community' AS source_type, 'place-' || correction_id AS external_id, 'unknown' AS policy, false AS public FROM sent WHERE correction_id % 4 <> 0")
+def p10c(sent, places, aliases, sources):
+    named = sent.select(F.col("correction_id").alias("submission"), F.when(F.col("correction_id") % 4 != 0, F.col("name")).alias("name"))
+    return contributions.new_places(named).select("submission", "source_type", "external_id", "policy", "public")
 
 
 @query("f14_publish_summary", _PUB3, f"""
@@ -244,19 +266,11 @@ WITH {diff_sql(None)} SELECT count(*) FILTER (action = 'published') AS published
  (SELECT count(*) FROM pub WHERE outcome IN ('policy_not_public', 'ai_needs_override')) AS skipped_policy, (SELECT count(*) FROM pub WHERE outcome IN ('invalid', 'missing_time')) AS skipped_validation, (SELECT count(DISTINCT source_id) FROM win) AS sources FROM dif""")
 def f14(candidates, sources, previous):
     marked = publish.publishable(publish.validate(candidates, sources, AS_OF))
-    skipped = marked.agg(F.count_if(F.col("outcome").isin("policy_not_public", "ai_needs_override")).alias("skipped_policy"), F.count_if(F.col("outcome").isin("invalid", "missing_time")).alias("skipped_validation"), F.countDistinct(F.when(F.col("outcome") == "publish", F.col("source_id"))).alias("sources"))
-    # the winners' sources: losers of a slot don't count
     batch = batch_of(candidates, sources)
-    result = publish.publish(batch, previous, sources)
-    counts = result.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("published", "carried", "removed")])
-    row = batch.agg(F.countDistinct("source_id"))
-    return counts.select("*", *[skipped.select(c).scalar().alias(c) for c in ("skipped_policy", "skipped_validation")], row.scalar().alias("sources"))
+    return publish.summary(marked, batch, publish.publish(batch, previous, sources))
 
 
 @query("f13_weekly_grid", "previous", f"""
 SELECT slot, {', '.join(f"coalesce(string_agg(session_no || '=' || main_min, ',' ORDER BY session_no, main_min) FILTER (slot_date - DATE '2024-01-15' = {d}), '') AS day{d}" for d in range(7))} FROM previous WHERE place_id = 5 AND slot_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY slot""")
 def f13(previous):
-    week = previous.where((F.col("place_id") == 5) & (F.date_trunc("week", "slot_date").cast("date") == F.lit("2024-01-15").cast("date")))
-    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_no", "main_min"))), lambda x: F.concat(x["session_no"].cast("string"), F.lit("="), x["main_min"].cast("string"))), ",")
-    grid = week.withColumn("day", F.weekday("slot_date")).groupBy("slot").pivot("day", list(range(7))).agg(cell)
-    return grid.select("slot", *[F.coalesce(F.col(str(d)), F.lit("")).alias(f"day{d}") for d in range(7)])
+    return reads.weekly_grid(previous.where("place_id = 5"), "2024-01-15")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placeloom.functions import html
 from placeloom.functions.times import clock
 from placeloom.operators import export, extract, websites
+from placeloom.plans import operations
 from placeloom.plans.registry import define, query
 from placeloom.sources import feeds
 from placeloom.sources.files import shared_folder
@@ -20,12 +21,12 @@ PUB = "policy = 'public_redistribution_allowed'"
 
 def bundle_lines(places, name="mosques"):
     slot = lambda d, s, field, m: F.struct(F.lit(d).alias("date"), F.lit(s).alias("prayer"), F.lit(m).alias(field))
-    rows = places.where("place_id < 400").select(F.col("place_id").cast("string").alias("external_id"), "name", "city", "postcode", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+    rows = places.select(F.col("place_id").cast("string").alias("external_id"), "name", "city", "postcode", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
         F.when(F.col("place_id") % 2 == 0, F.array(slot("2024-02-02", "Jumuah", "iqamah", "13:30"))).alias("schedules"), F.when(F.col("place_id") % 2 == 1, F.array(slot("2024-02-03", "fajr", "jamat", "06:10"))).alias("timetable"))
     return rows
 
 
-_SLOTS = "SELECT place_id::VARCHAR AS external_id, CASE WHEN place_id % 2 = 0 THEN '2024-02-02' ELSE '2024-02-03' END AS slot_date, CASE WHEN place_id % 2 = 0 THEN 'jumuah' ELSE 'fajr' END AS slot, CASE WHEN place_id % 2 = 0 THEN '13:30' ELSE '06:10' END AS main_time, 1 AS session_no FROM places WHERE place_id < 400"
+_SLOTS = "SELECT place_id::VARCHAR AS external_id, CASE WHEN place_id % 2 = 0 THEN '2024-02-02' ELSE '2024-02-03' END AS slot_date, CASE WHEN place_id % 2 = 0 THEN 'jumuah' ELSE 'fajr' END AS slot, CASE WHEN place_id % 2 = 0 THEN '13:30' ELSE '06:10' END AS main_time, 1 AS session_no FROM places"
 
 
 def _slots(records):
@@ -36,7 +37,8 @@ def _slots(records):
 def a01(places):
     spark, rows = places.sparkSession, bundle_lines(places)
     path = shared_folder(spark, "bundle")
-    groups = rows.groupBy(F.pmod(F.xxhash64("external_id"), F.lit(4)).alias("file")).agg(F.collect_list(F.struct(*rows.columns)).alias("mosques"))
+    # a bundle for each 500 places
+    groups = rows.groupBy(F.expr("external_id div 500").alias("file")).agg(F.collect_list(F.struct(*rows.columns)).alias("mosques"))
     groups.select("file", F.to_json(F.struct("mosques")).alias("value")).write.partitionBy("file").text(path)
     return _slots(feeds.read_bundle(spark, f"{path}/*/*"))
 
@@ -80,10 +82,15 @@ SELECT CASE WHEN place_id % 29 = 0 THEN 200.0 ELSE lon END AS lon, lat, CASE WHE
 
 
 @query("a05_poi_csv", "poi", r"""
-SELECT skip_reason, count(*) AS n, count(name) AS named, min(address) AS address, min(phone) AS phone FROM (SELECT CASE WHEN label IS NULL THEN 'missing_columns' WHEN lat IS NULL OR lon IS NULL OR abs(lon) > 180 THEN 'invalid_coordinates' WHEN NOT contains(comment, '-ID:') THEN 'missing_id' WHEN trim(split_part(split_part(label, ']', 2), '.', 1)) = '' AND false THEN 'missing_name' WHEN contains(lower(label), 'defunct') THEN 'defunct' WHEN contains(label, '[Multi]') THEN 'multi_faith' END AS skip_reason,
- CASE WHEN label IS NOT NULL THEN 'x' END AS name, CASE WHEN label IS NULL THEN NULL WHEN trim(split_part(split_part(label, ']', 2), '.', 1)) = '' THEN NULL ELSE '5 High Street' END AS address, CASE WHEN label IS NOT NULL THEN '0207 946 0123' END AS phone FROM poi) GROUP BY skip_reason""")
+WITH b AS (SELECT *, regexp_extract(label, '^([*?])?\[([^\]]*)\](.*)$', 3) AS body FROM poi),
+p AS (SELECT *, list_filter(list_transform(string_split(replace(body, '0207 946 0123', ''), '.'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts, nullif(regexp_extract(comment, '-ID:(\d+)\s*$', 1), '') AS number FROM b)
+SELECT number, parts[1] AS name, nullif(array_to_string(parts[2:], ', '), '') AS address, CASE WHEN label IS NOT NULL THEN '0207 946 0123' END AS phone, split_part(comment, ',', 1) AS city,
+ CASE WHEN label IS NULL THEN 'missing_columns' WHEN lat IS NULL OR lon IS NULL OR abs(lon) > 180 THEN 'invalid_coordinates' WHEN number IS NULL THEN 'missing_id' WHEN len(parts) = 0 THEN 'missing_name' WHEN contains(lower(body), 'defunct') THEN 'defunct' WHEN contains(label, '[Multi]') THEN 'multi_faith' END AS skip_reason FROM p""")
 def a05(poi):
-    return feeds.decode_poi(poi).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named"), F.min("address").alias("address"), F.min("phone").alias("phone"))
+    spark = poi.sparkSession
+    path = shared_folder(spark, "poi")
+    poi.select("lon", "lat", "label", "comment").write.csv(path)
+    return feeds.decode_poi(feeds.read_poi_csv(spark, path)).select("number", "name", "address", "phone", "city", "skip_reason")
 
 
 define("codes", ("places",), "SELECT place_id AS id, CASE place_id % 8 WHEN 0 THEN '120WDeobBang' WHEN 1 THEN '?NoWIrreg' WHEN 2 THEN '80NJSalf' WHEN 3 THEN 'MultiShia' WHEN 4 THEN '50J' WHEN 5 THEN 'Pkstn' WHEN 6 THEN NULL ELSE ' ArabArab ' END AS raw FROM @places")
@@ -97,45 +104,73 @@ def a06(codes):
 
 
 define("elements", ("places",), """
-SELECT CASE place_id % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'way' WHEN 2 THEN 'relation' ELSE 'area' END AS type, place_id DIV 2 AS id, place_id AS pos, lat, lon, place_id % 5 AS k, name, city, website, country FROM @places""")
+SELECT CASE WHEN place_id % 50 = 7 THEN NULL WHEN place_id % 4 = 0 THEN 'node' WHEN place_id % 4 = 1 THEN 'way' WHEN place_id % 4 = 2 THEN 'relation' ELSE 'area' END AS type, place_id DIV 2 AS id, place_id AS pos, lat, lon, place_id % 6 AS k, name, city, website, country FROM @places""")
+_ELEMENTS = "e AS (SELECT * FROM elements WHERE type <> 'area' OR type IS NULL QUALIFY type IS NULL OR row_number() OVER (PARTITION BY type, id ORDER BY pos) = 1)"
+_SKIP = "CASE WHEN type IS NULL THEN 'invalid_type' WHEN k = 2 THEN 'no_name' WHEN lat IS NULL OR (type <> 'node' AND k = 3) THEN 'no_coords' WHEN k = 1 THEN 'non_muslim' END"
 
 
-@query("a07_map_elements", "elements", """
-WITH e AS (SELECT * FROM elements WHERE type <> 'area' QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY pos) = 1)
-SELECT type, id, CASE WHEN k = 1 THEN 'other_religion' WHEN k = 2 THEN 'no_name' WHEN lat IS NULL OR (type <> 'node' AND k = 3) THEN 'no_coords' END AS skip_reason FROM e""")
+@query("a07_map_elements", "elements", f"WITH {_ELEMENTS} SELECT type, id, {_SKIP} AS skip_reason, CASE WHEN k = 2 THEN NULL WHEN k = 5 THEN 'Masjid ' || name ELSE name END AS name FROM e")
 def a07(elements):
-    return _mapped(elements).select("type", "id", "skip_reason")
+    return _mapped(elements).select("type", "id", "skip_reason", "name")
 
 
 def _mapped(elements):
+    """The elements written as dumps of 500 places each, read back and mapped."""
+    spark = elements.sparkSession
     pick = lambda test, key, value: F.when(test, F.create_map(F.lit(key), value)).otherwise(F.create_map().cast("map<string,string>"))
-    tags = F.map_concat(pick(F.col("k") != 2, "name", F.col("name")), pick(F.lit(True), "religion", F.when(F.col("k") == 1, "christian").otherwise("muslim")), pick(F.lit(True), "alt_name", F.concat(F.lit("A;b; a;"), F.col("name"))),
+    name = F.when(F.col("k") == 5, F.concat(F.lit("Masjid "), F.col("name"))).otherwise(F.col("name"))
+    religion = F.when(F.col("k") == 1, "christian").when(F.col("k") == 5, "").otherwise(" Muslim")
+    tags = F.map_concat(pick(F.col("k") != 2, "name", name), pick(F.lit(True), "religion", religion), pick(F.lit(True), "alt_name", F.concat(F.lit("A;b; a;"), name)),
         pick(F.lit(True), "addr:street", F.lit("High St")), pick(F.col("k") == 4, "addr:housenumber", F.lit("7")), pick(F.lit(True), "addr:city", F.col("city")), pick(F.lit(True), "website", F.col("website")), pick(F.lit(True), "addr:country", F.lit("UK")))
     center = F.when(F.col("k") != 3, F.struct("lat", "lon"))
-    return feeds.map_elements(elements.select("type", "id", "pos", "lat", "lon", center.alias("center"), "k", tags.alias("tags")))
+    element = F.struct("pos", "type", "id", "lat", "lon", center.alias("center"), tags.alias("tags"))
+    files = elements.groupBy(F.expr("pos div 500").alias("file")).agg(F.array_sort(F.collect_list(element), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("all"))
+    path = shared_folder(spark, "elements")
+    listed = F.transform("all", lambda e: e.dropFields("pos")).alias("elements")
+    files.select("file", F.to_json(F.struct(listed)).alias("value")).write.partitionBy("file").text(path)
+    return feeds.map_elements(feeds.read_map_dump(spark, f"{path}/*/*"))
 
 
-@query("a08_tag_fields", "elements", """
-SELECT type, id, 'A,b' AS aliases, CASE WHEN k = 4 THEN '7 High St' ELSE 'High St' END AS address, city, nullif(website, '') AS website, 'GB' AS country FROM (SELECT * FROM elements WHERE type <> 'area' QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY pos) = 1) WHERE k <> 2""")
+@query("a08_tag_fields", "elements", f"""
+WITH {_ELEMENTS} SELECT type, id, CASE WHEN k = 2 THEN 'A,b,' || name ELSE 'A,b' END AS aliases, CASE WHEN k = 4 THEN '7 High St' ELSE 'High St' END AS address, city, nullif(website, '') AS website, 'GB' AS country FROM e""")
 def a08(elements):
-    return _mapped(elements).where("name is not null").select("type", "id", F.array_join("aliases", ",").alias("aliases"), "address", "city", "website", "country")
-
-
-@query("a09_discovery_records", ("places", "elements"), """
-SELECT source_type, count(*) AS n, count(postcode) AS postcodes FROM (SELECT 'partner_feed' AS source_type, postcode FROM places UNION ALL SELECT 'map_dump', NULL FROM (SELECT * FROM elements WHERE type <> 'area' QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY pos) = 1) WHERE k NOT IN (1, 2) AND lat IS NOT NULL AND NOT (type <> 'node' AND k = 3)) GROUP BY source_type""")
+    return _mapped(elements).select("type", "id", F.array_join("aliases", ",").alias("aliases"), "address", "city", "website", "country")
+
+
+@query("a09_place_bundle", "elements", r"""
+SELECT type || '/' || id AS external_id, CASE WHEN k = 5 THEN 'The ISLAMIC ' || name ELSE name END AS name, city, CASE WHEN k = 0 THEN 'IE' ELSE 'GB' END AS country, k <> 1 AS fits FROM elements WHERE type IS NOT NULL""")
+def a09b(elements):
+    spark = elements.sparkSession
+    name = F.when(F.col("k") == 5, F.concat(F.lit("The ISLAMIC "), "name")).otherwise(F.col("name"))
+    religion = F.when(F.col("k") == 1, "christian").when(F.col("k").isin(2, 5), F.lit(None)).otherwise("MUSLIM ")
+    denomination = F.when(F.col("k") == 2, "Shia").when(F.col("k") == 1, "anglican")
+    place = F.struct(F.col("type").alias("osm_type"), F.col("id").alias("osm_id"), name.alias("name"), "city", F.when(F.col("k") == 0, "ireland").otherwise("UK").alias("country"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), religion.alias("religion"), denomination.alias("denomination"))
+    files = elements.where("type is not null").groupBy(F.expr("pos div 500").alias("file")).agg(F.collect_list(place).alias("places"))
+    path = shared_folder(spark, "places")
+    files.select("file", F.to_json(F.struct("places")).alias("value")).write.partitionBy("file").text(path)
+    return feeds.read_place_bundle(spark, f"{path}/*/*").select("external_id", "name", "city", "country", "fits")
+
+
+@query("a09_discovery_records", ("places", "elements"), f"""
+WITH {_ELEMENTS} SELECT 'partner_feed' AS source_type, place_id::VARCHAR AS external_id, name, city, postcode, website FROM places UNION ALL
+SELECT 'map_dump', type || '/' || id, CASE WHEN k = 5 THEN 'Masjid ' || name ELSE name END, city, NULL, nullif(website, '') FROM e WHERE {_SKIP} IS NULL""")
 def a09(places, elements):
-    records = feeds.discovery_records((places.withColumn("external_id", F.col("place_id")), "partner_feed"), (_mapped(elements).where("skip_reason is null").withColumn("external_id", F.concat("type", F.lit("/"), "id")), "map_dump"))
-    return records.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.count("postcode").alias("postcodes"))
+    mapped = _mapped(elements).where("skip_reason is null").withColumn("external_id", F.concat("type", F.lit("/"), "id"))
+    records = feeds.discovery_records((places.withColumn("external_id", F.col("place_id")), "partner_feed"), (mapped, "map_dump"))
+    return records.select("source_type", "external_id", "name", "city", "postcode", "website")
 
 
 @query("a12_detail_pages", "places", """
-SELECT place_id, CASE WHEN place_id % 7 = 0 THEN NULL ELSE '2024-01-' || (10 + place_id % 20) END AS updated, 'https://d' || place_id || '.org' AS website, (place_id % 90)::INT AS capacity, substr('ABCDEF', (1 + place_id % 6)::INT, 1) AS accuracy, 2 AS sources FROM places""")
+SELECT place_id, CASE WHEN place_id % 7 = 0 THEN NULL ELSE '2024-01-' || (10 + place_id % 20) END AS updated, CASE WHEN place_id % 5 = 0 THEN website ELSE 'https://d' || place_id || '.org/?a=1&b=2' END AS website, (place_id % 90)::INT AS capacity, 'Mixed & calm' AS theme, substr('ABCDEF', (1 + place_id % 6)::INT, 1) AS accuracy, 2 AS sources FROM places""")
 def a12(places):
     day = F.when(F.col("place_id") % 7 == 0, "99/99/2024").otherwise(F.concat((10 + F.col("place_id") % 20).cast("string"), F.lit("/01/2024")))
-    page = F.concat(F.lit("Last Updated: "), day, F.lit("\nTel: 0207 946 0123\nWebsite: https://d"), F.col("place_id").cast("string"), F.lit(".org\nCapacity: "), (F.col("place_id") % 90).cast("string"), F.lit("\nTheme: Mixed; x\nData accuracy: "), F.substring(F.lit("ABCDEF"), (F.col("place_id") % 6 + 1).cast("int"), F.lit(1)), F.lit("\nSources: council, visit"))
-    found = feeds.detail_fields(F.col("page"))
-    rows = places.select("place_id", page.alias("page")).select("place_id", *[c.alias(k) for k, c in found.items()])
-    return rows.select("place_id", F.col("updated").cast("string").alias("updated"), "website", "capacity", "accuracy", F.size("sources").alias("sources"))
+    site = F.when(F.col("place_id") % 5 == 0, "").otherwise(F.concat(F.lit("<li>Website:&nbsp;<b>https://d"), F.col("place_id").cast("string"), F.lit(".org/?a=1&amp;b=2</b></li>")))
+    page = F.concat(F.lit("<p>Last Updated: <i>"), day, F.lit("</i></p>Tel: 0207 946 0123<br/>"), site, F.lit("<div class='x'>Capacity: "), (F.col("place_id") % 90).cast("string"), F.lit("</div><p>Theme: Mixed &amp; calm; x</p>Data accuracy: "), F.substring(F.lit("ABCDEF"), (F.col("place_id") % 6 + 1).cast("int"), F.lit(1)), F.lit("<br>Sources: council, visit</p>"))
+    rows = places.select("place_id", page.alias("page")).select("place_id", feeds.detail_text(F.col("page")).alias("text"))
+    rows = rows.select("place_id", *[c.alias(k) for k, c in feeds.detail_fields(F.col("text")).items()])
+    known = feeds.overlay(places.select("place_id", "website"), rows, "place_id", ["website"])
+    rows = rows.drop("website").join(known, "place_id")
+    return rows.select("place_id", F.col("updated").cast("string").alias("updated"), "website", "capacity", "theme", "accuracy", F.size("sources").alias("sources"))
 
 
 @query("b23_parsed_text", "pages")
@@ -144,47 +179,67 @@ def b23(pages):
 
 
 define("directory_pages", ("places",), """
-SELECT place_id AS page_id, 'https://dir.example.org/p/' || CAST(place_id AS STRING) AS url, CASE place_id % 4 WHEN 0 THEN '<script type="application/ld+json">{"@type":"Mosque","url":"https://own' || CAST(place_id AS STRING) || '.org/"}</script>' WHEN 1 THEN '<a href="https://w' || CAST(place_id AS STRING) || '.org">Visit website</a>' WHEN 2 THEN '<a href="/self">Website</a>' ELSE '<p>none</p>' END AS html FROM @places""")
+SELECT place_id AS page_id, CASE WHEN place_id % 5 = 4 THEN 'https://www.islamicfinder.org/p/' ELSE 'https://dir.example.org/p/' END || CAST(place_id AS STRING) AS url, CASE place_id % 5 WHEN 4 THEN '<dt>Website:</dt> <a class="x" href="https://l' || CAST(place_id AS STRING) || '.org/">go</a>' WHEN 0 THEN '<script type="application/ld+json">{"@type":"Mosque","url":"https://own' || CAST(place_id AS STRING) || '.org/"}</script>' WHEN 1 THEN '<a href="https://w' || CAST(place_id AS STRING) || '.org">Visit website</a>' WHEN 2 THEN '<a href="/self">Website</a>' ELSE '<p>none</p>' END AS html FROM @places""")
 
 
-@query("b28_official_site", "directory_pages", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://own' || page_id || '.org/' WHEN 1 THEN 'https://w' || page_id || '.org' END AS site FROM directory_pages")
+@query("b28_official_site", "directory_pages", "SELECT page_id, CASE page_id % 5 WHEN 4 THEN 'https://l' || page_id || '.org/' WHEN 0 THEN 'https://own' || page_id || '.org/' WHEN 1 THEN 'https://w' || page_id || '.org' END AS site FROM directory_pages")
 def b28(directory_pages):
     return directory_pages.select("page_id", html.parsed_site(F.col("url"), F.col("html")).alias("site"))
 
 
-# timetable pages rendered of candidates: what the parsers find must be the rows before
-define("day_rows", ("candidates",), "SELECT source_id AS page_id, slot_date, max(CASE WHEN slot = 'fajr' THEN main_min END) AS fajr, max(CASE WHEN slot = 'isha' THEN main_min END) AS isha FROM @candidates WHERE source_id % 7 = 0 GROUP BY source_id, slot_date")
-_HM = "(lpad((m // 60)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0'))"
+# timetable pages rendered of candidates, of some shapes by page_id % 11: what the parsers find must be the rows before
+define("day_rows", ("candidates",), "SELECT source_id AS page_id, slot_date, max(CASE WHEN slot = 'fajr' THEN main_min END) AS fajr, max(CASE WHEN slot = 'isha' THEN main_min END) AS isha FROM @candidates GROUP BY source_id, slot_date")
 
 
 def timetable_pages(day_rows):
     cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(c, F.lit("")), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell(F.date_format("slot_date", "d/M/yyyy")), cell(clock(F.col("fajr"))), cell(clock(F.col("isha"))), F.lit("</tr>"))
+    shape, last = F.col("page_id") % 11, F.when(F.col("page_id") % 11 == 2, "").otherwise(cell(clock(F.col("isha"))))
+    row = F.concat(F.lit("<tr>"), cell(F.date_format("slot_date", "d/M/yyyy")), cell(clock(F.col("fajr") - 15)), cell(clock(F.col("fajr"))), last, F.lit("</tr>"))
     pages = day_rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
-    head = F.lit("<html><table><tr><td>menu</td></tr></table><table><tr><th>Date</th><th>Fajr Jamaat</th><th>Isha Jamaat</th></tr>")
-    return pages.select("page_id", F.lit("https://t.example.org").alias("url"), F.concat(head, "rows", F.lit("</table></html>")).alias("html"))
+    first = F.when(shape == 1, "Day").otherwise("The Date")
+    head = F.concat(F.lit("<table><tr><th>"), first, F.lit("</th><th>Fajr Begins</th><th>Fajr Jamaat</th>"), F.when(shape == 2, "").otherwise("<th>Isha Jamaat</th>"), F.lit("</tr>"))
+    table = F.when(shape == 0, "").otherwise(F.concat(head, "rows", F.lit("</table>")))
+    return pages.select("page_id", F.lit("https://t.example.org").alias("url"), F.concat(F.lit("<html><table><tr><td>menu</td></tr></table>"), table, F.lit("</html>")).alias("html"))
 
 
-@query("k02_html_tables", "day_rows", "SELECT page_id, 2 AS tables, count(*)::INT + 1 AS rows FROM day_rows GROUP BY page_id")
+@query("k02_html_tables", "day_rows", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 1 ELSE 2 END AS tables, CASE WHEN page_id % 11 = 0 THEN 0 ELSE count(*)::INT + 1 END AS rows FROM day_rows GROUP BY page_id")
 def k02(day_rows):
     parsed = timetable_pages(day_rows).select("page_id", html.parsed_tables(F.col("html")).alias("t"))
-    return parsed.select("page_id", F.size("t").alias("tables"), F.size(extract.find_table(F.col("t"), ["date", "fajr"])).alias("rows"))
+    table = extract.find_table(F.col("t"), ["fajr", "jamaat"])
+    return parsed.select("page_id", F.size("t").alias("tables"), F.when(table.isNull(), 0).otherwise(F.size(table)).alias("rows"))
 
 
-_PLAUS = "CASE WHEN m IS NULL THEN 'unparseable_time' WHEN NOT (m BETWEEN lo AND hi) THEN 'implausible_time' END AS warning"
+_SHIFT = "CASE WHEN {m} < 720 AND NOT ({m} BETWEEN lo AND hi) AND {m} + 720 BETWEEN lo AND hi THEN {m} + 720 ELSE {m} END"
 
 
 @query("k03_table_timetable", "day_rows", f"""
-WITH l AS (SELECT page_id, slot_date, 'fajr' AS slot, fajr AS m0, 120 AS lo, 450 AS hi FROM day_rows UNION ALL SELECT page_id, slot_date, 'isha', isha, 1020, 1439 FROM day_rows),
-s AS (SELECT *, CASE WHEN m0 < 720 AND NOT (m0 BETWEEN lo AND hi) AND m0 + 720 BETWEEN lo AND hi THEN m0 + 720 ELSE m0 END AS m FROM l)
-SELECT page_id, slot_date::VARCHAR AS slot_date, slot, m::INT AS main_min, {_PLAUS} FROM s""")
+WITH l AS (SELECT page_id, slot_date, 'fajr' AS slot, fajr AS m0, fajr - 15 AS s0, 120 AS lo, 450 AS hi FROM day_rows WHERE page_id % 11 > 1 UNION ALL SELECT page_id, slot_date, 'isha', isha, NULL, 1020, 1439 FROM day_rows WHERE page_id % 11 > 2),
+s AS (SELECT *, {_SHIFT.format(m="m0")} AS m, {_SHIFT.format(m="s0")} AS st FROM l WHERE m0 IS NOT NULL), f AS (SELECT *, m BETWEEN lo AND hi AS good FROM s), p AS (SELECT DISTINCT page_id, page_id % 11 AS k FROM day_rows)
+SELECT page_id, slot_date::VARCHAR AS slot_date, slot, CASE WHEN good THEN m END::INT AS main_min, CASE WHEN good THEN st END::INT AS start_min, CASE WHEN NOT good THEN 'implausible_time' END AS warning FROM f
+UNION ALL SELECT page_id, NULL, CASE WHEN k = 2 THEN 'isha' END, NULL, NULL, CASE k WHEN 0 THEN 'no_table' WHEN 1 THEN 'no_date_column' ELSE 'missing_prayer_column' END FROM p WHERE k < 3""")
 def k03(day_rows):
-    rows = extract.table_rows(timetable_pages(day_rows), ["date", "fajr"], 0, {"fajr": 1, "isha": 2}, 2024)
-    return rows.withColumn("slot_date", F.col("slot_date").cast("string"))
+    rows = extract.table_rows(timetable_pages(day_rows), ["fajr", "jamaat"], "date", {"fajr": "fajr jamaat", "isha": "isha"}, 2024, start_columns={"fajr": "begins"})
+    return rows.drop("row").withColumn("slot_date", F.col("slot_date").cast("string"))
+
+
+# a month's table: bare days, blank and ditto cells that repeat the one above
+define("month_rows", ("customer",), """
+SELECT c_custkey DIV 28 AS page_id, c_custkey % 28 + 1 AS day, CASE WHEN c_custkey % 28 = 0 OR c_custkey % 5 = 0 THEN 'y' WHEN c_custkey % 5 = 1 THEN '"' WHEN c_custkey % 5 = 2 THEN '' ELSE 'Ditto' END AS mark, 300 + (c_custkey * 7) % 60 AS fajr FROM @customer""")
+
+
+@query("k03_carried_timetable", "month_rows", """
+SELECT page_id, (DATE '2024-02-01' + (day - 1)::INT)::VARCHAR AS slot_date, last_value(CASE WHEN mark = 'y' THEN fajr END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INT AS main_min FROM month_rows""")
+def k03b(month_rows):
+    ordinal = F.concat(F.lit("Mon "), F.col("day").cast("string"), F.lit("th"))
+    row = F.concat(F.lit("<tr><td>"), ordinal, F.lit("</td><td>"), F.when(F.col("mark") == "y", clock(F.col("fajr"))).otherwise(F.col("mark")), F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", row.alias("row")))), lambda x: x["row"]), "")
+    pages = month_rows.groupBy("page_id").agg(F.concat(F.lit("<table><tr><th>Day</th><th>Fajr</th></tr>"), rows, F.lit("</table>")).alias("html"))
+    found = extract.table_rows(pages, ["fajr"], 0, {"fajr": 1}, 2024, month=2, carry_forward=True)
+    return found.select("page_id", F.col("slot_date").cast("string").alias("slot_date"), "main_min")
 
 
 @query("k01_user_extractors", "day_rows", """
-SELECT page_id, count(*) FILTER (page_id % 2 = 0) AS found, CASE WHEN page_id % 2 = 1 THEN 1 ELSE 0 END AS errors FROM day_rows GROUP BY page_id""")
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 11 > 0 THEN count(*) ELSE 0 END AS found, CASE WHEN page_id % 2 = 1 OR page_id % 11 = 0 THEN 1 ELSE 0 END AS errors FROM day_rows GROUP BY page_id""")
 def k01(day_rows):
     def good(url, page):
         return [(r[0], "fajr", 300) for r in html.tables_of(page)[1][1:]]
@@ -210,14 +265,16 @@ def k04(day_rows):
 
 
 @query("k05_year_calendar", "day_rows", """
-SELECT page_id, slot_date::VARCHAR AS slot_date, slot, m::INT AS main_min FROM (SELECT page_id, slot_date, 'fajr' AS slot, fajr AS m FROM day_rows WHERE slot_date < DATE '2024-02-01' AND fajr BETWEEN 120 AND 450 UNION ALL SELECT page_id, slot_date, 'dhuhr', 780 FROM day_rows WHERE slot_date < DATE '2024-02-01')""")
+SELECT page_id, slot_date::VARCHAR AS slot_date, slot, n AS session_no, m::INT AS main_min FROM (SELECT page_id, slot_date, 'fajr' AS slot, 1 AS n, fajr AS m FROM day_rows WHERE fajr BETWEEN 120 AND 450 UNION ALL SELECT page_id, slot_date, 'dhuhr', 1, 780 FROM day_rows
+ UNION ALL SELECT page_id, slot_date, 'jumuah', 1, 795 FROM day_rows WHERE page_id % 3 > 0 AND dayofweek(slot_date) = 5 UNION ALL SELECT page_id, slot_date, 'jumuah', 2, 840 FROM day_rows WHERE page_id % 3 = 1 AND dayofweek(slot_date) = 5)""")
 def k05(day_rows):
-    january = day_rows.where("slot_date < DATE '2024-02-01'")
     day = F.dayofmonth("slot_date").cast("string")
     times = F.array(F.coalesce(clock(F.col("fajr")), F.lit("")), F.lit("+15"), F.lit(""), F.lit(""), F.lit(""))
     starts = F.array(F.lit("05:00"), F.lit("06:30"), F.lit("12:45"), F.lit("15:00"), F.lit("17:00"), F.lit("19:00"))
-    both = january.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct(day, times))).alias("i"), F.map_from_entries(F.collect_list(F.struct(day, starts))).alias("c"))
-    conf = F.to_json(F.struct(F.array("c").alias("calendar"), F.array("i").alias("iqamaCalendar")))
+    month = lambda m, c: F.map_from_entries(F.collect_list(F.when(F.month("slot_date") == m, F.struct(day, c))))
+    both = day_rows.groupBy("page_id").agg(F.array(month(1, times), month(2, times)).alias("iqamaCalendar"), F.array(month(1, starts), month(2, starts)).alias("calendar"))
+    friday = [F.when(F.col("page_id") % 3 > 0, "13:15").alias("jumua"), F.when(F.col("page_id") % 3 == 1, "2:00").alias("jumua2"), F.lit("").alias("jumua3")]
+    conf = F.to_json(F.struct("calendar", "iqamaCalendar", *friday))
     rows = extract.calendar_rows(both.select("page_id", F.concat(F.lit("<script>let confData = "), conf, F.lit(";</script>")).alias("html")), 2024)
     return rows.withColumn("slot_date", F.col("slot_date").cast("string"))
 
@@ -230,21 +287,49 @@ def k06(day_rows, sources):
     return found.select("source_id", "place_id", F.col("slot_date").cast("string").alias("slot_date"), "main_min", "evidence")
 
 
-define("leads", ("pages",), "SELECT page_id AS lead_id, CASE WHEN page_id % 5 = 0 THEN 'https://facebook.com/x' WHEN page_id % 5 = 1 THEN 'https://gone.example.org/' || CAST(page_id AS STRING) ELSE url END AS url, 'Hall ' || CAST(page_id AS STRING) AS name, 'SW1A 1AA' AS postcode FROM @pages")
+# leads made of what the stored pages show: their title as the name, parts of it as postcode or address
+define("store", ("pages",), "SELECT min(page_id) AS page_id, url, min(html) AS html FROM @pages WHERE url IS NOT NULL GROUP BY url")
+define("titled", ("store",), "SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 9 AS k, CAST(page_id AS STRING) AS id FROM @store")
+define("leads", ("titled",), """
+SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'https://facebook.com/x' WHEN 1 THEN 'https://gone.example.org/' || id WHEN 7 THEN 'https://c' || id || '.example.org/home' WHEN 8 THEN 'https://d' || id || '.example.org/' ELSE url END AS url,
+ CASE WHEN k = 5 THEN 'Xyzzyq Wqvbk' ELSE title END AS name, CASE WHEN k = 3 THEN 'QQ99 9QQ' WHEN k = 4 THEN NULL ELSE substr(title, 1, 9) END AS postcode, CASE WHEN k = 4 THEN upper(substr(title, 1, 16)) ELSE '12 No Street' END AS address, k = 6 AS trusted FROM @titled""")
+define("shelf", ("titled",), """
+SELECT url, html FROM @titled UNION ALL SELECT 'https://c' || id || '.example.org/home' AS url, '<p>nothing here</p>' AS html FROM @titled WHERE k = 7 UNION ALL SELECT 'https://c' || id || '.example.org/about' AS url, html FROM @titled WHERE k = 7
+UNION ALL SELECT 'https://d' || id || '.example.org/' AS url, '<a href="https://own' || id || '.example.org/">Visit website</a>' AS html FROM @titled WHERE k = 8 UNION ALL SELECT 'https://own' || id || '.example.org/' AS url, html FROM @titled WHERE k = 8""")
+
 
+@query("d11_verify_leads", ("leads", "shelf", "titled"), """
+SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'denied' WHEN 1 THEN 'fetch_failed' WHEN 3 THEN 'no_match' WHEN 5 THEN 'no_match' ELSE 'verified' END AS outcome,
+ CASE k WHEN 7 THEN 'https://c' || id || '.example.org/about' WHEN 8 THEN 'https://own' || id || '.example.org/' WHEN 2 THEN url WHEN 4 THEN url WHEN 6 THEN url END AS verified_url FROM titled""")
+def d11(leads, shelf, titled):
+    return websites.verify(leads, shelf)
 
-@query("d11_verify_leads", ("leads", "pages"), "SELECT lead_id, CASE WHEN lead_id % 5 = 0 THEN 'denied' WHEN lead_id % 5 = 1 THEN 'fetch_failed' WHEN lead_id % 5 = 2 THEN 'verified' ELSE 'no_match' END AS outcome FROM leads")
-def d11(leads, pages):
-    shown = F.concat(F.lit("<title>Hall "), F.col("page_id").cast("string"), F.lit("</title><p>SW1A1AA</p>"))
-    store = pages.select("url", F.when(F.col("page_id") % 5 == 2, shown).otherwise("<p>other</p>").alias("html")).dropDuplicates(["url"])
-    return websites.verify(leads, store).select("lead_id", "outcome")
+
+def _verified(places):
+    leads = places.select(F.col("place_id").alias("lead_id"), "place_id", F.when(F.col("place_id") % 2 == 0, "verified").when(F.col("place_id") % 5 == 0, "denied").when(F.col("place_id") % 7 == 0, "fetch_failed").otherwise("no_match").alias("outcome"), F.concat(F.lit("https://v"), F.col("place_id").cast("string"), F.lit(".org")).alias("url"))
+    leads = leads.withColumn("verified_url", F.when(F.col("outcome") == "verified", F.col("url")))
+    return leads.withColumns({"provider": F.lit("p1"), "provider_rank": F.lit(1)}).unionByName(leads.withColumns({"provider": F.lit("p2"), "provider_rank": F.lit(2)}))
 
 
 @query("e15_promote_websites", ("places", "sources"), "SELECT place_id, 'p1:' || place_id AS external_id, 'https://v' || place_id || '.org' AS website FROM places WHERE coalesce(website, '') = '' AND place_id % 2 = 0")
 def e15(places, sources):
-    leads = places.select(F.col("place_id").alias("lead_id"), "place_id", F.when(F.col("place_id") % 2 == 0, "verified").otherwise("no_match").alias("outcome"), F.concat(F.lit("https://v"), F.col("place_id").cast("string"), F.lit(".org")).alias("verified_url"))
-    both = leads.withColumns({"provider": F.lit("p1"), "provider_rank": F.lit(1)}).unionByName(leads.withColumns({"provider": F.lit("p2"), "provider_rank": F.lit(2)}))
-    return websites.promote(both, places, sources)
+    return websites.promote(_verified(places), places, sources)
+
+
+_OUTCOMES = "(SELECT place_id, website, CASE WHEN place_id % 2 = 0 THEN 'verified' WHEN place_id % 5 = 0 THEN 'denied' WHEN place_id % 7 = 0 THEN 'fetch_failed' ELSE 'no_match' END AS outcome FROM places)"
+
+
+@query("e15_run_counts", ("places", "sources"), f"""
+SELECT {", ".join(f"2 * count(*) FILTER (outcome = '{k}') AS {k}" for k in ("verified", "denied", "fetch_failed", "no_match"))}, 2 * count(*) FILTER (outcome IN ('fetch_failed', 'no_match')) AS audited, count(*) FILTER (outcome = 'verified' AND coalesce(website, '') = '') AS promoted FROM {_OUTCOMES}""")
+def e15b(places, sources):
+    verified = _verified(places)
+    return websites.run_counts(verified, websites.promote(verified, places, sources))
+
+
+@query("e15_audit_rows", "places", f"""
+SELECT place_id, 'provider=' || p || '; outcome=' || outcome || '; url=https://v' || place_id || '.org' AS notes FROM {_OUTCOMES}, (VALUES ('p1'), ('p2')) x(p) WHERE outcome IN ('fetch_failed', 'no_match')""")
+def e15c(places):
+    return websites.audit_rows(_verified(places)).select("place_id", "notes")
 
 
 @query("s01_export_set", ("previous", "places", "sources"), f"SELECT place_id, slot_date::VARCHAR AS slot_date, slot, session_no::INT AS session_no, name AS place_name FROM previous JOIN places USING (place_id) WHERE status = 'active' AND source_id IN (SELECT source_id FROM sources WHERE {PUB})")
@@ -293,18 +378,21 @@ def j01(events):
     spark = events.sparkSession
     source, target, checkpoint = (shared_folder(spark, n) for n in ("events", "feed", "cursor"))
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    events.unionByName(events.where("event_id % 10 = 0")).write.parquet(source)
-    changes.drain(changes.change_feed(spark, source, events.schema, 500), target, checkpoint)
+    # the older half comes second, with replays of the newer one
+    late = F.col("event_id") % 2 == 0
+    for part in (events.where(~late), events.where(late).unionByName(events.where("event_id % 10 = 1"))):
+        part.write.mode("append").parquet(source)
+        changes.drain(changes.change_feed(spark, source, events.schema, 500), target, checkpoint)
     return spark.read.parquet(target).select("event_id", "event_type")
 
 
-@query("j02_fetch_outcomes_stream", "fetches")
+@query("j02_fetch_outcomes_stream", "fetches", operations.FOLDED)
 def j02(fetches):
     spark = fetches.sparkSession
-    source, checkpoint = shared_folder(spark, "fetches"), shared_folder(spark, "state")
-    fetches.write.parquet(source)
-    name = "health_" + checkpoint[-8:]
-    stream = changes.fold_outcomes(spark.readStream.schema(fetches.schema).parquet(source))
-    query = stream.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    source, target, checkpoint = (shared_folder(spark, n) for n in ("fetches", "health", "state"))
+    # the newer half comes first
+    newer = F.dayofmonth("ts") > 15
+    for part in (fetches.where(newer), fetches.where(~newer)):
+        part.write.mode("append").parquet(source)
+        changes.drain_outcomes(changes.fold_outcomes(spark.readStream.schema(fetches.schema).parquet(source)), target, checkpoint)
+    return changes.latest_health(spark, target)

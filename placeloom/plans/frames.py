@@ -59,7 +59,7 @@ SELECT o_orderkey * 6 + slot AS candidate_id,
  CAST(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE 1 + (o_orderkey DIV 60) % 2 END AS INT) AS session_no,
  CAST(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 300 + 150 * slot + o_orderkey % 11 END AS INT) AS start_min,
  CAST(CASE WHEN (o_orderkey * 6 + slot) % 29 = 0 THEN NULL WHEN (o_orderkey * 6 + slot) % 31 = 0 THEN 290 + 150 * slot WHEN o_orderkey % 37 = 0 THEN 420 + 150 * slot ELSE 315 + 150 * slot + o_orderkey % 7 END AS INT) AS main_min,
- CASE WHEN o_orderkey % 41 = 0 THEN 'Mars/Base' WHEN o_orderkey % 43 = 0 THEN 'Europe/Dublin' ELSE 'Europe/London' END AS timezone,
+ CASE WHEN o_orderkey % 41 = 0 THEN 'Mars/Base' WHEN o_orderkey % 43 = 0 THEN 'Europe/Dublin' WHEN o_orderkey % 47 = 0 THEN 'Asia/Karachi' WHEN o_orderkey % 53 = 0 THEN 'europe/paris ' ELSE 'Europe/London' END AS timezone,
  CASE WHEN o_orderkey % 5 < 2 THEN 'pending' WHEN o_orderkey % 5 < 4 THEN 'approved' ELSE 'superseded' END AS status,
  CASE WHEN o_orderkey % 19 = 0 THEN 'ai' ELSE 'parser' END AS run_kind,
  o_orderkey % 1000 AS run_id,
@@ -89,6 +89,10 @@ FROM @orders""")
 define("change_events", ("events",), """
 SELECT event_id, event_type AS kind, user_id AS place_id, event_id % 25 AS version_id, props AS payload FROM @events""")
 
+define("claims", ("events",), "SELECT event_id AS claim_id, user_id AS place_id, 'person' || CAST(event_id AS STRING) || ' at example.org' AS contact, CASE WHEN event_id % 4 = 0 THEN 'pending' ELSE 'verified' END AS status FROM @events WHERE event_id % 3 = 0")
+define("corrections", ("events",), """
+SELECT event_id AS correction_id, user_id AS place_id, CASE WHEN event_id % 2 = 0 THEN 'pending' ELSE 'done' END AS status FROM @events WHERE event_id % 3 = 1""")
+
 define("fetches", ("events",), "SELECT event_id, ts, user_id AS source_id, event_type <> 'error' AS success FROM @events")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.functions.similarity import token_set_ratio
-from placeloom.functions.text import PARENT_PATTERNS, compact_postcode, domain_of, is_denied_host, normalise_name, shared_tokens
-from placeloom.operators import publish, reads, resolve
+from placeloom.functions.text import PARENT_PATTERNS
+from placeloom.operators import leads, publish, reads, resolve
 from placeloom.plans.frames import AS_OF
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import _TOK, haversine_sql
+from placeloom.sources import feeds
+from placeloom.sources.files import shared_folder
 
 DAY = f"DATE '{AS_OF}'"
 PUB = "policy = 'public_redistribution_allowed'"
@@ -49,24 +50,18 @@ def d02(records, places):
 _ORIGIN = "(SELECT 51.2::DOUBLE AS lat, -0.8::DOUBLE AS lon)"
 
 
-def _nearest(places, metres, limit):
-    one = places.sparkSession.range(1).select(F.lit(0).alias("origin"), F.lit(51.2).alias("lat"), F.lit(-0.8).alias("lon"))
-    found = resolve.within(one, places.where("status = 'active'"), "origin", "place_id", metres)
-    return found.orderBy("metres", "place_id").limit(limit)
-
-
 @query("d03_radius_search", "places", f"SELECT p.place_id, round({haversine_sql('o', 'p')}, 3) AS metres FROM places p, {_ORIGIN} o WHERE status = 'active' AND {haversine_sql('o', 'p')} <= 5000 ORDER BY {haversine_sql('o', 'p')}, place_id LIMIT 10")
 def d03(places):
-    return _nearest(places, 5000.0, 10).select("place_id", F.round("metres", 3).alias("metres"))
+    return reads.nearest(places, 51.2, -0.8, 5000.0, 10).select("place_id", F.round("metres", 3).alias("metres"))
 
 
 @query("d04_nearby_times", ("places", "previous", "sources"), f"""
 WITH near AS (SELECT p.place_id, round({haversine_sql('o', 'p')}, 3) AS metres FROM places p, {_ORIGIN} o WHERE status = 'active' AND {haversine_sql('o', 'p')} <= 20000 ORDER BY {haversine_sql('o', 'p')}, place_id LIMIT 40)
 SELECT place_id, metres, slot, session_no::INT AS session_no, main_min FROM near JOIN previous USING (place_id) WHERE slot_date = DATE '2024-01-12' AND source_id IN (SELECT source_id FROM sources WHERE {PUB})""")
 def d04(places, previous, sources):
-    near = _nearest(places, 20000.0, 40).select("place_id", F.round("metres", 3).alias("metres"))
-    times = reads.public_times(previous, sources, "2024-01-12", "2024-01-12")
-    return times.join(F.broadcast(near), "place_id").select("place_id", "metres", "slot", "session_no", "main_min")
+    near = reads.nearest(places, 51.2, -0.8, 20000.0, 40).withColumn("metres", F.round("metres", 3))
+    times = reads.nearby_times(near, previous, sources, "2024-01-12")
+    return times.select("place_id", "metres", "slot", "session_no", "main_min")
 
 
 @query("d05_radius_join", ("records", "places"), f"SELECT r.record_id, p.place_id, round({METRES}, 3) AS metres FROM records r JOIN places p ON abs(r.lat - p.lat) < 0.006 AND {METRES} <= 500")
@@ -74,52 +69,84 @@ def d05(records, places):
     return resolve.within(records, places, "record_id", "place_id", 500.0).select("record_id", "place_id", F.round("metres", 3).alias("metres"))
 
 
+# points on both sides of 180 degrees and by the poles
+define("far_points", ("customer",), """
+SELECT c_custkey AS point_id, CASE WHEN c_custkey % 5 = 4 THEN 89.9 + (c_custkey % 89) / CAST(1000.0 AS DOUBLE) ELSE -17 + (c_custkey % 331) / CAST(100000.0 AS DOUBLE) END AS lat,
+ CASE WHEN c_custkey % 5 = 4 THEN (c_custkey * 37) % 360 - CAST(180.0 AS DOUBLE) WHEN c_custkey % 2 = 0 THEN 180 - (c_custkey % 313) / CAST(100000.0 AS DOUBLE) ELSE -180 + (c_custkey % 317) / CAST(100000.0 AS DOUBLE) END AS lon FROM @customer""")
+
+
+@query("d05_radius_join_round_the_globe", "far_points", f"SELECT a.point_id AS a, b.point_id AS b FROM far_points a JOIN far_points b ON abs(a.lat - b.lat) < 0.006 AND {haversine_sql('a', 'b')} <= 200 WHERE a.point_id % 10 IN (0, 4)")
+def d05b(far_points):
+    left = far_points.where("point_id % 10 in (0, 4)").withColumnRenamed("point_id", "a")
+    return resolve.within(left, far_points.withColumnRenamed("point_id", "b"), "a", "b", 200.0).select("a", "b")
+
+
 @query("d06_crawled_only", ("places", "sources", "candidates"), "SELECT place_id FROM places p WHERE status = 'active' AND EXISTS (SELECT 1 FROM candidates c JOIN sources s USING (source_id) WHERE c.place_id = p.place_id AND s.source_type = 'website' AND c.status = 'approved')")
 def d06(places, sources, candidates):
-    website = sources.where("source_type = 'website'").select("source_id")
-    crawled = candidates.where("status = 'approved'").join(website, "source_id", "left_semi").select("place_id")
-    return places.where("status = 'active'").join(crawled, "place_id", "left_semi").select("place_id")
+    return reads.crawled_places(places, sources, candidates).select("place_id")
 
 
 @query("d07_candidate_context", ("candidates", "sources", "places"), "SELECT candidate_id, s.source_type, s.policy, p.status AS place_status FROM candidates c LEFT JOIN sources s USING (source_id) LEFT JOIN places p ON p.place_id = c.place_id")
 def d07(candidates, sources, places):
-    joined = candidates.select("candidate_id", "source_id", "place_id").join(sources.select("source_id", "source_type", "policy"), "source_id", "left")
-    return joined.join(places.select("place_id", F.col("status").alias("place_status")), "place_id", "left").select("candidate_id", "source_type", "policy", "place_status")
+    return reads.candidate_context(candidates, sources, places).select("candidate_id", "source_type", "policy", "place_status")
 
 
 @query("a10_register", "register", r"SELECT number, regexp_replace(upper(postcode), '\s+', '', 'g') AS compact, CASE WHEN contains(trim(web), '://') THEN trim(web) ELSE 'https://' || trim(web) END AS url FROM register WHERE trim(web) <> '' AND trim(postcode) <> ''")
 def a10(register):
-    kept = register.where((F.trim("web") != "") & (F.trim("postcode") != ""))
-    return kept.select("number", compact_postcode(F.col("postcode")).alias("compact"), F.when(F.instr("web", "://") > 0, F.trim("web")).otherwise(F.concat(F.lit("https://"), F.trim("web"))).alias("url"))
+    return register_rows(register).select("number", "compact", "url")
 
 
-def register_leads(register, places):
-    """Register rows of a place's postcode with two shared words, a name ratio of 60 and an allowed host."""
-    kept = a10(register).join(register.select("number", F.col("name").alias("registered")), "number")
-    without = reads.missing_website(places).withColumn("compact", compact_postcode(F.col("postcode")))
-    pairs = kept.join(without.select("place_id", "name", "compact"), "compact").where(~is_denied_host(domain_of(F.col("url"))))
-    return pairs.where(shared_tokens(F.col("name"), F.col("registered")) >= 2)
+def register_rows(register):
+    """The register written as a tab-separated file and read back."""
+    spark = register.sparkSession
+    path = shared_folder(spark, "register")
+    register.toDF("Charity Number", "Charity Name", "Postcode", "Web Site").write.csv(path, header=True, sep="\t")
+    columns = {"number": "Charity Number", "registered": "Charity Name", "postcode": "Postcode", "web": "Web Site"}
+    return feeds.read_register(spark, path, columns).withColumn("number", F.col("number").cast("long"))
 
 
-@query("d08_register_leads", ("register", "places"))
-def d08(register, places):
-    pairs = register_leads(register, places).withColumn("ratio", token_set_ratio(normalise_name(F.col("name")), normalise_name(F.col("registered"))))
-    return pairs.where("ratio >= 60").select("place_id", "number", "url", F.round("ratio", 6).alias("ratio"))
+# some numbers of the register have a source already
+define("register_sources", ("register",), """
+SELECT number * 2 + j AS source_id, CASE WHEN j = 0 THEN 'register' ELSE 'website' END AS source_type, CAST(number AS STRING) AS external_id FROM (SELECT number, EACH(2) AS j FROM @register) WHERE number % 4 = 1""")
+
+
+@query("d08_register_leads", ("register", "places", "register_sources"))
+def d08(register, places, register_sources):
+    found = leads.register_leads(register_rows(register), places, register_sources)
+    return found.withColumn("ratio", F.round("ratio", 6))
 
 
 @query("d08_register_pairs", ("register", "places"), rf"""
 WITH k AS (SELECT number, name AS registered, regexp_replace(upper(postcode), '\s+', '', 'g') AS compact, regexp_replace(lower(regexp_extract(CASE WHEN contains(web, '://') THEN trim(web) ELSE 'https://' || trim(web) END, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM register WHERE trim(web) <> '' AND trim(postcode) <> '')
 SELECT place_id, number FROM k JOIN places p ON k.compact = regexp_replace(upper(p.postcode), '\s+', '', 'g') WHERE coalesce(p.website, '') = '' AND NOT (contains(host, 'facebook.com') OR contains(host, 'x.com')) AND len(list_intersect({_TOK.format(c='p.name')}, {_TOK.format(c='registered')})) >= 2""")
 def d08b(register, places):
-    return register_leads(register, places).select("place_id", "number")
+    return leads.register_pairs(register_rows(register), places).select("place_id", "number")
+
+
+# metadata of a source: keys of homepages, others, and values that are no urls
+define("metadata_rows", ("sources",), """
+SELECT source_id, place_id, source_type, k, CASE k WHEN 0 THEN 'homepage' WHEN 1 THEN 'homepage_url' WHEN 2 THEN 'mosque_website' WHEN 3 THEN 'official_website' WHEN 4 THEN 'primary_website' WHEN 5 THEN 'url' WHEN 6 THEN 'detail_page_url' ELSE 'website_url' END AS key,
+ CASE WHEN (source_id + k) % 5 = 0 THEN ' HTTPS://h' || CAST(source_id AS STRING) || '.org/' || CAST(k AS STRING) || ' ' WHEN (source_id + k) % 5 = 1 THEN 'ftp://x' WHEN (source_id + k) % 5 = 2 THEN '' ELSE 'http://p' || CAST(k AS STRING) || '.example.org' END AS url
+FROM (SELECT source_id, place_id, source_type, EACH(8) AS k FROM @sources) WHERE (source_id * 3 + k) % 7 < 3""")
+
 
+@query("d09_metadata_leads", ("metadata_rows", "places"), r"""
+SELECT source_id, place_id, key, trim(url) AS url FROM metadata_rows JOIN places p USING (place_id) WHERE source_type = 'map_dump' AND coalesce(p.website, '') = '' AND k < 6 AND regexp_matches(lower(trim(url)), '^https?://')""")
+def d09(metadata_rows, places):
+    pairs = F.map_from_entries(F.collect_list(F.struct("key", "url")))
+    sources = metadata_rows.groupBy("source_id", "place_id", "source_type").agg(pairs.alias("metadata"))
+    return leads.metadata_leads(sources, places, "map_dump")
 
-@query("d09_metadata_leads", ("sources", "places"), r"""
-SELECT source_id, place_id, key, url FROM (SELECT s.source_id, s.place_id, p.website, unnest([{'key': 'homepage', 'url': s.homepage}, {'key': 'website', 'url': s.url}], recursive := true) FROM sources s JOIN places p USING (place_id)) WHERE url LIKE 'http%' AND url IS DISTINCT FROM website""")
-def d09(sources, places):
-    keys = F.array(F.struct(F.lit("homepage").alias("key"), F.col("homepage").alias("url")), F.struct(F.lit("website").alias("key"), F.col("url").alias("url")))
-    rows = sources.join(places.select("place_id", "website"), "place_id").select("source_id", "place_id", "website", F.inline(keys))
-    return rows.where(F.col("url").like("http%") & ~F.col("url").eqNullSafe(F.col("website"))).select("source_id", "place_id", "key", "url")
+
+@query("d09_tag_leads", ("metadata_rows", "places"), r"""
+SELECT DISTINCT place_id, tag, trim(url) AS url FROM (SELECT place_id, url, CASE k WHEN 0 THEN 'website' WHEN 1 THEN 'contact:website' WHEN 2 THEN 'url' WHEN 3 THEN 'contact:url' WHEN 4 THEN 'name' ELSE 'old:website' END AS tag, k FROM metadata_rows WHERE place_id IS NOT NULL AND source_id % 10 = 3)
+JOIN places p USING (place_id) WHERE k < 4 AND regexp_matches(lower(trim(url)), '^https?://') AND trim(url) IS DISTINCT FROM p.website""")
+def d09b(metadata_rows, places):
+    names = F.array(*[F.lit(t) for t in ("website", "contact:website", "url", "contact:url", "name")])
+    tag = F.coalesce(F.get(names, F.col("k").cast("int")), F.lit("old:website"))
+    rows = metadata_rows.where("place_id is not null and source_id % 10 = 3")
+    elements = rows.select("place_id", F.create_map(tag, F.col("url")).alias("tags"))
+    return leads.tag_leads(elements, places).distinct()
 
 
 # search results are an input: three ranked ones a query, made of the place's own columns
@@ -131,10 +158,7 @@ FROM (SELECT *, CAST(place_id % 3 + 1 AS INT) AS r FROM @places WHERE postcode I
 @query("d10_search_leads", ("places", "results"), """
 SELECT place_id, rank, url FROM (SELECT place_id, '"' || name || '" ' || postcode AS query FROM places WHERE coalesce(website, '') = '' AND postcode IS NOT NULL) q JOIN results USING (query) WHERE NOT contains(url, 'facebook.com')""")
 def d10(places, results):
-    asked = reads.missing_website(places).withColumn("query", F.concat(F.lit('"'), F.col("name"), F.lit('" '), F.col("postcode")))
-    queries = asked.select("query").distinct()
-    found = queries.join(results, "query").where((F.col("rank") <= 3) & ~is_denied_host(domain_of(F.col("url"))))
-    return asked.select("place_id", "query").join(found, "query").select("place_id", "rank", "url")
+    return leads.search_leads(places, results)
 
 
 @query("e02_geo_score", ("records", "places"), f"WITH {KEYED}, {PAIRS} SELECT record_id, place_id, {GEO} AS score FROM pairs WHERE metres <= 500")
@@ -187,14 +211,21 @@ def e04(records, places, aliases, sources):
 
 
 # records linked to a place by key, as the input of what follows a decision
-define("linked", ("records",), "SELECT record_id % 700 AS place_id, record_id, name, website, city, lat, lon, public, CASE WHEN record_id % 5 = 0 THEN NULL ELSE record_date END AS record_date, source_type, external_id FROM @records")
+define("linked", ("records",), "SELECT record_id % 700 AS place_id, record_id, name, website, city, postcode, country, record_id % 6 = 0 AS created, lat, lon, public, CASE WHEN record_id % 5 = 0 THEN NULL ELSE record_date END AS record_date, source_type, external_id FROM @records")
+
+
+def _kept(k: str) -> str:
+    return f"CASE WHEN (n.created OR nullif(trim(p.{k}), '') IS NULL) AND nullif(trim(n.{k}), '') IS NOT NULL THEN n.{k} ELSE p.{k} END AS {k}"
 
 
-@query("e05_survivorship", ("places", "linked"), """
+_AT = "n.lat IS NOT NULL AND n.lon IS NOT NULL AND (coalesce(n.created, false) OR p.lat IS NULL)"
+
+
+@query("e05_survivorship", ("places", "linked"), f"""
 WITH n AS (SELECT * FROM linked WHERE public QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY record_id) = 1)
-SELECT p.place_id, coalesce(nullif(p.website, ''), n.website) AS website, coalesce(nullif(p.city, ''), n.city) AS city, coalesce(p.lat, n.lat) AS lat, CASE WHEN p.lat IS NULL AND n.lat IS NOT NULL THEN n.lon ELSE p.lon END AS lon FROM places p LEFT JOIN n USING (place_id)""")
+SELECT p.place_id, {", ".join(map(_kept, resolve.FIELDS))}, {", ".join(f"CASE WHEN {_AT} THEN n.{k} ELSE p.{k} END AS {k}" for k in ("lat", "lon"))} FROM places p LEFT JOIN n USING (place_id)""")
 def e05(places, linked):
-    return resolve.survive(places, linked).drop("name")
+    return resolve.survive(places, linked)
 
 
 @query("e06_newer_names", ("places", "linked"), r"""
@@ -241,6 +272,12 @@ def e10(reviews):
     return reads.page(queue, [F.desc_nulls_last("score"), F.col("created_on"), F.col("review_id")], 10, 50).select("review_id", "score", F.size("candidates").alias("candidates"))
 
 
+@query("e10_review_queue_by_type", ("reviews", "sources"), f"SELECT review_id, score, len({_CAND})::INT AS candidates FROM reviews WHERE status = 'rejected' AND source_id IN (SELECT source_id FROM sources WHERE source_type = 'website') ORDER BY score DESC NULLS LAST, created_on, review_id LIMIT 50")
+def e10b(reviews, sources):
+    queue = resolve.review_queue(reviews, "rejected", source_type="website", sources=sources)
+    return reads.page(queue, [F.desc_nulls_last("score"), F.col("created_on"), F.col("review_id")], 0, 50).select("review_id", "score", F.size("candidates").alias("candidates"))
+
+
 @query("e11_bulk_accept", "reviews", f"SELECT review_id, {_CAND}[1] AS place_id FROM (SELECT * FROM reviews WHERE status = 'pending' AND score >= 0.6 ORDER BY score DESC, created_on, review_id LIMIT 300) WHERE len({_CAND}) = 1")
 def e11(reviews):
     return resolve.bulk_accept(reviews, 0.6, 300).select("review_id", F.get("candidates", F.lit(0)).alias("place_id"))
@@ -251,19 +288,41 @@ def e12(places, sources, reviews):
     return resolve.bulk_activate(places, sources, reviews, 40).select("place_id")
 
 
-_MERGES = "m AS (SELECT place_id AS duplicate_id, place_id // 10 AS canonical_id FROM places WHERE status = 'duplicate')"
+# chains of merges are followed to their end
+_MERGES = """RECURSIVE m0 AS (SELECT place_id AS d, place_id // 10 AS c FROM places WHERE status = 'duplicate' AND place_id >= 10), f(d, c) AS (SELECT d, c FROM m0 UNION ALL SELECT f.d, m0.c FROM f JOIN m0 ON m0.d = f.c),
+m AS (SELECT d AS duplicate_id, c AS canonical_id FROM f WHERE c NOT IN (SELECT d FROM m0))"""
+_MOVED = {"sources": ("source_id", ["place_id"]), "candidates": ("candidate_id", ["place_id"]), "previous": ("candidate_id", ["place_id"]), "claims": ("claim_id", ["place_id"]), "corrections": ("correction_id", ["place_id"]), "reviews": ("review_id", ["proposed_id", "alternative_1", "alternative_2"])}
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _merged(places, aliases, **tables):
+    merges = places.where("status = 'duplicate' and place_id >= 10").select(F.col("place_id").alias("duplicate_id"), F.expr("place_id div 10").alias("canonical_id"))
+    return resolve.merge_places(merges, places, aliases, {k: (df, _MOVED[k][1]) for k, df in tables.items()})
+
+
+@query("e13_merge_places", ("places", "aliases", *_MOVED), f"""
+WITH {_MERGES}, t AS ({" UNION ALL ".join(f"SELECT '{t}.{c}' AS kind, {key} AS id, {c} AS place_id FROM {t}" for t, (key, cols) in _MOVED.items() for c in cols)})
+SELECT kind, coalesce(canonical_id, place_id) AS place_id, count(*) AS n, sum(id)::BIGINT AS ids FROM t LEFT JOIN m ON place_id = duplicate_id GROUP BY 1, 2""")
+def e13(places, aliases, *tables):
+    out = _merged(places, aliases, **dict(zip(_MOVED, tables, strict=True)))
+    rows = [out[t].select(F.lit(f"{t}.{c}").alias("kind"), F.col(key).alias("id"), F.col(c).alias("place_id")) for t, (key, cols) in _MOVED.items() for c in cols]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("kind", "place_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-@query("e13_merge_places", ("places", "sources", "aliases"), rf"""
+@query("e13_merge_attributes", ("places", "aliases"), rf"""
 WITH {_MERGES}, a AS (SELECT coalesce(canonical_id, place_id) AS place_id, alias FROM aliases LEFT JOIN m ON place_id = duplicate_id UNION ALL SELECT canonical_id, name FROM places JOIN m ON place_id = duplicate_id),
-n AS (SELECT place_id, count(DISTINCT trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS aliases FROM a GROUP BY place_id), s AS (SELECT coalesce(canonical_id, place_id) AS place_id, count(*) AS sources FROM sources LEFT JOIN m ON place_id = duplicate_id WHERE place_id IS NOT NULL GROUP BY 1)
-SELECT p.place_id, coalesce(aliases, 0) AS aliases, coalesce(sources, 0) AS sources FROM places p LEFT JOIN n USING (place_id) LEFT JOIN s USING (place_id)""")
-def e13(places, sources, aliases):
-    merges = places.where("status = 'duplicate'").select(F.col("place_id").alias("duplicate_id"), F.expr("place_id div 10").alias("canonical_id"))
-    out = resolve.merge_places(merges, sources, aliases, places)
-    counts = [out[k].where("place_id is not null").groupBy("place_id").agg(F.count(F.lit(1)).alias(k)) for k in ("aliases", "sources")]
-    joined = out["places"].select("place_id").join(counts[0], "place_id", "left").join(counts[1], "place_id", "left")
-    return joined.select("place_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("aliases", "sources")])
+g AS (SELECT place_id, {_PLAIN} AS plain, min(alias) AS alias FROM a GROUP BY ALL), n AS (SELECT place_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM g GROUP BY place_id),
+b AS (SELECT canonical_id, {", ".join(f"arg_min({c}, place_id) FILTER (trim({c}) <> '') AS {c}" for c in ("postcode", "city", "website"))}, arg_min(lat, place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lat, arg_min(lon, place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lon FROM places JOIN m ON place_id = duplicate_id GROUP BY canonical_id)
+SELECT p.place_id, CASE WHEN m.duplicate_id IS NOT NULL THEN 'duplicate' ELSE p.status END AS status, {", ".join(f"coalesce(nullif(trim(p.{c}), ''), b.{c}) AS {c}" for c in ("postcode", "city", "website"))},
+ coalesce(p.lat, b.lat) AS lat, coalesce(p.lon, b.lon) AS lon, coalesce(n.aliases, '') AS aliases FROM places p LEFT JOIN m ON p.place_id = duplicate_id LEFT JOIN b ON b.canonical_id = p.place_id LEFT JOIN n ON n.place_id = p.place_id""")
+def e13b(places, aliases):
+    out = _merged(places, aliases)
+    names = out["aliases"].groupBy("place_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), "|").alias("aliases"))
+    joined = out["places"].join(names, "place_id", "left")
+    return joined.select("place_id", "status", "postcode", "city", "website", "lat", "lon", F.coalesce("aliases", F.lit("")).alias("aliases"))
 
 
 @query("e14_website_backfill", ("sources", "places"), "SELECT CASE WHEN homepage = '' THEN 'no_website' WHEN place_id IS NULL THEN 'no_place' WHEN coalesce(website, '') <> '' THEN 'already_set' ELSE 'updated' END AS outcome, count(*) AS n FROM sources LEFT JOIN places USING (place_id) GROUP BY 1")

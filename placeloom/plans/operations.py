@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import domain_of, normalise_name, normalise_postcode, note_value
+from placeloom.functions.text import domain_of, normalise_name
 from placeloom.functions.times import WINDOWS
-from placeloom.operators import crawl, publish, reads, reports
+from placeloom.operators import crawl, leads, reads, reports
 from placeloom.plans.frames import AS_OF
-from placeloom.plans.matching import _post
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import class_sql
 
@@ -18,11 +17,12 @@ NORM = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\w\s]', ' ', 'g'), '\
 HOST = r"regexp_replace(lower(regexp_extract({c}, '^[^:]*://([^/?#]*)', 1)), '^www\.', '')"
 
 
-@query("f01_coverage", ("places", "sources", "previous", "candidates"), f"""
+@query("f01_coverage", ("places", "sources", "previous", "candidates", "reviews", "corrections", "claims"), f"""
 SELECT *, CASE WHEN active > 0 THEN round(100.0::DOUBLE * published / active, 1) ELSE 0 END AS published_pct FROM (SELECT count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active' AND postcode IS NULL) AS no_postcode, count(*) FILTER (status = 'active' AND lat IS NULL) AS no_coordinates, count(*) FILTER (status = 'active' AND coalesce(website, '') = '') AS no_website FROM places),
- (SELECT count(DISTINCT place_id) AS published FROM previous), (SELECT count(*) AS sources, count(*) FILTER (last_seen IS NULL OR last_seen < {DAY} - 30) AS stale_sources FROM sources), (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved FROM candidates)""")
-def f01(places, sources, previous, candidates):
-    return reports.coverage(places, sources, previous, candidates, AS_OF)
+ (SELECT count(DISTINCT place_id) AS published FROM previous), (SELECT count(*) AS sources, count(*) FILTER (last_seen IS NULL OR last_seen < {DAY} - 30) AS stale_sources FROM sources), (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved FROM candidates),
+ (SELECT count(*) FILTER (status = 'pending') AS pending_reviews FROM reviews), (SELECT count(*) FILTER (status = 'pending') AS open_corrections FROM corrections), (SELECT count(*) FILTER (status = 'pending') AS open_claims FROM claims)""")
+def f01(places, sources, previous, candidates, reviews, corrections, claims):
+    return reports.coverage(places, sources, previous, candidates, reviews, corrections, claims, AS_OF)
 
 
 @query("f02_group_counts", "sources", """
@@ -36,47 +36,66 @@ def f03(sources):
     return reports.source_overlap(sources)
 
 
-_BUCKETS = f"SELECT {NORM.format(c='name')} AS plain, postcode, count(*) AS n, string_agg(place_id, ',' ORDER BY place_id) AS ids FROM places WHERE status <> 'duplicate' GROUP BY 1, 2 HAVING count(*) > 1"
-define("loose_places", ("places",), "SELECT place_id, substr(name, 1, 12) AS name, postcode, status FROM @places")
+_BUCKETS = f"SELECT {NORM.format(c='name')} AS plain, city, count(*) AS n, string_agg(place_id, ',' ORDER BY place_id) AS ids FROM places WHERE status <> 'duplicate' GROUP BY 1, 2 HAVING count(*) > 1"
 
 
-@query("f04_duplicate_buckets", "loose_places", f"{_BUCKETS.replace('FROM places', 'FROM loose_places')} ORDER BY n DESC, plain, postcode LIMIT 25")
-def f04(loose_places):
-    found = reports.duplicate_buckets(loose_places.withColumn("plain", normalise_name(F.col("name"))), ["plain", "postcode"])
-    return found.select("plain", "postcode", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+@query("f04_duplicate_buckets", "records", f"{_BUCKETS.replace('place_id', 'record_id').replace('FROM places', 'FROM records').replace(chr(39) + 'duplicate' + chr(39), chr(39) + 'x' + chr(39)).replace('status', 'class')} ORDER BY n DESC, plain, city NULLS LAST LIMIT 25")
+def f04(records):
+    named = records.select(F.col("record_id").alias("place_id"), "city", F.col("class").alias("status"), normalise_name(F.col("name")).alias("plain"))
+    found = reports.duplicate_buckets(named, ["plain", "city"])
+    return found.select("plain", "city", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("f05_identity_quality", ("loose_places", "sources", "places"), f"""
-SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM ({_BUCKETS.replace('FROM places', 'FROM loose_places')})) AS duplicate_rows, (SELECT count(*) FROM sources WHERE place_id IS NOT NULL) AS linked, (SELECT count(*) FROM sources WHERE place_id IS NULL) AS unlinked, (SELECT count(*) FROM places WHERE status = 'active' AND coalesce(website, '') = '') AS no_website""")
-def f05(loose_places, sources, places):
-    buckets = reports.duplicate_buckets(loose_places.withColumn("plain", normalise_name(F.col("name"))), ["plain", "postcode"], None)
+@query("f05_identity_quality", ("places", "sources"), f"""
+SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM ({_BUCKETS})) AS duplicate_rows, (SELECT count(*) FROM sources WHERE place_id IS NOT NULL) AS linked, (SELECT count(*) FROM sources WHERE place_id IS NULL) AS unlinked, (SELECT count(*) FROM places WHERE status = 'active' AND coalesce(website, '') = '') AS no_website""")
+def f05(places, sources):
+    buckets = reports.duplicate_buckets(places.withColumn("plain", normalise_name(F.col("name"))), ["plain", "city"], None)
     linked = sources.agg(F.count_if(F.col("place_id").isNotNull()).alias("linked"), F.count_if(F.col("place_id").isNull()).alias("unlinked"))
     website = places.agg(F.count_if((F.col("status") == "active") & (F.coalesce("website", F.lit("")) == "")).alias("no_website"))
     return reports.beside(buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows")), linked, website)
 
 
-@query("f06_partner_report", ("sources", "candidates"), f"SELECT source_id FROM sources s WHERE source_type = 'partner_feed' AND (place_id IS NULL OR NOT EXISTS (SELECT 1 FROM candidates c WHERE c.source_id = s.source_id AND slot_date >= {DAY}))")
-def f06(sources, candidates):
-    return reports.missing_recent(sources.where("source_type = 'partner_feed'"), candidates, AS_OF)
+_STALE = "last_seen IS NULL OR last_seen < {day} - {days}"
 
 
-@query("f07_feed_report", ("sources", "places"), f"SELECT coalesce(country, 'unknown') AS country, policy, count(*) AS sources, count(*) FILTER (last_seen IS NULL OR last_seen < {DAY} - 30) AS stale, count(*) FILTER (lat IS NULL) AS no_coordinates FROM sources LEFT JOIN places USING (place_id) WHERE source_type = 'map_dump' GROUP BY 1, 2")
-def f07(sources, places):
-    return reports.feed_report(sources.where("source_type = 'map_dump'"), places, AS_OF)
+@query("f06_partner_report", ("sources", "candidates", "corrections"), f"""
+WITH s AS (SELECT * FROM sources WHERE source_type = 'partner_feed'), c AS (SELECT * FROM candidates WHERE source_id IN (SELECT source_id FROM s))
+SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM s UNION ALL SELECT 'linked', 'all' FROM s WHERE place_id IS NOT NULL UNION ALL SELECT 'policy', policy FROM s UNION ALL SELECT 'stale', external_id FROM s WHERE {_STALE.format(day=DAY, days=7)}
+ UNION ALL SELECT 'candidate_status', status FROM c UNION ALL SELECT 'missing_recent', external_id FROM s WHERE place_id IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = s.source_id AND slot_date >= {DAY})
+ UNION ALL SELECT 'open_corrections', 'all' FROM corrections JOIN s USING (place_id) WHERE status = 'pending') GROUP BY section, value""")
+def f06(sources, candidates, corrections):
+    return reports.partner_report(sources.where("source_type = 'partner_feed'"), candidates, corrections, AS_OF)
 
 
-@query("f08_lead_analysis", "cells", r"""
-SELECT provider, bucket, count(*) AS n FROM (SELECT regexp_extract(notes, 'provider=([^;\s]*)', 1) AS provider, CASE WHEN r < 40 THEN '0-39' WHEN r < 60 THEN '40-59' WHEN r < 80 THEN '60-79' WHEN r >= 80 THEN '80-100' ELSE 'none' END AS bucket FROM (SELECT notes, TRY_CAST(regexp_extract(notes, 'name_ratio=([^;\s]*)', 1) AS DOUBLE) AS r FROM cells)) GROUP BY provider, bucket""")
-def f08(cells):
-    r = note_value(F.col("notes"), "name_ratio").try_cast("double")
-    bucket = F.when(r < 40, "0-39").when(r < 60, "40-59").when(r < 80, "60-79").when(r >= 80, "80-100").otherwise("none")
-    return cells.groupBy(note_value(F.col("notes"), "provider").alias("provider"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+define("feed_sources", ("sources",), """
+SELECT *, CASE source_id % 4 WHEN 0 THEN 'IE' WHEN 1 THEN '' ELSE NULL END AS meta_country, CASE source_id % 3 WHEN 0 THEN 'mosque' WHEN 1 THEN 'prayer_room' ELSE NULL END AS meta_class FROM @sources WHERE source_type IN ('map_dump', 'website')""")
 
 
-@query("f08_lead_domains", "cells", r"SELECT regexp_extract(notes, 'url=https://([^/;]*)', 1) AS domain, count(*) AS n FROM cells GROUP BY 1 ORDER BY n DESC, domain LIMIT 40")
-def f08b(cells):
-    counts = cells.groupBy(domain_of(note_value(F.col("notes"), "url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "domain").limit(40)
+@query("f07_feed_report", ("feed_sources", "places", "reviews"), f"""
+WITH j AS (SELECT s.*, p.place_id IS NOT NULL AS placed, p.country, p.lat, p.lon, p.postcode FROM feed_sources s LEFT JOIN places p USING (place_id))
+SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM j UNION ALL SELECT 'linked', 'all' FROM j WHERE place_id IS NOT NULL UNION ALL SELECT 'country', coalesce(nullif(country, ''), nullif(meta_country, ''), 'unknown') FROM j UNION ALL SELECT 'policy', policy FROM j
+ UNION ALL SELECT 'record_class', coalesce(meta_class, 'unknown') FROM j UNION ALL SELECT 'stale', external_id FROM j WHERE {_STALE.format(day=DAY, days=30)} UNION ALL SELECT 'missing_coordinates', external_id FROM j WHERE placed AND (lat IS NULL OR lon IS NULL) UNION ALL SELECT 'missing_postcode', external_id FROM j WHERE placed AND coalesce(trim(postcode), '') = ''
+ UNION ALL SELECT 'pending_reviews', 'all' FROM reviews r JOIN feed_sources f USING (source_id) WHERE r.status = 'pending') GROUP BY section, value""")
+def f07(feed_sources, places, reviews):
+    metadata = F.create_map(F.lit("country"), F.col("meta_country"), F.lit("record_class"), F.col("meta_class"))
+    return reports.discovery_report(feed_sources.withColumn("metadata", metadata), places, reviews, AS_OF)
+
+
+define("lead_rows", ("events",), """
+SELECT 'provider=p' || CAST(event_id % 4 AS STRING) || '; outcome=' || CASE event_id % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'fetch_failed' WHEN 2 THEN 'no_match' WHEN 3 THEN 'no_match' ELSE 'denied' END || '; url=https://www.site' || CAST(event_id % 61 AS STRING) || '.org/a' ||
+ CASE WHEN event_id % 7 = 0 THEN '' ELSE '; name_ratio=' || CAST(event_id * 13 % 101 AS STRING) END || CASE WHEN event_id % 5 <> 1 THEN '' WHEN event_id % 4 = 0 THEN '; error was HTTP 403' WHEN event_id % 4 = 1 THEN '; Timeout' WHEN event_id % 4 = 2 THEN '; non-HTML body' ELSE '; unclear' END AS notes,
+ CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Town ' || CAST(event_id % 37 AS STRING) END AS location, event_id % 5 AS o, event_id % 61 AS d, event_id AS id FROM @events""")
+_TOP = "(SELECT section, value, n FROM k WHERE section = '{k}' ORDER BY n DESC, value LIMIT {n})"
+
+
+@query("f08_lead_analysis", "lead_rows", f"""
+WITH r AS (SELECT *, 'site' || d || '.org' AS domain, o IN (2, 3) AS lost, CASE WHEN id % 7 = 0 THEN NULL ELSE id * 13 % 101 END AS ratio FROM lead_rows),
+k AS (SELECT section, value, count(*) AS n FROM (SELECT 'provider' AS section, 'p' || id % 4 AS value FROM r UNION ALL SELECT 'outcome', ['verified', 'fetch_failed', 'no_match', 'no_match', 'denied'][o + 1] FROM r UNION ALL SELECT 'domain', domain FROM r UNION ALL SELECT 'location', location FROM r
+ UNION ALL SELECT 'fetch_failure', ['403_cloudflare', 'timeout', 'non_html', 'other'][id % 4 + 1] FROM r WHERE o = 1 UNION ALL SELECT 'name_ratio', CASE WHEN ratio < 40 THEN '0-39' WHEN ratio < 60 THEN '40-59' WHEN ratio < 80 THEN '60-79' WHEN ratio >= 80 THEN '80-100' END FROM r WHERE lost
+ UNION ALL SELECT 'no_match_domain', domain FROM r WHERE lost) WHERE value IS NOT NULL GROUP BY section, value)
+SELECT * FROM k WHERE section NOT IN ('domain', 'location', 'no_match_domain') UNION ALL {_TOP.format(k="domain", n=40)} UNION ALL {_TOP.format(k="location", n=20)} UNION ALL {_TOP.format(k="no_match_domain", n=30)}""")
+def f08(lead_rows):
+    return leads.lead_analysis(lead_rows)
 
 
 _ORD = "CASE slot WHEN 'fajr' THEN 1 WHEN 'dhuhr' THEN 2 WHEN 'asr' THEN 3 WHEN 'maghrib' THEN 4 ELSE 5 END"
@@ -92,15 +111,17 @@ def f10(candidates):
     return reports.plausibility(candidates, WINDOWS, AS_OF)
 
 
-@query("f11_result_contract", "candidates", """
-WITH k AS (SELECT source_id, slot_date, slot, session_no, count(*) AS n FROM candidates GROUP BY ALL)
-SELECT c.source_id, count(*) AS rows, count(*) FILTER (json_extract_string(evidence, '$.contract') IS DISTINCT FROM 'site_extractor/v1') AS wrong_contract, count(*) FILTER (json_extract_string(evidence, '$.gate_passed') = 'false') AS gate_failed, max(d.dup) AS duplicates
-FROM candidates c JOIN (SELECT source_id, count(*) FILTER (n > 1) AS dup FROM k GROUP BY source_id) d ON d.source_id = c.source_id GROUP BY c.source_id""")
-def f11(candidates):
-    value = lambda k: F.get_json_object("evidence", f"$.{k}")
-    wrong = ~value("contract").eqNullSafe(F.lit("site_extractor/v1"))
-    keys = candidates.groupBy("source_id", "slot_date", "slot", "session_no").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(value("gate_passed") == "false").alias("failed"))
-    return keys.groupBy("source_id").agg(F.sum("n").alias("rows"), F.sum("wrong").alias("wrong_contract"), F.sum("failed").alias("gate_failed"), F.count_if(F.col("n") > 1).alias("duplicates"))
+define("run_rows", ("candidates",), "SELECT source_id AS run_id, slot_date, slot, session_no, evidence FROM @candidates WHERE source_id % 6 <> 0")
+define("run_reasons", ("sources",), """
+SELECT source_id AS run_id, CASE source_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'image target — awaiting OCR' WHEN 3 THEN 'site says Jumuah_Only' ELSE 'nothing there' END AS reason FROM @sources""")
+
+
+@query("f11_result_contract", ("run_rows", "run_reasons"), """
+WITH k AS (SELECT run_id, slot_date, slot, session_no, count(*) AS n, count(*) FILTER (json_extract_string(evidence, '$.contract') IS DISTINCT FROM 'site_extractor/v1') AS w, count(*) FILTER (json_extract_string(evidence, '$.gate_passed') IS DISTINCT FROM 'true') AS f FROM run_rows GROUP BY ALL),
+s AS (SELECT run_id, sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicates, sum(w)::BIGINT AS wrong_contract, sum(f)::BIGINT AS gate_failed FROM k GROUP BY run_id)
+SELECT run_id, coalesce(rows, 0) AS rows, coalesce(duplicates, 0) AS duplicates, coalesce(wrong_contract, 0) AS wrong_contract, coalesce(gate_failed, 0) AS gate_failed, rows IS NULL AND coalesce(reason, '') = '' AS empty_without_reason, rows IS NULL AND coalesce(reason, '') = 'nothing there' AS empty_not_allowed FROM run_reasons LEFT JOIN s USING (run_id)""")
+def f11(run_rows, run_reasons):
+    return reports.result_contract(run_rows, run_reasons, "site_extractor/v1")
 
 
 _D12 = rf"""
@@ -127,11 +148,31 @@ define("crawl_sources", ("places",), "SELECT place_id AS source_id, '0000' || lp
 @query("d13_script_assignment", ("scripts", "crawl_sources"), r"""
 WITH h AS (SELECT key, source_id, 'hint' AS how FROM scripts JOIN crawl_sources ON regexp_extract(key, '_([0-9a-f]{8})$', 1) = hint),
 d AS (SELECT key, source_id, 'domain' AS how FROM scripts JOIN crawl_sources ON (host = domain OR ends_with(host, '.' || domain)) AND contains(lower(place_name), lower(name_part)) WHERE key NOT IN (SELECT key FROM h))
-SELECT key, source_id, how, count(*) OVER (PARTITION BY key) AS matches FROM (SELECT * FROM h UNION ALL SELECT * FROM d)""")
+SELECT key, source_id, how, count(source_id) OVER (PARTITION BY key) AS matches FROM (SELECT DISTINCT key FROM scripts) LEFT JOIN (SELECT * FROM h UNION ALL SELECT * FROM d) USING (key)""")
 def d13(scripts, crawl_sources):
     return crawl.match_scripts(scripts, crawl_sources)
 
 
+define("assigned", ("sources",), "SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'site_plain_' || CAST(source_id % 60 AS STRING) ELSE 'gone_' || CAST(source_id AS STRING) END AS key, assignment AS status FROM @sources WHERE source_type = 'website' OR source_id % 3 = 0")
+
+
+@query("d13_missing_scripts", ("assigned", "scripts"), "SELECT source_id, key, CASE WHEN key NOT IN (SELECT key FROM scripts) AND status <> 'disabled' THEN 'missing_script' ELSE status END AS status FROM assigned")
+def d13b(assigned, scripts):
+    return crawl.missing_scripts(assigned, scripts)
+
+
+# target urls of extractors: host classes by turns, some extractors without assignment, some assignments without targets
+define("targets", ("sources",), "SELECT 'x' || CAST(source_id % 701 AS STRING) AS key, url FROM @sources WHERE source_id % 701 < 600 AND source_id % 5 <> 2")
+define("target_assignments", ("sources",), "SELECT 'x' || CAST(source_id % 701 AS STRING) AS key, assignment AS status FROM @sources WHERE source_id % 701 >= 100")
+
+
+@query("d15_extractor_verdicts", ("targets", "target_assignments"), rf"""
+WITH t AS (SELECT key, bool_or(cls = 'aggregator') AS agg, bool_or(cls = 'umbrella') AS umb FROM (SELECT key, {class_sql('h')} AS cls FROM (SELECT key, {HOST.format(c='url')} AS h FROM targets)) GROUP BY key), a AS (SELECT key, bool_or(status = 'active') AS active FROM target_assignments GROUP BY key)
+SELECT verdict, count(*) AS n, min(key) AS first FROM (SELECT coalesce(t.key, a.key) AS key, CASE WHEN agg THEN 'aggregator' WHEN umb THEN 'umbrella' WHEN NOT coalesce(active, false) THEN 'no_active_assignment' ELSE 'keep' END AS verdict FROM t FULL JOIN a ON t.key = a.key) GROUP BY verdict""")
+def d15b(targets, target_assignments):
+    return crawl.extractor_verdicts(targets, target_assignments).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+
+
 @query("d14_authoring_eligibility", "sources", "SELECT source_id, CASE WHEN NOT enabled THEN 'disabled' WHEN assignment = 'active' THEN 'has_extractor' WHEN task_status = 'deployed' THEN 'deployed' WHEN task_status = 'skipped_review' THEN 'in_review' WHEN task_status = 'failed' AND NOT (failure_category = 'transient_network' AND attempts < 3) THEN 'failed_for_good' ELSE 'eligible' END AS verdict FROM sources WHERE source_type = 'website'")
 def d14(sources):
     return crawl.eligible(sources).select("source_id", "verdict")
@@ -144,26 +185,39 @@ def d15(sources):
     return sources.select("source_id", crawl.source_verdict().alias("source_verdict"), crawl.target_verdict(F.col("url"), domain_of(F.col("homepage"))).alias("target_verdict"))
 
 
-@query("d16_extractor_listing", ("sources", "places"), "SELECT source_id, name, assignment FROM (SELECT s.source_id, p.name, CASE WHEN s.source_id % 4 = 0 THEN NULL ELSE s.assignment END AS assignment, s.next_run FROM sources s LEFT JOIN places p USING (place_id) WHERE source_type = 'website' AND name ILIKE '%hall%') ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 40")
+_LISTED = "CASE WHEN source_id % 4 = 0 THEN NULL ELSE assignment END"
+
+
+@query("d16_extractor_listing", ("sources", "places"), f"""
+SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources LEFT JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website' ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 60 OFFSET 5""")
 def d16(sources, places):
-    joined = sources.where("source_type = 'website'").join(reads.list_places(places, text="hall", status=None).select("place_id", "name"), "place_id")
-    listed = joined.withColumn("assignment", F.when(F.col("source_id") % 4 != 0, F.col("assignment")))
-    return reads.page(listed, [F.asc_nulls_first("next_run"), F.col("source_id")], 0, 40).select("source_id", "name", "assignment")
+    listed = crawl.listing(sources.withColumn("assignment", F.when(F.col("source_id") % 4 != 0, F.col("assignment"))), places)
+    page = reads.page(listed, [F.asc_nulls_first("next_run"), F.col("source_id")], 5, 60)
+    return page.select("source_id", "name", "assignment", "missing_script")
+
+
+@query("d16_extractor_search", ("sources", "places"), f"""
+SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website' AND name ILIKE '%hall%' ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 40""")
+def d16b(sources, places):
+    listed = crawl.listing(sources.withColumn("assignment", F.when(F.col("source_id") % 4 != 0, F.col("assignment"))), places, "hall")
+    page = reads.page(listed, [F.asc_nulls_first("next_run"), F.col("source_id")], 0, 40)
+    return page.select("source_id", "name", "assignment", "missing_script")
 
 
 @query("d17_convert_source_types", "sources", "SELECT source_id, CASE WHEN source_type = 'community' THEN 'map_dump' ELSE source_type END AS source_type FROM sources s WHERE source_type <> 'community' OR NOT EXISTS (SELECT 1 FROM sources o WHERE o.place_id = s.place_id AND o.source_type = 'map_dump')")
 def d17(sources):
-    taken = sources.where("source_type = 'map_dump'").select("place_id")
-    moved = sources.where("source_type = 'community'").join(taken, "place_id", "left_anti").withColumn("source_type", F.lit("map_dump"))
-    return sources.where("source_type <> 'community'").unionByName(moved.select(*sources.columns)).select("source_id", "source_type")
+    return crawl.convert_source_type(sources, "community", "map_dump").select("source_id", "source_type")
 
 
 _LASTOK = "(SELECT source_id, max(CASE WHEN success THEN event_id END) AS ok FROM fetches GROUP BY source_id)"
 
 
-@query("j02_fetch_outcomes", "fetches", f"""
+FOLDED = f"""
 SELECT source_id, failures, CASE WHEN failures >= 3 THEN 'source_failed' WHEN failures > 0 THEN 'degraded' ELSE 'healthy' END AS state, CASE WHEN failures = 0 THEN 24 ELSE least(24, pow(2, least(failures, 4)))::INT END AS wait_hours
-FROM (SELECT f.source_id, count(*) FILTER (NOT f.success AND (o.ok IS NULL OR (f.ts, f.event_id) > (t.ts, o.ok))) AS failures FROM fetches f JOIN {_LASTOK} o USING (source_id) LEFT JOIN fetches t ON t.event_id = o.ok GROUP BY f.source_id)""")
+FROM (SELECT f.source_id, count(*) FILTER (NOT f.success AND (o.ok IS NULL OR (f.ts, f.event_id) > (t.ts, o.ok))) AS failures FROM fetches f JOIN {_LASTOK} o USING (source_id) LEFT JOIN fetches t ON t.event_id = o.ok GROUP BY f.source_id)"""
+
+
+@query("j02_fetch_outcomes", "fetches", FOLDED)
 def j02(fetches):
     return crawl.trailing_failures(fetches).select("source_id", "failures", "state", "wait_hours")
 
@@ -174,10 +228,12 @@ def j03(sources):
     return sources.select("source_id", crawl.reschedule(F.col("failures"), ok, F.lit(12)).alias("hours"), F.when((F.col("failures") >= crawl.FAILED_AT) & ~ok, "failed_validation").otherwise(F.col("assignment")).alias("assignment"))
 
 
-@query("j04_skip_unchanged", "pages", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'skip' ELSE 'extract' END AS action FROM pages")
-def j04(pages):
-    hashed = pages.select("page_id", F.col("page_id").alias("source_id"), F.sha2("html", 256).alias("hash"))
-    runs = hashed.where("page_id % 3 <> 1").select("source_id", "hash", (F.col("page_id") % 3 == 0).alias("success"))
+define("runs", ("pages",), "SELECT page_id % 97 AS source_id, md5(html) AS hash, page_id % 3 = 0 AS success FROM @pages WHERE page_id % 3 <> 1")
+
+
+@query("j04_skip_unchanged", ("pages", "runs"), "SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.success AND r.source_id = p.page_id % 97 AND r.hash = md5(html)) THEN 'skip' ELSE 'extract' END AS action FROM pages p")
+def j04(pages, runs):
+    hashed = pages.select("page_id", (F.col("page_id") % 97).alias("source_id"), F.md5("html").alias("hash"))
     return crawl.unchanged(hashed, runs).select("page_id", "action")
 
 
@@ -188,6 +244,5 @@ def j05(fetches):
 
 @query("a11_artifacts", "pages", "SELECT source_id, count(*) AS artifacts, max(page_id) AS latest FROM (SELECT page_id % 40 AS source_id, page_id, sha256(html) AS h FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 40, sha256(html) ORDER BY page_id) = 1) GROUP BY source_id")
 def a11(pages):
-    hashed = pages.select((F.col("page_id") % 40).alias("source_id"), "page_id", F.sha2("html", 256).alias("hash"))
-    first = hashed.groupBy("source_id", "hash").agg(F.min("page_id").alias("page_id"))
+    first = crawl.artifacts(pages.select((F.col("page_id") % 40).alias("source_id"), "page_id", F.col("html").alias("body")))
     return first.groupBy("source_id").agg(F.count(F.lit(1)).alias("artifacts"), F.max("page_id").alias("latest"))

@@ -56,6 +56,8 @@ def with_frames(names: tuple[str, ...], sql: str) -> str:
         add(n)
     ctes = [f"{n} AS ({duck_sql(FRAMES[n][1])})" for n in order]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join([*ctes, body[5:]])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body

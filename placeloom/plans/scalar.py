@@ -167,9 +167,6 @@ def b18(places, aliases):
     return places.join(aliases, "place_id").select("place_id", "alias", text.shared_tokens(F.col("name"), F.col("alias")).alias("shared"))
 
 
-RECORD_KEYS = ("source_record_updated_at", "source_record_created_at", "last_updated", "updated_at", "timestamp", "created_at", "date")
-
-
 @query("b19_record_date", "events", """
 SELECT event_id, coalesce(TRY_CAST(json_extract_string(m, '$.source_record_updated_at') AS DATE), TRY_CAST(json_extract_string(m, '$.timestamp') AS DATE))::VARCHAR AS record_date
 FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"source_record_updated_at":"2024-01-0' || (1 + event_id % 9) || '","timestamp":"2023-05-05"}' WHEN 1 THEN '{"source_record_updated_at":"soon","timestamp":"2023-05-1' || (event_id % 10) || '"}' ELSE '{}' END AS m FROM events)""")
@@ -178,7 +175,7 @@ def b19(events):
     first = F.concat(F.lit('{"source_record_updated_at":"2024-01-0'), (F.col("event_id") % 9 + 1).cast("string"), F.lit('","timestamp":"2023-05-05"}'))
     second = F.concat(F.lit('{"source_record_updated_at":"soon","timestamp":"2023-05-1'), n(10), F.lit('"}'))
     meta = F.when(F.col("event_id") % 3 == 0, first).when(F.col("event_id") % 3 == 1, second).otherwise("{}")
-    return events.select("event_id", F.coalesce(*[F.try_to_date(F.get_json_object(meta, f"$.{k}")) for k in RECORD_KEYS]).cast("string").alias("record_date"))
+    return events.select("event_id", times.record_date(meta).cast("string").alias("record_date"))
 
 
 _PAR = "|".join(text.PARENT_PATTERNS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from placeloom.functions.html import unescaped
 from placeloom.functions.text import compact_postcode, normalise_postcode, squeezed
 from placeloom.functions.times import literal_map
 
@@ -90,6 +91,11 @@ def decode_info(raw: Column) -> dict[str, Column]:
 PHONE = r"\(?\+?\d[\d\s()\-]{8,}\d"
 
 
+def read_poi_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (lon, lat, label, comment) of headless POI CSV files; give it to decode_poi. What is no number is null."""
+    return spark.read.csv(path, schema="lon double, lat double, label string, comment string", header=False)
+
+
 def decode_poi(rows: DataFrame) -> DataFrame:
     """Headless POI rows (lon, lat, label, comment) with their parts and `skip_reason`, null for a good row.
 
@@ -119,18 +125,68 @@ def decode_poi(rows: DataFrame) -> DataFrame:
     return out.withColumn("country", country)
 
 
+# Denominations, and parts of a name, of the places that a feed is about.
+DENOMINATIONS, NAME_PARTS = ("muslim", "sunni", "shia", "ahmadiyya"), ("masjid", "mosque", "islamic")
+ELEMENT = "type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>"
+
+
+def of_religion(religion: Column, denomination: Column, name: Column) -> Column:
+    """Whether a place belongs to the feed's religion, by its tags or its name."""
+    bare = lambda c: F.lower(F.trim(c))
+    tests = (bare(religion) == "muslim") | bare(denomination).isin(*DENOMINATIONS)
+    return F.coalesce(tests, F.lit(False)) | F.coalesce(F.lower(name).rlike("|".join(NAME_PARTS)), F.lit(False))
+
+
+def read_map_dump(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of map dumps `{"elements": [...]}` with their place `pos` (file, index); give it to map_elements."""
+    whole = spark.read.schema(f"elements array<struct<{ELEMENT}>>").json(path, multiLine=True)
+    rows = whole.select(F.input_file_name().alias("file"), F.posexplode("elements").alias("index", "e"))
+    return rows.select("e.*", F.struct("file", "index").alias("pos"))
+
+
 def map_elements(elements: DataFrame) -> DataFrame:
-    """Elements (type, id, lat, lon, center, tags) as places with `skip_reason`; of one (type, id) the first by `pos` counts."""
+    """Elements (type, id, lat, lon, center, tags) as places with `skip_reason`; of one (type, id) the first by `pos` counts.
+
+    The reason is the first of invalid_type (no type or id), no_name, no_coords and non_muslim. Elements of other
+    types than node, way and relation are dropped.
+    """
     tag = lambda k: F.nullif(F.trim(F.try_element_at("tags", F.lit(k))), F.lit(""))
     first = F.row_number().over(Window.partitionBy("type", "id").orderBy("pos"))
-    rows = elements.where(F.col("type").isin("node", "way", "relation")).withColumn("n", first).where("n = 1")
+    invalid = F.col("type").isNull() | F.col("id").isNull()
+    rows = elements.where(invalid | F.col("type").isin("node", "way", "relation")).withColumn("n", first)
+    rows = rows.where(invalid | (F.col("n") == 1))
     name = F.coalesce(tag("name"), tag("name:en"), tag("official_name"))
     node = F.col("type") == "node"
-    lat, lon = F.when(node, F.col("lat")).otherwise(F.col("center.lat")), F.when(node, F.col("lon")).otherwise(F.col("center.lon"))
-    words = F.lower(F.concat_ws(" ", name, tag("denomination")))
-    fits = (F.lower(tag("religion")) == "muslim") | (tag("religion").isNull() & words.rlike("mosque|masjid|islam"))
-    skip = F.when(~F.coalesce(fits, F.lit(False)), "other_religion").when(name.isNull(), "no_name").when(lat.isNull() | lon.isNull(), "no_coords")
-    return rows.select("type", "id", name.alias("name"), lat.alias("lat"), lon.alias("lon"), *[c.alias(k) for k, c in tag_fields(name).items()], skip.alias("skip_reason"))
+    lat, lon = (F.when(node, F.col(k)).otherwise(F.col(f"center.{k}")) for k in ("lat", "lon"))
+    skip = (
+        F.when(invalid, "invalid_type").when(name.isNull(), "no_name").when(lat.isNull() | lon.isNull(), "no_coords")
+        .when(~of_religion(tag("religion"), tag("denomination"), name), "non_muslim")
+    )
+    fields = [c.alias(k) for k, c in tag_fields(name).items()]
+    return rows.select("type", "id", name.alias("name"), lat.alias("lat"), lon.alias("lon"), *fields, skip.alias("skip_reason"))
+
+
+NORMALISED = (
+    "osm_type string, osm_id bigint, name string, aliases array<string>, address_line1 string, city string, postcode string, "
+    "country string, website_url string, latitude double, longitude double, religion string, denomination string"
+)
+
+
+def read_place_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """Places of normalised bundles, `{"places": [...]}` or one place a file, as records with `fits`, whether the religion does."""
+    inner = NORMALISED.replace(", ", ",").replace(" ", ":")
+    whole = spark.read.schema(f"places array<struct<{inner}>>, {NORMALISED}").json(path, multiLine=True)
+    columns = [c.split(" ")[0] for c in NORMALISED.split(", ")]
+    listed = whole.where("places is not null").select(F.inline("places"))
+    single = whole.where("places is null and osm_type is not null and osm_id is not null").select(*columns)
+    rows = listed.unionByName(single)
+    country = F.when(F.upper(F.trim("country")).isin("IE", "IRELAND"), "IE").otherwise("GB")
+    return rows.select(
+        F.concat_ws("/", "osm_type", F.col("osm_id").cast("string")).alias("external_id"), "name", "aliases", "city",
+        normalise_postcode(F.col("postcode")).alias("postcode"), country.alias("country"), F.col("website_url").alias("website"),
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+        of_religion(F.col("religion"), F.col("denomination"), F.col("name")).alias("fits"),
+    )
 
 
 def tag_fields(name: Column) -> dict[str, Column]:
@@ -160,12 +216,21 @@ def discovery_records(*feeds: tuple[DataFrame, str]) -> DataFrame:
     return out
 
 
+def detail_text(html: Column) -> Column:
+    """Text of a detail page: a line for each block, tags gone, character references resolved."""
+    lines = F.regexp_replace(html, r"(?i)<(br|/p|/div|/li|/tr|/h\d|/dd|/td)\b[^>]*>", "\n")
+    return unescaped(F.regexp_replace(lines, r"(?s)<[^>]*>", " "))
+
+
 def detail_fields(text: Column) -> dict[str, Column]:
     """Labelled fields of a detail page's text."""
     found = lambda p: F.nullif(squeezed(F.regexp_extract(text, p, 1)), F.lit(""))
+    listed = F.transform(F.split(found(r"Sources:[ \t]*([^\n]+)"), ","), squeezed)
     return {
-        "updated": F.try_to_date(found(r"Last Updated:?\s*(\d{2}/\d{2}/\d{4})"), "dd/MM/yyyy"), "phone": found(rf"(?:Tel|Phone):?\s*({PHONE})"), "website": found(r"Website:?\s*(\S+)"),
-        "capacity": found(r"Capacity:?\s*(\d+)").try_cast("int"), "theme": found(r"Theme:?\s*([^\n;]+)"), "accuracy": found(r"Data accuracy:?\s*([A-F])\b"), "sources": F.filter(F.transform(F.split(found(r"Sources:?\s*([^\n]+)"), ","), squeezed), lambda s: s != ""),
+        "updated": F.try_to_date(found(r"Last Updated:?\s*(\d{2}/\d{2}/\d{4})"), "dd/MM/yyyy"),
+        "phone": found(rf"(?:Tel|Phone):?\s*({PHONE})"), "website": found(r"Website:?[ \t]*(\S+)"),
+        "capacity": found(r"Capacity:?\s*(\d+)").try_cast("int"), "theme": found(r"Theme:?[ \t]*([^\n;]+)"),
+        "accuracy": found(r"Data accuracy:?\s*([A-F])\b"), "sources": F.filter(listed, lambda s: s != ""),
     }
 
 
@@ -177,7 +242,12 @@ def overlay(records: DataFrame, details: DataFrame, key: str, fields: list[str])
 
 
 def read_register(spark: SparkSession, path: str, columns: dict[str, str], sep: str = "\t") -> DataFrame:
-    """Register rows with web and postcode: number, name, status, compact postcode and web, by a column map."""
+    """Register rows with web and postcode: number, registered, status, compact postcode and url, by a map of column names.
+
+    columns: number, registered, postcode, web and, if there is one, status to the file's names.
+    """
     rows = spark.read.csv(path, header=True, sep=sep, maxCharsPerColumn=-1)
-    rows = rows.select(*[F.trim(F.col(v)).alias(k) for k, v in columns.items()])
-    return rows.where((F.coalesce("web", F.lit("")) != "") & (F.coalesce("postcode", F.lit("")) != "")).withColumn("postcode", compact_postcode(F.col("postcode")))
+    rows = rows.select(*[F.trim(F.col(f"`{v}`")).alias(k) for k, v in columns.items()])
+    rows = rows.where((F.coalesce("web", F.lit("")) != "") & compact_postcode(F.col("postcode")).isNotNull())
+    url = F.when(F.instr("web", "://") > 0, F.col("web")).otherwise(F.concat(F.lit("https://"), "web"))
+    return rows.withColumns({"compact": compact_postcode(F.col("postcode")), "url": url}).drop("postcode", "web")
