@@ -24,6 +24,11 @@ PASSING = ("http 500", "http 502", "http 503", "http 504", "timed out", "timeout
 LASTING = ("cannot resolve host", "name or service not known", "getaddrinfo", "http 404", "http 410", "http 401", "http 403", "certificate_verify_failed", "ssl", "blocked host address", "source url has no scheme or host")
 
 
+# Words of an author's reasons, by category.
+DIRECTORY_WORDS, NO_TIMES_WORDS = ("aggregator", "directory listing"), ("no jamaat", "no prayer timetable")
+AGENT_WORDS = ("did not write the json result", "agent")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(squeezed(c), F.lit(""))
 
@@ -148,9 +153,9 @@ def failure_category(preflight: Column, reason: Column, invalid: Column, timed_o
         .when(F.lower(preflight).rlike(r"http 5\d\d") | some(preflight, PASSING), "transient_network")
         .when(some(preflight, LASTING), "dead_site")
         .when(preflight != "", "transient_network")
-        .when(has(reason, "aggregator", "directory listing"), "aggregator")
-        .when(has(reason, "no jamaat", "no prayer timetable"), "permanent_no_times")
-        .when(has(reason, "did not write the json result", "agent"), "agent_error")
+        .when(has(reason, *DIRECTORY_WORDS), "aggregator")
+        .when(has(reason, *NO_TIMES_WORDS), "permanent_no_jamaat")
+        .when(has(reason, *AGENT_WORDS), "agent_error")
         .when(invalid, "validation_failed")
         .otherwise("agent_error")
     )

@@ -55,13 +55,22 @@ def clock(minutes: Column) -> Column:
     return F.concat(F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))
 
 
+def _all_digits(fields: Column) -> Column:
+    return F.forall(fields, lambda x: x.rlike("^[0-9]+$"))
+
+
 def minutes_loose(c: Column) -> Column:
-    """h, h.mm or h:mm with am or pm as minutes; anything else is null."""
-    bare, pattern = F.lower(F.trim(c)), r"^\s*(\d{1,2})(?:[.:](\d{2}))?\s*(am|pm)?\.?\s*$"
-    part = lambda k: F.regexp_extract(bare, pattern, k)
-    hour, minute = part(1).try_cast("int"), F.coalesce(part(2).try_cast("int"), F.lit(0))
-    hour = F.when((part(3) == "pm") & (hour < 12), hour + 12).when((part(3) == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when((hour <= 23) & (minute <= 59), hour * 60 + minute)
+    """h, h.mm or h:mm, with or without am or pm and a full stop, as minutes; anything else is null."""
+    bare = F.regexp_replace(F.lower(F.trim(c)), r"[.]$", "")
+    half = F.when(F.right(bare, F.lit(2)).isin("am", "pm"), F.right(bare, F.lit(2)))
+    fields = F.split(F.when(half.isNotNull(), F.rtrim(F.regexp_replace(bare, "..$", ""))).otherwise(bare), "[:.]")
+    minute = F.coalesce(F.get(fields, F.lit(1)), F.lit("00"))
+    shaped = (F.size(fields) <= 2) & _all_digits(fields) & (F.char_length(fields[0]) <= 2) & (F.char_length(minute) == 2)
+    hour = fields[0].try_cast("int")
+    # twelve o'clock is hour 0 of its half
+    of_day = F.when(half.isNotNull() & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
+    minute = minute.try_cast("int")
+    return F.when(shaped & (of_day <= 23) & (minute <= 59), of_day * 60 + minute)
 
 
 def in_window(minutes: Column, slot: Column) -> Column:
@@ -111,14 +120,18 @@ def _ordinal(t: Column) -> Column:
 
 def british_date(c: Column, default_year: int) -> Column:
     """d/m, d/m/y, '1st June', 'June 1, 2026' as a date, day first; a day that isn't there is null."""
-    bare, numeric = F.trim(c), r"^(\d{1,2})[/\-.](\d{1,2})(?:[/\-.](\d{2,4}))?$"
-    part = lambda k: F.regexp_extract(bare, numeric, k).try_cast("int")
-    year = F.coalesce(F.when(part(3) < 100, part(3) + 2000).otherwise(part(3)), F.lit(default_year))
+    bare = F.trim(c)
+    fields = F.split(bare, "[/.-]")
+    sizes = F.transform(fields, lambda x: F.char_length(x))
+    short = F.forall(F.slice(sizes, 1, 2), lambda n: n <= 2) & F.forall(F.slice(sizes, 3, 1), lambda n: n.between(2, 4))
+    numeric = F.size(fields).isin(2, 3) & _all_digits(fields) & short
+    part = lambda k: F.get(fields, F.lit(k - 1)).try_cast("int")
+    year = F.coalesce(part(3) + F.when(part(3) < 100, 2000).otherwise(0), F.lit(default_year))
     stated = F.nullif(F.regexp_extract(bare, r"(?<!\d)(20\d{2})(?!\d)", 1), F.lit(""))
     rest = F.when(stated.isNotNull(), F.replace(bare, stated, F.lit(" "))).otherwise(bare)
     month = F.get(F.filter(F.transform(_tokens(rest), lambda t: F.try_element_at(literal_map(MONTHS), F.rtrim(F.lower(t), F.lit(".,")))), lambda m: m.isNotNull()), F.lit(0))
     day = F.get(F.filter(F.transform(_tokens(rest), _ordinal), lambda d: d.isNotNull()), F.lit(0))
-    return F.when(bare.rlike(numeric), _date(year, part(2), part(1))).otherwise(_date(F.coalesce(stated.try_cast("int"), F.lit(default_year)), month, day))
+    return F.when(numeric, _date(year, part(2), part(1))).otherwise(_date(F.coalesce(stated.try_cast("int"), F.lit(default_year)), month, day))
 
 
 def day_of_month(c: Column) -> Column:

@@ -6,6 +6,7 @@ the day. Keys: a slot is (place_id, slot_date, slot, session_no).
 
 from __future__ import annotations
 
+import datetime
 import zoneinfo
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,14 @@ CONFIDENCE = ("verified", "imported", "inferred", "calculated")
 ZONES = tuple(sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"}))
 
 
+def days_by_zone(instant: str) -> dict[datetime.date, list[str]]:
+    """The day that it is in each zone at an instant (UTC): two or three days, and the zones where it is that one."""
+    at, days = datetime.datetime.fromisoformat(instant).replace(tzinfo=datetime.UTC), {}
+    for zone in ZONES:
+        days.setdefault(at.astimezone(zoneinfo.ZoneInfo(zone)).date(), []).append(zone)
+    return days
+
+
 def duplicates(candidates: DataFrame) -> DataFrame:
     """candidates with `others`: other active rows of the same source and slot. One window, no self join."""
     active = F.col("status").isin(*ACTIVE)
@@ -42,8 +51,8 @@ def issues(as_of: str) -> Column:
     known = zone.isin(*ZONES)
     today = F.lit(as_of).cast("date")
     if len(as_of) > len("2024-02-01"):
-        # an unknown zone isn't looked up
-        today = F.when(known, F.from_utc_timestamp(F.lit(as_of).cast("timestamp_ntz"), F.when(known, zone).otherwise("UTC")).cast("date"))
+        for day, zones in days_by_zone(as_of).items():
+            today = F.when(zone.isin(*zones), F.lit(day)).otherwise(today)
     evidence = lambda k: F.get_json_object("evidence", f"$.{k}")
     span = F.coalesce(evidence("ramadan_span_days").try_cast("int"), F.lit(0))
     # Codes and severities of issues.

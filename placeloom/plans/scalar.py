@@ -231,7 +231,7 @@ def b25(cells):
 
 @query("b26_failure_category", "cells", r"""
 SELECT id, CASE WHEN timed_out THEN 'timeout' WHEN contains(p, 'robots') THEN 'blocked_robots' WHEN regexp_matches(p, 'http 5\d\d') THEN 'transient_network' WHEN contains(p, 'ssl') THEN 'dead_site' WHEN p <> '' THEN 'transient_network'
- WHEN contains(r, 'aggregator') THEN 'aggregator' WHEN contains(r, 'no prayer timetable') THEN 'permanent_no_times' WHEN contains(r, 'agent') THEN 'agent_error' WHEN invalid THEN 'validation_failed' ELSE 'agent_error' END AS category
+ WHEN contains(r, 'aggregator') THEN 'aggregator' WHEN contains(r, 'no prayer timetable') THEN 'permanent_no_jamaat' WHEN contains(r, 'agent') THEN 'agent_error' WHEN invalid THEN 'validation_failed' ELSE 'agent_error' END AS category
 FROM (SELECT *, lower(preflight) AS p, lower(reason) AS r FROM cells)""")
 def b26(cells):
     return cells.select("id", text.failure_category(F.col("preflight"), F.col("reason"), F.col("invalid"), F.col("timed_out")).alias("category"))
