@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,22 +57,34 @@ def clock(minutes: Column) -> Column:
     return F.concat(F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _all_digits(fields: Column) -> Column:
     return F.forall(fields, lambda x: x.rlike("^[0-9]+$"))
 
 
 def minutes_loose(c: Column) -> Column:
     """h, h.mm or h:mm, with or without am or pm and a full stop, as minutes; anything else is null."""
-    bare = F.regexp_replace(F.lower(F.trim(c)), r"[.]$", "")
-    half = F.when(F.right(bare, F.lit(2)).isin("am", "pm"), F.right(bare, F.lit(2)))
-    fields = F.split(F.when(half.isNotNull(), F.rtrim(F.regexp_replace(bare, "..$", ""))).otherwise(bare), "[:.]")
-    minute = F.coalesce(F.get(fields, F.lit(1)), F.lit("00"))
-    shaped = (F.size(fields) <= 2) & _all_digits(fields) & (F.char_length(fields[0]) <= 2) & (F.char_length(minute) == 2)
-    hour = fields[0].try_cast("int")
-    # twelve o'clock is hour 0 of its half
-    of_day = F.when(half.isNotNull() & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
-    minute = minute.try_cast("int")
-    return F.when(shaped & (of_day <= 23) & (minute <= 59), of_day * 60 + minute)
+    def of_fields(fields: Column, half: Column) -> Column:
+        minute = F.coalesce(F.get(fields, F.lit(1)), F.lit("00"))
+        shaped = (F.size(fields) <= 2) & _all_digits(fields) & (F.char_length(fields[0]) <= 2) & (F.char_length(minute) == 2)
+
+        def of_hour(hour: Column) -> Column:
+            # twelve o'clock is hour 0 of its half
+            return F.when(half.isin("am", "pm") & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
+
+        total = _let(of_hour(fields[0].try_cast("int")), lambda h: F.when(h <= 23, h * 60))
+        return F.when(shaped & (minute.try_cast("int") <= 59), total + minute.try_cast("int"))
+
+    def of_text(bare: Column) -> Column:
+        half = F.right(bare, F.lit(2))
+        rest = F.when(half.isin("am", "pm"), F.rtrim(F.regexp_replace(bare, "..$", ""))).otherwise(bare)
+        return _let(F.split(rest, "[:.]"), lambda fields: of_fields(fields, half))
+
+    return _let(F.regexp_replace(F.lower(F.trim(c)), r"[.]$", ""), of_text)
 
 
 def in_window(minutes: Column, slot: Column) -> Column:
@@ -80,7 +94,8 @@ def in_window(minutes: Column, slot: Column) -> Column:
 
 def afternoon_where_due(minutes: Column, slot: Column) -> Column:
     """Twelve hours later, where a time before noon is implausible for the slot and the later one isn't."""
-    return F.when((minutes < 720) & ~in_window(minutes, slot) & in_window(minutes + 720, slot), minutes + 720).otherwise(minutes)
+    due = lambda m: (m < 720) & ~in_window(m, slot) & in_window(m + 720, slot)
+    return _let(minutes, lambda m: F.when(due(m), m + 720).otherwise(m))
 
 
 def slot_of(c: Column) -> Column:

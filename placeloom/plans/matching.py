@@ -71,13 +71,13 @@ def d05(records, places):
 
 # points on both sides of 180 degrees and by the poles
 define("far_points", ("customer",), """
-SELECT c_custkey AS point_id, CASE WHEN c_custkey % 5 = 4 THEN 89.9 + (c_custkey % 89) / CAST(1000.0 AS DOUBLE) ELSE -17 + (c_custkey % 331) / CAST(100000.0 AS DOUBLE) END AS lat,
+SELECT c_custkey AS point_id, CASE WHEN c_custkey % 5 = 4 THEN 89.9 + (c_custkey % 89) / CAST(1000.0 AS DOUBLE) ELSE -17 + (c_custkey DIV 8) % 3000 / CAST(100.0 AS DOUBLE) + (c_custkey % 331) / CAST(1000000.0 AS DOUBLE) END AS lat,
  CASE WHEN c_custkey % 5 = 4 THEN (c_custkey * 37) % 360 - CAST(180.0 AS DOUBLE) WHEN c_custkey % 2 = 0 THEN 180 - (c_custkey % 313) / CAST(100000.0 AS DOUBLE) ELSE -180 + (c_custkey % 317) / CAST(100000.0 AS DOUBLE) END AS lon FROM @customer""")
 
 
-@query("d05_radius_join_round_the_globe", "far_points", f"SELECT a.point_id AS a, b.point_id AS b FROM far_points a JOIN far_points b ON abs(a.lat - b.lat) < 0.006 AND {haversine_sql('a', 'b')} <= 200 WHERE a.point_id % 10 IN (0, 4)")
+@query("d05_radius_join_round_the_globe", "far_points", f"SELECT a.point_id AS a, b.point_id AS b FROM far_points a JOIN far_points b ON abs(a.lat - b.lat) < 0.006 AND {haversine_sql('a', 'b')} <= 200")
 def d05b(far_points):
-    left = far_points.where("point_id % 10 in (0, 4)").withColumnRenamed("point_id", "a")
+    left = far_points.withColumnRenamed("point_id", "a")
     return resolve.within(left, far_points.withColumnRenamed("point_id", "b"), "a", "b", 200.0).select("a", "b")
 
 
@@ -139,12 +139,12 @@ def d09(metadata_rows, places):
 
 
 @query("d09_tag_leads", ("metadata_rows", "places"), r"""
-SELECT DISTINCT place_id, tag, trim(url) AS url FROM (SELECT place_id, url, CASE k WHEN 0 THEN 'website' WHEN 1 THEN 'contact:website' WHEN 2 THEN 'url' WHEN 3 THEN 'contact:url' WHEN 4 THEN 'name' ELSE 'old:website' END AS tag, k FROM metadata_rows WHERE place_id IS NOT NULL AND source_id % 10 = 3)
+SELECT DISTINCT place_id, tag, trim(url) AS url FROM (SELECT place_id, url, CASE k WHEN 0 THEN 'website' WHEN 1 THEN 'contact:website' WHEN 2 THEN 'url' WHEN 3 THEN 'contact:url' WHEN 4 THEN 'name' ELSE 'old:website' END AS tag, k FROM metadata_rows WHERE place_id IS NOT NULL)
 JOIN places p USING (place_id) WHERE k < 4 AND regexp_matches(lower(trim(url)), '^https?://') AND trim(url) IS DISTINCT FROM p.website""")
 def d09b(metadata_rows, places):
     names = F.array(*[F.lit(t) for t in ("website", "contact:website", "url", "contact:url", "name")])
     tag = F.coalesce(F.get(names, F.col("k").cast("int")), F.lit("old:website"))
-    rows = metadata_rows.where("place_id is not null and source_id % 10 = 3")
+    rows = metadata_rows.where("place_id is not null")
     elements = rows.select("place_id", F.create_map(tag, F.col("url")).alias("tags"))
     return leads.tag_leads(elements, places).distinct()
 
@@ -289,14 +289,14 @@ def e12(places, sources, reviews):
 
 
 # chains of merges are followed to their end
-_MERGES = """RECURSIVE m0 AS (SELECT place_id AS d, place_id // 10 AS c FROM places WHERE status = 'duplicate' AND place_id >= 10), f(d, c) AS (SELECT d, c FROM m0 UNION ALL SELECT f.d, m0.c FROM f JOIN m0 ON m0.d = f.c),
+_MERGES = """RECURSIVE m0 AS (SELECT place_id AS d, place_id // 10 AS c FROM places WHERE status = 'duplicate'), f(d, c) AS (SELECT d, c FROM m0 UNION ALL SELECT f.d, m0.c FROM f JOIN m0 ON m0.d = f.c),
 m AS (SELECT d AS duplicate_id, c AS canonical_id FROM f WHERE c NOT IN (SELECT d FROM m0))"""
 _MOVED = {"sources": ("source_id", ["place_id"]), "candidates": ("candidate_id", ["place_id"]), "previous": ("candidate_id", ["place_id"]), "claims": ("claim_id", ["place_id"]), "corrections": ("correction_id", ["place_id"]), "reviews": ("review_id", ["proposed_id", "alternative_1", "alternative_2"])}
 _PLAIN = r"trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _merged(places, aliases, **tables):
-    merges = places.where("status = 'duplicate' and place_id >= 10").select(F.col("place_id").alias("duplicate_id"), F.expr("place_id div 10").alias("canonical_id"))
+    merges = places.where("status = 'duplicate'").select(F.col("place_id").alias("duplicate_id"), F.expr("place_id div 10").alias("canonical_id"))
     return resolve.merge_places(merges, places, aliases, {k: (df, _MOVED[k][1]) for k, df in tables.items()})
 
 

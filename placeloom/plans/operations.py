@@ -141,8 +141,8 @@ def f09(places, sources):
 
 
 # extractor scripts by place: some keys end with a source's hint, others name a domain and a part of the name
-define("scripts", ("places",), "SELECT CASE WHEN place_id % 4 = 0 THEN 'site_0000' || lpad(CAST(place_id % 10000 AS STRING), 4, '0') ELSE 'site_plain_' || CAST(place_id AS STRING) END AS key, CASE WHEN place_id % 4 = 1 THEN 'example.org' ELSE 'place' || CAST(place_id % 50 AS STRING) || '.example.org' END AS domain, CASE WHEN place_id % 3 = 0 THEN 'old town' ELSE 'hall ' || CAST(place_id % 10 AS STRING) END AS name_part FROM @places WHERE place_id < 60")
-define("crawl_sources", ("places",), "SELECT place_id AS source_id, '0000' || lpad(CAST(place_id % 10000 AS STRING), 4, '0') AS hint, 'www2.place' || CAST(place_id % 50 AS STRING) || '.example.org' AS host, name AS place_name FROM @places WHERE place_id % 2 = 0")
+define("scripts", ("places",), "SELECT CASE WHEN place_id % 4 = 0 THEN 'site_0000' || lpad(CAST(place_id % 10000 AS STRING), 4, '0') ELSE 'site_plain_' || CAST(place_id AS STRING) END AS key, CASE WHEN place_id % 400 = 1 THEN 'example.org' ELSE 'place' || CAST(place_id % 50 AS STRING) || '.example.org' END AS domain, CASE WHEN place_id % 3 = 0 THEN 'old town' ELSE 'hall ' || CAST(place_id % 10 AS STRING) END AS name_part FROM @places")
+define("crawl_sources", ("places",), "SELECT place_id AS source_id, '0000' || lpad(CAST(place_id % 10000 AS STRING), 4, '0') AS hint, 'www2.place' || CAST(place_id % 50 AS STRING) || '.example.org' AS host, name AS place_name FROM @places")
 
 
 @query("d13_script_assignment", ("scripts", "crawl_sources"), r"""
