@@ -290,10 +290,10 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _heads(size: int, percent: int, rank: np.ndarray, busy: np.ndarray):
-    """(token, class, name, busy) of the first shingles of each set, rare buckets first; equal sets once a partition.
+def _heads(size: int, percent: int, rank: np.ndarray, wanted: np.ndarray):
+    """(token, class, name) of the first shingles of each set, rare buckets first; equal sets once a partition.
 
-    busy: whether the shingle's bucket is. Equal sets are sent once as long as a task remembers them.
+    Only shingles of wanted buckets are given. Equal sets are sent once as long as a task remembers them.
 
     A set that can link with one of the next size class is in both.
     """
@@ -315,12 +315,12 @@ def _heads(size: int, percent: int, rank: np.ndarray, busy: np.ndarray):
                     met.add(names[i])
                     new[i] = True
             head = (place < (n - least_overlap(n, percent) + 1)[owner]) & new[owner]
+            head &= wanted[(hashes[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             tokens, who = hashes[order][head].view(np.int64), owner[head]
             k, up = size_class(n, percent)
             also = up[who]
-            tokens = np.concatenate((tokens, tokens[also]))
-            columns = tokens, np.concatenate((k[who], k[who[also]] + 1)), names.view(np.int64)[np.concatenate((who, who[also]))], busy[tokens.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "name", "busy"])
+            columns = np.concatenate((tokens, tokens[also])), np.concatenate((k[who], k[who[also]] + 1)), names.view(np.int64)[np.concatenate((who, who[also]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "class", "name"])
 
     return run
 
@@ -388,15 +388,16 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     facts = facts.where("doc_id is not null").select("doc_id", "n", "name", "twin")
     classes = written(facts.where("n > 0").groupBy("name", "twin", "n").agg(F.min("doc_id").alias("first")), "classes")
     busy = by_bucket * BUSY > by_bucket.sum()
-    heads = texts.select("text").mapInArrow(_heads(size, percent, rank, busy), "token long, class long, name long, busy boolean")
-    heads, keys = written(heads, "heads"), ["token", "class"]
+    # two passes over the texts: those of quiet buckets go straight to a window, the few others are written
+    heads = lambda wanted: texts.select("text").mapInArrow(_heads(size, percent, rank, wanted), "token long, class long, name long")
+    keys = ["token", "class"]
     by_token = Window.partitionBy(*keys)
-    quiet = heads.where("not busy").withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
+    quiet = heads(~busy).withColumns({"block": F.min("name").over(by_token), "last": F.max("name").over(by_token)})
     # shingles that very many sets may have don't meet in a window
-    loud = heads.where("busy").drop("busy")
+    loud = written(heads(busy), "heads")
     shared = loud.groupBy(*keys).agg(F.min("name").alias("block"), F.max("name").alias("last"), F.count(F.lit(1)).alias("rows"))
-    loud = join_counted(loud, written(shared, "busy"), keys, "rows")
-    blocks = quiet.select("block", "last", "class", "name").unionByName(loud.select("block", "last", "class", "name"))
+    met = join_counted(loud, written(shared, "busy"), keys, "rows")
+    blocks = quiet.select("block", "last", "class", "name").unionByName(met.select("block", "last", "class", "name"))
     blocks = written(blocks.where("block <> last").select("block", "class", "name").distinct(), "blocks")
 
     marked = tiled(blocks).join(marks.dropDuplicates(["name", "n"]), "name").repartition(*PLACE).sortWithinPartitions(*PLACE, "name")
@@ -408,7 +409,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     members = members.repartition(*PLACE).sortWithinPartitions(*PLACE, "doc_id")
     edges = members.mapInArrow(_links(percent), "a long, b long")
     found = components(edges)
-    dropped(heads, blocks)
+    dropped(loud, blocks)
     joined = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     joined = joined.select("name", "twin", F.col("n").alias("of"), F.coalesce("component", "first").alias("component"))
     same = (facts.name == joined.name) & (facts.twin == joined.twin) & (facts.n == joined.of)
