@@ -63,7 +63,8 @@ def c08(sources):
 
 
 define("metadata_sources", ("sources",), """
-SELECT source_id, source_type, enabled, 'disabled' AS assignment, next_run, CASE source_id DIV 3 % 4 WHEN 0 THEN NULL WHEN 1 THEN 'soon' WHEN 2 THEN '2024-01-30 08:00:00' ELSE '2024-02-09 08:00:00' END AS next_fetch_at FROM @sources""")
+SELECT source_id, source_type, enabled, 'disabled' AS assignment, next_run, CASE source_id DIV 3 % 4 WHEN 0 THEN NULL
+ WHEN 1 THEN 'soon' WHEN 2 THEN '2024-01-30 08:00:00' ELSE '2024-02-09 08:00:00' END AS next_fetch_at FROM @sources""")
 
 
 @query("c08_due_by_metadata", "metadata_sources", f"SELECT source_id FROM metadata_sources WHERE enabled AND source_type = 'website' AND NOT coalesce(TRY_CAST(next_fetch_at AS TIMESTAMP) > {DAY}, false)")
@@ -77,8 +78,11 @@ def c09(places):
 
 
 @query("c10_place_detail", ("places", "aliases", "sources"), f"""
-SELECT p.place_id, coalesce((SELECT string_agg(alias, '|' ORDER BY alias) FROM (SELECT DISTINCT alias FROM aliases a WHERE a.place_id = p.place_id)), '') AS aliases, coalesce(s.origin, '') AS origin
-FROM places p LEFT JOIN (SELECT place_id, string_agg(source_id || ':' || source_type, '|' ORDER BY source_id) AS origin FROM sources WHERE {PUB} GROUP BY place_id) s USING (place_id) WHERE p.status = 'active'""")
+SELECT p.place_id, coalesce((SELECT string_agg(alias, '|' ORDER BY alias) FROM (SELECT DISTINCT alias FROM aliases a
+ WHERE a.place_id = p.place_id)), '') AS aliases, coalesce(s.origin, '') AS origin
+FROM places p LEFT JOIN (SELECT place_id, string_agg(source_id || ':' || source_type, '|'
+ ORDER BY source_id) AS origin FROM sources WHERE {PUB} GROUP BY place_id) s USING (place_id)
+ WHERE p.status = 'active'""")
 def c10(places, aliases, sources):
     found = reads.place_details(places.where("status = 'active'"), aliases, sources)
     origin = F.array_join(F.transform(F.coalesce("origin", F.array().cast("array<struct<source_id:bigint,source_type:string>>")), lambda x: F.concat(x["source_id"].cast("string"), F.lit(":"), x["source_type"])), "|")
@@ -94,9 +98,14 @@ _KEYS5 = "place_id, source_id, slot_date, slot, session_no"
 
 
 @query("g02_candidate_upsert", "candidates", f"""
-WITH old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS5} ORDER BY candidate_id DESC) AS n FROM candidates WHERE status IN ('pending', 'approved') AND candidate_id % 3 <> 0) WHERE n = 1)
-SELECT i.candidate_id, o.candidate_id AS old_id, CASE WHEN o.candidate_id IS NULL THEN 'inserted' WHEN i.main_min IS NOT DISTINCT FROM o.main_min AND i.start_min IS NOT DISTINCT FROM o.start_min AND i.label IS NOT DISTINCT FROM o.label AND i.timezone IS NOT DISTINCT FROM o.timezone THEN 'unchanged' WHEN i.run_id <> o.run_id THEN 'superseded' ELSE 'updated' END AS outcome
-FROM candidates i LEFT JOIN old o ON i.place_id = o.place_id AND i.source_id = o.source_id AND i.slot_date = o.slot_date AND i.slot = o.slot AND i.session_no = o.session_no WHERE i.candidate_id % 3 = 0""")
+WITH old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS5} ORDER BY candidate_id DESC) AS n
+ FROM candidates WHERE status IN ('pending', 'approved') AND candidate_id % 3 <> 0) WHERE n = 1)
+SELECT i.candidate_id, o.candidate_id AS old_id, CASE WHEN o.candidate_id IS NULL THEN 'inserted'
+ WHEN i.main_min IS NOT DISTINCT FROM o.main_min AND i.start_min IS NOT DISTINCT FROM o.start_min
+ AND i.label IS NOT DISTINCT FROM o.label AND i.timezone IS NOT DISTINCT FROM o.timezone THEN 'unchanged'
+ WHEN i.run_id <> o.run_id THEN 'superseded' ELSE 'updated' END AS outcome
+FROM candidates i LEFT JOIN old o ON i.place_id = o.place_id AND i.source_id = o.source_id
+ AND i.slot_date = o.slot_date AND i.slot = o.slot AND i.session_no = o.session_no WHERE i.candidate_id % 3 = 0""")
 def g02(candidates):
     return publish.upsert(candidates.where("candidate_id % 3 <> 0"), candidates.where("candidate_id % 3 = 0")).select("candidate_id", "old_id", "outcome")
 
@@ -107,8 +116,10 @@ def g03(candidates):
 
 
 @query("g04_carry_forward", "events", """
-SELECT event_id, coalesce(last_value(cell IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS filled
-FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN NULL ELSE NULL END AS cell FROM events)""")
+SELECT event_id, coalesce(last_value(cell IGNORE NULLS) OVER (PARTITION BY user_id
+ ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS filled
+FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type
+ WHEN event_id % 3 = 1 THEN NULL ELSE NULL END AS cell FROM events)""")
 def g04(events):
     raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, "").otherwise('"')
     down = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -137,16 +148,33 @@ NO_ZONE = "'Mars/Base', 'europe/paris '"
 VALID = f"""
 act AS (SELECT *, count(*) OVER (PARTITION BY {_KEYS5}) - 1 AS oth FROM candidates WHERE status IN ('pending', 'approved')),
 iss AS (SELECT *, timezone NOT IN ({NO_ZONE}) AS tz, list_filter([
- CASE WHEN timezone IN ({NO_ZONE}) THEN 'invalid_timezone' END, CASE WHEN place_id IS NULL THEN 'missing_mosque' END, CASE WHEN main_min IS NULL THEN 'missing_jamaat' END, CASE WHEN session_no < 1 THEN 'invalid_session_number' END,
- CASE WHEN timezone NOT IN ({NO_ZONE}) AND NOT slot_date BETWEEN {DAY} - 7 AND {DAY} + 400 THEN 'date_out_of_range' END, CASE WHEN timezone NOT IN ({NO_ZONE}) AND slot = 'jumuah' AND dayofweek(slot_date) <> 5 THEN 'jumuah_not_friday' END,
- CASE WHEN timezone NOT IN ({NO_ZONE}) AND main_min < start_min THEN 'jamaat_before_start' END, CASE WHEN timezone NOT IN ({NO_ZONE}) AND main_min - start_min > 90 THEN '~jamaat_far_from_start' END,
- CASE WHEN place_id IS NOT NULL AND oth > 0 THEN 'duplicate_session' END, CASE WHEN json_extract_string(evidence, '$.ramadan_schedule') = 'true' AND json_extract_string(evidence, '$.ramadan_span_days')::INT > 35 THEN '~ramadan_metadata' END], lambda x: x IS NOT NULL) AS found FROM act),
+ CASE WHEN timezone IN ({NO_ZONE}) THEN 'invalid_timezone' END, CASE WHEN place_id IS NULL THEN 'missing_mosque' END,
+ CASE WHEN main_min IS NULL THEN 'missing_jamaat' END, CASE WHEN session_no < 1 THEN 'invalid_session_number' END,
+ CASE WHEN timezone NOT IN ({NO_ZONE}) AND NOT slot_date BETWEEN {DAY} - 7
+ AND {DAY} + 400 THEN 'date_out_of_range' END, CASE WHEN timezone NOT IN ({NO_ZONE}) AND slot = 'jumuah'
+ AND dayofweek(slot_date) <> 5 THEN 'jumuah_not_friday' END,
+ CASE WHEN timezone NOT IN ({NO_ZONE}) AND main_min < start_min THEN 'jamaat_before_start' END, CASE
+ WHEN timezone NOT IN ({NO_ZONE}) AND main_min - start_min > 90 THEN '~jamaat_far_from_start' END,
+ CASE WHEN place_id IS NOT NULL AND oth > 0 THEN 'duplicate_session' END, CASE
+ WHEN json_extract_string(evidence, '$.ramadan_schedule') = 'true'
+ AND json_extract_string(evidence, '$.ramadan_span_days')::INT > 35 THEN '~ramadan_metadata' END],
+ lambda x: x IS NOT NULL) AS found FROM act),
 val AS (SELECT *, len(list_filter(found, lambda x: NOT starts_with(x, '~'))) = 0 AS valid FROM iss),
-chk AS (SELECT v.*, s.policy, s.source_type, array_to_string(list_transform(CASE WHEN valid AND run_kind = 'ai' THEN list_append(found, '~ai_requires_review') ELSE found END, lambda x: ltrim(x, '~')), ',') AS codes,
- CASE WHEN NOT valid THEN 'rejected' WHEN run_kind = 'ai' OR s.source_type = 'community' OR (s.source_type = 'website' AND NOT coalesce(json_extract_string(evidence, '$.contract') = 'site_extractor/v1' AND json_extract_string(evidence, '$.gate_passed') = 'true', false)) THEN 'pending' ELSE 'approved' END AS new_status
+chk AS (SELECT v.*, s.policy, s.source_type, array_to_string(list_transform(CASE WHEN valid
+ AND run_kind = 'ai' THEN list_append(found, '~ai_requires_review') ELSE found END,
+ lambda x: ltrim(x, '~')), ',') AS codes,
+ CASE WHEN NOT valid THEN 'rejected'
+ WHEN run_kind = 'ai' OR s.source_type = 'community' OR (s.source_type = 'website'
+ AND NOT coalesce(json_extract_string(evidence, '$.contract') = 'site_extractor/v1'
+ AND json_extract_string(evidence, '$.gate_passed') = 'true', false)) THEN 'pending' ELSE 'approved' END AS new_status
  FROM val v LEFT JOIN sources s USING (source_id)),
-pub AS (SELECT *, CASE WHEN status <> 'approved' THEN 'not_approved' WHEN place_id IS NULL OR source_type IS NULL THEN 'missing_context' WHEN NOT ({PUB}) THEN 'policy_not_public' WHEN run_kind = 'ai' THEN 'ai_needs_override' WHEN NOT valid THEN 'invalid' WHEN main_min IS NULL THEN 'missing_time' ELSE 'publish' END AS outcome FROM chk),
-win AS (SELECT * FROM pub WHERE outcome = 'publish' QUALIFY row_number() OVER (PARTITION BY place_id, slot_date, slot, session_no ORDER BY CASE confidence WHEN 'verified' THEN 1 WHEN 'imported' THEN 2 WHEN 'inferred' THEN 3 ELSE 4 END, run_id DESC, source_id, candidate_id) = 1)"""
+pub AS (SELECT *, CASE WHEN status <> 'approved' THEN 'not_approved'
+ WHEN place_id IS NULL OR source_type IS NULL THEN 'missing_context' WHEN NOT ({PUB}) THEN 'policy_not_public'
+ WHEN run_kind = 'ai' THEN 'ai_needs_override' WHEN NOT valid THEN 'invalid'
+ WHEN main_min IS NULL THEN 'missing_time' ELSE 'publish' END AS outcome FROM chk),
+win AS (SELECT * FROM pub WHERE outcome = 'publish' QUALIFY row_number() OVER (PARTITION BY place_id, slot_date,
+ slot, session_no ORDER BY CASE confidence WHEN 'verified' THEN 1 WHEN 'imported' THEN 2
+ WHEN 'inferred' THEN 3 ELSE 4 END, run_id DESC, source_id, candidate_id) = 1)"""
 
 
 @query("p01_validate", ("candidates", "sources"), f"WITH {VALID} SELECT candidate_id, codes, valid FROM chk")
@@ -184,8 +212,12 @@ def diff_sql(inside: str | None) -> str:
     action = f"CASE WHEN o.source_id IS NULL OR (n.source_id IS NOT NULL AND ({NEWDIFF})) THEN 'published' WHEN n.source_id IS NOT NULL THEN 'carried' ELSE '{'carried' if inside else 'removed'}' END"
     if inside:
         action = f"CASE WHEN o.source_id IS NOT NULL AND NOT o.inside THEN 'carried' ELSE {action} END"
-    return f"""{VALID}, {old}, dif AS (SELECT *, coalesce(n_place, o_place) AS place_id FROM (SELECT n.place_id AS n_place, o.place_id AS o_place, coalesce(n.slot_date, o.slot_date) AS slot_date, coalesce(n.slot, o.slot) AS slot, coalesce(n.session_no, o.session_no) AS session_no, {action} AS action,
- n.main_min AS n_main, o.main_min AS o_main, n.candidate_id AS n_cand, o.candidate_id AS o_cand FROM win n FULL JOIN old o ON n.place_id = o.place_id AND n.slot_date = o.slot_date AND n.slot = o.slot AND n.session_no = o.session_no))"""
+    return f"""{VALID}, {old}, dif AS (SELECT *, coalesce(n_place, o_place) AS place_id FROM (SELECT n.place_id AS n_place,
+ o.place_id AS o_place, coalesce(n.slot_date, o.slot_date) AS slot_date, coalesce(n.slot, o.slot) AS slot,
+ coalesce(n.session_no, o.session_no) AS session_no, {action} AS action,
+ n.main_min AS n_main, o.main_min AS o_main, n.candidate_id AS n_cand, o.candidate_id AS o_cand FROM win n FULL
+ JOIN old o ON n.place_id = o.place_id AND n.slot_date = o.slot_date AND n.slot = o.slot
+ AND n.session_no = o.session_no))"""
 
 
 _ROWS = "SELECT place_id, slot_date::VARCHAR AS slot_date, slot, session_no::INT AS session_no, action, CASE WHEN action = 'published' THEN n_main ELSE o_main END::INT AS main_min, CASE WHEN action = 'removed' THEN o_cand ELSE coalesce(n_cand, o_cand) END AS candidate_id FROM dif"
@@ -207,16 +239,25 @@ def p06(candidates, sources, previous):
 
 
 @query("p07_change_events", _PUB3, f"""
-WITH {diff_sql(None)} SELECT 5000 + row_number() OVER (ORDER BY place_id, slot_date, {ORD}, session_no) AS event_id, 'occurrence_' || action AS kind, place_id,
- '{{"place_id":' || place_id || ',"date":"' || slot_date || '","slot":"' || slot || '","session_no":' || session_no || ',"main_min":' || CASE WHEN action = 'published' THEN n_main ELSE o_main END || '}}' AS payload FROM dif WHERE action <> 'carried'""")
+WITH {diff_sql(None)} SELECT 5000 + row_number() OVER (ORDER BY place_id, slot_date, {ORD},
+ session_no) AS event_id, 'occurrence_' || action AS kind, place_id,
+ '{{"place_id":' || place_id || ',"date":"' || slot_date || '","slot":"' || slot || '","session_no":' || session_no || ',"main_min":' ||
+ CASE WHEN action = 'published' THEN n_main ELSE o_main END || '}}' AS payload FROM dif WHERE action <> 'carried'""")
 def p07(candidates, sources, previous):
     return publish.events(publish.publish(batch_of(candidates, sources), previous, sources), 5000)
 
 
 COVER = f"""
-cov AS (SELECT source_id, count(*) FILTER (full_day) AS covered, bool_or(slot_date = {DAY} AND full_day) AS today FROM (SELECT source_id, slot_date, len(list_intersect(list(DISTINCT slot), CASE WHEN dayofweek(slot_date) = 5 THEN ['fajr', 'dhuhr', 'asr', 'maghrib', 'isha', 'jumuah'] ELSE ['fajr', 'dhuhr', 'asr', 'maghrib', 'isha'] END)) = CASE WHEN dayofweek(slot_date) = 5 THEN 6 ELSE 5 END AS full_day
+cov AS (SELECT source_id, count(*) FILTER (full_day) AS covered, bool_or(slot_date = {DAY} AND full_day) AS today
+ FROM (SELECT source_id, slot_date, len(list_intersect(list(DISTINCT slot), CASE
+ WHEN dayofweek(slot_date) = 5 THEN ['fajr', 'dhuhr', 'asr', 'maghrib', 'isha', 'jumuah'] ELSE ['fajr', 'dhuhr', 'asr', 'maghrib', 'isha'] END)) =
+ CASE WHEN dayofweek(slot_date) = 5 THEN 6 ELSE 5 END AS full_day
  FROM candidates WHERE slot_date BETWEEN {DAY} AND {DAY} + 7 GROUP BY source_id, slot_date) GROUP BY source_id),
-fre AS (SELECT s.source_id, CASE WHEN failures >= 3 THEN 0 ELSE coalesce(covered, 0) END AS covered, CASE WHEN failures >= 3 THEN 'source_failed' WHEN last_success IS NULL OR last_success < {DAY} - 30 THEN 'stale' WHEN NOT coalesce(today, false) THEN 'missing_today' WHEN covered < 8 THEN 'missing_next_days' ELSE 'fresh' END AS freshness FROM sources s LEFT JOIN cov USING (source_id))"""
+fre AS (SELECT s.source_id, CASE WHEN failures >= 3 THEN 0 ELSE coalesce(covered, 0) END AS covered, CASE
+ WHEN failures >= 3 THEN 'source_failed' WHEN last_success IS NULL OR last_success < {DAY} - 30 THEN 'stale'
+ WHEN NOT coalesce(today, false) THEN 'missing_today'
+ WHEN covered < 8 THEN 'missing_next_days' ELSE 'fresh' END AS freshness FROM sources s LEFT
+ JOIN cov USING (source_id))"""
 
 
 @query("f12_day_coverage", "candidates", f"WITH {COVER.split('fre AS')[0].rstrip().rstrip(',')} SELECT source_id, covered, today FROM cov")
@@ -230,15 +271,23 @@ def p08(sources, candidates):
 
 
 @query("p09_occurrence_freshness", ("previous", "sources", "candidates"), f"""
-WITH {COVER} SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN freshness = 'fresh' THEN 'fresh' WHEN freshness IN ('missing_today', 'missing_next_days') THEN 'partial' WHEN freshness IS NULL THEN 'unknown' ELSE 'stale' END AS freshness FROM previous LEFT JOIN fre USING (source_id)) GROUP BY freshness""")
+WITH {COVER} SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN freshness = 'fresh' THEN 'fresh'
+ WHEN freshness IN ('missing_today', 'missing_next_days') THEN 'partial'
+ WHEN freshness IS NULL THEN 'unknown' ELSE 'stale' END AS freshness FROM previous LEFT JOIN fre USING (source_id))
+ GROUP BY freshness""")
 def p09(previous, sources, candidates):
     mapped = publish.occurrence_freshness(previous, publish.source_freshness(sources, candidates, AS_OF))
     return mapped.groupBy("freshness").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p10_contribution_intake", "cells", r"""
-SELECT submission, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, min(first_error) AS first_error FROM (SELECT id // 4 AS submission, slot IS NOT NULL AND minutes IS NOT NULL AS ok, CASE WHEN slot IS NULL THEN 'unsupported slot' WHEN minutes IS NULL THEN 'invalid time' END AS first_error FROM
- (SELECT id, CASE lower(trim(label_text)) WHEN 'fajr' THEN 'fajr' WHEN 'zuhr' THEN 'dhuhr' WHEN 'jummah' THEN 'jumuah' END AS slot, CASE WHEN regexp_full_match(trim(time_text), '\d{1,2}:\d{2}') AND split_part(trim(time_text), ':', 1)::INT <= 23 AND split_part(trim(time_text), ':', 2)::INT <= 59 THEN 1 END AS minutes FROM cells)) GROUP BY submission""")
+SELECT submission, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected,
+ min(first_error) AS first_error FROM (SELECT id // 4 AS submission, slot IS NOT NULL AND minutes IS NOT NULL AS ok,
+ CASE WHEN slot IS NULL THEN 'unsupported slot' WHEN minutes IS NULL THEN 'invalid time' END AS first_error FROM
+ (SELECT id, CASE lower(trim(label_text)) WHEN 'fajr' THEN 'fajr' WHEN 'zuhr' THEN 'dhuhr'
+ WHEN 'jummah' THEN 'jumuah' END AS slot, CASE WHEN regexp_full_match(trim(time_text), '\d{1,2}:\d{2}')
+ AND split_part(trim(time_text), ':', 1)::INT <= 23
+ AND split_part(trim(time_text), ':', 2)::INT <= 59 THEN 1 END AS minutes FROM cells)) GROUP BY submission""")
 def p10(cells):
     rows = cells.select(F.expr("id div 4").alias("submission"), F.lit(1).alias("place_id"), F.lit("2024-02-02").cast("date").alias("slot_date"), F.col("label_text").alias("slot"), F.col("time_text").alias("main_time"), F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("int").alias("session_no"))
     return contributions.intake(contributions.schedule_rows(rows))
@@ -249,7 +298,9 @@ define("sent", ("events",), "SELECT event_id AS correction_id, user_id * 11 AS p
 
 
 @query("p10_corrections", ("corrections", "sent", "places"), """
-SELECT correction_id, place_id, status FROM corrections UNION ALL SELECT correction_id, place_id, 'pending' FROM sent s WHERE place_id IN (SELECT place_id FROM places) AND NOT EXISTS (SELECT 1 FROM corrections c WHERE c.correction_id = s.correction_id)""")
+SELECT correction_id, place_id, status FROM corrections UNION ALL SELECT correction_id, place_id, 'pending'
+ FROM sent s WHERE place_id IN (SELECT place_id FROM places) AND NOT EXISTS (SELECT 1 FROM corrections c
+ WHERE c.correction_id = s.correction_id)""")
 def p10b(corrections, sent, places):
     known = corrections.withColumn("contact", F.lit(None).cast("struct<name:string,email:string>"))
     return contributions.public_view(contributions.appended(known, sent, places, "correction_id"))
@@ -262,8 +313,11 @@ def p10c(sent, places, aliases, sources):
 
 
 @query("f14_publish_summary", _PUB3, f"""
-WITH {diff_sql(None)} SELECT count(*) FILTER (action = 'published') AS published, count(*) FILTER (action = 'carried') AS carried, count(*) FILTER (action = 'removed') AS removed,
- (SELECT count(*) FROM pub WHERE outcome IN ('policy_not_public', 'ai_needs_override')) AS skipped_policy, (SELECT count(*) FROM pub WHERE outcome IN ('invalid', 'missing_time')) AS skipped_validation, (SELECT count(DISTINCT source_id) FROM win) AS sources FROM dif""")
+WITH {diff_sql(None)} SELECT count(*) FILTER (action = 'published') AS published,
+ count(*) FILTER (action = 'carried') AS carried, count(*) FILTER (action = 'removed') AS removed,
+ (SELECT count(*) FROM pub WHERE outcome IN ('policy_not_public', 'ai_needs_override')) AS skipped_policy,
+ (SELECT count(*) FROM pub WHERE outcome IN ('invalid', 'missing_time')) AS skipped_validation,
+ (SELECT count(DISTINCT source_id) FROM win) AS sources FROM dif""")
 def f14(candidates, sources, previous):
     marked = publish.publishable(publish.validate(candidates, sources, AS_OF))
     batch = batch_of(candidates, sources)
@@ -271,6 +325,7 @@ def f14(candidates, sources, previous):
 
 
 @query("f13_weekly_grid", "previous", f"""
-SELECT slot, {', '.join(f"coalesce(string_agg(session_no || '=' || main_min, ',' ORDER BY session_no, main_min) FILTER (slot_date - DATE '2024-01-15' = {d}), '') AS day{d}" for d in range(7))} FROM previous WHERE place_id = 5 AND slot_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY slot""")
+SELECT slot, {', '.join(f"coalesce(string_agg(session_no || '=' || main_min, ',' ORDER BY session_no, main_min) FILTER (slot_date - DATE '2024-01-15' = {d}), '') AS day{d}" for d in range(7))}
+ FROM previous WHERE place_id = 5 AND slot_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY slot""")
 def f13(previous):
     return reads.weekly_grid(previous.where("place_id = 5"), "2024-01-15")

@@ -52,12 +52,20 @@ def a02(places):
 
 
 define("flat", ("places",), """
-SELECT place_id AS row, CASE WHEN place_id % 9 = 0 THEN ' ' ELSE CAST(place_id DIV 3 AS STRING) END AS external_id, CASE WHEN place_id % 18 = 0 THEN NULL ELSE 'm' || CAST(place_id DIV 3 AS STRING) END AS mosque_id, name, city, postcode,
- '2024-03-0' || CAST(1 + place_id % 9 AS STRING) AS date, CASE WHEN place_id % 2 = 0 THEN 'Fajr' ELSE 'isha' END AS prayer, CASE WHEN place_id % 4 = 0 THEN '' ELSE '05:00' END AS jamaat, CASE WHEN place_id % 4 = 0 THEN '05:30' ELSE NULL END AS iqama, CASE WHEN place_id % 5 = 0 THEN '2' ELSE '' END AS session_number FROM @places""")
+SELECT place_id AS row, CASE WHEN place_id % 9 = 0 THEN ' ' ELSE CAST(place_id DIV 3 AS STRING) END AS external_id,
+ CASE WHEN place_id % 18 = 0 THEN NULL ELSE 'm' || CAST(place_id DIV 3 AS STRING) END AS mosque_id, name, city,
+ postcode,
+ '2024-03-0' || CAST(1 + place_id % 9 AS STRING) AS date, CASE
+ WHEN place_id % 2 = 0 THEN 'Fajr' ELSE 'isha' END AS prayer, CASE
+ WHEN place_id % 4 = 0 THEN '' ELSE '05:00' END AS jamaat, CASE
+ WHEN place_id % 4 = 0 THEN '05:30' ELSE NULL END AS iqama, CASE
+ WHEN place_id % 5 = 0 THEN '2' ELSE '' END AS session_number FROM @places""")
 
 
 @query("a03_flat_csv", "flat", """
-WITH k AS (SELECT *, coalesce(nullif(trim(external_id), ''), nullif(trim(mosque_id), '')) AS key FROM flat) SELECT key AS external_id, arg_min(name, row) AS name, arg_min(coalesce(city, '-'), row) AS city, count(*) AS slots FROM k WHERE key IS NOT NULL GROUP BY key""")
+WITH k AS (SELECT *, coalesce(nullif(trim(external_id), ''), nullif(trim(mosque_id), '')) AS key FROM flat)
+ SELECT key AS external_id, arg_min(name, row) AS name, arg_min(coalesce(city, '-'), row) AS city, count(*) AS slots
+ FROM k WHERE key IS NOT NULL GROUP BY key""")
 def a03(flat):
     spark = flat.sparkSession
     path = shared_folder(spark, "flat")
@@ -77,15 +85,26 @@ def a04(flat):
 
 
 define("poi", ("places",), """
-SELECT CASE WHEN place_id % 29 = 0 THEN 200.0 ELSE lon END AS lon, lat, CASE WHEN place_id % 31 = 0 THEN NULL ELSE CASE place_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '?' ELSE '' END || '[' || CASE place_id % 6 WHEN 0 THEN '120WDeobBang' WHEN 1 THEN '?NoWIrreg' WHEN 2 THEN '80NJSalf' WHEN 3 THEN 'Multi' WHEN 4 THEN '50J' ELSE 'Pkstn' END || ']' || CASE WHEN place_id % 37 = 0 THEN '' ELSE replace(name, '.', '') END || CASE WHEN place_id % 41 = 0 THEN ' defunct' ELSE '' END || '. 5 High Street. 0207 946 0123' END AS label,
- coalesce(city, 'Town') || ',' || coalesce(postcode, 'D02 X285') || CASE WHEN place_id % 23 = 0 THEN '' ELSE '-ID:' || CAST(place_id AS STRING) END AS comment FROM @places""")
+SELECT CASE WHEN place_id % 29 = 0 THEN 200.0 ELSE lon END AS lon, lat, CASE WHEN place_id % 31 = 0 THEN NULL ELSE
+ CASE place_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '?' ELSE '' END || '[' || CASE place_id % 6 WHEN 0 THEN '120WDeobBang'
+ WHEN 1 THEN '?NoWIrreg' WHEN 2 THEN '80NJSalf' WHEN 3 THEN 'Multi' WHEN 4 THEN '50J' ELSE 'Pkstn' END || ']' || CASE
+ WHEN place_id % 37 = 0 THEN '' ELSE replace(name, '.', '') END || CASE
+ WHEN place_id % 41 = 0 THEN ' defunct' ELSE '' END || '. 5 High Street. 0207 946 0123' END AS label,
+ coalesce(city, 'Town') || ',' || coalesce(postcode, 'D02 X285') || CASE
+ WHEN place_id % 23 = 0 THEN '' ELSE '-ID:' || CAST(place_id AS STRING) END AS comment FROM @places""")
 
 
 @query("a05_poi_csv", "poi", r"""
 WITH b AS (SELECT *, regexp_extract(label, '^([*?])?\[([^\]]*)\](.*)$', 3) AS body FROM poi),
-p AS (SELECT *, list_filter(list_transform(string_split(replace(body, '0207 946 0123', ''), '.'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts, nullif(regexp_extract(comment, '-ID:(\d+)\s*$', 1), '') AS number FROM b)
-SELECT number, parts[1] AS name, nullif(array_to_string(parts[2:], ', '), '') AS address, CASE WHEN label IS NOT NULL THEN '0207 946 0123' END AS phone, split_part(comment, ',', 1) AS city,
- CASE WHEN label IS NULL THEN 'missing_columns' WHEN lat IS NULL OR lon IS NULL OR abs(lon) > 180 THEN 'invalid_coordinates' WHEN number IS NULL THEN 'missing_id' WHEN len(parts) = 0 THEN 'missing_name' WHEN contains(lower(body), 'defunct') THEN 'defunct' WHEN contains(label, '[Multi]') THEN 'multi_faith' END AS skip_reason FROM p""")
+p AS (SELECT *, list_filter(list_transform(string_split(replace(body, '0207 946 0123', ''), '.'),
+ lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts,
+ nullif(regexp_extract(comment, '-ID:(\d+)\s*$', 1), '') AS number FROM b)
+SELECT number, parts[1] AS name, nullif(array_to_string(parts[2:], ', '), '') AS address, CASE
+ WHEN label IS NOT NULL THEN '0207 946 0123' END AS phone, split_part(comment, ',', 1) AS city,
+ CASE WHEN label IS NULL THEN 'missing_columns'
+ WHEN lat IS NULL OR lon IS NULL OR abs(lon) > 180 THEN 'invalid_coordinates' WHEN number IS NULL THEN 'missing_id'
+ WHEN len(parts) = 0 THEN 'missing_name' WHEN contains(lower(body), 'defunct') THEN 'defunct'
+ WHEN contains(label, '[Multi]') THEN 'multi_faith' END AS skip_reason FROM p""")
 def a05(poi):
     spark = poi.sparkSession
     path = shared_folder(spark, "poi")
@@ -97,14 +116,22 @@ define("codes", ("places",), "SELECT place_id AS id, CASE place_id % 8 WHEN 0 TH
 
 
 @query("a06_info_code", "codes", """
-SELECT id, CASE id % 8 WHEN 1 THEN 'low' WHEN 6 THEN 'unknown' ELSE 'high' END AS confidence, CASE id % 8 WHEN 0 THEN 120 WHEN 2 THEN 80 WHEN 4 THEN 50 END AS capacity, CASE id % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS women, CASE id % 8 WHEN 1 THEN 'irregular' WHEN 2 THEN 'no_jumuah' WHEN 3 THEN 'unknown' WHEN 4 THEN 'jumuah_only' ELSE 'full_time' END AS usage,
- CASE id % 8 WHEN 1 THEN 'prayer_room' WHEN 3 THEN 'multi_faith' WHEN 4 THEN 'hired_hall' ELSE 'mosque' END AS class, CASE id % 8 WHEN 0 THEN 'Deobandi' WHEN 2 THEN 'Salafi' WHEN 3 THEN 'Shia' WHEN 7 THEN 'Arab mainstream' END AS theme, CASE id % 8 WHEN 0 THEN 'Bangladeshi' WHEN 5 THEN 'Pakistani' WHEN 7 THEN 'Arab' END AS management FROM codes""")
+SELECT id, CASE id % 8 WHEN 1 THEN 'low' WHEN 6 THEN 'unknown' ELSE 'high' END AS confidence, CASE id % 8
+ WHEN 0 THEN 120 WHEN 2 THEN 80 WHEN 4 THEN 50 END AS capacity, CASE id % 8 WHEN 0 THEN 'yes'
+ WHEN 1 THEN 'no' ELSE 'unknown' END AS women, CASE id % 8 WHEN 1 THEN 'irregular' WHEN 2 THEN 'no_jumuah'
+ WHEN 3 THEN 'unknown' WHEN 4 THEN 'jumuah_only' ELSE 'full_time' END AS usage,
+ CASE id % 8 WHEN 1 THEN 'prayer_room' WHEN 3 THEN 'multi_faith' WHEN 4 THEN 'hired_hall' ELSE 'mosque' END AS class,
+ CASE id % 8 WHEN 0 THEN 'Deobandi' WHEN 2 THEN 'Salafi' WHEN 3 THEN 'Shia'
+ WHEN 7 THEN 'Arab mainstream' END AS theme, CASE id % 8 WHEN 0 THEN 'Bangladeshi' WHEN 5 THEN 'Pakistani'
+ WHEN 7 THEN 'Arab' END AS management FROM codes""")
 def a06(codes):
     return codes.select("id", *[c.alias(k) for k, c in feeds.decode_info(F.col("raw")).items()])
 
 
 define("elements", ("places",), """
-SELECT CASE WHEN place_id % 50 = 7 THEN NULL WHEN place_id % 4 = 0 THEN 'node' WHEN place_id % 4 = 1 THEN 'way' WHEN place_id % 4 = 2 THEN 'relation' ELSE 'area' END AS type, place_id DIV 2 AS id, place_id AS pos, lat, lon, place_id % 6 AS k, name, city, website, country FROM @places""")
+SELECT CASE WHEN place_id % 50 = 7 THEN NULL WHEN place_id % 4 = 0 THEN 'node' WHEN place_id % 4 = 1 THEN 'way'
+ WHEN place_id % 4 = 2 THEN 'relation' ELSE 'area' END AS type, place_id DIV 2 AS id, place_id AS pos, lat, lon,
+ place_id % 6 AS k, name, city, website, country FROM @places""")
 _ELEMENTS = "e AS (SELECT * FROM elements WHERE type <> 'area' OR type IS NULL QUALIFY type IS NULL OR row_number() OVER (PARTITION BY type, id ORDER BY pos) = 1)"
 _SKIP = "CASE WHEN type IS NULL THEN 'invalid_type' WHEN k = 2 THEN 'no_name' WHEN lat IS NULL OR (type <> 'node' AND k = 3) THEN 'no_coords' WHEN k = 1 THEN 'non_muslim' END"
 
@@ -132,13 +159,16 @@ def _mapped(elements):
 
 
 @query("a08_tag_fields", "elements", f"""
-WITH {_ELEMENTS} SELECT type, id, CASE WHEN k = 2 THEN 'A,b,' || name ELSE 'A,b' END AS aliases, CASE WHEN k = 4 THEN '7 High St' ELSE 'High St' END AS address, city, nullif(website, '') AS website, 'GB' AS country FROM e""")
+WITH {_ELEMENTS} SELECT type, id, CASE WHEN k = 2 THEN 'A,b,' || name ELSE 'A,b' END AS aliases, CASE
+ WHEN k = 4 THEN '7 High St' ELSE 'High St' END AS address, city, nullif(website, '') AS website, 'GB' AS country
+ FROM e""")
 def a08(elements):
     return _mapped(elements).select("type", "id", F.array_join("aliases", ",").alias("aliases"), "address", "city", "website", "country")
 
 
 @query("a09_place_bundle", "elements", r"""
-SELECT type || '/' || id AS external_id, CASE WHEN k = 5 THEN 'The ISLAMIC ' || name ELSE name END AS name, city, CASE WHEN k = 0 THEN 'IE' ELSE 'GB' END AS country, k <> 1 AS fits FROM elements WHERE type IS NOT NULL""")
+SELECT type || '/' || id AS external_id, CASE WHEN k = 5 THEN 'The ISLAMIC ' || name ELSE name END AS name, city,
+ CASE WHEN k = 0 THEN 'IE' ELSE 'GB' END AS country, k <> 1 AS fits FROM elements WHERE type IS NOT NULL""")
 def a09b(elements):
     spark = elements.sparkSession
     name = F.when(F.col("k") == 5, F.concat(F.lit("The ISLAMIC "), "name")).otherwise(F.col("name"))
@@ -152,8 +182,10 @@ def a09b(elements):
 
 
 @query("a09_discovery_records", ("places", "elements"), f"""
-WITH {_ELEMENTS} SELECT 'partner_feed' AS source_type, place_id::VARCHAR AS external_id, name, city, postcode, website FROM places UNION ALL
-SELECT 'map_dump', type || '/' || id, CASE WHEN k = 5 THEN 'Masjid ' || name ELSE name END, city, NULL, nullif(website, '') FROM e WHERE {_SKIP} IS NULL""")
+WITH {_ELEMENTS} SELECT 'partner_feed' AS source_type, place_id::VARCHAR AS external_id, name, city, postcode,
+ website FROM places UNION ALL
+SELECT 'map_dump', type || '/' || id, CASE WHEN k = 5 THEN 'Masjid ' || name ELSE name END, city, NULL,
+ nullif(website, '') FROM e WHERE {_SKIP} IS NULL""")
 def a09(places, elements):
     mapped = _mapped(elements).where("skip_reason is null").withColumn("external_id", F.concat("type", F.lit("/"), "id"))
     records = feeds.discovery_records((places.withColumn("external_id", F.col("place_id")), "partner_feed"), (mapped, "map_dump"))
@@ -161,7 +193,10 @@ def a09(places, elements):
 
 
 @query("a12_detail_pages", "places", """
-SELECT place_id, CASE WHEN place_id % 7 = 0 THEN NULL ELSE '2024-01-' || (10 + place_id % 20) END AS updated, CASE WHEN place_id % 5 = 0 THEN website ELSE 'https://d' || place_id || '.org/?a=1&b=2' END AS website, (place_id % 90)::INT AS capacity, 'Mixed & calm' AS theme, substr('ABCDEF', (1 + place_id % 6)::INT, 1) AS accuracy, 2 AS sources FROM places""")
+SELECT place_id, CASE WHEN place_id % 7 = 0 THEN NULL ELSE '2024-01-' || (10 + place_id % 20) END AS updated, CASE
+ WHEN place_id % 5 = 0 THEN website ELSE 'https://d' || place_id || '.org/?a=1&b=2' END AS website,
+ (place_id % 90)::INT AS capacity, 'Mixed & calm' AS theme, substr('ABCDEF',
+ (1 + place_id % 6)::INT, 1) AS accuracy, 2 AS sources FROM places""")
 def a12(places):
     day = F.when(F.col("place_id") % 7 == 0, "99/99/2024").otherwise(F.concat((10 + F.col("place_id") % 20).cast("string"), F.lit("/01/2024")))
     site = F.when(F.col("place_id") % 5 == 0, "").otherwise(F.concat(F.lit("<li>Website:&nbsp;<b>https://d"), F.col("place_id").cast("string"), F.lit(".org/?a=1&amp;b=2</b></li>")))
@@ -179,7 +214,12 @@ def b23(pages):
 
 
 define("directory_pages", ("places",), """
-SELECT place_id AS page_id, CASE WHEN place_id % 5 = 4 THEN 'https://www.islamicfinder.org/p/' ELSE 'https://dir.example.org/p/' END || CAST(place_id AS STRING) AS url, CASE place_id % 5 WHEN 4 THEN '<dt>Website:</dt> <a class="x" href="https://l' || CAST(place_id AS STRING) || '.org/">go</a>' WHEN 0 THEN '<script type="application/ld+json">{"@type":"Mosque","url":"https://own' || CAST(place_id AS STRING) || '.org/"}</script>' WHEN 1 THEN '<a href="https://w' || CAST(place_id AS STRING) || '.org">Visit website</a>' WHEN 2 THEN '<a href="/self">Website</a>' ELSE '<p>none</p>' END AS html FROM @places""")
+SELECT place_id AS page_id, CASE
+ WHEN place_id % 5 = 4 THEN 'https://www.islamicfinder.org/p/' ELSE 'https://dir.example.org/p/' END || CAST(place_id AS STRING) AS url,
+ CASE place_id % 5 WHEN 4 THEN '<dt>Website:</dt> <a class="x" href="https://l' || CAST(place_id AS STRING) || '.org/">go</a>'
+ WHEN 0 THEN '<script type="application/ld+json">{"@type":"Mosque","url":"https://own' || CAST(place_id AS STRING) || '.org/"}</script>'
+ WHEN 1 THEN '<a href="https://w' || CAST(place_id AS STRING) || '.org">Visit website</a>'
+ WHEN 2 THEN '<a href="/self">Website</a>' ELSE '<p>none</p>' END AS html FROM @places""")
 
 
 @query("b28_official_site", "directory_pages", "SELECT page_id, CASE page_id % 5 WHEN 4 THEN 'https://l' || page_id || '.org/' WHEN 0 THEN 'https://own' || page_id || '.org/' WHEN 1 THEN 'https://w' || page_id || '.org' END AS site FROM directory_pages")
@@ -213,10 +253,15 @@ _SHIFT = "CASE WHEN {m} < 720 AND NOT ({m} BETWEEN lo AND hi) AND {m} + 720 BETW
 
 
 @query("k03_table_timetable", "day_rows", f"""
-WITH l AS (SELECT page_id, slot_date, 'fajr' AS slot, fajr AS m0, fajr - 15 AS s0, 120 AS lo, 450 AS hi FROM day_rows WHERE page_id % 11 > 1 UNION ALL SELECT page_id, slot_date, 'isha', isha, NULL, 1020, 1439 FROM day_rows WHERE page_id % 11 > 2),
-s AS (SELECT *, {_SHIFT.format(m="m0")} AS m, {_SHIFT.format(m="s0")} AS st FROM l WHERE m0 IS NOT NULL), f AS (SELECT *, m BETWEEN lo AND hi AS good FROM s), p AS (SELECT DISTINCT page_id, page_id % 11 AS k FROM day_rows)
-SELECT page_id, slot_date::VARCHAR AS slot_date, slot, CASE WHEN good THEN m END::INT AS main_min, CASE WHEN good THEN st END::INT AS start_min, CASE WHEN NOT good THEN 'implausible_time' END AS warning FROM f
-UNION ALL SELECT page_id, NULL, CASE WHEN k = 2 THEN 'isha' END, NULL, NULL, CASE k WHEN 0 THEN 'no_table' WHEN 1 THEN 'no_date_column' ELSE 'missing_prayer_column' END FROM p WHERE k < 3""")
+WITH l AS (SELECT page_id, slot_date, 'fajr' AS slot, fajr AS m0, fajr - 15 AS s0, 120 AS lo, 450 AS hi FROM day_rows
+ WHERE page_id % 11 > 1 UNION ALL SELECT page_id, slot_date, 'isha', isha, NULL, 1020, 1439 FROM day_rows
+ WHERE page_id % 11 > 2),
+s AS (SELECT *, {_SHIFT.format(m="m0")} AS m, {_SHIFT.format(m="s0")} AS st FROM l WHERE m0 IS NOT NULL),
+ f AS (SELECT *, m BETWEEN lo AND hi AS good FROM s), p AS (SELECT DISTINCT page_id, page_id % 11 AS k FROM day_rows)
+SELECT page_id, slot_date::VARCHAR AS slot_date, slot, CASE WHEN good THEN m END::INT AS main_min, CASE
+ WHEN good THEN st END::INT AS start_min, CASE WHEN NOT good THEN 'implausible_time' END AS warning FROM f
+UNION ALL SELECT page_id, NULL, CASE WHEN k = 2 THEN 'isha' END, NULL, NULL, CASE k WHEN 0 THEN 'no_table'
+ WHEN 1 THEN 'no_date_column' ELSE 'missing_prayer_column' END FROM p WHERE k < 3""")
 def k03(day_rows):
     rows = extract.table_rows(timetable_pages(day_rows), ["fajr", "jamaat"], "date", {"fajr": "fajr jamaat", "isha": "isha"}, 2024, start_columns={"fajr": "begins"})
     return rows.drop("row").withColumn("slot_date", F.col("slot_date").cast("string"))
@@ -224,11 +269,15 @@ def k03(day_rows):
 
 # a month's table: bare days, blank and ditto cells that repeat the one above
 define("month_rows", ("customer",), """
-SELECT c_custkey DIV 28 AS page_id, c_custkey % 28 + 1 AS day, CASE WHEN c_custkey % 28 = 0 OR c_custkey % 5 = 0 THEN 'y' WHEN c_custkey % 5 = 1 THEN '"' WHEN c_custkey % 5 = 2 THEN '' ELSE 'Ditto' END AS mark, 300 + (c_custkey * 7) % 60 AS fajr FROM @customer""")
+SELECT c_custkey DIV 28 AS page_id, c_custkey % 28 + 1 AS day, CASE
+ WHEN c_custkey % 28 = 0 OR c_custkey % 5 = 0 THEN 'y' WHEN c_custkey % 5 = 1 THEN '"'
+ WHEN c_custkey % 5 = 2 THEN '' ELSE 'Ditto' END AS mark, 300 + (c_custkey * 7) % 60 AS fajr FROM @customer""")
 
 
 @query("k03_carried_timetable", "month_rows", """
-SELECT page_id, (DATE '2024-02-01' + (day - 1)::INT)::VARCHAR AS slot_date, last_value(CASE WHEN mark = 'y' THEN fajr END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INT AS main_min FROM month_rows""")
+SELECT page_id, (DATE '2024-02-01' + (day - 1)::INT)::VARCHAR AS slot_date, last_value(CASE
+ WHEN mark = 'y' THEN fajr END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING
+ AND CURRENT ROW)::INT AS main_min FROM month_rows""")
 def k03b(month_rows):
     ordinal = F.concat(F.lit("Mon "), F.col("day").cast("string"), F.lit("th"))
     row = F.concat(F.lit("<tr><td>"), ordinal, F.lit("</td><td>"), F.when(F.col("mark") == "y", clock(F.col("fajr"))).otherwise(F.col("mark")), F.lit("</td></tr>"))
@@ -239,7 +288,8 @@ def k03b(month_rows):
 
 
 @query("k01_user_extractors", "day_rows", """
-SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 11 > 0 THEN count(*) ELSE 0 END AS found, CASE WHEN page_id % 2 = 1 OR page_id % 11 = 0 THEN 1 ELSE 0 END AS errors FROM day_rows GROUP BY page_id""")
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 11 > 0 THEN count(*) ELSE 0 END AS found, CASE
+ WHEN page_id % 2 = 1 OR page_id % 11 = 0 THEN 1 ELSE 0 END AS errors FROM day_rows GROUP BY page_id""")
 def k01(day_rows):
     def good(url, page):
         return [(r[0], "fajr", 300) for r in html.tables_of(page)[1][1:]]
@@ -253,7 +303,9 @@ def k01(day_rows):
 
 
 @query("k04_state_json", "day_rows", f"""
-SELECT page_id, slot_date::VARCHAR AS slot_date, slot, session_no, m::INT AS main_min FROM (SELECT page_id, slot_date, 'fajr' AS slot, 1 AS session_no, fajr AS m FROM day_rows WHERE fajr BETWEEN 120 AND 450 UNION ALL SELECT page_id, slot_date, 'jumuah', s, 780 + 30 * s FROM day_rows, (VALUES (1), (2)) x(s))""")
+SELECT page_id, slot_date::VARCHAR AS slot_date, slot, session_no, m::INT AS main_min FROM (SELECT page_id,
+ slot_date, 'fajr' AS slot, 1 AS session_no, fajr AS m FROM day_rows WHERE fajr BETWEEN 120 AND 450 UNION ALL
+ SELECT page_id, slot_date, 'jumuah', s, 780 + 30 * s FROM day_rows, (VALUES (1), (2)) x(s))""")
 def k04(day_rows):
     stamp = lambda hm: F.concat(F.col("slot_date").cast("string"), F.lit("T"), hm, F.lit(":00+00:00"))
     times = F.struct(stamp(clock(F.col("fajr"))).alias("fajr"), F.array(stamp(F.lit("13:30")), stamp(F.lit("14:00"))).alias("jumuah"))
@@ -265,8 +317,12 @@ def k04(day_rows):
 
 
 @query("k05_year_calendar", "day_rows", """
-SELECT page_id, slot_date::VARCHAR AS slot_date, slot, n AS session_no, m::INT AS main_min FROM (SELECT page_id, slot_date, 'fajr' AS slot, 1 AS n, fajr AS m FROM day_rows WHERE fajr BETWEEN 120 AND 450 UNION ALL SELECT page_id, slot_date, 'dhuhr', 1, 780 FROM day_rows
- UNION ALL SELECT page_id, slot_date, 'jumuah', 1, 795 FROM day_rows WHERE page_id % 3 > 0 AND dayofweek(slot_date) = 5 UNION ALL SELECT page_id, slot_date, 'jumuah', 2, 840 FROM day_rows WHERE page_id % 3 = 1 AND dayofweek(slot_date) = 5)""")
+SELECT page_id, slot_date::VARCHAR AS slot_date, slot, n AS session_no, m::INT AS main_min FROM (SELECT page_id,
+ slot_date, 'fajr' AS slot, 1 AS n, fajr AS m FROM day_rows WHERE fajr BETWEEN 120 AND 450 UNION ALL SELECT page_id,
+ slot_date, 'dhuhr', 1, 780 FROM day_rows
+ UNION ALL SELECT page_id, slot_date, 'jumuah', 1, 795 FROM day_rows WHERE page_id % 3 > 0
+ AND dayofweek(slot_date) = 5 UNION ALL SELECT page_id, slot_date, 'jumuah', 2, 840 FROM day_rows
+ WHERE page_id % 3 = 1 AND dayofweek(slot_date) = 5)""")
 def k05(day_rows):
     day = F.dayofmonth("slot_date").cast("string")
     times = F.array(F.coalesce(clock(F.col("fajr")), F.lit("")), F.lit("+15"), F.lit(""), F.lit(""), F.lit(""))
@@ -280,7 +336,9 @@ def k05(day_rows):
 
 
 @query("k06_rows_to_candidates", ("day_rows", "sources"), """
-SELECT s.source_id, s.place_id, slot_date::VARCHAR AS slot_date, fajr::INT AS main_min, '{"contract":"site_extractor/v1","gate_passed":true,"artifact_id":' || page_id || '}' AS evidence FROM day_rows JOIN sources s ON s.source_id = page_id WHERE fajr IS NOT NULL""")
+SELECT s.source_id, s.place_id, slot_date::VARCHAR AS slot_date,
+ fajr::INT AS main_min, '{"contract":"site_extractor/v1","gate_passed":true,"artifact_id":' || page_id || '}' AS evidence
+ FROM day_rows JOIN sources s ON s.source_id = page_id WHERE fajr IS NOT NULL""")
 def k06(day_rows, sources):
     rows = day_rows.select("page_id", "slot_date", F.lit("fajr").alias("slot"), F.col("fajr").alias("main_min"))
     found = extract.as_candidates(rows, sources.select(F.col("source_id").alias("page_id"), "source_id", "place_id"), "site_extractor/v1", F.lit(True))
@@ -291,16 +349,26 @@ def k06(day_rows, sources):
 define("store", ("pages",), "SELECT min(page_id) AS page_id, url, min(html) AS html FROM @pages WHERE url IS NOT NULL GROUP BY url")
 define("titled", ("store",), "SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 9 AS k, CAST(page_id AS STRING) AS id FROM @store")
 define("leads", ("titled",), """
-SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'https://facebook.com/x' WHEN 1 THEN 'https://gone.example.org/' || id WHEN 7 THEN 'https://c' || id || '.example.org/home' WHEN 8 THEN 'https://d' || id || '.example.org/' ELSE url END AS url,
- CASE WHEN k = 5 THEN 'Xyzzyq Wqvbk' ELSE title END AS name, CASE WHEN k = 3 THEN 'QQ99 9QQ' WHEN k = 4 THEN NULL ELSE substr(title, 1, 9) END AS postcode, CASE WHEN k = 4 THEN lower(substr(title, 1, 16)) ELSE '12 No Street' END AS address, k = 6 AS trusted FROM @titled""")
+SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'https://facebook.com/x' WHEN 1 THEN 'https://gone.example.org/' || id
+ WHEN 7 THEN 'https://c' || id || '.example.org/home'
+ WHEN 8 THEN 'https://d' || id || '.example.org/' ELSE url END AS url,
+ CASE WHEN k = 5 THEN 'Xyzzyq Wqvbk' ELSE title END AS name, CASE WHEN k = 3 THEN 'QQ99 9QQ'
+ WHEN k = 4 THEN NULL ELSE substr(title, 1, 9) END AS postcode, CASE
+ WHEN k = 4 THEN lower(substr(title, 1, 16)) ELSE '12 No Street' END AS address, k = 6 AS trusted FROM @titled""")
 define("shelf", ("titled",), """
-SELECT url, html FROM @titled UNION ALL SELECT 'https://c' || id || '.example.org/home' AS url, '<p>nothing here</p>' AS html FROM @titled WHERE k = 7 UNION ALL SELECT 'https://c' || id || '.example.org/about' AS url, html FROM @titled WHERE k = 7
-UNION ALL SELECT 'https://d' || id || '.example.org/' AS url, '<a href="https://own' || id || '.example.org/">Visit website</a>' AS html FROM @titled WHERE k = 8 UNION ALL SELECT 'https://own' || id || '.example.org/' AS url, html FROM @titled WHERE k = 8""")
+SELECT url, html FROM @titled UNION ALL
+ SELECT 'https://c' || id || '.example.org/home' AS url, '<p>nothing here</p>' AS html FROM @titled WHERE k = 7
+ UNION ALL SELECT 'https://c' || id || '.example.org/about' AS url, html FROM @titled WHERE k = 7
+UNION ALL SELECT 'https://d' || id || '.example.org/' AS url, '<a href="https://own' || id || '.example.org/">Visit website</a>' AS html
+ FROM @titled WHERE k = 8 UNION ALL SELECT 'https://own' || id || '.example.org/' AS url, html FROM @titled
+ WHERE k = 8""")
 
 
 @query("d11_verify_leads", ("leads", "shelf", "titled"), """
-SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'denied' WHEN 1 THEN 'fetch_failed' WHEN 3 THEN 'no_match' WHEN 5 THEN 'no_match' ELSE 'verified' END AS outcome,
- CASE k WHEN 7 THEN 'https://c' || id || '.example.org/about' WHEN 8 THEN 'https://own' || id || '.example.org/' WHEN 2 THEN url WHEN 4 THEN url WHEN 6 THEN url END AS verified_url FROM titled""")
+SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'denied' WHEN 1 THEN 'fetch_failed' WHEN 3 THEN 'no_match'
+ WHEN 5 THEN 'no_match' ELSE 'verified' END AS outcome,
+ CASE k WHEN 7 THEN 'https://c' || id || '.example.org/about' WHEN 8 THEN 'https://own' || id || '.example.org/'
+ WHEN 2 THEN url WHEN 4 THEN url WHEN 6 THEN url END AS verified_url FROM titled""")
 def d11(leads, shelf, titled):
     return websites.verify(leads, shelf)
 
@@ -320,14 +388,16 @@ _OUTCOMES = "(SELECT place_id, website, CASE WHEN place_id % 2 = 0 THEN 'verifie
 
 
 @query("e15_run_counts", ("places", "sources"), f"""
-SELECT {", ".join(f"2 * count(*) FILTER (outcome = '{k}') AS {k}" for k in ("verified", "denied", "fetch_failed", "no_match"))}, 2 * count(*) FILTER (outcome IN ('fetch_failed', 'no_match')) AS audited, count(*) FILTER (outcome = 'verified' AND coalesce(website, '') = '') AS promoted FROM {_OUTCOMES}""")
+SELECT {", ".join(f"2 * count(*) FILTER (outcome = '{k}') AS {k}" for k in ("verified", "denied", "fetch_failed", "no_match"))}, 2 * count(*) FILTER (outcome IN ('fetch_failed', 'no_match')) AS audited,
+ count(*) FILTER (outcome = 'verified' AND coalesce(website, '') = '') AS promoted FROM {_OUTCOMES}""")
 def e15b(places, sources):
     verified = _verified(places)
     return websites.run_counts(verified, websites.promote(verified, places, sources))
 
 
 @query("e15_audit_rows", "places", f"""
-SELECT place_id, 'provider=' || p || '; outcome=' || outcome || '; url=https://v' || place_id || '.org' AS notes FROM {_OUTCOMES}, (VALUES ('p1'), ('p2')) x(p) WHERE outcome IN ('fetch_failed', 'no_match')""")
+SELECT place_id, 'provider=' || p || '; outcome=' || outcome || '; url=https://v' || place_id || '.org' AS notes
+ FROM {_OUTCOMES}, (VALUES ('p1'), ('p2')) x(p) WHERE outcome IN ('fetch_failed', 'no_match')""")
 def e15c(places):
     return websites.audit_rows(_verified(places)).select("place_id", "notes")
 
@@ -359,15 +429,20 @@ def s03(previous, places, sources):
     return export.occurrence_table(export.export_occurrences(previous, places, sources))
 
 
-@query("s04_changes_ndjson", ("change_events", "versions"), """SELECT '{"event_id":' || event_id || ',"kind":"' || kind || '","version":"' || version || '"}' AS value FROM change_events JOIN versions USING (version_id) WHERE version_id = 4""")
+@query("s04_changes_ndjson", ("change_events", "versions"), """SELECT '{"event_id":' || event_id || ',"kind":"' || kind || '","version":"' || version || '"}' AS value
+ FROM change_events JOIN versions USING (version_id) WHERE version_id = 4""")
 def s04(change_events, versions):
     rows = change_events.where("version_id = 4").join(versions.select("version_id", "version"), "version_id", "left")
     return export.as_json(rows.select("event_id", "kind", "version"))
 
 
 @query("s05_metadata", ("previous", "places", "sources"), f"""
-SELECT (SELECT count(*) FROM places WHERE status = 'active') AS places, (SELECT count(*) FROM previous) AS occurrences, count(*) FILTER ({PUB}) AS public_sources, count(*) FILTER (NOT ({PUB})) AS restricted_sources,
- 'Default' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY first) FROM (SELECT trim(attribution) AS line, min(source_id) AS first FROM sources s JOIN places p USING (place_id) WHERE p.status = 'active' AND {PUB} AND attribution IS NOT NULL GROUP BY 1)) AS attribution
+SELECT (SELECT count(*) FROM places WHERE status = 'active') AS places, (SELECT count(*)
+ FROM previous) AS occurrences, count(*) FILTER ({PUB}) AS public_sources,
+ count(*) FILTER (NOT ({PUB})) AS restricted_sources,
+ 'Default' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY first) FROM (SELECT trim(attribution) AS line,
+ min(source_id) AS first FROM sources s JOIN places p USING (place_id) WHERE p.status = 'active' AND {PUB}
+ AND attribution IS NOT NULL GROUP BY 1)) AS attribution
 FROM sources JOIN places USING (place_id) WHERE places.status = 'active'""")
 def s05(previous, places, sources):
     return export.metadata(places, previous, sources, "Default")

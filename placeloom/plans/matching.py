@@ -23,8 +23,12 @@ def _post(c: str) -> str:
 
 
 def _key_sql(table: str) -> str:
-    return rf"""SELECT *, {_post('postcode')} AS post, nullif(regexp_replace(upper(postcode), '\s+', '', 'g'), '') AS compact, nullif(trim(regexp_replace(lower(city), '\s+', ' ', 'g')), '') AS town, trim(regexp_replace(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain,
- CASE WHEN trim(website) <> '' THEN nullif(regexp_replace(lower(regexp_extract(CASE WHEN contains(website, '://') THEN website ELSE 'https://' || website END, '^[^:]*://([^/?#]*)', 1)), '^www\.', ''), '') END AS domain FROM {table}"""
+    return rf"""SELECT *, {_post('postcode')} AS post, nullif(regexp_replace(upper(postcode), '\s+', '', 'g'), '') AS compact,
+ nullif(trim(regexp_replace(lower(city), '\s+', ' ', 'g')), '') AS town,
+ trim(regexp_replace(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain,
+ CASE WHEN trim(website) <> '' THEN nullif(regexp_replace(lower(regexp_extract(CASE
+ WHEN contains(website, '://') THEN website ELSE 'https://' || website END, '^[^:]*://([^/?#]*)', 1)), '^www\.', ''), '') END AS domain
+ FROM {table}"""
 
 
 KEYED = f"r AS ({_key_sql('records')}), p AS ({_key_sql('places')})"
@@ -56,8 +60,10 @@ def d03(places):
 
 
 @query("d04_nearby_times", ("places", "previous", "sources"), f"""
-WITH near AS (SELECT p.place_id, round({haversine_sql('o', 'p')}, 3) AS metres FROM places p, {_ORIGIN} o WHERE status = 'active' AND {haversine_sql('o', 'p')} <= 20000 ORDER BY {haversine_sql('o', 'p')}, place_id LIMIT 40)
-SELECT place_id, metres, slot, session_no::INT AS session_no, main_min FROM near JOIN previous USING (place_id) WHERE slot_date = DATE '2024-01-12' AND source_id IN (SELECT source_id FROM sources WHERE {PUB})""")
+WITH near AS (SELECT p.place_id, round({haversine_sql('o', 'p')}, 3) AS metres FROM places p, {_ORIGIN} o
+ WHERE status = 'active' AND {haversine_sql('o', 'p')} <= 20000 ORDER BY {haversine_sql('o', 'p')}, place_id LIMIT 40)
+SELECT place_id, metres, slot, session_no::INT AS session_no, main_min FROM near JOIN previous USING (place_id)
+ WHERE slot_date = DATE '2024-01-12' AND source_id IN (SELECT source_id FROM sources WHERE {PUB})""")
 def d04(places, previous, sources):
     near = reads.nearest(places, 51.2, -0.8, 20000.0, 40).withColumn("metres", F.round("metres", 3))
     times = reads.nearby_times(near, previous, sources, "2024-01-12")
@@ -71,8 +77,11 @@ def d05(records, places):
 
 # points on both sides of 180 degrees and by the poles
 define("far_points", ("customer",), """
-SELECT c_custkey AS point_id, CASE WHEN c_custkey % 5 = 4 THEN 89.9 + (c_custkey % 89) / CAST(1000.0 AS DOUBLE) ELSE -17 + (c_custkey DIV 8) % 3000 / CAST(100.0 AS DOUBLE) + (c_custkey % 331) / CAST(1000000.0 AS DOUBLE) END AS lat,
- CASE WHEN c_custkey % 5 = 4 THEN (c_custkey * 37) % 360 - CAST(180.0 AS DOUBLE) WHEN c_custkey % 2 = 0 THEN 180 - (c_custkey % 313) / CAST(100000.0 AS DOUBLE) ELSE -180 + (c_custkey % 317) / CAST(100000.0 AS DOUBLE) END AS lon FROM @customer""")
+SELECT c_custkey AS point_id, CASE
+ WHEN c_custkey % 5 = 4 THEN 89.9 + (c_custkey % 89) / CAST(1000.0 AS DOUBLE) ELSE -17 + (c_custkey DIV 8) % 3000 / CAST(100.0 AS DOUBLE) + (c_custkey % 331) / CAST(1000000.0 AS DOUBLE) END AS lat,
+ CASE WHEN c_custkey % 5 = 4 THEN (c_custkey * 37) % 360 - CAST(180.0 AS DOUBLE)
+ WHEN c_custkey % 2 = 0 THEN 180 - (c_custkey % 313) / CAST(100000.0 AS DOUBLE) ELSE -180 + (c_custkey % 317) / CAST(100000.0 AS DOUBLE) END AS lon
+ FROM @customer""")
 
 
 @query("d05_radius_join_round_the_globe", "far_points", f"SELECT a.point_id AS a, b.point_id AS b FROM far_points a JOIN far_points b ON abs(a.lat - b.lat) < 0.006 AND {haversine_sql('a', 'b')} <= 200")
@@ -107,7 +116,8 @@ def register_rows(register):
 
 # some numbers of the register have a source already
 define("register_sources", ("register",), """
-SELECT number * 2 + j AS source_id, CASE WHEN j = 0 THEN 'register' ELSE 'website' END AS source_type, CAST(number AS STRING) AS external_id FROM (SELECT number, EACH(2) AS j FROM @register) WHERE number % 4 = 1""")
+SELECT number * 2 + j AS source_id, CASE WHEN j = 0 THEN 'register' ELSE 'website' END AS source_type,
+ CAST(number AS STRING) AS external_id FROM (SELECT number, EACH(2) AS j FROM @register) WHERE number % 4 = 1""")
 
 
 @query("d08_register_leads", ("register", "places", "register_sources"))
@@ -117,21 +127,32 @@ def d08(register, places, register_sources):
 
 
 @query("d08_register_pairs", ("register", "places"), rf"""
-WITH k AS (SELECT number, name AS registered, regexp_replace(upper(postcode), '\s+', '', 'g') AS compact, regexp_replace(lower(regexp_extract(CASE WHEN contains(web, '://') THEN trim(web) ELSE 'https://' || trim(web) END, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM register WHERE trim(web) <> '' AND trim(postcode) <> '')
-SELECT place_id, number FROM k JOIN places p ON k.compact = regexp_replace(upper(p.postcode), '\s+', '', 'g') WHERE coalesce(p.website, '') = '' AND NOT (contains(host, 'facebook.com') OR contains(host, 'x.com')) AND len(list_intersect({_TOK.format(c='p.name')}, {_TOK.format(c='registered')})) >= 2""")
+WITH k AS (SELECT number, name AS registered, regexp_replace(upper(postcode), '\s+', '', 'g') AS compact,
+ regexp_replace(lower(regexp_extract(CASE
+ WHEN contains(web, '://') THEN trim(web) ELSE 'https://' || trim(web) END, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS host
+ FROM register WHERE trim(web) <> '' AND trim(postcode) <> '')
+SELECT place_id, number FROM k JOIN places p ON k.compact = regexp_replace(upper(p.postcode), '\s+', '', 'g')
+ WHERE coalesce(p.website, '') = '' AND NOT (contains(host, 'facebook.com') OR contains(host, 'x.com'))
+ AND len(list_intersect({_TOK.format(c='p.name')}, {_TOK.format(c='registered')})) >= 2""")
 def d08b(register, places):
     return leads.register_pairs(register_rows(register), places).select("place_id", "number")
 
 
 # metadata of a source: keys of homepages, others, and values that are no urls
 define("metadata_rows", ("sources",), """
-SELECT source_id, place_id, source_type, k, CASE k WHEN 0 THEN 'homepage' WHEN 1 THEN 'homepage_url' WHEN 2 THEN 'mosque_website' WHEN 3 THEN 'official_website' WHEN 4 THEN 'primary_website' WHEN 5 THEN 'url' WHEN 6 THEN 'detail_page_url' ELSE 'website_url' END AS key,
- CASE WHEN (source_id + k) % 5 = 0 THEN ' HTTPS://h' || CAST(source_id AS STRING) || '.org/' || CAST(k AS STRING) || ' ' WHEN (source_id + k) % 5 = 1 THEN 'ftp://x' WHEN (source_id + k) % 5 = 2 THEN '' ELSE 'http://p' || CAST(k AS STRING) || '.example.org' END AS url
+SELECT source_id, place_id, source_type, k, CASE k WHEN 0 THEN 'homepage' WHEN 1 THEN 'homepage_url'
+ WHEN 2 THEN 'mosque_website' WHEN 3 THEN 'official_website' WHEN 4 THEN 'primary_website' WHEN 5 THEN 'url'
+ WHEN 6 THEN 'detail_page_url' ELSE 'website_url' END AS key,
+ CASE WHEN (source_id + k) % 5 = 0 THEN ' HTTPS://h' || CAST(source_id AS STRING) || '.org/' || CAST(k AS STRING) || ' '
+ WHEN (source_id + k) % 5 = 1 THEN 'ftp://x'
+ WHEN (source_id + k) % 5 = 2 THEN '' ELSE 'http://p' || CAST(k AS STRING) || '.example.org' END AS url
 FROM (SELECT source_id, place_id, source_type, EACH(8) AS k FROM @sources) WHERE (source_id * 3 + k) % 7 < 3""")
 
 
 @query("d09_metadata_leads", ("metadata_rows", "places"), r"""
-SELECT source_id, place_id, key, trim(url) AS url FROM metadata_rows JOIN places p USING (place_id) WHERE source_type = 'map_dump' AND coalesce(p.website, '') = '' AND k < 6 AND regexp_matches(lower(trim(url)), '^https?://')""")
+SELECT source_id, place_id, key, trim(url) AS url FROM metadata_rows JOIN places p USING (place_id)
+ WHERE source_type = 'map_dump' AND coalesce(p.website, '') = '' AND k < 6
+ AND regexp_matches(lower(trim(url)), '^https?://')""")
 def d09(metadata_rows, places):
     pairs = F.map_from_entries(F.collect_list(F.struct("key", "url")))
     sources = metadata_rows.groupBy("source_id", "place_id", "source_type").agg(pairs.alias("metadata"))
@@ -139,8 +160,11 @@ def d09(metadata_rows, places):
 
 
 @query("d09_tag_leads", ("metadata_rows", "places"), r"""
-SELECT DISTINCT place_id, tag, trim(url) AS url FROM (SELECT place_id, url, CASE k WHEN 0 THEN 'website' WHEN 1 THEN 'contact:website' WHEN 2 THEN 'url' WHEN 3 THEN 'contact:url' WHEN 4 THEN 'name' ELSE 'old:website' END AS tag, k FROM metadata_rows WHERE place_id IS NOT NULL)
-JOIN places p USING (place_id) WHERE k < 4 AND regexp_matches(lower(trim(url)), '^https?://') AND trim(url) IS DISTINCT FROM p.website""")
+SELECT DISTINCT place_id, tag, trim(url) AS url FROM (SELECT place_id, url, CASE k WHEN 0 THEN 'website'
+ WHEN 1 THEN 'contact:website' WHEN 2 THEN 'url' WHEN 3 THEN 'contact:url'
+ WHEN 4 THEN 'name' ELSE 'old:website' END AS tag, k FROM metadata_rows WHERE place_id IS NOT NULL)
+JOIN places p USING (place_id) WHERE k < 4 AND regexp_matches(lower(trim(url)), '^https?://')
+ AND trim(url) IS DISTINCT FROM p.website""")
 def d09b(metadata_rows, places):
     names = F.array(*[F.lit(t) for t in ("website", "contact:website", "url", "contact:url", "name")])
     tag = F.coalesce(F.get(names, F.col("k").cast("int")), F.lit("old:website"))
@@ -151,12 +175,16 @@ def d09b(metadata_rows, places):
 
 # search results are an input: three ranked ones a query, made of the place's own columns
 define("results", ("places",), """
-SELECT DISTINCT '"' || name || '" ' || postcode AS query, r AS rank, CASE (length(name) + r) % 3 WHEN 0 THEN 'https://facebook.com/a' || CAST(r AS STRING) WHEN 1 THEN 'https://site' || CAST(length(name) AS STRING) || '.org/' ELSE 'https://other.example.net/' || CAST(r AS STRING) END AS url
+SELECT DISTINCT '"' || name || '" ' || postcode AS query, r AS rank, CASE (length(name) + r) % 3
+ WHEN 0 THEN 'https://facebook.com/a' || CAST(r AS STRING)
+ WHEN 1 THEN 'https://site' || CAST(length(name) AS STRING) || '.org/' ELSE 'https://other.example.net/' || CAST(r AS STRING) END AS url
 FROM (SELECT *, CAST(place_id % 3 + 1 AS INT) AS r FROM @places WHERE postcode IS NOT NULL)""")
 
 
 @query("d10_search_leads", ("places", "results"), """
-SELECT place_id, rank, url FROM (SELECT place_id, '"' || name || '" ' || postcode AS query FROM places WHERE coalesce(website, '') = '' AND postcode IS NOT NULL) q JOIN results USING (query) WHERE NOT contains(url, 'facebook.com')""")
+SELECT place_id, rank, url FROM (SELECT place_id, '"' || name || '" ' || postcode AS query FROM places
+ WHERE coalesce(website, '') = '' AND postcode IS NOT NULL) q JOIN results USING (query)
+ WHERE NOT contains(url, 'facebook.com')""")
 def d10(places, results):
     return leads.search_leads(places, results)
 
@@ -168,10 +196,17 @@ def e02(records, places):
 
 
 _PAR = "(?i)" + "|".join(PARENT_PATTERNS)
-SCORED = rf"""rat AS (SELECT *, CASE WHEN r_plain = p_plain THEN 100 ELSE 0 END::DOUBLE AS ratio, 0::DOUBLE AS alias_ratio, {GEO} AS near FROM pairs WHERE {PLAUSIBLE}),
-tot AS (SELECT *, round(least(CASE WHEN r_post = p_post THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN ratio >= 92 THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN r_domain = p_domain THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN r_town = p_town THEN 0.10::DOUBLE ELSE 0 END + near
- - CASE WHEN ratio < 85 AND (regexp_matches(r_name, '{_PAR}') OR regexp_matches(p_name, '{_PAR}')) THEN 0.20::DOUBLE ELSE 0 END, 1.0::DOUBLE), 6) AS score,
- coalesce(r_post = p_post, false)::INT + (ratio >= 92)::INT + coalesce(r_domain = p_domain, false)::INT + (near > 0)::INT AS strong, ratio >= 92 OR coalesce(r_domain = p_domain, false) OR coalesce(near > 0 AND metres <= 25, false) AS identity FROM rat),
+SCORED = rf"""rat AS (SELECT *, CASE
+ WHEN r_plain = p_plain THEN 100 ELSE 0 END::DOUBLE AS ratio, 0::DOUBLE AS alias_ratio, {GEO} AS near FROM pairs
+ WHERE {PLAUSIBLE}),
+tot AS (SELECT *, round(least(CASE WHEN r_post = p_post THEN 0.35::DOUBLE ELSE 0 END + CASE
+ WHEN ratio >= 92 THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN r_domain = p_domain THEN 0.25::DOUBLE ELSE 0 END + CASE
+ WHEN r_town = p_town THEN 0.10::DOUBLE ELSE 0 END + near
+ - CASE WHEN ratio < 85
+ AND (regexp_matches(r_name, '{_PAR}') OR regexp_matches(p_name, '{_PAR}')) THEN 0.20::DOUBLE ELSE 0 END, 1.0::DOUBLE), 6) AS score,
+ coalesce(r_post = p_post, false)::INT + (ratio >= 92)::INT + coalesce(r_domain = p_domain,
+ false)::INT + (near > 0)::INT AS strong, ratio >= 92 OR coalesce(r_domain = p_domain, false) OR coalesce(near > 0
+ AND metres <= 25, false) AS identity FROM rat),
 sco AS (SELECT * FROM tot WHERE score >= 0.25)"""
 
 
@@ -195,12 +230,20 @@ def e01b(records, places, aliases):
 
 @query("e03_decide_given_ratios", ("records", "places"), f"""
 WITH {KEYED}, {PAIRS}, {SCORED},
-rk AS (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS top_score, first_value(ratio >= 85) OVER w AS top_named FROM sco WINDOW w AS (PARTITION BY record_id ORDER BY score DESC, place_id)),
+rk AS (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS top_score,
+ first_value(ratio >= 85) OVER w AS top_named FROM sco WINDOW w AS (PARTITION BY record_id ORDER BY score DESC,
+ place_id)),
 fn AS (SELECT *, min(CASE WHEN ratio >= 85 THEN rank END) OVER (PARTITION BY record_id) AS first_named FROM rk),
 gp AS (SELECT *, max(CASE WHEN rank = first_named THEN top_score - score END) OVER (PARTITION BY record_id) AS gap FROM fn),
 ch AS (SELECT *, CASE WHEN NOT top_named AND gap <= 0.25 + 1e-9 THEN first_named ELSE 1 END AS chosen FROM gp),
-ag AS (SELECT record_id, max(CASE WHEN rank = chosen THEN place_id END) AS place_id, max(CASE WHEN rank = chosen THEN score END) AS score, max(CASE WHEN rank = chosen THEN strong END) AS strong, bool_or(rank = chosen AND identity) AS identity, max(CASE WHEN rank <> chosen THEN score END) AS second FROM ch GROUP BY record_id)
-SELECT r.record_id, CASE WHEN ag.record_id IS NULL THEN 'create' WHEN coalesce(second, 0) >= 0.5 AND score - second < 0.1 - 1e-9 THEN 'review' WHEN score >= 0.75 AND strong >= 2 AND identity THEN 'auto_link' ELSE 'review' END AS decision, place_id, score FROM records r LEFT JOIN ag USING (record_id)""")
+ag AS (SELECT record_id, max(CASE WHEN rank = chosen THEN place_id END) AS place_id, max(CASE
+ WHEN rank = chosen THEN score END) AS score, max(CASE WHEN rank = chosen THEN strong END) AS strong,
+ bool_or(rank = chosen AND identity) AS identity, max(CASE WHEN rank <> chosen THEN score END) AS second FROM ch
+ GROUP BY record_id)
+SELECT r.record_id, CASE WHEN ag.record_id IS NULL THEN 'create' WHEN coalesce(second, 0) >= 0.5
+ AND score - second < 0.1 - 1e-9 THEN 'review' WHEN score >= 0.75 AND strong >= 2
+ AND identity THEN 'auto_link' ELSE 'review' END AS decision, place_id, score FROM records r LEFT
+ JOIN ag USING (record_id)""")
 def e03(records, places):
     return resolve.decide(records, exact_scores(records, places)).select("record_id", "decision", "place_id", "score")
 
@@ -223,23 +266,32 @@ _AT = "n.lat IS NOT NULL AND n.lon IS NOT NULL AND (coalesce(n.created, false) O
 
 @query("e05_survivorship", ("places", "linked"), f"""
 WITH n AS (SELECT * FROM linked WHERE public QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY record_id) = 1)
-SELECT p.place_id, {", ".join(map(_kept, resolve.FIELDS))}, {", ".join(f"CASE WHEN {_AT} THEN n.{k} ELSE p.{k} END AS {k}" for k in ("lat", "lon"))} FROM places p LEFT JOIN n USING (place_id)""")
+SELECT p.place_id, {", ".join(map(_kept, resolve.FIELDS))}, {", ".join(f"CASE WHEN {_AT} THEN n.{k} ELSE p.{k} END AS {k}" for k in ("lat", "lon"))}
+ FROM places p LEFT JOIN n USING (place_id)""")
 def e05(places, linked):
     return resolve.survive(places, linked)
 
 
 @query("e06_newer_names", ("places", "linked"), r"""
-WITH o AS (SELECT *, row_number() OVER w AS n, lead(record_date) OVER w AS others FROM linked WINDOW w AS (PARTITION BY place_id ORDER BY record_date DESC NULLS LAST, record_id)),
-t AS (SELECT place_id, name AS new FROM o WHERE n = 1 AND public AND record_date IS NOT NULL AND (others IS NULL OR record_date > others)),
-j AS (SELECT p.place_id, p.name AS old, t.new, coalesce(trim(regexp_replace(regexp_replace(lower(t.new), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) <> trim(regexp_replace(regexp_replace(lower(p.name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), false) AS renamed FROM places p LEFT JOIN t USING (place_id))
+WITH o AS (SELECT *, row_number() OVER w AS n, lead(record_date) OVER w AS others
+ FROM linked WINDOW w AS (PARTITION BY place_id ORDER BY record_date DESC NULLS LAST, record_id)),
+t AS (SELECT place_id, name AS new FROM o WHERE n = 1 AND public AND record_date IS NOT NULL
+ AND (others IS NULL OR record_date > others)),
+j AS (SELECT p.place_id, p.name AS old, t.new,
+ coalesce(trim(regexp_replace(regexp_replace(lower(t.new), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) <> trim(regexp_replace(regexp_replace(lower(p.name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')),
+ false) AS renamed FROM places p LEFT JOIN t USING (place_id))
 SELECT place_id, CASE WHEN renamed THEN new ELSE old END AS name, renamed FROM j""")
 def e06(places, linked):
     return resolve.newer_names(places, linked)
 
 
 @query("e07_source_upsert", ("sources", "records"), f"""
-WITH o AS (SELECT source_type, external_id, source_id, url, last_seen FROM sources), n AS (SELECT source_type, external_id, website FROM records)
-SELECT source_type, external_id, source_id, coalesce(n.website, o.url) AS url, (CASE WHEN n.external_id IS NOT NULL THEN {DAY} ELSE last_seen END)::VARCHAR AS last_seen, CASE WHEN o.external_id IS NULL THEN 'feed=' || n.external_id WHEN n.external_id IS NULL THEN 'feed=old,id=' || source_id ELSE 'feed=' || n.external_id || ',id=' || source_id END AS metadata
+WITH o AS (SELECT source_type, external_id, source_id, url, last_seen FROM sources), n AS (SELECT source_type,
+ external_id, website FROM records)
+SELECT source_type, external_id, source_id, coalesce(n.website, o.url) AS url, (CASE
+ WHEN n.external_id IS NOT NULL THEN {DAY} ELSE last_seen END)::VARCHAR AS last_seen, CASE
+ WHEN o.external_id IS NULL THEN 'feed=' || n.external_id
+ WHEN n.external_id IS NULL THEN 'feed=old,id=' || source_id ELSE 'feed=' || n.external_id || ',id=' || source_id END AS metadata
 FROM o FULL JOIN n USING (source_type, external_id)""")
 def e07(sources, records):
     old = sources.withColumn("metadata", F.create_map(F.lit("id"), F.col("source_id").cast("string"), F.lit("feed"), F.lit("old")))
@@ -250,14 +302,20 @@ def e07(sources, records):
 
 
 @query("e08_alias_ensure", ("aliases", "linked"), r"""
-WITH f AS (SELECT place_id, name AS alias, trim(regexp_replace(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM linked), h AS (SELECT place_id, trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM aliases)
-SELECT place_id, plain, min(alias) AS alias FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.place_id = f.place_id AND h.plain = f.plain) GROUP BY place_id, plain""")
+WITH f AS (SELECT place_id, name AS alias,
+ trim(regexp_replace(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM linked),
+ h AS (SELECT place_id,
+ trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM aliases)
+SELECT place_id, plain, min(alias) AS alias FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.place_id = f.place_id
+ AND h.plain = f.plain) GROUP BY place_id, plain""")
 def e08(aliases, linked):
     return resolve.new_aliases(aliases, linked.select("place_id", F.col("name").alias("alias")))
 
 
 @query("e09_settle_reviews", ("reviews", "sources"), """
-SELECT review_id, CASE WHEN r.status = 'pending' AND source_id % 3 = 0 THEN 'accepted' ELSE r.status END AS status, CASE WHEN r.status = 'pending' AND source_id % 3 IN (0, 1) THEN s.place_id ELSE proposed_id END AS proposed_id FROM reviews r LEFT JOIN sources s USING (source_id)""")
+SELECT review_id, CASE WHEN r.status = 'pending' AND source_id % 3 = 0 THEN 'accepted' ELSE r.status END AS status,
+ CASE WHEN r.status = 'pending' AND source_id % 3 IN (0, 1) THEN s.place_id ELSE proposed_id END AS proposed_id
+ FROM reviews r LEFT JOIN sources s USING (source_id)""")
 def e09(reviews, sources):
     decision = F.when(F.col("source_id") % 3 == 0, "auto_link").when(F.col("source_id") % 3 == 1, "review")
     return resolve.settle_reviews(reviews, sources.select("source_id", decision.alias("decision"), "place_id"))
@@ -289,7 +347,8 @@ def e12(places, sources, reviews):
 
 
 # chains of merges are followed to their end
-_MERGES = """RECURSIVE m0 AS (SELECT place_id AS d, place_id // 10 AS c FROM places WHERE status = 'duplicate'), f(d, c) AS (SELECT d, c FROM m0 UNION ALL SELECT f.d, m0.c FROM f JOIN m0 ON m0.d = f.c),
+_MERGES = """RECURSIVE m0 AS (SELECT place_id AS d, place_id // 10 AS c FROM places WHERE status = 'duplicate'), f(d,
+ c) AS (SELECT d, c FROM m0 UNION ALL SELECT f.d, m0.c FROM f JOIN m0 ON m0.d = f.c),
 m AS (SELECT d AS duplicate_id, c AS canonical_id FROM f WHERE c NOT IN (SELECT d FROM m0))"""
 _MOVED = {"sources": ("source_id", ["place_id"]), "candidates": ("candidate_id", ["place_id"]), "previous": ("candidate_id", ["place_id"]), "claims": ("claim_id", ["place_id"]), "corrections": ("correction_id", ["place_id"]), "reviews": ("review_id", ["proposed_id", "alternative_1", "alternative_2"])}
 _PLAIN = r"trim(regexp_replace(regexp_replace(lower(alias), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -302,7 +361,8 @@ def _merged(places, aliases, **tables):
 
 @query("e13_merge_places", ("places", "aliases", *_MOVED), f"""
 WITH {_MERGES}, t AS ({" UNION ALL ".join(f"SELECT '{t}.{c}' AS kind, {key} AS id, {c} AS place_id FROM {t}" for t, (key, cols) in _MOVED.items() for c in cols)})
-SELECT kind, coalesce(canonical_id, place_id) AS place_id, count(*) AS n, sum(id)::BIGINT AS ids FROM t LEFT JOIN m ON place_id = duplicate_id GROUP BY 1, 2""")
+SELECT kind, coalesce(canonical_id, place_id) AS place_id, count(*) AS n, sum(id)::BIGINT AS ids FROM t LEFT
+ JOIN m ON place_id = duplicate_id GROUP BY 1, 2""")
 def e13(places, aliases, *tables):
     out = _merged(places, aliases, **dict(zip(_MOVED, tables, strict=True)))
     rows = [out[t].select(F.lit(f"{t}.{c}").alias("kind"), F.col(key).alias("id"), F.col(c).alias("place_id")) for t, (key, cols) in _MOVED.items() for c in cols]
@@ -313,11 +373,19 @@ def e13(places, aliases, *tables):
 
 
 @query("e13_merge_attributes", ("places", "aliases"), rf"""
-WITH {_MERGES}, a AS (SELECT coalesce(canonical_id, place_id) AS place_id, alias FROM aliases LEFT JOIN m ON place_id = duplicate_id UNION ALL SELECT canonical_id, name FROM places JOIN m ON place_id = duplicate_id),
-g AS (SELECT place_id, {_PLAIN} AS plain, min(alias) AS alias FROM a GROUP BY ALL), n AS (SELECT place_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM g GROUP BY place_id),
-b AS (SELECT canonical_id, {", ".join(f"arg_min({c}, place_id) FILTER (trim({c}) <> '') AS {c}" for c in ("postcode", "city", "website"))}, arg_min(lat, place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lat, arg_min(lon, place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lon FROM places JOIN m ON place_id = duplicate_id GROUP BY canonical_id)
-SELECT p.place_id, CASE WHEN m.duplicate_id IS NOT NULL THEN 'duplicate' ELSE p.status END AS status, {", ".join(f"coalesce(nullif(trim(p.{c}), ''), b.{c}) AS {c}" for c in ("postcode", "city", "website"))},
- coalesce(p.lat, b.lat) AS lat, coalesce(p.lon, b.lon) AS lon, coalesce(n.aliases, '') AS aliases FROM places p LEFT JOIN m ON p.place_id = duplicate_id LEFT JOIN b ON b.canonical_id = p.place_id LEFT JOIN n ON n.place_id = p.place_id""")
+WITH {_MERGES}, a AS (SELECT coalesce(canonical_id, place_id) AS place_id, alias FROM aliases LEFT
+ JOIN m ON place_id = duplicate_id UNION ALL SELECT canonical_id, name FROM places JOIN m ON place_id = duplicate_id),
+g AS (SELECT place_id, {_PLAIN} AS plain, min(alias) AS alias FROM a GROUP BY ALL), n AS (SELECT place_id,
+ string_agg(alias, '|' ORDER BY alias) AS aliases FROM g GROUP BY place_id),
+b AS (SELECT canonical_id, {", ".join(f"arg_min({c}, place_id) FILTER (trim({c}) <> '') AS {c}" for c in ("postcode", "city", "website"))},
+ arg_min(lat, place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lat, arg_min(lon,
+ place_id) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lon FROM places JOIN m ON place_id = duplicate_id
+ GROUP BY canonical_id)
+SELECT p.place_id, CASE
+ WHEN m.duplicate_id IS NOT NULL THEN 'duplicate' ELSE p.status END AS status, {", ".join(f"coalesce(nullif(trim(p.{c}), ''), b.{c}) AS {c}" for c in ("postcode", "city", "website"))},
+ coalesce(p.lat, b.lat) AS lat, coalesce(p.lon, b.lon) AS lon, coalesce(n.aliases, '') AS aliases FROM places p LEFT
+ JOIN m ON p.place_id = duplicate_id LEFT JOIN b ON b.canonical_id = p.place_id LEFT
+ JOIN n ON n.place_id = p.place_id""")
 def e13b(places, aliases):
     out = _merged(places, aliases)
     names = out["aliases"].groupBy("place_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), "|").alias("aliases"))

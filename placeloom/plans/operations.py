@@ -18,15 +18,26 @@ HOST = r"regexp_replace(lower(regexp_extract({c}, '^[^:]*://([^/?#]*)', 1)), '^w
 
 
 @query("f01_coverage", ("places", "sources", "previous", "candidates", "reviews", "corrections", "claims"), f"""
-SELECT *, CASE WHEN active > 0 THEN round(100.0::DOUBLE * published / active, 1) ELSE 0 END AS published_pct FROM (SELECT count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active' AND postcode IS NULL) AS no_postcode, count(*) FILTER (status = 'active' AND lat IS NULL) AS no_coordinates, count(*) FILTER (status = 'active' AND coalesce(website, '') = '') AS no_website FROM places),
- (SELECT count(DISTINCT place_id) AS published FROM previous), (SELECT count(*) AS sources, count(*) FILTER (last_seen IS NULL OR last_seen < {DAY} - 30) AS stale_sources FROM sources), (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved FROM candidates),
- (SELECT count(*) FILTER (status = 'pending') AS pending_reviews FROM reviews), (SELECT count(*) FILTER (status = 'pending') AS open_corrections FROM corrections), (SELECT count(*) FILTER (status = 'pending') AS open_claims FROM claims)""")
+SELECT *, CASE WHEN active > 0 THEN round(100.0::DOUBLE * published / active, 1) ELSE 0 END AS published_pct
+ FROM (SELECT count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active'
+ AND postcode IS NULL) AS no_postcode, count(*) FILTER (status = 'active' AND lat IS NULL) AS no_coordinates,
+ count(*) FILTER (status = 'active' AND coalesce(website, '') = '') AS no_website FROM places),
+ (SELECT count(DISTINCT place_id) AS published FROM previous), (SELECT count(*) AS sources,
+ count(*) FILTER (last_seen IS NULL OR last_seen < {DAY} - 30) AS stale_sources FROM sources),
+ (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved
+ FROM candidates),
+ (SELECT count(*) FILTER (status = 'pending') AS pending_reviews FROM reviews),
+ (SELECT count(*) FILTER (status = 'pending') AS open_corrections FROM corrections),
+ (SELECT count(*) FILTER (status = 'pending') AS open_claims FROM claims)""")
 def f01(places, sources, previous, candidates, reviews, corrections, claims):
     return reports.coverage(places, sources, previous, candidates, reviews, corrections, claims, AS_OF)
 
 
 @query("f02_group_counts", "sources", """
-SELECT 'policy' AS "grouping", policy AS value, count(*) AS n FROM sources GROUP BY policy UNION ALL SELECT 'source_type', source_type, count(*) FROM sources GROUP BY source_type UNION ALL SELECT 'task_status', task_status, count(*) FROM sources GROUP BY task_status UNION ALL SELECT 'failure_category', failure_category, count(*) FROM sources GROUP BY failure_category""")
+SELECT 'policy' AS "grouping", policy AS value, count(*) AS n FROM sources GROUP BY policy UNION ALL
+ SELECT 'source_type', source_type, count(*) FROM sources GROUP BY source_type UNION ALL SELECT 'task_status',
+ task_status, count(*) FROM sources GROUP BY task_status UNION ALL SELECT 'failure_category', failure_category,
+ count(*) FROM sources GROUP BY failure_category""")
 def f02(sources):
     return reports.counts_by(sources, ["policy", "source_type", "task_status", "failure_category"])
 
@@ -47,7 +58,9 @@ def f04(records):
 
 
 @query("f05_identity_quality", ("places", "sources"), f"""
-SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM ({_BUCKETS})) AS duplicate_rows, (SELECT count(*) FROM sources WHERE place_id IS NOT NULL) AS linked, (SELECT count(*) FROM sources WHERE place_id IS NULL) AS unlinked, (SELECT count(*) FROM places WHERE status = 'active' AND coalesce(website, '') = '') AS no_website""")
+SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM ({_BUCKETS})) AS duplicate_rows, (SELECT count(*) FROM sources
+ WHERE place_id IS NOT NULL) AS linked, (SELECT count(*) FROM sources WHERE place_id IS NULL) AS unlinked,
+ (SELECT count(*) FROM places WHERE status = 'active' AND coalesce(website, '') = '') AS no_website""")
 def f05(places, sources):
     buckets = reports.duplicate_buckets(places.withColumn("plain", normalise_name(F.col("name"))), ["plain", "city"], None)
     linked = sources.agg(F.count_if(F.col("place_id").isNotNull()).alias("linked"), F.count_if(F.col("place_id").isNull()).alias("unlinked"))
@@ -59,41 +72,67 @@ _STALE = "last_seen IS NULL OR last_seen < {day} - {days}"
 
 
 @query("f06_partner_report", ("sources", "candidates", "corrections"), f"""
-WITH s AS (SELECT * FROM sources WHERE source_type = 'partner_feed'), c AS (SELECT * FROM candidates WHERE source_id IN (SELECT source_id FROM s))
-SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM s UNION ALL SELECT 'linked', 'all' FROM s WHERE place_id IS NOT NULL UNION ALL SELECT 'policy', policy FROM s UNION ALL SELECT 'stale', external_id FROM s WHERE {_STALE.format(day=DAY, days=7)}
- UNION ALL SELECT 'candidate_status', status FROM c UNION ALL SELECT 'missing_recent', external_id FROM s WHERE place_id IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = s.source_id AND slot_date >= {DAY})
- UNION ALL SELECT 'open_corrections', 'all' FROM corrections JOIN s USING (place_id) WHERE status = 'pending') GROUP BY section, value""")
+WITH s AS (SELECT * FROM sources WHERE source_type = 'partner_feed'), c AS (SELECT * FROM candidates
+ WHERE source_id IN (SELECT source_id FROM s))
+SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM s UNION ALL
+ SELECT 'linked', 'all' FROM s WHERE place_id IS NOT NULL UNION ALL SELECT 'policy', policy FROM s UNION ALL
+ SELECT 'stale', external_id FROM s WHERE {_STALE.format(day=DAY, days=7)}
+ UNION ALL SELECT 'candidate_status', status FROM c UNION ALL SELECT 'missing_recent', external_id FROM s
+ WHERE place_id IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = s.source_id AND slot_date >= {DAY})
+ UNION ALL SELECT 'open_corrections', 'all' FROM corrections JOIN s USING (place_id) WHERE status = 'pending')
+ GROUP BY section, value""")
 def f06(sources, candidates, corrections):
     return reports.partner_report(sources.where("source_type = 'partner_feed'"), candidates, corrections, AS_OF)
 
 
 define("feed_sources", ("sources",), """
-SELECT *, CASE source_id % 4 WHEN 0 THEN 'IE' WHEN 1 THEN '' ELSE NULL END AS meta_country, CASE source_id % 3 WHEN 0 THEN 'mosque' WHEN 1 THEN 'prayer_room' ELSE NULL END AS meta_class FROM @sources WHERE source_type IN ('map_dump', 'website')""")
+SELECT *, CASE source_id % 4 WHEN 0 THEN 'IE' WHEN 1 THEN '' ELSE NULL END AS meta_country, CASE source_id % 3
+ WHEN 0 THEN 'mosque' WHEN 1 THEN 'prayer_room' ELSE NULL END AS meta_class FROM @sources
+ WHERE source_type IN ('map_dump', 'website')""")
 
 
 @query("f07_feed_report", ("feed_sources", "places", "reviews"), f"""
-WITH j AS (SELECT s.*, p.place_id IS NOT NULL AS placed, p.country, p.lat, p.lon, p.postcode FROM feed_sources s LEFT JOIN places p USING (place_id))
-SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM j UNION ALL SELECT 'linked', 'all' FROM j WHERE place_id IS NOT NULL UNION ALL SELECT 'country', coalesce(nullif(country, ''), nullif(meta_country, ''), 'unknown') FROM j UNION ALL SELECT 'policy', policy FROM j
- UNION ALL SELECT 'record_class', coalesce(meta_class, 'unknown') FROM j UNION ALL SELECT 'stale', external_id FROM j WHERE {_STALE.format(day=DAY, days=30)} UNION ALL SELECT 'missing_coordinates', external_id FROM j WHERE placed AND (lat IS NULL OR lon IS NULL) UNION ALL SELECT 'missing_postcode', external_id FROM j WHERE placed AND coalesce(trim(postcode), '') = ''
- UNION ALL SELECT 'pending_reviews', 'all' FROM reviews r JOIN feed_sources f USING (source_id) WHERE r.status = 'pending') GROUP BY section, value""")
+WITH j AS (SELECT s.*, p.place_id IS NOT NULL AS placed, p.country, p.lat, p.lon, p.postcode FROM feed_sources s LEFT
+ JOIN places p USING (place_id))
+SELECT section, value, count(*) AS n FROM (SELECT 'total' AS section, 'all' AS value FROM j UNION ALL
+ SELECT 'linked', 'all' FROM j WHERE place_id IS NOT NULL UNION ALL SELECT 'country', coalesce(nullif(country, ''),
+ nullif(meta_country, ''), 'unknown') FROM j UNION ALL SELECT 'policy', policy FROM j
+ UNION ALL SELECT 'record_class', coalesce(meta_class, 'unknown') FROM j UNION ALL SELECT 'stale', external_id FROM j
+ WHERE {_STALE.format(day=DAY, days=30)} UNION ALL SELECT 'missing_coordinates', external_id FROM j WHERE placed
+ AND (lat IS NULL OR lon IS NULL) UNION ALL SELECT 'missing_postcode', external_id FROM j WHERE placed
+ AND coalesce(trim(postcode), '') = ''
+ UNION ALL SELECT 'pending_reviews', 'all' FROM reviews r JOIN feed_sources f USING (source_id)
+ WHERE r.status = 'pending') GROUP BY section, value""")
 def f07(feed_sources, places, reviews):
     metadata = F.create_map(F.lit("country"), F.col("meta_country"), F.lit("record_class"), F.col("meta_class"))
     return reports.discovery_report(feed_sources.withColumn("metadata", metadata), places, reviews, AS_OF)
 
 
 define("lead_rows", ("events",), """
-SELECT 'provider=p' || CAST(event_id % 4 AS STRING) || '; outcome=' || CASE event_id % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'fetch_failed' WHEN 2 THEN 'no_match' WHEN 3 THEN 'no_match' ELSE 'denied' END || '; url=https://www.site' || CAST(event_id % 61 AS STRING) || '.org/a' ||
- CASE WHEN event_id % 7 = 0 THEN '' ELSE '; name_ratio=' || CAST(event_id * 13 % 101 AS STRING) END || CASE WHEN event_id % 5 <> 1 THEN '' WHEN event_id % 4 = 0 THEN '; error was HTTP 403' WHEN event_id % 4 = 1 THEN '; Timeout' WHEN event_id % 4 = 2 THEN '; non-HTML body' ELSE '; unclear' END AS notes,
- CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Town ' || CAST(event_id % 37 AS STRING) END AS location, event_id % 5 AS o, event_id % 61 AS d, event_id AS id FROM @events""")
+SELECT 'provider=p' || CAST(event_id % 4 AS STRING) || '; outcome=' || CASE event_id % 5 WHEN 0 THEN 'verified'
+ WHEN 1 THEN 'fetch_failed' WHEN 2 THEN 'no_match'
+ WHEN 3 THEN 'no_match' ELSE 'denied' END || '; url=https://www.site' || CAST(event_id % 61 AS STRING) || '.org/a' ||
+ CASE WHEN event_id % 7 = 0 THEN '' ELSE '; name_ratio=' || CAST(event_id * 13 % 101 AS STRING) END || CASE
+ WHEN event_id % 5 <> 1 THEN '' WHEN event_id % 4 = 0 THEN '; error was HTTP 403'
+ WHEN event_id % 4 = 1 THEN '; Timeout' WHEN event_id % 4 = 2 THEN '; non-HTML body' ELSE '; unclear' END AS notes,
+ CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Town ' || CAST(event_id % 37 AS STRING) END AS location,
+ event_id % 5 AS o, event_id % 61 AS d, event_id AS id FROM @events""")
 _TOP = "(SELECT section, value, n FROM k WHERE section = '{k}' ORDER BY n DESC, value LIMIT {n})"
 
 
 @query("f08_lead_analysis", "lead_rows", f"""
-WITH r AS (SELECT *, 'site' || d || '.org' AS domain, o IN (2, 3) AS lost, CASE WHEN id % 7 = 0 THEN NULL ELSE id * 13 % 101 END AS ratio FROM lead_rows),
-k AS (SELECT section, value, count(*) AS n FROM (SELECT 'provider' AS section, 'p' || id % 4 AS value FROM r UNION ALL SELECT 'outcome', ['verified', 'fetch_failed', 'no_match', 'no_match', 'denied'][o + 1] FROM r UNION ALL SELECT 'domain', domain FROM r UNION ALL SELECT 'location', location FROM r
- UNION ALL SELECT 'fetch_failure', ['403_cloudflare', 'timeout', 'non_html', 'other'][id % 4 + 1] FROM r WHERE o = 1 UNION ALL SELECT 'name_ratio', CASE WHEN ratio < 40 THEN '0-39' WHEN ratio < 60 THEN '40-59' WHEN ratio < 80 THEN '60-79' WHEN ratio >= 80 THEN '80-100' END FROM r WHERE lost
+WITH r AS (SELECT *, 'site' || d || '.org' AS domain, o IN (2, 3) AS lost, CASE
+ WHEN id % 7 = 0 THEN NULL ELSE id * 13 % 101 END AS ratio FROM lead_rows),
+k AS (SELECT section, value, count(*) AS n FROM (SELECT 'provider' AS section, 'p' || id % 4 AS value FROM r
+ UNION ALL SELECT 'outcome', ['verified', 'fetch_failed', 'no_match', 'no_match', 'denied'][o + 1] FROM r UNION ALL
+ SELECT 'domain', domain FROM r UNION ALL SELECT 'location', location FROM r
+ UNION ALL SELECT 'fetch_failure', ['403_cloudflare', 'timeout', 'non_html', 'other'][id % 4 + 1] FROM r WHERE o = 1
+ UNION ALL SELECT 'name_ratio', CASE WHEN ratio < 40 THEN '0-39' WHEN ratio < 60 THEN '40-59'
+ WHEN ratio < 80 THEN '60-79' WHEN ratio >= 80 THEN '80-100' END FROM r WHERE lost
  UNION ALL SELECT 'no_match_domain', domain FROM r WHERE lost) WHERE value IS NOT NULL GROUP BY section, value)
-SELECT * FROM k WHERE section NOT IN ('domain', 'location', 'no_match_domain') UNION ALL {_TOP.format(k="domain", n=40)} UNION ALL {_TOP.format(k="location", n=20)} UNION ALL {_TOP.format(k="no_match_domain", n=30)}""")
+SELECT * FROM k WHERE section NOT IN ('domain', 'location', 'no_match_domain')
+ UNION ALL {_TOP.format(k="domain", n=40)} UNION ALL {_TOP.format(k="location", n=20)}
+ UNION ALL {_TOP.format(k="no_match_domain", n=30)}""")
 def f08(lead_rows):
     return leads.lead_analysis(lead_rows)
 
@@ -103,9 +142,15 @@ _WIN = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in WINDOWS.items())
 
 
 @query("f10_plausibility", "candidates", f"""
-WITH win(slot, lo, hi) AS (VALUES {_WIN}), d AS (SELECT source_id, slot_date, slot, min(main_min) AS first FROM candidates WHERE slot <> 'jumuah' GROUP BY ALL), l AS (SELECT source_id, slot_date, first < lag(first) OVER (PARTITION BY source_id, slot_date ORDER BY {_ORD}) AS back FROM d),
-y AS (SELECT source_id, count(*) FILTER (dis) AS days_disordered FROM (SELECT source_id, slot_date, coalesce(bool_or(back), false) AS dis FROM l GROUP BY ALL) GROUP BY source_id)
-SELECT c.source_id, count(*) AS rows, count(*) FILTER (NOT (main_min BETWEEN lo AND hi)) AS outside_window, bool_or(slot_date BETWEEN {DAY} - 1 AND {DAY} + 31) AS has_near_date, bool_and(year(slot_date) <> 2024) AS other_year, bool_and(coalesce(main_min = start_min, false)) AND count(DISTINCT slot_date) >= 7 AS same_as_start, max(days_disordered) AS days_disordered
+WITH win(slot, lo, hi) AS (VALUES {_WIN}), d AS (SELECT source_id, slot_date, slot, min(main_min) AS first
+ FROM candidates WHERE slot <> 'jumuah' GROUP BY ALL), l AS (SELECT source_id, slot_date,
+ first < lag(first) OVER (PARTITION BY source_id, slot_date ORDER BY {_ORD}) AS back FROM d),
+y AS (SELECT source_id, count(*) FILTER (dis) AS days_disordered FROM (SELECT source_id, slot_date,
+ coalesce(bool_or(back), false) AS dis FROM l GROUP BY ALL) GROUP BY source_id)
+SELECT c.source_id, count(*) AS rows, count(*) FILTER (NOT (main_min BETWEEN lo AND hi)) AS outside_window,
+ bool_or(slot_date BETWEEN {DAY} - 1 AND {DAY} + 31) AS has_near_date,
+ bool_and(year(slot_date) <> 2024) AS other_year, bool_and(coalesce(main_min = start_min, false))
+ AND count(DISTINCT slot_date) >= 7 AS same_as_start, max(days_disordered) AS days_disordered
 FROM candidates c JOIN win USING (slot) LEFT JOIN y ON y.source_id = c.source_id GROUP BY c.source_id""")
 def f10(candidates):
     return reports.plausibility(candidates, WINDOWS, AS_OF)
@@ -113,21 +158,37 @@ def f10(candidates):
 
 define("run_rows", ("candidates",), "SELECT source_id AS run_id, slot_date, slot, session_no, evidence FROM @candidates WHERE source_id % 6 <> 0")
 define("run_reasons", ("sources",), """
-SELECT source_id AS run_id, CASE source_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'image target — awaiting OCR' WHEN 3 THEN 'site says Jumuah_Only' ELSE 'nothing there' END AS reason FROM @sources""")
+SELECT source_id AS run_id, CASE source_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ''
+ WHEN 2 THEN 'image target — awaiting OCR' WHEN 3 THEN 'site says Jumuah_Only' ELSE 'nothing there' END AS reason
+ FROM @sources""")
 
 
 @query("f11_result_contract", ("run_rows", "run_reasons"), """
-WITH k AS (SELECT run_id, slot_date, slot, session_no, count(*) AS n, count(*) FILTER (json_extract_string(evidence, '$.contract') IS DISTINCT FROM 'site_extractor/v1') AS w, count(*) FILTER (json_extract_string(evidence, '$.gate_passed') IS DISTINCT FROM 'true') AS f FROM run_rows GROUP BY ALL),
-s AS (SELECT run_id, sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicates, sum(w)::BIGINT AS wrong_contract, sum(f)::BIGINT AS gate_failed FROM k GROUP BY run_id)
-SELECT run_id, coalesce(rows, 0) AS rows, coalesce(duplicates, 0) AS duplicates, coalesce(wrong_contract, 0) AS wrong_contract, coalesce(gate_failed, 0) AS gate_failed, rows IS NULL AND coalesce(reason, '') = '' AS empty_without_reason, rows IS NULL AND coalesce(reason, '') = 'nothing there' AS empty_not_allowed FROM run_reasons LEFT JOIN s USING (run_id)""")
+WITH k AS (SELECT run_id, slot_date, slot, session_no, count(*) AS n,
+ count(*) FILTER (json_extract_string(evidence, '$.contract') IS DISTINCT FROM 'site_extractor/v1') AS w,
+ count(*) FILTER (json_extract_string(evidence, '$.gate_passed') IS DISTINCT FROM 'true') AS f FROM run_rows
+ GROUP BY ALL),
+s AS (SELECT run_id, sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicates, sum(w)::BIGINT AS wrong_contract,
+ sum(f)::BIGINT AS gate_failed FROM k GROUP BY run_id)
+SELECT run_id, coalesce(rows, 0) AS rows, coalesce(duplicates, 0) AS duplicates,
+ coalesce(wrong_contract, 0) AS wrong_contract, coalesce(gate_failed, 0) AS gate_failed, rows IS NULL
+ AND coalesce(reason, '') = '' AS empty_without_reason, rows IS NULL
+ AND coalesce(reason, '') = 'nothing there' AS empty_not_allowed FROM run_reasons LEFT JOIN s USING (run_id)""")
 def f11(run_rows, run_reasons):
     return reports.result_contract(run_rows, run_reasons, "site_extractor/v1")
 
 
 _D12 = rf"""
-WITH w AS (SELECT DISTINCT place_id FROM sources WHERE source_type = 'website' AND place_id IS NOT NULL), p AS (SELECT place_id, max(greatest(last_seen, last_success)) AS seen_at FROM sources WHERE source_type = 'partner_feed' GROUP BY place_id),
-j AS (SELECT pl.place_id, website, w.place_id IS NOT NULL AS crawled, p.seen_at, {HOST.format(c='website')} AS h FROM places pl LEFT JOIN w ON w.place_id = pl.place_id LEFT JOIN p ON p.place_id = pl.place_id WHERE status = 'active')
-SELECT place_id, CASE WHEN coalesce(website, '') = '' THEN 'no_website' WHEN cls = 'aggregator' THEN 'aggregator' WHEN cls = 'umbrella' THEN 'umbrella' WHEN crawled THEN 'already_registered' WHEN seen_at >= {DAY} - 30 THEN 'recent_partner' ELSE 'registered' END AS outcome FROM (SELECT *, {class_sql('h')} AS cls FROM j)"""
+WITH w AS (SELECT DISTINCT place_id FROM sources WHERE source_type = 'website' AND place_id IS NOT NULL),
+ p AS (SELECT place_id, max(greatest(last_seen, last_success)) AS seen_at FROM sources
+ WHERE source_type = 'partner_feed' GROUP BY place_id),
+j AS (SELECT pl.place_id, website, w.place_id IS NOT NULL AS crawled, p.seen_at, {HOST.format(c='website')} AS h
+ FROM places pl LEFT JOIN w ON w.place_id = pl.place_id LEFT JOIN p ON p.place_id = pl.place_id
+ WHERE status = 'active')
+SELECT place_id, CASE WHEN coalesce(website, '') = '' THEN 'no_website' WHEN cls = 'aggregator' THEN 'aggregator'
+ WHEN cls = 'umbrella' THEN 'umbrella' WHEN crawled THEN 'already_registered'
+ WHEN seen_at >= {DAY} - 30 THEN 'recent_partner' ELSE 'registered' END AS outcome
+ FROM (SELECT *, {class_sql('h')} AS cls FROM j)"""
 
 
 @query("d12_crawl_registration", ("places", "sources"), _D12)
@@ -146,9 +207,13 @@ define("crawl_sources", ("places",), "SELECT place_id AS source_id, '0000' || lp
 
 
 @query("d13_script_assignment", ("scripts", "crawl_sources"), r"""
-WITH h AS (SELECT key, source_id, 'hint' AS how FROM scripts JOIN crawl_sources ON regexp_extract(key, '_([0-9a-f]{8})$', 1) = hint),
-d AS (SELECT key, source_id, 'domain' AS how FROM scripts JOIN crawl_sources ON (host = domain OR ends_with(host, '.' || domain)) AND contains(lower(place_name), lower(name_part)) WHERE key NOT IN (SELECT key FROM h))
-SELECT key, source_id, how, count(source_id) OVER (PARTITION BY key) AS matches FROM (SELECT DISTINCT key FROM scripts) LEFT JOIN (SELECT * FROM h UNION ALL SELECT * FROM d) USING (key)""")
+WITH h AS (SELECT key, source_id, 'hint' AS how FROM scripts
+ JOIN crawl_sources ON regexp_extract(key, '_([0-9a-f]{8})$', 1) = hint),
+d AS (SELECT key, source_id, 'domain' AS how FROM scripts
+ JOIN crawl_sources ON (host = domain OR ends_with(host, '.' || domain)) AND contains(lower(place_name),
+ lower(name_part)) WHERE key NOT IN (SELECT key FROM h))
+SELECT key, source_id, how, count(source_id) OVER (PARTITION BY key) AS matches FROM (SELECT DISTINCT key
+ FROM scripts) LEFT JOIN (SELECT * FROM h UNION ALL SELECT * FROM d) USING (key)""")
 def d13(scripts, crawl_sources):
     return crawl.match_scripts(scripts, crawl_sources)
 
@@ -167,8 +232,13 @@ define("target_assignments", ("sources",), "SELECT 'x' || CAST(source_id % 701 A
 
 
 @query("d15_extractor_verdicts", ("targets", "target_assignments"), rf"""
-WITH t AS (SELECT key, bool_or(cls = 'aggregator') AS agg, bool_or(cls = 'umbrella') AS umb FROM (SELECT key, {class_sql('h')} AS cls FROM (SELECT key, {HOST.format(c='url')} AS h FROM targets)) GROUP BY key), a AS (SELECT key, bool_or(status = 'active') AS active FROM target_assignments GROUP BY key)
-SELECT verdict, count(*) AS n, min(key) AS first FROM (SELECT coalesce(t.key, a.key) AS key, CASE WHEN agg THEN 'aggregator' WHEN umb THEN 'umbrella' WHEN NOT coalesce(active, false) THEN 'no_active_assignment' ELSE 'keep' END AS verdict FROM t FULL JOIN a ON t.key = a.key) GROUP BY verdict""")
+WITH t AS (SELECT key, bool_or(cls = 'aggregator') AS agg, bool_or(cls = 'umbrella') AS umb
+ FROM (SELECT key, {class_sql('h')} AS cls FROM (SELECT key, {HOST.format(c='url')} AS h FROM targets)) GROUP BY key),
+ a AS (SELECT key, bool_or(status = 'active') AS active FROM target_assignments GROUP BY key)
+SELECT verdict, count(*) AS n, min(key) AS first FROM (SELECT coalesce(t.key, a.key) AS key, CASE
+ WHEN agg THEN 'aggregator' WHEN umb THEN 'umbrella' WHEN NOT coalesce(active,
+ false) THEN 'no_active_assignment' ELSE 'keep' END AS verdict FROM t FULL JOIN a ON t.key = a.key)
+ GROUP BY verdict""")
 def d15b(targets, target_assignments):
     return crawl.extractor_verdicts(targets, target_assignments).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
 
@@ -179,8 +249,13 @@ def d14(sources):
 
 
 @query("d15_policy_verdicts", "sources", rf"""
-SELECT source_id, CASE cls WHEN 'aggregator' THEN 'failed' WHEN 'umbrella' THEN 'review' ELSE 'ok' END AS source_verdict, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'bad_scheme' WHEN cls = 'aggregator' THEN 'aggregator' WHEN cls = 'umbrella' THEN 'umbrella' WHEN cls = 'widget' THEN 'ok' WHEN h = own OR ends_with(h, '.' || own) THEN 'ok' ELSE 'off_domain' END AS target_verdict
-FROM (SELECT *, {class_sql('h')} AS cls FROM (SELECT source_id, url, {HOST.format(c='url')} AS h, nullif({HOST.format(c='homepage')}, '') AS own FROM sources))""")
+SELECT source_id, CASE cls WHEN 'aggregator' THEN 'failed'
+ WHEN 'umbrella' THEN 'review' ELSE 'ok' END AS source_verdict, CASE
+ WHEN NOT regexp_matches(url, '^https?://') THEN 'bad_scheme' WHEN cls = 'aggregator' THEN 'aggregator'
+ WHEN cls = 'umbrella' THEN 'umbrella' WHEN cls = 'widget' THEN 'ok'
+ WHEN h = own OR ends_with(h, '.' || own) THEN 'ok' ELSE 'off_domain' END AS target_verdict
+FROM (SELECT *, {class_sql('h')} AS cls FROM (SELECT source_id, url, {HOST.format(c='url')} AS h,
+ nullif({HOST.format(c='homepage')}, '') AS own FROM sources))""")
 def d15(sources):
     return sources.select("source_id", crawl.source_verdict().alias("source_verdict"), crawl.target_verdict(F.col("url"), domain_of(F.col("homepage"))).alias("target_verdict"))
 
@@ -189,7 +264,9 @@ _LISTED = "CASE WHEN source_id % 4 = 0 THEN NULL ELSE assignment END"
 
 
 @query("d16_extractor_listing", ("sources", "places"), f"""
-SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources LEFT JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website' ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 60 OFFSET 5""")
+SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources LEFT
+ JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website'
+ ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 60 OFFSET 5""")
 def d16(sources, places):
     listed = crawl.listing(sources.withColumn("assignment", F.when(F.col("source_id") % 4 != 0, F.col("assignment"))), places)
     page = reads.page(listed, [F.asc_nulls_first("next_run"), F.col("source_id")], 5, 60)
@@ -197,7 +274,9 @@ def d16(sources, places):
 
 
 @query("d16_extractor_search", ("sources", "places"), f"""
-SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website' AND name ILIKE '%hall%' ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 40""")
+SELECT source_id, name, {_LISTED} AS assignment, {_LISTED} IS NULL AS missing_script FROM sources
+ JOIN (SELECT place_id, name FROM places) USING (place_id) WHERE source_type = 'website' AND name ILIKE '%hall%'
+ ORDER BY next_run ASC NULLS FIRST, source_id LIMIT 40""")
 def d16b(sources, places):
     listed = crawl.listing(sources.withColumn("assignment", F.when(F.col("source_id") % 4 != 0, F.col("assignment"))), places, "hall")
     page = reads.page(listed, [F.asc_nulls_first("next_run"), F.col("source_id")], 0, 40)
@@ -213,8 +292,12 @@ _LASTOK = "(SELECT source_id, max(CASE WHEN success THEN event_id END) AS ok FRO
 
 
 FOLDED = f"""
-SELECT source_id, failures, CASE WHEN failures >= 3 THEN 'source_failed' WHEN failures > 0 THEN 'degraded' ELSE 'healthy' END AS state, CASE WHEN failures = 0 THEN 24 ELSE least(24, pow(2, least(failures, 4)))::INT END AS wait_hours
-FROM (SELECT f.source_id, count(*) FILTER (NOT f.success AND (o.ok IS NULL OR (f.ts, f.event_id) > (t.ts, o.ok))) AS failures FROM fetches f JOIN {_LASTOK} o USING (source_id) LEFT JOIN fetches t ON t.event_id = o.ok GROUP BY f.source_id)"""
+SELECT source_id, failures, CASE WHEN failures >= 3 THEN 'source_failed'
+ WHEN failures > 0 THEN 'degraded' ELSE 'healthy' END AS state, CASE WHEN failures = 0 THEN 24 ELSE least(24, pow(2,
+ least(failures, 4)))::INT END AS wait_hours
+FROM (SELECT f.source_id, count(*) FILTER (NOT f.success AND (o.ok IS NULL OR (f.ts, f.event_id) > (t.ts,
+ o.ok))) AS failures FROM fetches f JOIN {_LASTOK} o USING (source_id) LEFT JOIN fetches t ON t.event_id = o.ok
+ GROUP BY f.source_id)"""
 
 
 @query("j02_fetch_outcomes", "fetches", FOLDED)
