@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.llm import jaccard_join, licenses, mixing, packing, quality, sharding, spotsigs, token_records, topk, url_filter
+from placeloom.llm import importance, jaccard_join, lexical, licenses, mixing, packing, quality, sharding, spotsigs, token_records, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_records": token_records.op10_token_records,
+    "op11_importance": importance.op11_importance,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_topk": topk.SQL,
     "op6_mixing": mixing.SQL,
     "op8_ngram_jaccard": jaccard_join.SQL,
+    "op11_importance": importance.SQL,
+    "op12_lexical_search": lexical.SQL,
 }
