@@ -1,10 +1,7 @@
-"""Page to timetable rows: declarative tables, embedded JSON, user extractors, candidates."""
+"""Page to timetable rows: declarative tables, embedded JSON, candidates. User extractors: extractors.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,29 +128,6 @@ def calendar_rows(pages: DataFrame, year: int) -> DataFrame:
     return daily.unionByName(friday.where("main_min is not null"))
 
 
-RESULT = "page_id long, slot_date string, slot string, main_min int, error string"
-
-
-def run_extractors(pages: DataFrame, extractors: dict[str, Callable[[str, str], list[tuple[str, str, int]]]], key: str = "extractor") -> DataFrame:
-    """One pass of user functions over pages (page_id, url, html, extractor): rows, or one error row for a page that failed.
-
-    A function takes (url, html) and returns (date, slot, minutes) rows; what it raises is caught a page at
-    a time, so one bad page or function fails no job.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page_id, url, html, name in zip(batch["page_id"], batch["url"], batch["html"], batch[key], strict=True):
-                try:
-                    out += [(page_id, d, s, m, None) for d, s, m in extractors[name](url, html)]
-                except Exception as e:  # noqa: BLE001 a user's function may raise anything
-                    out.append((page_id, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["page_id", "slot_date", "slot", "main_min", "error"]).astype({"main_min": "Int32"})
-
-    return pages.select("page_id", "url", "html", key).mapInPandas(run, RESULT)
-
-
 def as_candidates(rows: DataFrame, sources: DataFrame, contract: str, gate_passed: Column) -> DataFrame:
     """Extracted rows as candidates of their page's source, with their evidence as JSON."""
     evidence = F.to_json(F.struct(F.lit(contract).alias("contract"), gate_passed.alias("gate_passed"), F.col("page_id").alias("artifact_id")))

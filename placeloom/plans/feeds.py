@@ -5,11 +5,13 @@ Files are made of the given tables: rows are rendered, written to a shared folde
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from placeloom.functions import html
-from placeloom.functions.times import clock
-from placeloom.operators import export, extract, websites
+from placeloom.functions.times import WINDOWS, clock
+from placeloom.operators import export, extract, extractors, websites
 from placeloom.plans import operations
 from placeloom.plans.registry import define, query
 from placeloom.sources import feeds
@@ -287,19 +289,75 @@ def k03b(month_rows):
     return found.select("page_id", F.col("slot_date").cast("string").alias("slot_date"), "main_min")
 
 
-@query("k01_user_extractors", "day_rows", """
-SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 11 > 0 THEN count(*) ELSE 0 END AS found, CASE
- WHEN page_id % 2 = 1 OR page_id % 11 = 0 THEN 1 ELSE 0 END AS errors FROM day_rows GROUP BY page_id""")
+class TableTimes(extractors.Extractor):
+    """Fajr times of the first table that has them, and how long after their beginning they are."""
+
+    key, version, targets = "table_times", "1.0", ("timetable",)
+
+    def extract(self, found):
+        page = found.artifact("timetable")
+        table = next((t for t in html.tables_of(page.body) if t and "fajr jamaat" in " ".join(t[0]).lower()), None)
+        if table is None:
+            return extractors.Result(warnings=[extractors.Warned("no_table", "timetable table not found", page.label)], no_schedule_reason="timetable table not found")
+        header = [c.lower() for c in table[0]]
+        warnings = [] if "isha jamaat" in header else [extractors.Warned("missing_prayer_column", "isha", page.label)]
+        rows = []
+        for cells in table[1:]:
+            begins, time = (cells[header.index(c)] for c in ("fajr begins", "fajr jamaat"))
+            if time:
+                day = datetime.datetime.strptime(cells[0], "%d/%m/%Y").date()
+                start, main = (int(t[:2]) * 60 + int(t[3:]) for t in (begins, time))
+                low, high = WINDOWS["fajr"]
+                if low <= main <= high:
+                    rows.append(extractors.SlotRow(day, "fajr", main, found.evidence(self, page.label, raw_text=time, selector="table"), start_min=start, more={"gap": main - start}))
+                else:
+                    warnings.append(extractors.Warned("implausible_time", f"{day} fajr {time}", page.label))
+        return extractors.Result(rows, warnings, None if rows else "no extractable rows")
+
+
+class Failing(extractors.Extractor):
+    key, version, targets = "failing", "1.0", ("timetable",)
+
+    def extract(self, found):
+        raise RuntimeError(f"no timetable at {found.artifact('timetable').url}")
+
+
+class Silent(extractors.Extractor):
+    key, version, targets = "silent", "1.0", ("timetable",)
+
+    def extract(self, found):
+        return extractors.Result()
+
+
+_HM = "lpad((fajr // 60)::VARCHAR, 2, '0') || ':' || lpad((fajr % 60)::VARCHAR, 2, '0')"
+_NONE = "NULL, NULL, NULL, NULL, NULL"
+
+
+@query("k01_user_extractors", "day_rows", f"""
+WITH p AS (SELECT page_id, page_id % 5 AS e, page_id % 11 AS shape,
+ count(*) FILTER (fajr BETWEEN 120 AND 450) AS good FROM day_rows GROUP BY page_id),
+t AS (SELECT page_id, slot_date, fajr FROM day_rows JOIN p USING (page_id) WHERE e < 2 AND shape > 0 AND fajr IS NOT NULL)
+SELECT page_id AS source_id, 'row' AS record, slot_date::VARCHAR AS slot_date, 'fajr' AS slot, fajr::INT AS main_min,
+ (fajr - 15)::INT AS start_min, 15 AS gap, NULL AS code, NULL AS message, 'timetable' AS target_label, {_HM} AS raw_text,
+ page_id::VARCHAR AS artifact_id FROM t WHERE fajr BETWEEN 120 AND 450
+UNION ALL SELECT page_id, 'warning', {_NONE}, 'implausible_time', slot_date::VARCHAR || ' fajr ' || {_HM}, 'timetable',
+ NULL, NULL FROM t WHERE NOT fajr BETWEEN 120 AND 450
+UNION ALL SELECT page_id, 'warning', {_NONE}, 'missing_prayer_column', 'isha', 'timetable', NULL, NULL FROM p WHERE e < 2
+ AND shape = 2
+UNION ALL SELECT page_id, 'warning', {_NONE}, 'no_table', 'timetable table not found', 'timetable', NULL, NULL FROM p
+ WHERE e < 2 AND shape = 0
+UNION ALL SELECT page_id, 'no_schedule', {_NONE}, NULL, CASE WHEN shape = 0 THEN 'timetable table not found'
+ ELSE 'no extractable rows' END, NULL, NULL, NULL FROM p WHERE e < 2 AND (shape = 0 OR good = 0)
+UNION ALL SELECT page_id, 'error', {_NONE}, ['RuntimeError', 'ValueError', 'LookupError'][e - 1],
+ ['no timetable at https://t.example.org', 'no rows and no no_schedule_reason', 'unknown extractor'][e - 1], NULL, NULL,
+ NULL FROM p WHERE e >= 2""")
 def k01(day_rows):
-    def good(url, page):
-        return [(r[0], "fajr", 300) for r in html.tables_of(page)[1][1:]]
-
-    def bad(url, page):
-        raise ValueError("no timetable")
-
-    pages = timetable_pages(day_rows).withColumn("extractor", F.when(F.col("page_id") % 2 == 0, "good").otherwise("bad"))
-    rows = extract.run_extractors(pages, {"good": good, "bad": bad})
-    return rows.groupBy("page_id").agg(F.count("main_min").alias("found"), F.count("error").cast("int").alias("errors"))
+    pages = timetable_pages(day_rows)
+    sources = pages.select(F.col("page_id").alias("source_id"), F.lit("A place").alias("name"), "url", F.lit("Europe/London").alias("timezone"), F.get(F.array(*map(F.lit, ("table", "table", "failing", "silent", "gone"))), (F.col("page_id") % 5).cast("int")).alias("extractor"))
+    stored = pages.select(F.col("page_id").alias("source_id"), F.lit("timetable").alias("label"), "url", F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.col("page_id").alias("artifact_id"))
+    found = extractors.run(sources, stored, {"table": TableTimes(), "failing": Failing(), "silent": Silent()}, "gap int")
+    value = lambda k: F.get_json_object("evidence", f"$.{k}").alias(k)
+    return found.select("source_id", "record", F.col("slot_date").cast("string").alias("slot_date"), "slot", "main_min", "start_min", "gap", "code", "message", "target_label", value("raw_text"), value("artifact_id"))
 
 
 @query("k04_state_json", "day_rows", f"""
