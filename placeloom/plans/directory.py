@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.functions import geo
 from placeloom.functions.times import SLOTS, slot_order
-from placeloom.operators import contributions, extract, publish, reads
+from placeloom.operators import contributions, extract, publish, reads, versions
 from placeloom.plans.frames import AS_OF
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import haversine_sql
+from placeloom.sources.files import shared_folder
 
 PUB = "policy = 'public_redistribution_allowed'"
 DAY = f"DATE '{AS_OF}'"
@@ -247,6 +250,45 @@ def p07(candidates, sources, previous):
     return publish.events(publish.publish(batch_of(candidates, sources), previous, sources), 5000)
 
 
+def first_version(previous, sources):
+    """An import: all rows are new."""
+    return publish.publish(previous, previous.limit(0), sources)
+
+
+def published_versions(candidates, sources, previous):
+    """An import, a full publication, and two writers at once for the even and the odd places, with later times."""
+    table = versions.VersionedTable(candidates.sparkSession, shared_folder(candidates.sparkSession, "versions"), buckets=8)
+    table.publish(lambda _: first_version(previous, sources), AS_OF)
+    table.publish(lambda old: publish.publish(batch_of(candidates, sources), old, sources), AS_OF)
+
+    def later(parity):
+        mine = F.col("place_id") % 2 == parity
+        batch = batch_of(candidates, sources).where(mine).withColumn("main_min", F.col("main_min") + 7 + 4 * parity)
+        return table.publish(lambda old: publish.publish(batch, old, sources, mine), AS_OF)
+
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(later, (0, 1)))
+    return table
+
+
+@query("p05_versioned_publish", _PUB3, f"""
+WITH {diff_sql(None)} SELECT place_id, slot_date::VARCHAR AS slot_date, slot, session_no::INT AS session_no,
+ (main_min + CASE WHEN place_id % 2 = 0 THEN 7 ELSE 11 END)::INT AS main_min, '2024-02-01.4' AS version FROM win""")
+def p05_versions(candidates, sources, previous):
+    table = published_versions(candidates, sources, previous)
+    current = table.current()
+    return table.rows(current).select("place_id", F.col("slot_date").cast("string").alias("slot_date"), "slot", "session_no", "main_min", F.lit(current.name).alias("version"))
+
+
+@query("p07_committed_events", _PUB3, f"""
+WITH {diff_sql(None)}, e AS (SELECT 'occurrence_published' AS kind, place_id FROM previous UNION ALL SELECT 'occurrence_' || action, place_id FROM dif WHERE action <> 'carried'
+ UNION ALL SELECT 'occurrence_published', place_id FROM win)
+SELECT kind, place_id % 2 AS parity, count(*) AS n, (SELECT count(*) FROM e) AS last_id FROM e GROUP BY kind, place_id % 2""")
+def p07_committed(candidates, sources, previous):
+    events = published_versions(candidates, sources, previous).events()
+    return events.groupBy("kind", (F.col("place_id") % 2).alias("parity")).agg(F.count(F.lit(1)).alias("n")).withColumn("last_id", events.agg(F.max("event_id")).scalar())
+
+
 COVER = f"""
 cov AS (SELECT source_id, count(*) FILTER (full_day) AS covered, bool_or(slot_date = {DAY} AND full_day) AS today
  FROM (SELECT source_id, slot_date, len(list_intersect(list(DISTINCT slot), CASE
