@@ -25,17 +25,22 @@ from placeloom.llm.shingles import span_hashes
 from placeloom.llm.tokenizing import small_batches
 
 BUCKETS = 10_000
-#: Words of the head, and how many of them, the most frequent, have the buckets of their pairs at hand.
+#: A word belongs to the head if it is one in so many of all words or more; how many of them, the most frequent, have the buckets of their pairs at hand.
 HEAD, PAIRED = 65_536, 1_024
 #: Least words of a document that can be drawn, the percentage drawn, and the seed of the draw.
 LEAST, PERCENT, SEED = 20, 25, 7
 
 
 def head_words(docs: DataFrame, head: int = HEAD) -> list[str]:
-    """The most frequent words of all documents, most frequent first (ties by the word): at most `head`."""
+    """The words that hold one in `head` of all words of the documents or more, the most frequent first (ties by the word).
+
+    So there are at most `head` of them, whatever the number of words, and only they are sent to the driver.
+    """
     words = docs.select(F.explode(F.split(ascii_lower(F.col("text")), BETWEEN)).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()]
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * head >= total).collect()
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 class Head:
