@@ -137,9 +137,14 @@ def shared_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             yield sent(seen)
 
     def counted(chunks: pa.Table) -> pa.Table:
-        seen = np.empty(0, np.int64)
+        seen, pending, waiting = np.empty(0, np.int64), [], 0
         for data, n in zip(chunks.column("pairs").to_pylist(), chunks.column("n").to_pylist(), strict=True):
-            seen = np.union1d(seen, unpacked(data, n))
+            pending.append(unpacked(data, n))
+            waiting += n
+            # the union grows by a share each time, so each pair is sorted a few times only
+            if waiting >= max(PENDING, len(seen)):
+                seen, pending, waiting = np.unique(np.concatenate((seen, *pending))), [], 0
+        seen = np.unique(np.concatenate((seen, *pending)))
         word, n = np.unique(seen % size, return_counts=True)
         return pa.table({"word": word, "n": n})
 
