@@ -16,7 +16,7 @@ from placeloom.plans import operations
 from placeloom.plans.registry import define, query
 from placeloom.sources import feeds
 from placeloom.sources.files import shared_folder
-from placeloom.streaming import changes
+from placeloom.streaming import changes, outcomes
 
 PUB = "policy = 'public_redistribution_allowed'"
 
@@ -519,13 +519,46 @@ def j01(events):
     return spark.read.parquet(target).select("event_id", "event_type")
 
 
-@query("j02_fetch_outcomes_stream", "fetches", operations.FOLDED)
-def j02(fetches):
+def drained(fetches):
     spark = fetches.sparkSession
     source, target, checkpoint = (shared_folder(spark, n) for n in ("fetches", "health", "state"))
     # the newer half comes first
     newer = F.dayofmonth("ts") > 15
     for part in (fetches.where(newer), fetches.where(~newer)):
         part.write.mode("append").parquet(source)
-        changes.drain_outcomes(changes.fold_outcomes(spark.readStream.schema(fetches.schema).parquet(source)), target, checkpoint)
-    return changes.latest_health(spark, target)
+        outcomes.drain_rows(outcomes.fold_outcomes(spark.readStream.schema(fetches.schema).parquet(source)), target, checkpoint)
+    return spark, target
+
+
+@query("j02_fetch_outcomes_stream", "fetches", operations.FOLDED)
+def j02(fetches):
+    return outcomes.latest_health(*drained(fetches))
+
+
+# every third source was fetched in a time to come, so it isn't due yet
+define("fetches_ahead", ("fetches",), "SELECT event_id, source_id, CASE WHEN source_id % 3 = 0 THEN CAST(ts AS TIMESTAMP) + INTERVAL 100 YEAR ELSE CAST(ts AS TIMESTAMP) END AS ts, success FROM @fetches")
+
+
+@query("j02_due_sources", ("fetches", "fetches_ahead"), f"""
+SELECT source_id, failures, strftime(last + to_hours(wait_hours), '%Y-%m-%d %H:%M:%S') AS due_at
+FROM ({operations.FOLDED}) h JOIN (SELECT source_id, max(ts) AS last FROM fetches_ahead GROUP BY source_id) USING (source_id)
+WHERE source_id % 3 <> 0""")
+def j02_due(fetches, fetches_ahead):
+    due = outcomes.due_sources(*drained(fetches_ahead))
+    return due.withColumn("due_at", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("j04_skip_unchanged_stream", ("pages", "runs"), operations.SKIPPED)
+def j04(pages, runs):
+    spark = pages.sparkSession
+    at = F.timestamp_seconds(F.col("page_id"))
+    hashed = pages.select("page_id", (F.col("page_id") % 97).alias("source_id"), F.md5("html").alias("hash"), at.alias("at"))
+    runs = runs.withColumn("at", F.timestamp_seconds(F.lit(0)))
+    stored, ran, target, checkpoint = (shared_folder(spark, n) for n in ("hashed", "runs", "actions", "state"))
+    hashed.limit(0).write.parquet(stored)
+    stream = lambda: outcomes.changed_pages(spark.readStream.schema(hashed.schema).parquet(stored), spark.readStream.schema(runs.schema).parquet(ran))
+    # failed runs, then successful ones of some of the same bodies, then the pages
+    for part, folder in ((runs.where("not success"), ran), (runs.where("success"), ran), (hashed, stored)):
+        part.write.mode("append").parquet(folder)
+        outcomes.drain_rows(stream(), target, checkpoint)
+    return spark.read.parquet(target).select("page_id", "action")

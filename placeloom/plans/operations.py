@@ -314,7 +314,10 @@ def j03(sources):
 define("runs", ("pages",), "SELECT page_id % 97 AS source_id, md5(html) AS hash, page_id % 3 = 0 AS success FROM @pages WHERE page_id % 3 <> 1")
 
 
-@query("j04_skip_unchanged", ("pages", "runs"), "SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.success AND r.source_id = p.page_id % 97 AND r.hash = md5(html)) THEN 'skip' ELSE 'extract' END AS action FROM pages p")
+SKIPPED = "SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.success AND r.source_id = p.page_id % 97 AND r.hash = md5(html)) THEN 'skip' ELSE 'extract' END AS action FROM pages p"
+
+
+@query("j04_skip_unchanged", ("pages", "runs"), SKIPPED)
 def j04(pages, runs):
     hashed = pages.select("page_id", (F.col("page_id") % 97).alias("source_id"), F.md5("html").alias("hash"))
     return crawl.unchanged(hashed, runs).select("page_id", "action")

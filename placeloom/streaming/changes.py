@@ -1,18 +1,15 @@
-"""Structured Streaming forms: the change feed and the fold of fetch outcomes."""
+"""Structured Streaming form of the change feed: every event once, by an index of ids."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from placeloom.operators.crawl import FAILED_AT
+from placeloom.sources.files import names_in
+
+#: Ids of a folder of the target: a batch reads the ids of those folders only that it has ids in.
+ID_RANGE = 100_000
 
 
 def change_feed(spark: SparkSession, folder: str, schema: StructType, since: int) -> DataFrame:
@@ -20,67 +17,36 @@ def change_feed(spark: SparkSession, folder: str, schema: StructType, since: int
     return spark.readStream.schema(schema).parquet(folder).where(F.col("event_id") > since)
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str) -> None:
+def id_range(ids: int = ID_RANGE) -> F.Column:
+    return F.floor(F.col("event_id") / ids).cast("long")
+
+
+def known_ids(batch: DataFrame, target: str, ids: int = ID_RANGE) -> DataFrame | None:
+    """event_id of the events in `target` that could be in batch: only folders of ranges that it has ids in are read.
+
+    Null if there are none. The ranges of a batch are one row each: as many as it has ids at most, and few for a feed.
+    """
+    spark = batch.sparkSession
+    there = set(names_in(spark, target))
+    wanted = [f"id_range={r.id_range}" for r in batch.select(id_range(ids).alias("id_range")).distinct().collect()]
+    folders = [f"{target}/{name}" for name in wanted if name in there]
+    return spark.read.schema("event_id long").parquet(*folders) if folders else None
+
+
+def drain(stream: DataFrame, target: str, checkpoint: str, ids: int = ID_RANGE) -> None:
     """Append every event that is there now and not yet in the Parquet folder `target`, each id once, and stop.
 
     An event counts by its id alone, however old its time: late and backfilled ones come through, replays and
-    a batch that is run again add nothing.
+    a batch that is run again add nothing. The target lies in folders by ranges of `ids` ids, which are the index: a
+    batch of new events reads the last folder, a late one those of its own ids.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["event_id"])
-        try:
-            known = batch.sparkSession.read.schema(batch.schema).parquet(target).select("event_id")
-        except AnalysisException:
-            known = None
+        known = known_ids(batch, target, ids)
         if known is not None:
             fresh = fresh.join(known, "event_id", "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(target)
+        fresh.withColumn("id_range", id_range(ids)).write.mode("append").partitionBy("id_range").parquet(target)
 
     query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-HEALTH = "source_id long, seen long, failures long, state string, wait_hours int"
-
-
-def fold_outcomes(fetches: DataFrame) -> DataFrame:
-    """Streaming health of each source from (source_id, ts, event_id, success): failures since the last success.
-
-    A row for a source and micro-batch; of a source that with the most outcomes `seen` is the latest. The state is
-    the last success and the failures after it, as (ts, event_id), so outcomes may come in any order: a late
-    failure before that success counts nothing, a late success clears only what is before it.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, ok, failed = 0, (np.iinfo(np.int64).min, 0), np.empty((0, 2), np.int64)
-        if state.exists:
-            seen, ok_ts, ok_id, raw = state.get
-            ok, failed = (ok_ts, ok_id), np.frombuffer(raw, np.int64).reshape(-1, 2)
-        for rows in batches:
-            at = np.stack([rows["ts"].astype("datetime64[us]").astype("int64"), rows["event_id"]], axis=1)
-            good = rows["success"].to_numpy(bool)
-            ok = max([ok, *map(tuple, at[good].tolist())])
-            failed = np.concatenate((failed, at[~good]))
-            failed = failed[(failed[:, 0] > ok[0]) | ((failed[:, 0] == ok[0]) & (failed[:, 1] > ok[1]))]
-            seen += len(rows)
-        n = len(failed)
-        state.update((seen, int(ok[0]), int(ok[1]), failed.tobytes()))
-        health = "source_failed" if n >= FAILED_AT else "degraded" if n else "healthy"
-        yield pd.DataFrame([(key[0], seen, n, health, min(24, 2 ** min(n, 4)) if n else 24)], columns=["source_id", "seen", "failures", "state", "wait_hours"])
-
-    columns = fetches.select("source_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "success")
-    return columns.groupBy("source_id").applyInPandasWithState(fold, HEALTH, "seen long, ok_ts long, ok_id long, failed binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def drain_outcomes(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Fold every outcome that is there now, appending to the Parquet folder `target`, and stop."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def latest_health(spark: SparkSession, target: str) -> DataFrame:
-    """(source_id, failures, state, wait_hours) of every source that was ever folded into `target`."""
-    rows = spark.read.schema(HEALTH).parquet(target)
-    latest = F.max_by(F.struct("failures", "state", "wait_hours"), "seen").alias("h")
-    return rows.groupBy("source_id").agg(latest).select("source_id", "h.*")

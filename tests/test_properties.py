@@ -12,7 +12,7 @@ from placeloom.operators import contributions, crawl, export, publish, reports,
 from placeloom.plans.directory import batch_of
 from placeloom.plans.feeds import j02
 from placeloom.plans.registry import frame
-from placeloom.streaming import changes
+from placeloom.streaming import changes, outcomes
 
 SF = "/root/testdata/sf0.001"
 KEY = list(publish.KEY)
@@ -128,16 +128,67 @@ def test_late_events_come_through(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [5, 6, 7, 8]
 
 
+def test_a_batch_reads_the_folders_of_its_ids_only(spark, tmp_path):
+    schema = "event_id long, event_type string"
+    make = lambda ids: spark.createDataFrame([(i, "a") for i in ids], schema)
+    for ids in ([1, 2, 150, 999], [1000, 1001, 150]):
+        make(ids).write.mode("append").parquet(f"{tmp_path}/in")
+        changes.drain(changes.change_feed(spark, f"{tmp_path}/in", make([1]).schema, 0), f"file://{tmp_path}/out", f"{tmp_path}/cursor", ids=100)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 150, 999, 1000, 1001]
+    read = lambda ids: {f.split("id_range=")[1].split("/")[0] for f in changes.known_ids(make(ids), f"file://{tmp_path}/out", 100).inputFiles()}
+    assert read([1002]) == {"10"} and read([7, 180]) == {"0", "1"}
+    assert changes.known_ids(make([5000]), f"file://{tmp_path}/out", 100) is None and changes.known_ids(make([1]), f"file://{tmp_path}/none", 100) is None
+
+
 def test_outcomes_in_any_order(spark, tmp_path):
     schema = "source_id long, ts timestamp, event_id long, success boolean"
     at = lambda d: datetime.datetime(2024, 1, d)
-    parts = [[(1, at(20), 5, True), (2, at(9), 9, False)], [(1, at(3), 1, False), (1, at(21), 6, False), (2, at(10), 10, False)], [(2, at(8), 8, True), (2, at(11), 11, False), (1, at(22), 7, True)]]
+    ahead = datetime.datetime(2124, 1, 1)
+    parts = [[(1, at(20), 5, True), (2, at(9), 9, False), (3, at(1), 20, False)], [(1, at(3), 1, False), (1, at(21), 6, False), (2, at(10), 10, False)], [(2, at(8), 8, True), (2, at(11), 11, False), (1, at(22), 7, True), (3, ahead, 21, False)]]
     for part in parts:
         spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        changes.drain_outcomes(changes.fold_outcomes(stream), f"{tmp_path}/out", f"{tmp_path}/state")
-    found = {r.source_id: tuple(r)[1:] for r in changes.latest_health(spark, f"{tmp_path}/out").collect()}
-    assert found == {1: (0, "healthy", 24), 2: (3, "source_failed", 8)}
+        outcomes.drain_rows(outcomes.fold_outcomes(stream, 36_600), f"{tmp_path}/out", f"{tmp_path}/state")
+    found = {r.source_id: tuple(r)[1:] for r in outcomes.latest_health(spark, f"{tmp_path}/out").collect()}
+    assert found == {1: (0, "healthy", 24), 2: (3, "source_failed", 8), 3: (2, "degraded", 4)}
+    # source 3 was due once, until its next outcome
+    due = {r.source_id: (r.failures, r.due_at) for r in outcomes.due_sources(spark, f"{tmp_path}/out").collect()}
+    assert due == {1: (0, at(23)), 2: (3, at(11) + datetime.timedelta(hours=8))}
+    assert spark.read.parquet(f"{tmp_path}/out").where("record = 'due' and source_id = 3").count() == 1
+
+
+def test_settled_failures_become_a_number(spark, tmp_path):
+    schema = "source_id long, ts timestamp, event_id long, success boolean"
+    day = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    parts = [[(1, day(d), d, False) for d in range(1, 5)], [(1, day(100), 100, False)], [(1, day(101), 101, False), (1, day(99), 99, False)]]
+    for n, part in enumerate(parts, 1):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        outcomes.drain_rows(outcomes.fold_outcomes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 30), f"{tmp_path}/out", f"{tmp_path}/state")
+        assert outcomes.latest_health(spark, f"{tmp_path}/out").first().failures == (4, 5, 7)[n - 1]
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "failed").load()
+    assert state.count() == 3  # the four old ones are a number
+    spark.createDataFrame([(1, day(102), 102, True)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    outcomes.drain_rows(outcomes.fold_outcomes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 30), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert outcomes.latest_health(spark, f"{tmp_path}/out").first().failures == 0
+
+
+def test_unchanged_pages_are_skipped_after_a_success_only(spark, tmp_path):
+    pages, runs = "source_id long, hash string, at timestamp, page_id long", "source_id long, hash string, at timestamp, success boolean"
+    at = lambda d: datetime.datetime(2024, 1, d)
+    steps = [
+        ([(1, "a", at(1), 1)], [(9, "z", at(1), True)], {1: "extract"}),
+        ([(1, "a", at(3), 2)], [(1, "a", at(2), False)], {2: "extract"}),  # a failed run, then the same body
+        ([(1, "a", at(5), 3), (1, "b", at(5), 4), (2, "a", at(5), 5), (1, "a", at(3), 6)], [(1, "a", at(4), True)], {3: "skip", 4: "extract", 5: "extract", 6: "extract"}),
+        ([(1, "a", at(7), 7)], [(1, "a", at(6), False)], {7: "skip"}),
+    ]
+    wanted = {}
+    for stored, ran, actions in steps:
+        spark.createDataFrame(stored, pages).write.mode("append").parquet(f"{tmp_path}/pages")
+        spark.createDataFrame(ran, runs).write.mode("append").parquet(f"{tmp_path}/runs")
+        stream = outcomes.changed_pages(spark.readStream.schema(pages).parquet(f"{tmp_path}/pages"), spark.readStream.schema(runs).parquet(f"{tmp_path}/runs"))
+        outcomes.drain_rows(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+        wanted |= actions
+        assert {r.page_id: r.action for r in spark.read.parquet(f"{tmp_path}/out").collect()} == wanted
 
 
 def test_merges_follow_chains_and_refuse_circles(spark):
