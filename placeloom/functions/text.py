@@ -19,6 +19,16 @@ WIDGETS = ("mawaqit.net", "masjidbox.com", "masjidal.com", "athanplus.com")
 # Fragments of hosts that are no place's own site.
 DENIED_FRAGMENTS = ("register-of-charities.charitycommission.gov.uk", "oscr.org.uk", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "linkedin.com", "wikipedia.org")
 
+# Hosts of directories and social networks that are never a place's own site, each for itself.
+DIRECTORY_HOSTS = (
+    "facebook.com", "www.facebook.com", "m.facebook.com", "twitter.com", "www.twitter.com", "x.com", "instagram.com", "www.instagram.com",
+    "youtube.com", "www.youtube.com", "youtu.be", "linkedin.com", "www.linkedin.com", "yell.com", "www.yell.com", "tripadvisor.com", "www.tripadvisor.com",
+    "yelp.co.uk", "www.yelp.co.uk", "google.com", "www.google.com", "maps.google.com", "muslimsinbritain.org", "www.muslimsinbritain.org",
+    "mosques.muslimsinbritain.org", "nearestmosque.com", "www.nearestmosque.com", "mosquefinder.co.uk", "www.mosquefinder.co.uk", "mosqueiq.com", "www.mosqueiq.com",
+    "find-and-update.company-information.service.gov.uk", "register-of-charities.charitycommission.gov.uk", "oscr.org.uk", "www.oscr.org.uk",
+    "wikidata.org", "www.wikidata.org", "wikipedia.org", "en.wikipedia.org",
+)
+
 # Words of failures that pass, and of those that stay.
 PASSING = ("http 500", "http 502", "http 503", "http 504", "timed out", "timeout", "connection reset", "connection refused", "temporarily")
 LASTING = ("cannot resolve host", "name or service not known", "getaddrinfo", "http 404", "http 410", "http 401", "http 403", "certificate_verify_failed", "ssl", "blocked host address", "source url has no scheme or host")
@@ -107,12 +117,23 @@ def in_domains(host: Column, domains: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(host).rlike(rf"(^|\.)({_literal(domains)})\.?$"), F.lit(False))
 
 
-def domain_class(host: Column) -> Column:
-    return F.when(in_domains(host, AGGREGATORS), "aggregator").when(in_domains(host, UMBRELLAS), "umbrella").when(in_domains(host, WIDGETS), "widget").otherwise("own")
+def domain_class(host: Column, extra: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """aggregator, umbrella, widget or own; extra: further domains of a class. Long lists: operators.domains."""
+    extra = extra or {}
+    known = {"aggregator": AGGREGATORS, "umbrella": UMBRELLAS, "widget": WIDGETS}
+    out = F.lit("own")
+    for name, domains in reversed(known.items()):
+        out = F.when(in_domains(host, (*domains, *(d.lower() for d in extra.get(name, ())))), name).otherwise(out)
+    return out
+
+
+def is_directory_host(host: Column) -> Column:
+    """Whether the host itself (without www.) is one of the directories; its subdomains and look-alikes aren't."""
+    return F.coalesce(F.lower(host).isin(*DIRECTORY_HOSTS), F.lit(False))
 
 
 def is_denied_host(host: Column) -> Column:
-    """Whether a denied fragment lies anywhere in the host (so x.com also denies fedex.com)."""
+    """Whether a denied fragment of register entries lies anywhere in the host (so x.com also denies fedex.com)."""
     return F.coalesce(host.rlike(_literal(DENIED_FRAGMENTS)), F.lit(False))
 
 

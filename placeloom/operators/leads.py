@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions.similarity import token_set_ratio
-from placeloom.functions.text import compact_postcode, domain_of, is_denied_host, normalise_name, note_value, shared_tokens
+from placeloom.functions.text import compact_postcode, domain_of, is_denied_host, is_directory_host, normalise_name, note_value, shared_tokens
 from placeloom.operators.reads import missing_website
 
 REGISTER_TOKENS, REGISTER_RATIO, SEARCH_RESULTS = 2, 60, 3
@@ -68,7 +68,7 @@ def search_leads(places: DataFrame, results: DataFrame) -> DataFrame:
     """(place_id, rank, url) of the first results (query, rank, url) of each place's search; equal queries are asked once."""
     asked = missing_website(places).withColumn("query", search_query(F.col("name"), F.col("postcode")))
     queries = asked.select("query").distinct()
-    allowed = (F.col("rank") <= SEARCH_RESULTS) & ~is_denied_host(domain_of(F.col("url")))
+    allowed = (F.col("rank") <= SEARCH_RESULTS) & ~is_directory_host(domain_of(F.col("url")))
     found = queries.join(results, "query").where(allowed)
     return asked.select("place_id", "query").join(found, "query").select("place_id", "rank", "url")
 

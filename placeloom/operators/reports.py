@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from placeloom.functions.times import in_window, slot_order
 
 STALE_DAYS = 30
 
@@ -56,16 +59,23 @@ def duplicate_buckets(places: DataFrame, key: list[str], limit: int | None = 25)
     return found.orderBy(F.desc("n"), *[F.col(k).asc_nulls_last() for k in key]).limit(limit) if limit else found
 
 
-def plausibility(rows: DataFrame, windows: dict[str, tuple[int, int]], as_of: str) -> DataFrame:
-    """Flags of each source's slot rows: outside windows, days out of order, no near date, other years, computed-looking times.
+# Reasons that allow a result without rows; they may stand within a longer one, in any case.
+EMPTY_REASONS = ("jumuah_only", "awaiting ocr", "image target — awaiting ocr", "pdf target — awaiting parser")
+#: Dates from which times can look calculated.
+CALCULATED_DATES = 7
 
-    Two levels of aggregation: by (source, date, slot), then by source; the order within a day is a lag
-    over at most six rows.
-    """
-    from pyspark.sql.window import Window
 
-    from placeloom.functions.times import in_window, slot_order
+def plausibility(rows: DataFrame, as_of: str, results: DataFrame | None = None) -> DataFrame:
+    """Flags of each source's slot rows: outside windows, days out of order, no near date, other years, calculated-looking times.
 
+    Times look calculated if every row's start is its time, there are CALCULATED_DATES dates or more, and the (slot, time)
+    pairs that stand on half of the dates at least hold more than half of the rows. results (source_id, reason), if
+    given, are all runs: a source without rows is empty_refused unless its reason is one of EMPTY_REASONS.
+
+    Aggregates by (source, date, slot), by (source, slot, time) and by source, all of which combine before their
+    shuffle; the order within a day is a lag over at most six rows. The threshold of the pairs is the source's own,
+    so their counts are joined to it, one row a source.
+    """
     today = F.lit(as_of).cast("date")
     daily = rows.groupBy("source_id", "slot_date", "slot").agg(F.min("main_min").alias("first"))
     order = Window.partitionBy("source_id", "slot_date").orderBy(slot_order(F.col("slot")))
@@ -76,9 +86,19 @@ def plausibility(rows: DataFrame, windows: dict[str, tuple[int, int]], as_of: st
     by_row = rows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~in_window(F.col("main_min"), F.col("slot"))).alias("outside_window"),
         F.coalesce(F.max(F.col("slot_date").between(F.date_sub(today, 1), F.date_add(today, 31))), F.lit(False)).alias("has_near_date"),
-        F.min(F.year("slot_date") != F.year(today)).alias("other_year"), (F.min(same) & (F.countDistinct("slot_date") >= 7)).alias("same_as_start"),
+        F.min(F.year("slot_date") != F.year(today)).alias("other_year"), F.min(same).alias("all_same"), F.countDistinct("slot_date").alias("dates"),
     )
-    return by_row.join(by_day, "source_id", "left")
+    pairs = rows.groupBy("source_id", "slot", "main_min").agg(F.count(F.lit(1)).alias("c"))
+    frequent = pairs.join(by_row.where(F.col("all_same") & (F.col("dates") >= CALCULATED_DATES)).select("source_id", "dates"), "source_id")
+    repeated = frequent.where(2 * F.col("c") >= F.col("dates")).groupBy("source_id").agg(F.sum("c").alias("repeated"))
+    out = by_row.join(by_day, "source_id", "left").join(repeated, "source_id", "left")
+    out = out.withColumn("calculated", F.coalesce(2 * F.col("repeated") > F.col("rows"), F.lit(False))).drop("all_same", "dates", "repeated")
+    if results is None:
+        return out
+    reason = F.lower(F.coalesce("reason", F.lit("")))
+    allowed = F.exists(F.array(*[F.lit(r) for r in EMPTY_REASONS]), lambda r: F.contains(reason, r))
+    every = results.select("source_id", allowed.alias("allowed")).join(out, "source_id", "left")
+    return every.withColumns({"rows": F.coalesce("rows", F.lit(0)), "empty_refused": F.col("rows").isNull() & ~F.col("allowed")}).drop("allowed")
 
 
 def sections(df: DataFrame, **columns: Column) -> DataFrame:

@@ -14,6 +14,8 @@ from placeloom.functions import geo
 from placeloom.functions.geo import within
 from placeloom.functions.similarity import token_sort_ratio
 from placeloom.functions.text import compact_postcode, domain_of, is_parent_name, normalise_city, normalise_name, normalise_postcode
+from placeloom.operators.skew import tiled_join
+from placeloom.sources.files import shared_folder
 
 NEAR_METRES, IDENTITY_METRES = 500, 25
 # Ratios of names, terms of a score, thresholds of a decision.
@@ -33,11 +35,9 @@ def block(records: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs (record_id, place_id) of one country that share the postcode or the city, or lie within 500 m."""
     rec, pla = keyed(records), keyed(places)
     right = lambda *cols: pla.select("place_id", F.col("country"), *cols)
-    by_post = rec.where("compact is not null").join(right("compact"), ["country", "compact"])
-    # the records of a city are dealt into parts, so that a large one is no hot task
-    salted = rec.where("town is not null").withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALT)))
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part")
-    by_town = salted.join(right("town", parts), ["country", "town", "part"])
+    left = lambda key: rec.where(F.col(key).isNotNull()).select("record_id", "country", key)
+    tiled = lambda key: tiled_join(left(key), right(key), ["country", key], F.col("record_id"), F.col("place_id"))
+    by_post, by_town = tiled("compact"), tiled("town")
     near = within(records, places, "record_id", "place_id", NEAR_METRES)
     same = near.join(records.select("record_id", "country"), "record_id").join(places.select("place_id", F.col("country").alias("other")), "place_id").where("country = other")
     ids = ["record_id", "place_id"]
@@ -46,8 +46,6 @@ def block(records: DataFrame, places: DataFrame) -> DataFrame:
 
 #: Letters of a name that its mark tells apart, with a first and a second occurrence; 52 bits of a long.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Parts that the records of one city are dealt into.
-SALT = 8
 
 
 def name_mark(plain: Column) -> Column:
@@ -79,17 +77,15 @@ def promising(records: DataFrame, places: DataFrame, aliases: DataFrame) -> Data
     rec, pla = keyed(records), keyed(places)
     named = aliases.select("place_id", name_mark(normalise_name(F.col("alias"))).alias("mark")).groupBy("place_id").agg(F.collect_set("mark").alias("alias_marks"))
     ids = ["record_id", "place_id"]
-    by_post = rec.where("compact is not null").join(pla.select("place_id", "country", "compact"), ["country", "compact"]).select(ids)
+    by_post = tiled_join(rec.where("compact is not null").select("record_id", "country", "compact"), pla.where("compact is not null").select("place_id", "country", "compact"), ["country", "compact"], F.col("record_id"), F.col("place_id")).select(ids)
     near = within(records, places, "record_id", "place_id", NEAR_METRES)
     near = near.join(records.select("record_id", "country"), "record_id").join(places.select("place_id", F.col("country").alias("other")), "place_id")
     left = rec.where("town is not null").select("record_id", "country", "town", "post", "domain", name_mark(F.col("plain")).alias("mark"))
-    left = left.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(SALT)))
     right = pla.where("town is not null").join(named, "place_id", "left")
     right = right.select("place_id", "country", "town", F.col("post").alias("other_post"), F.col("domain").alias("other_domain"), name_mark(F.col("plain")).alias("other_mark"), "alias_marks")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     alias = F.coalesce(F.exists("alias_marks", lambda m: may_reach(F.col("mark"), m, STRONG)), F.lit(False))
     fits = F.coalesce(F.col("domain") == F.col("other_domain"), F.lit(False)) | may_reach(F.col("mark"), F.col("other_mark"), LIKELY) | alias
-    by_town = left.join(right, ["country", "town", "part"]).where((F.col("post").isNull() | F.col("other_post").isNull()) & fits)
+    by_town = tiled_join(left, right, ["country", "town"], F.col("record_id"), F.col("place_id")).where((F.col("post").isNull() | F.col("other_post").isNull()) & fits)
     return by_post.union(near.where("country = other").select(ids)).union(by_town.select(ids)).distinct()
 
 
@@ -301,13 +297,21 @@ def bulk_activate(places: DataFrame, sources: DataFrame, reviews: DataFrame, lim
 
 
 def final_targets(merges: DataFrame, rounds: int = 32) -> DataFrame:
-    """merges (duplicate_id, canonical_id) with chains followed to their end; at most 2^rounds long, a circle has no end."""
-    found = merges.where("duplicate_id <> canonical_id")
+    """merges (duplicate_id, canonical_id) with chains followed to their end; at most 2^rounds long, a circle has no end.
+
+    Pointer jumping: each round lets every merge take its target's target and writes the result, so a round reads
+    the last one's table alone and a chain of n takes log2(n) rounds.
+    """
+    spark = merges.sparkSession
+    found = merges.where("duplicate_id <> canonical_id").select("duplicate_id", "canonical_id")
     for _ in range(rounds):
         after = found.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
-        if found.join(after, "canonical_id", "left_semi").isEmpty():
+        path = shared_folder(spark, "merges")
+        found.join(after, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"), F.col("next").isNotNull().alias("moved")).write.parquet(path)
+        table = spark.read.parquet(path)
+        found = table.drop("moved")
+        if table.where("moved").isEmpty():
             return found
-        found = found.join(after, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"))
     raise ValueError("the merges go in a circle")
 
 

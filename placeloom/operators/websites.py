@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions.html import parsed_site, parsed_text
 from placeloom.functions.similarity import token_set_ratio
-from placeloom.functions.text import appears_in, domain_of, is_denied_host, normalise_name
+from placeloom.functions.text import appears_in, domain_of, is_directory_host, normalise_name
 
 NAME_RATIO, ADDRESS_CHARS = 60, 6
 # Paths that often have the address, in the order they are tried.
@@ -36,7 +36,7 @@ def verify(leads: DataFrame, pages: DataFrame) -> DataFrame:
     """
     facts = page_facts(pages)
     host = F.regexp_extract("url", r"^([^:]+://[^/?#]+)", 1)
-    denied, trusted = is_denied_host(domain_of(F.col("url"))), F.coalesce("trusted", F.lit(False))
+    denied, trusted = is_directory_host(domain_of(F.col("url"))), F.coalesce("trusted", F.lit(False))
     seen = leads.join(facts, "url", "left").withColumn("fetched", F.col("body").isNotNull())
     place = ["lead_id", "name", "postcode", "address"]
     tries = seen.where(~denied & ~trusted & F.col("fetched")).select(*place, F.lit(0).alias("rank"), "url", "title", "body", "site")

@@ -407,14 +407,15 @@ def k06(day_rows, sources):
 define("store", ("pages",), "SELECT min(page_id) AS page_id, url, min(html) AS html FROM @pages WHERE url IS NOT NULL GROUP BY url")
 define("titled", ("store",), "SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 9 AS k, CAST(page_id AS STRING) AS id FROM @store")
 define("leads", ("titled",), """
-SELECT page_id AS lead_id, CASE k WHEN 0 THEN 'https://facebook.com/x' WHEN 1 THEN 'https://gone.example.org/' || id
- WHEN 7 THEN 'https://c' || id || '.example.org/home'
+SELECT page_id AS lead_id, CASE k WHEN 0 THEN CASE page_id % 3 WHEN 0 THEN 'https://facebook.com/x'
+ WHEN 1 THEN 'https://www.yell.com/x' ELSE 'https://maps.google.com/' || id END WHEN 1 THEN 'https://gone.example.org/' || id
+ WHEN 3 THEN 'https://' || id || '.fedex.com/' WHEN 7 THEN 'https://c' || id || '.example.org/home'
  WHEN 8 THEN 'https://d' || id || '.example.org/' ELSE url END AS url,
  CASE WHEN k = 5 THEN 'Xyzzyq Wqvbk' ELSE title END AS name, CASE WHEN k = 3 THEN 'QQ99 9QQ'
  WHEN k = 4 THEN NULL ELSE substr(title, 1, 9) END AS postcode, CASE
  WHEN k = 4 THEN lower(substr(title, 1, 16)) ELSE '12 No Street' END AS address, k = 6 AS trusted FROM @titled""")
 define("shelf", ("titled",), """
-SELECT url, html FROM @titled UNION ALL
+SELECT url, html FROM @titled UNION ALL SELECT 'https://' || id || '.fedex.com/' AS url, html FROM @titled WHERE k = 3 UNION ALL
  SELECT 'https://c' || id || '.example.org/home' AS url, '<p>nothing here</p>' AS html FROM @titled WHERE k = 7
  UNION ALL SELECT 'https://c' || id || '.example.org/about' AS url, html FROM @titled WHERE k = 7
 UNION ALL SELECT 'https://d' || id || '.example.org/' AS url, '<a href="https://own' || id || '.example.org/">Visit website</a>' AS html

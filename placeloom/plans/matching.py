@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo
 from placeloom.functions.text import PARENT_PATTERNS
-from placeloom.operators import leads, publish, reads, resolve
+from placeloom.operators import leads, nearby, publish, reads, resolve
 from placeloom.plans.frames import AS_OF
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import _TOK, haversine_sql
@@ -70,6 +70,23 @@ def d04(places, previous, sources):
     return times.select("place_id", "metres", "slot", "session_no", "main_min")
 
 
+_NEAR = f"near AS (SELECT record_id, place_id, metres, row_number() OVER (PARTITION BY record_id ORDER BY metres, place_id)::INT AS rank FROM (SELECT r.record_id, p.place_id, {METRES} AS metres FROM records r, places p WHERE r.lat IS NOT NULL AND p.lat IS NOT NULL))"
+
+
+@query("d03_nearest_each", ("records", "places"), f"WITH {_NEAR} SELECT record_id, place_id, round(metres, 3) AS metres, rank FROM near WHERE rank <= 5")
+def d03_each(records, places):
+    near = nearby.nearest_each(records, places, "record_id", "place_id", 5)
+    return near.select("record_id", "place_id", F.round("metres", 3).alias("metres"), "rank")
+
+
+@query("d04_times_near_each", ("records", "places", "previous", "sources"), f"""
+WITH {_NEAR} SELECT record_id, place_id, slot, session_no::INT AS session_no, main_min FROM near JOIN previous USING (place_id)
+ WHERE rank <= 3 AND slot_date = DATE '2024-01-12' AND source_id IN (SELECT source_id FROM sources WHERE {PUB})""")
+def d04_each(records, places, previous, sources):
+    near = nearby.nearest_each(records, places, "record_id", "place_id", 3)
+    return nearby.times_near_each(near, previous, sources, "2024-01-12").select("record_id", "place_id", "slot", "session_no", "main_min")
+
+
 @query("d05_radius_join", ("records", "places"), f"SELECT r.record_id, p.place_id, round({METRES}, 3) AS metres FROM records r JOIN places p ON abs(r.lat - p.lat) < 0.006 AND {METRES} <= 500")
 def d05(records, places):
     return resolve.within(records, places, "record_id", "place_id", 500.0).select("record_id", "place_id", F.round("metres", 3).alias("metres"))

@@ -141,19 +141,37 @@ _ORD = "CASE slot WHEN 'fajr' THEN 1 WHEN 'dhuhr' THEN 2 WHEN 'asr' THEN 3 WHEN
 _WIN = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in WINDOWS.items())
 
 
-@query("f10_plausibility", "candidates", f"""
-WITH win(slot, lo, hi) AS (VALUES {_WIN}), d AS (SELECT source_id, slot_date, slot, min(main_min) AS first
- FROM candidates WHERE slot <> 'jumuah' GROUP BY ALL), l AS (SELECT source_id, slot_date,
+# four kinds of runs: as they are, starts as times, constant times on most dates, no rows
+define("checked_rows", ("candidates",), """
+SELECT source_id, slot_date, slot, CASE WHEN source_id % 4 = 2 AND dayofmonth(slot_date) % 8 < source_id % 9
+ THEN 300 WHEN source_id % 4 = 2 THEN 400 + dayofmonth(slot_date) ELSE main_min END AS main_min,
+ CASE WHEN source_id % 4 = 2 AND dayofmonth(slot_date) % 8 < source_id % 9 THEN 300
+ WHEN source_id % 4 = 2 THEN 400 + dayofmonth(slot_date) WHEN source_id % 4 = 1 THEN main_min ELSE start_min END AS start_min
+ FROM @candidates WHERE source_id % 4 < 3""")
+define("checked_runs", ("sources",), """
+SELECT source_id, CASE source_id DIV 4 % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Image target — awaiting OCR'
+ WHEN 3 THEN 'site says Jumuah_Only' WHEN 4 THEN 'PDF target — awaiting parser.' ELSE 'nothing there' END AS reason FROM @sources""")
+
+
+@query("f10_plausibility", ("checked_rows", "checked_runs"), f"""
+WITH win(slot, lo, hi) AS (VALUES {_WIN}), c AS (SELECT * FROM checked_rows), d AS (SELECT source_id, slot_date, slot, min(main_min) AS first
+ FROM c WHERE slot <> 'jumuah' GROUP BY ALL), l AS (SELECT source_id, slot_date,
  first < lag(first) OVER (PARTITION BY source_id, slot_date ORDER BY {_ORD}) AS back FROM d),
 y AS (SELECT source_id, count(*) FILTER (dis) AS days_disordered FROM (SELECT source_id, slot_date,
- coalesce(bool_or(back), false) AS dis FROM l GROUP BY ALL) GROUP BY source_id)
-SELECT c.source_id, count(*) AS rows, count(*) FILTER (NOT (main_min BETWEEN lo AND hi)) AS outside_window,
+ coalesce(bool_or(back), false) AS dis FROM l GROUP BY ALL) GROUP BY source_id),
+z AS (SELECT c.source_id, count(*) AS rows, count(*) FILTER (NOT (main_min BETWEEN lo AND hi)) AS outside_window,
  bool_or(slot_date BETWEEN {DAY} - 1 AND {DAY} + 31) AS has_near_date,
- bool_and(year(slot_date) <> 2024) AS other_year, bool_and(coalesce(main_min = start_min, false))
- AND count(DISTINCT slot_date) >= 7 AS same_as_start, max(days_disordered) AS days_disordered
-FROM candidates c JOIN win USING (slot) LEFT JOIN y ON y.source_id = c.source_id GROUP BY c.source_id""")
-def f10(candidates):
-    return reports.plausibility(candidates, WINDOWS, AS_OF)
+ bool_and(year(slot_date) <> 2024) AS other_year, bool_and(coalesce(main_min = start_min, false)) AS same,
+ count(DISTINCT slot_date) AS dates FROM c JOIN win USING (slot) GROUP BY c.source_id),
+q AS (SELECT source_id, sum(c) AS repeated FROM (SELECT source_id, slot, main_min, count(*) AS c FROM c GROUP BY ALL)
+ JOIN z USING (source_id) WHERE c >= dates * 0.5 GROUP BY source_id)
+SELECT r.source_id, coalesce(rows, 0) AS rows, outside_window, has_near_date, other_year, days_disordered,
+ CASE WHEN rows IS NOT NULL THEN same AND dates >= 7 AND coalesce(repeated, 0) > rows * 0.5 END AS calculated,
+ rows IS NULL AND (reason IS NULL OR NOT (lower(reason) LIKE '%jumuah_only%' OR lower(reason) LIKE '%awaiting ocr%'
+ OR lower(reason) LIKE '%pdf target — awaiting parser%')) AS empty_refused
+FROM checked_runs r LEFT JOIN z USING (source_id) LEFT JOIN y USING (source_id) LEFT JOIN q USING (source_id)""")
+def f10(checked_rows, checked_runs):
+    return reports.plausibility(checked_rows, AS_OF, checked_runs)
 
 
 define("run_rows", ("candidates",), "SELECT source_id AS run_id, slot_date, slot, session_no, evidence FROM @candidates WHERE source_id % 6 <> 0")

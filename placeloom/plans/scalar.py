@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, similarity, text, times
+from placeloom.operators import domains
 from placeloom.plans.registry import define, query
 
 define("cells", ("orders",), """
@@ -251,11 +252,49 @@ def b21(sources):
 _DENY = " OR ".join(f"contains(h, '{d}')" for d in text.DENIED_FRAGMENTS)
 
 
-@query("b22_denied_host", "cells", rf"SELECT id, coalesce({_DENY}, false) AS denied FROM (SELECT id, regexp_replace(lower(regexp_extract({_FULL}, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS h FROM cells)")
-def b22(cells):
+@query("b22_register_fragments", "cells", rf"SELECT id, coalesce({_DENY}, false) AS denied FROM (SELECT id, regexp_replace(lower(regexp_extract({_FULL}, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') AS h FROM cells)")
+def b22_fragments(cells):
     return cells.select("id", text.is_denied_host(text.domain_of(F.col("url_text"))).alias("denied"))
 
 
+# hosts that are on a list, and others that only look like it
+define("hosted", ("orders",), """
+SELECT o_orderkey AS id, 'https://' || CASE o_orderkey % 24 WHEN 0 THEN 'www.yell.com' WHEN 1 THEN 'fedex.com'
+ WHEN 2 THEN 'maps.google.com' WHEN 3 THEN 'google.co.uk' WHEN 4 THEN 'youtu.be' WHEN 5 THEN 'WWW.Facebook.com'
+ WHEN 6 THEN 'm.facebook.com' WHEN 7 THEN 'pages.facebook.com' WHEN 8 THEN 'en.wikipedia.org'
+ WHEN 9 THEN 'de.wikipedia.org' WHEN 10 THEN 'yell.com.example.org' WHEN 11 THEN 'mosqueiq.com'
+ WHEN 12 THEN 'find-and-update.company-information.service.gov.uk' WHEN 13 THEN 'company-information.service.gov.uk'
+ WHEN 14 THEN 'a.b.salah.com' WHEN 15 THEN 'notsalah.com' WHEN 16 THEN 'www.ismaili.net' WHEN 17 THEN 'times.mawaqit.net'
+ WHEN 18 THEN 'council.extra.example.net' WHEN 19 THEN 'odd.example.org' WHEN 20 THEN 'sub.odd.example.org'
+ WHEN 21 THEN 'hall.blogspot.test' WHEN 22 THEN 'x.com' ELSE 'hall' || CAST(o_orderkey AS STRING) || '.example.org' END
+ || '/about' AS url FROM @orders""")
+_HOST = "CASE WHEN id % 24 = 23 THEN 'hall' || id || '.example.org' ELSE regexp_replace(lower(split_part(url, '/', 3)), '^www\\.', '') END"
+
+
+@query("b22_denied_host", "hosted", f"SELECT id, {_HOST} IN ('yell.com', 'maps.google.com', 'youtu.be', 'facebook.com', 'm.facebook.com', 'en.wikipedia.org', 'mosqueiq.com', 'find-and-update.company-information.service.gov.uk', 'x.com') AS denied FROM hosted")
+def b22(hosted):
+    return hosted.select("id", text.is_directory_host(text.domain_of(F.col("url"))).alias("denied"))
+
+
+@query("b21_extra_domains", "hosted", f"""
+SELECT id, CASE WHEN id % 24 = 14 OR id % 24 = 18 THEN 'aggregator' WHEN id % 24 = 16 THEN 'umbrella'
+ WHEN id % 24 = 17 THEN 'widget' ELSE 'own' END AS class FROM hosted""")
+def b21_extra(hosted):
+    return hosted.select("id", text.domain_class(text.domain_of(F.col("url")), {"aggregator": ("Extra.Example.net",)}).alias("class"))
+
+
+@query("b21_domain_lists", "hosted", """
+SELECT id, array_to_string(CASE id % 24 WHEN 0 THEN ['directory'] WHEN 1 THEN ['register'] WHEN 2 THEN ['directory']
+ WHEN 4 THEN ['directory'] WHEN 5 THEN ['directory', 'register'] WHEN 6 THEN ['directory', 'register'] WHEN 7 THEN ['register']
+ WHEN 8 THEN ['directory', 'register'] WHEN 9 THEN ['register'] WHEN 11 THEN ['directory'] WHEN 12 THEN ['directory']
+ WHEN 14 THEN ['aggregator'] WHEN 16 THEN ['umbrella'] WHEN 17 THEN ['widget'] WHEN 18 THEN ['aggregator', 'umbrella']
+ WHEN 19 THEN ['own'] WHEN 21 THEN ['blog'] WHEN 22 THEN ['directory', 'register'] ELSE [] END, ',') AS lists FROM hosted""")
+def b21_lists(hosted):
+    extra = hosted.sparkSession.createDataFrame([("extra.example.net", "suffix", "umbrella"), ("Extra.example.net ", "suffix", "aggregator"), ("odd.example.org", "exact", "own"), ("blogspot", "substring", "blog")], domains.SCHEMA)
+    found = domains.with_lists(hosted, text.domain_of(F.col("url")), domains.domain_table(hosted.sparkSession, extra))
+    return found.select("id", F.array_join("lists", ",").alias("lists"))
+
+
 _STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 

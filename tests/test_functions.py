@@ -30,6 +30,7 @@ def test_urls(spark):
     assert column(spark, urls, text.domain_of) == ["a.org:80", "b.org", None, None, "c.org"]
     assert column(spark, urls, text.canonical_homepage) == ["https://a.org:80/x", "https://b.org/", None, None, "http://c.org/"]
     assert column(spark, ["fedex.com", "x.com", "ok.org", None], text.is_denied_host) == [True, True, False, False]
+    assert column(spark, ["fedex.com", "x.com", "Yell.com", "a.yell.com", None], text.is_directory_host) == [False, True, True, False, False] and len(text.DIRECTORY_HOSTS) == 39
     assert column(spark, ["salah.com", "a.salah.com", "notsalah.com", "ismaili.net", "mawaqit.net", None], text.domain_class) == ["aggregator", "aggregator", "own", "umbrella", "widget", "own"]
 
 
