@@ -147,3 +147,27 @@ def cached(entries: DataFrame, key: str, as_of: Column, ttl_hours: int) -> DataF
     fresh = entries.where((F.col("ts") >= as_of - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))) & (F.col("ts") <= as_of))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), "event_id"))
     return fresh.withColumn("n", rank).where("n = 1").drop("n")
+
+
+def cached_at(lookups: DataFrame, entries: DataFrame, key: str, ttl_hours: int, parts: int = 64) -> DataFrame:
+    """lookups (lookup_id, key, at) with (event_id, ts) of the latest entry (key, ts, event_id) at each one's own time.
+
+    An as-of join: an entry counts from its time until it is older than the time to live, the smaller event_id of
+    equal times; both are null where there is none. Time is cut into parts of the time to live. Entries and lookups of a key and
+    part meet in one ordered window; what earlier parts leave is one row a part, carried on in a second window. So
+    a key with very many entries is as many groups as it has parts, and no lookup meets all entries.
+    """
+    width = ttl_hours * 3600 / parts
+    part = lambda c: F.floor(F.unix_micros(c) / (width * 1e6)).cast("long").alias("part")
+    entry = F.struct("ts", (-F.col("event_id")).alias("last"))
+    stored = entries.select(key, part(F.col("ts")), F.col("ts").alias("time"), F.lit(0).alias("asks"), entry.alias("entry"), F.lit(None).cast("long").alias("lookup_id"))
+    asked = lookups.select(key, part(F.col("at")), F.col("at").alias("time"), F.lit(1).alias("asks"), F.lit(None).cast("struct<ts:timestamp,last:bigint>").alias("entry"), F.col("lookup_id").cast("long").alias("lookup_id"))
+    both = stored.unionByName(asked)
+    within = Window.partitionBy(key, "part").orderBy("time", "asks", "entry").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(key, "part").agg(F.max("entry").alias("entry"), F.max("asks").alias("asks"))
+    before = ends.withColumn("carried", F.last("entry", ignorenulls=True).over(earlier)).where("asks = 1").select(key, "part", "carried")
+    found = both.withColumn("own", F.last("entry", ignorenulls=True).over(within)).where("asks = 1")
+    found = found.join(before, [key, "part"]).withColumn("entry", F.coalesce("own", "carried"))
+    fresh = F.col("entry.ts") >= F.col("time") - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
+    return found.select("lookup_id", key, F.col("time").alias("at"), F.when(fresh, -F.col("entry.last")).alias("event_id"), F.when(fresh, F.col("entry.ts")).alias("ts"))

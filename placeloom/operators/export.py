@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +58,61 @@ def write_snapshot(places: DataFrame, occurrences: DataFrame, folder: str) -> No
     ordered = occurrences.repartitionByRange(*time_order()).sortWithinPartitions(*time_order())
     first = places.repartitionByRange("name", "place_id").sortWithinPartitions("name", "place_id")
     as_json(first, "place").unionByName(as_json(occurrence_table(ordered), "occurrence")).write.text(f"{folder}/snapshot.ndjson")
-    occurrence_table(ordered).write.csv(f"{folder}/occurrences.csv", header=True, emptyValue="")
+    occurrence_table(ordered).write.csv(f"{folder}/occurrences.csv", header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+#: Bytes of a part file that a task holds at a time.
+BLOCK = 8 << 20
+#: Distinct lines of a leaf of a digest tree, about.
+LEAF = 4_096
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, bytes, sha256) of every part file, read back."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of every part file, read back block by block: a part may be of any size."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path", "length")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                store, name = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, buffer_size=0) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(sums)], names=["path", "length", "sha256"])
+
+    sums = found.mapInArrow(digests, "path string, length long, sha256 string")
+    return sums.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
+
+
+def content_digest(lines: DataFrame, digits: int | None = None) -> DataFrame:
+    """One row (lines, bytes, sha256) of the lines (value) of a file, in whichever parts and order they lie.
+
+    sha256 is the root of a digest tree: the digests of the distinct lines with their counts, sorted, make leaves by the
+    first hex digits (as many as keep a leaf at about LEAF lines), each inner node is the digest of its 16 children's in
+    order, and of an empty file that of nothing. No node holds more than a leaf's lines or 16 digests.
+    """
+    sized = lines.select("value", (F.octet_length("value") + 1).cast("long").alias("bytes"))
+    counted = sized.groupBy(F.sha2(F.col("value").cast("binary"), 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    if digits is None:
+        digits = next(d for d in range(16) if counted.count() <= LEAF << 4 * d)
+    entry = F.concat("digest", F.lit(":"), F.col("n").cast("string"))
+    nodes = counted.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ",").cast("binary"), 256).alias("sha256"), F.sum("n").alias("lines"), F.sum("bytes").alias("bytes"))
+    for d in range(digits - 1, -1, -1):
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "sha256"))), lambda x: F.concat(x["prefix"], F.lit(":"), x["sha256"])), ",")
+        nodes = nodes.groupBy(F.substring("prefix", 1, d).alias("prefix")).agg(F.sha2(children.cast("binary"), 256).alias("sha256"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    total = nodes.agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.max("sha256").alias("sha256"))
+    return total.select(F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+
+
+def snapshot_digests(spark: SparkSession, folder: str, digits: int | None = None) -> DataFrame:
+    """(file, lines, bytes, sha256) of the files of a written snapshot, read back; the CSV's header of each part isn't counted."""
+    snapshot = spark.read.text(f"{folder}/snapshot.ndjson")
+    table = spark.read.text(f"{folder}/occurrences.csv").where(~F.col("value").startswith("place_id,"))
+    parts = [content_digest(lines, digits).withColumn("file", F.lit(name)) for name, lines in (("snapshot.ndjson", snapshot), ("occurrences.csv", table))]
+    return parts[0].unionByName(parts[1]).select("file", "lines", "bytes", "sha256")
 
 
 def version_to_export(versions: DataFrame, version: str | None = None) -> DataFrame:

@@ -472,10 +472,7 @@ _OCC = f"FROM previous o JOIN places p USING (place_id) WHERE p.status = 'active
 
 @query("s02_snapshot_ndjson", ("previous", "places", "sources", "aliases"), f"SELECT kind, count(*) AS lines FROM (SELECT 'occurrence' AS kind {_OCC} UNION ALL SELECT 'place' FROM places WHERE status = 'active') GROUP BY kind")
 def s02(previous, places, sources, aliases):
-    spark = places.sparkSession
-    folder = shared_folder(spark, "snapshot")
-    export.write_snapshot(export.export_places(places, aliases, sources), export.export_occurrences(previous, places, sources), folder)
-    lines = spark.read.text(f"{folder}/snapshot.ndjson")
+    lines = places.sparkSession.read.text(f"{written_snapshot(previous, places, sources, aliases)}/snapshot.ndjson")
     return lines.groupBy(F.get_json_object("value", "$.record_type").alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -488,6 +485,43 @@ def s03(previous, places, sources):
     return export.occurrence_table(export.export_occurrences(previous, places, sources))
 
 
+def _json_sql(c: str) -> str:
+    return f"coalesce('\"' || {c} || '\"', 'null')"
+
+
+# keys in their order; nulls stay
+_LINE = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in {
+    "confidence": _json_sql("confidence"), "date": _json_sql("slot_date::VARCHAR"), "main_time": _json_sql(_clock_sql("main_min")), "place_id": "place_id", "place_name": _json_sql("p.name"),
+    "record_type": _json_sql("'occurrence'"), "session_label": _json_sql("label"), "session_no": "session_no", "slot": _json_sql("slot"), "source_id": "o.source_id", "start_time": _json_sql(_clock_sql("start_min")), "timezone": _json_sql("timezone"),
+}.items())
+
+
+def written_snapshot(previous, places, sources, aliases):
+    folder = shared_folder(places.sparkSession, "snapshot")
+    export.write_snapshot(export.export_places(places, aliases, sources), export.export_occurrences(previous, places, sources), folder)
+    return folder
+
+
+@query("s02_occurrence_lines", ("previous", "places", "sources", "aliases"), f"SELECT '{{' || {_LINE} || '}}' AS line {_OCC}")
+def s02_lines(previous, places, sources, aliases):
+    lines = places.sparkSession.read.text(f"{written_snapshot(previous, places, sources, aliases)}/snapshot.ndjson")
+    return lines.where(F.get_json_object("value", "$.record_type") == "occurrence").select(F.col("value").alias("line"))
+
+
+_CSV = " || ',' || ".join(f"coalesce({c}::VARCHAR, '')" for c in ("place_id", "p.name", "slot_date", "slot", "session_no", "label", _clock_sql("start_min"), _clock_sql("main_min"), "timezone", "o.source_id", "confidence"))
+_NODE = "SELECT left(prefix, {d}) AS prefix, sha256(string_agg(prefix || ':' || sha, ',' ORDER BY prefix)) AS sha, sum(lines)::BIGINT AS lines, sum(bytes)::BIGINT AS bytes FROM {of} GROUP BY 1"
+
+
+@query("s05_snapshot_digests", ("previous", "places", "sources", "aliases"), f"""
+WITH l AS (SELECT {_CSV} AS line {_OCC}), c AS (SELECT sha256(line) AS digest, count(*) AS n, sum(strlen(line) + 1) AS bytes FROM l
+ GROUP BY 1), t2 AS (SELECT left(digest, 2) AS prefix, sha256(string_agg(digest || ':' || n, ',' ORDER BY digest || ':' || n)) AS sha,
+ sum(n) AS lines, sum(bytes) AS bytes FROM c GROUP BY 1), t1 AS ({_NODE.format(d=1, of="t2")}), t0 AS ({_NODE.format(d=0, of="t1")})
+SELECT 'occurrences.csv' AS file, lines, bytes, sha AS sha256 FROM t0""")
+def s05_digests(previous, places, sources, aliases):
+    folder = written_snapshot(previous, places, sources, aliases)
+    return export.snapshot_digests(places.sparkSession, folder, digits=2).where("file = 'occurrences.csv'")
+
+
 @query("s04_changes_ndjson", ("change_events", "versions"), """SELECT '{"event_id":' || event_id || ',"kind":"' || kind || '","version":"' || version || '"}' AS value
  FROM change_events JOIN versions USING (version_id) WHERE version_id = 4""")
 def s04(change_events, versions):

@@ -346,6 +346,20 @@ def j05(fetches):
     return crawl.cached(fetches, "source_id", F.lit("2024-01-20 00:00:00").cast("timestamp"), 7 * 24).select("source_id", "event_id")
 
 
+# lookups at times of their own: on an entry's, between entries, past the time to live, of keys without entries
+define("lookups", ("fetches",), """
+SELECT event_id AS lookup_id, CASE WHEN event_id % 11 = 0 THEN -1 ELSE (source_id * 7 + event_id) % 170 END AS source_id,
+ CASE WHEN event_id % 5 = 0 THEN CAST(ts AS TIMESTAMP) ELSE CAST(ts AS TIMESTAMP) + INTERVAL 37 HOUR END AS at FROM @fetches""")
+
+
+@query("j05_lookups_as_of", ("lookups", "fetches"), """
+SELECT lookup_id, arg_max(f.event_id, (f.ts, -f.event_id)) AS event_id FROM lookups l LEFT JOIN fetches f ON f.source_id = l.source_id
+ AND f.ts <= l.at AND f.ts >= l.at - INTERVAL 12 HOUR GROUP BY lookup_id""")
+def j05_as_of(lookups, fetches):
+    entries = fetches.withColumn("ts", F.col("ts").cast("timestamp"))
+    return crawl.cached_at(lookups.withColumn("at", F.col("at").cast("timestamp")), entries, "source_id", 12).select("lookup_id", "event_id")
+
+
 @query("a11_artifacts", "pages", "SELECT source_id, count(*) AS artifacts, max(page_id) AS latest FROM (SELECT page_id % 40 AS source_id, page_id, sha256(html) AS h FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 40, sha256(html) ORDER BY page_id) = 1) GROUP BY source_id")
 def a11(pages):
     first = crawl.artifacts(pages.select((F.col("page_id") % 40).alias("source_id"), "page_id", F.col("html").alias("body")))
