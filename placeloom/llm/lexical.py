@@ -211,7 +211,6 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_items: int
     The distinct texts of the items are dealt into blocks by hash, of about block_items texts; the documents are read
     for each block, as a search in blocks does.
     """
-    spark = docs.sparkSession
     split = lambda c: F.filter(F.split(ascii_lower(F.coalesce(c, F.lit(""))), BETWEEN), lambda w: w != "")
     asked = items.select("item_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("query"), "text")
     queries = written(asked.groupBy("query").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count(F.lit(1)).alias("n")), "queries")
@@ -245,7 +244,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_items: int
         hits = written(hits.select(query.alias("query"), "doc_id", "score"), "hits")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return spark.createDataFrame([], items.select("item_id").schema.add("rank", "int").add("doc_id", "long").add("score", "long"))
+        return items.where("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     answers = ranked.groupBy("query").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("answers"))

@@ -32,10 +32,9 @@ from placeloom.llm.tokenizing import small_batches
 ROWS, WORDS = 2_500, 1_500_000
 #: Of those documents, one in so many fits the curve.
 CALIBRATION = 4
-#: Discounts (of a word, of a pair) that are tried; those with the least log loss on the calibration's texts are used, the first of equals.
-DISCOUNTS = ((10, 40), (3, 40), (10, 10), (3, 10), (3, 3))
-#: Counts of an expression matter as far as they exceed so many times what the shared counts lead to expect.
-EXPECTED = 3.0
+#: Discounts (of a word, of a pair) and how many times what is expected of an expression is set aside, that are tried: those with
+#: the least log loss on the calibration's texts are used, the first of equals. The last two are for corpora of mostly toxic texts.
+DISCOUNTS = ((10, 40, 3.0), (3, 40, 3.0), (10, 10, 3.0), (3, 10, 3.0), (3, 3, 3.0), (10, 40, 1.5), (3, 10, 1.5))
 #: Score from which a text counts as toxic.
 CUT = 0.7
 #: Pairs that a task gathers before it thins them out, and documents whose pairs make one group, about.
@@ -184,21 +183,22 @@ def counted_in(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.n
 class ClassModel:
     """P(word | word before, class) by absolute discounting of counts of contexts, down to the shared base.
 
-    A word's discount is `word_discount` or EXPECTED times what the base leads to expect of it, whichever is
-    more, and a pair's is `pair_discount` or EXPECTED times what the other class has of it (`shared`). So rare expressions,
-    and those that aren't much more frequent in the class than elsewhere, take their probability from the shared counts alone.
+    A word's discount is `word_discount` or `expected` times what the base leads to expect of it, whichever is more,
+    and a pair's is `pair_discount` or `expected` times what the other class has of it. So rare expressions, and those that aren't much more frequent in the class than elsewhere, take their probability
+    from the shared counts alone.
     """
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, shared: np.ndarray, size: int, base: np.ndarray, word_discount: float, pair_discount: float):
+    def __init__(self, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], size: int, base: np.ndarray, word_discount: float, pair_discount: float, expected: float):
+        (pairs, counts), shared = one, counted_in(one, other)
         first, second = pairs // size, pairs % size
         kinds = np.bincount(second, minlength=size).astype(float)
         total = max(1.0, kinds.sum())
-        aside = np.minimum(kinds, np.maximum(word_discount, EXPECTED * total * base))
+        aside = np.minimum(kinds, np.maximum(word_discount, expected * total * base))
         self.common = aside.sum() / total if len(pairs) else 1.0
         self.own = kinds > aside
         self.single = (kinds - aside) / total + self.common * base
         seen = np.bincount(first, counts, size)
-        aside = np.minimum(counts, np.maximum(pair_discount, EXPECTED * shared))
+        aside = np.minimum(counts, np.maximum(pair_discount, expected * shared))
         self.left = np.where(seen > 0, np.bincount(first, aside, size) / np.maximum(seen, 1), 1.0)
         kept = counts > aside
         self.keys, self.pair = pairs[kept], ((counts - aside) / np.maximum(seen[first], 1))[kept]
@@ -265,8 +265,7 @@ class ToxicityModel:
         for part in own:
             words, follows, _ = self._joined(part[: 1 + int(np.searchsorted(np.cumsum([len(t) for t in part]), least))])
             counts.append(distinct_contexts(vocabulary.pairs(vocabulary.numbers(words), follows), follows, vocabulary.size))
-        facts = [(*one, counted_in(one, other), vocabulary.size, base) for one, other in (counts, counts[::-1])]
-        candidates = [LogRatios([ClassModel(*f, *d) for f in facts], vocabulary) for d in DISCOUNTS]
+        candidates = [LogRatios([ClassModel(one, other, vocabulary.size, base, *d) for one, other in (counts, counts[::-1])], vocabulary) for d in DISCOUNTS]
         self.ratios, self.center, self.scale, self.curve = candidates[0], 0.0, 1.0, (1.0, 0.0)
         if not toxic.any() or toxic.all():
             # only one class to learn from, or none: all scores say so
