@@ -266,6 +266,10 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*rest, *[F.col(f"made.{k}").alias(k) for k in columns])
 
 
+#: Where the pieces of a run's search end, in lines after its first one.
+PIECES = (64, 1_024, 16_384, 1 << 30)
+
+
 def line_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
     """(doc_id, license, dice) of each row of docs (doc_id, text in lower case) in which a run of two or more lines matches.
 
@@ -284,13 +288,19 @@ def line_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataF
     rows = rows.join(table, F.size(F.array_intersect("common", "template")) >= F.size("template") * (least / (2 - least)) - 1e-9)
     lines = F.filter(F.transform(F.split("text", "\n"), words), lambda x: x[0] != "")
     rows = _once(rows, lines=lines).where(F.size("lines") > 1)
-    none = F.array().cast("array<string>")
+    none, hashed = F.array().cast("array<bigint>"), lambda g: F.xxhash64(g)
 
     def line(x: Column, k: Column) -> Column:
-        link = F.concat(F.element_at(F.get("lines", k - 1), -1), F.lit(" "), x[0])
-        return F.struct(bigrams(x).alias("grams"), F.when(k > 0, F.array(link)).otherwise(none).alias("link"))
+        link = F.xxhash64(F.concat(F.element_at(F.get("lines", k - 1), -1), F.lit(" "), x[0]))
+        return F.struct(F.transform(bigrams(x), hashed).alias("grams"), F.when(k > 0, F.array(link)).otherwise(none).alias("link"))
 
-    rows = _once(rows, lines=F.transform("lines", line))
+    # from here on a bigram is its 64-bit hash, for sets of numbers are united several times faster
+    rows = _once(rows, lines=F.transform("lines", line), template=F.transform("template", hashed))
+    # where the same line, with the same link to the line before it, stands last above each line
+    rows = _once(rows, marks=F.transform("lines", lambda x: F.xxhash64(x["link"], x["grams"])))
+    above = lambda x, k: F.array_position(F.reverse(F.slice("marks", F.lit(1), k)), x)
+    rows = _once(rows, before=F.transform("marks", lambda x, k: _let(above(x, k), lambda n: F.when(n > 0, k - n).otherwise(F.lit(-1)))))
+    rows = _once(rows, lines=F.zip_with("lines", "before", lambda x, b: F.struct(x["grams"].alias("grams"), x["link"].alias("link"), b.alias("before"))))
 
     def starts(k: Column) -> Column:
         here, after = F.get("lines", k), F.get("lines", k + 1)
@@ -306,8 +316,17 @@ def line_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataF
         grown = lambda g: state(g, F.greatest(run["best"], F.when(F.size(g) <= F.col("most"), _dice(g, F.col("template"))).otherwise(0.0)))
         return F.when(run["grams"].isNotNull(), _let(F.array_union(run["grams"], F.concat(x["link"], x["grams"])), grown)).otherwise(run)
 
+    def piece(k: Column, begin: int, end: int) -> Callable[[Column], Column]:
+        fresh = F.filter(F.slice("lines", k + 2 + begin, F.lit(end - begin)), lambda x: x["before"] <= k)
+        return lambda run: F.when(run["grams"].isNotNull() & (k + 1 + begin < F.size("lines")), F.aggregate(fresh, run, step)).otherwise(run)
+
     def best_from(k: Column) -> Column:
-        return F.aggregate(F.slice("lines", k + 2, F.size("lines")), state(F.get("lines", k)["grams"], F.lit(0.0)), step, lambda run: run["best"])
+        # pieces of growing length, none of which is read once the set is too large; a line that stands in the
+        # run already adds nothing, so a text that repeats itself costs no more than one turn of it
+        run = state(F.get("lines", k)["grams"], F.lit(0.0))
+        for begin, end in zip((0, *PIECES), PIECES):
+            run = _let(run, piece(k, begin, end))
+        return run["best"]
 
     rows = _once(rows, dice=F.array_max(F.transform("first", best_from))).where(F.col("dice") >= least)
     return rows.select("doc_id", "license", "dice")
