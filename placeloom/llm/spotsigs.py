@@ -25,8 +25,6 @@ ANCHORS = (
 ).split()
 #: Content words of a chain.
 CHAIN = 3
-#: Likenesses below this count as 0, so that sets of very different lengths aren't compared.
-LEAST_LIKENESS = 0.02
 #: Sets that meet under a signature in one group, at most.
 TILE = 1024
 
@@ -66,17 +64,18 @@ def length_partition(size: Column, least: float) -> Column:
     return F.floor(F.ln(size.cast("double")) / math.log(1 / least) + 1e-9).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = LEAST_LIKENESS) -> Column:
-    """Jaccard similarity of two signature sets; those that can't reach `least` aren't compared and count as 0.
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets."""
+    of = lambda shared: shared / (F.size(a) + F.size(b) - shared).cast("double")
+    # the one-element array has the intersection worked out once
+    return F.transform(F.array(F.size(F.array_intersect(a, b))), of)[0]
 
-    Sets more than a length partition apart can't, nor can those of which one has too few elements.
-    """
+
+def pruned_likeness(a: Column, b: Column, least: float) -> Column:
+    """Jaccard similarity of two signature sets where it reaches `least`, else 0; sets whose lengths rule that out aren't compared."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     apart = length_partition(large, least) - length_partition(small, least) > 1
-    shared = F.size(F.array_intersect(a, b))
-    similarity = shared / (small + large - shared).cast("double")
-    # the one-element array has the similarity worked out once
-    kept = F.transform(F.array(similarity), lambda x: F.when(x < least, 0.0).otherwise(x))[0]
+    kept = F.transform(F.array(likeness(a, b)), lambda x: F.when(x < least, 0.0).otherwise(x))[0]
     return F.when(apart | (small < large * least), 0.0).otherwise(kept)
 
 
@@ -120,7 +119,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8, tile: int = TILE) -> DataFra
     pairs = both.select(F.col("left_fingerprint").alias("left"), F.col("right_fingerprint").alias("right")).distinct()
     named = lambda side: sets.select(F.col("fingerprint").alias(side), F.col("sigs").alias(f"{side}_sigs"))
     both = pairs.join(named("left"), "left").join(named("right"), "right")
-    return both.select("left", "right", likeness(F.col("left_sigs"), F.col("right_sigs"), least).alias("similarity")).where(F.col("similarity") >= least)
+    return both.select("left", "right", pruned_likeness(F.col("left_sigs"), F.col("right_sigs"), least).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def following(ids: DataFrame, order: list[str]) -> DataFrame:

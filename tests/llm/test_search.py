@@ -116,7 +116,7 @@ def check_edited(rows, found):
         assert r.n_signatures == len(own)
         for other, likeness in ((changed, r.near_edited), (after, r.near_next)):
             want = len(own & other) / len(own | other)
-            assert likeness == pytest.approx(want if want >= spotsigs.LEAST_LIKENESS else 0.0, abs=1e-12)
+            assert likeness == pytest.approx(want, abs=1e-12)
         for sigs, name in ((own, r.fingerprint), (changed, r.edited_fingerprint)):
             assert prints.setdefault(frozenset(sigs), name) == name
     assert len(set(prints.values())) == len(prints)
