@@ -48,12 +48,15 @@ def mix(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = W
 
     Returns doc_id, source, size, source_size, target and taken. taken is at most epochs x size; the
     document at the cut gives only the words up to it, so a source's sum is its target rounded down.
-    Nulls: a null text has size 0, null sources are one source (the last), a null doc_id sorts as an
-    empty key. Repeated rows count each; ties of the key go by doc_id, then size. An empty table gives
+    Nulls: a null text has size 0, null sources are one source (the last), a null doc_id has a
+    key of its text. Repeated rows count each; ties of the key go by doc_id, then size. An empty table gives
     an empty result. The columns `carried` are returned too, and break ties last; others are ignored. A table
     without text gives the number of words as `size`.
     """
-    key = key if key is not None else F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    if key is None:
+        # rows without doc_id are told apart by their texts, so they don't meet in one slice
+        spare = F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")))) if "text" in docs.columns else F.lit("")
+        key = F.md5(F.coalesce(F.col("doc_id").cast("string"), spare))
     size = F.col("size") if "text" not in docs.columns else word_count(F.col("text"))
     base = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *carried), "sizes")
     rows = base.count()
@@ -102,7 +105,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size, md5(doc_id::VARCHAR) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
 w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 c AS (SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(weight) OVER o, 0) AS used FROM w WINDOW o AS (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
