@@ -366,8 +366,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs: doc_id, text. Returns doc_id, n_shingles and component_id, the smallest doc_id that links reach,
     the document's own included. Shingles are of `size` words; A-Z count as a-z. A document with fewer
     words has one shingle of all; null and empty texts, or without words, have none and link with nothing.
-    Repeated rows are equal documents; rows without doc_id are left out. An empty table gives an empty
-    result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
+    Repeated rows are equal documents; rows without doc_id link with nothing and have a null component_id. An empty
+    table gives an empty result. Texts are read whole, other columns ignored. Shingles are compared by 64-bit hashes.
 
     The sets of a shingle and a size class meet under the smallest name among them; for shingles of busy
     buckets it is found by an aggregate and a join, not in one window. A block or cluster above TILE sets is
@@ -413,7 +413,10 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     joined = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     joined = joined.select("name", "twin", F.col("n").alias("of"), F.coalesce("component", "first").alias("component"))
     same = (facts.name == joined.name) & (facts.twin == joined.twin) & (facts.n == joined.of)
-    return facts.join(joined, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = facts.join(joined, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    loose = docs.select("doc_id", "text").where("doc_id is null").mapInArrow(_facts(size, percent), "doc_id long, n long, name long, twin long, marks binary, bucket int, count long")
+    none = F.lit(None).cast("long")
+    return out.unionByName(loose.where("bucket is null").select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
