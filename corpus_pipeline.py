@@ -13,7 +13,6 @@ score is about 1/2, so no document is rejected. Empty tables give an empty resul
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placeloom.llm import common, jaccard_join, mixing, packing, quality
@@ -36,6 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
+    import public_tokenizers  # no other stage needs it
+
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
