@@ -27,7 +27,9 @@ BANDS = ((25, 0.75, 0.25), (50, 0.45, 0.20), (100, 0.35, 0.20), (150, 0.25, 0.15
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """df with the keys that blocking and scoring compare."""
+    """df with the keys that blocking and scoring compare; as it is if it has them."""
+    if {"post", "compact", "town", "plain", "domain"} <= set(df.columns):
+        return df
     return df.withColumns({"post": normalise_postcode(F.col("postcode")), "compact": compact_postcode(F.col("postcode")), "town": normalise_city(F.col("city")), "plain": normalise_name(F.col("name")), "domain": domain_of(F.col("website"))})
 
 
@@ -117,16 +119,19 @@ def geo_score() -> Column:
 
 
 def with_ratios(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """pair facts with `ratio` of the names and `alias_ratio`, the best of the place's aliases.
+    """pair facts with `ratio` of the names and `alias_ratio`, the best of the place's aliases, where they matter.
 
-    Only distinct pairs of names go through the vectorised ratio.
+    Only distinct pairs of names go through the vectorised ratio, and of these only those whose lengths and letters
+    allow a ratio that rounds to LIKELY: a lower one changes no score, no reason and no decision, and is null.
     """
     other = aliases.select("place_id", normalise_name(F.col("alias")).alias("alias"))
     wanted = pairs.select(F.col("r.plain").alias("a"), F.col("p.plain").alias("b"))
     named = pairs.select("record_id", "place_id", F.col("r.plain").alias("a")).join(other, "place_id")
     # the ratio is the dear part: its small rows shouldn't be gathered in a few tasks
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = wanted.union(named.select("a", F.col("alias").alias("b"))).distinct().repartition(parts)
+    least, sizes = LIKELY - 0.5, [F.char_length(c) for c in ("a", "b")]
+    fits = (200 * F.least(*sizes) >= least * (sizes[0] + sizes[1])) & may_reach(name_mark(F.col("a")), name_mark(F.col("b")), least)
+    wanted = wanted.union(named.select("a", F.col("alias").alias("b"))).distinct().where(fits).repartition(parts)
     ratios = wanted.select("a", "b", token_sort_ratio(F.col("a"), F.col("b")).alias("found"))
     best = named.join(ratios.withColumnRenamed("b", "alias"), ["a", "alias"]).groupBy("record_id", "place_id").agg(F.max("found").alias("alias_ratio"))
     direct = pairs.withColumns({"a": F.col("r.plain"), "b": F.col("p.plain")}).join(ratios, ["a", "b"], "left").drop("a", "b").withColumnRenamed("found", "ratio")
@@ -161,6 +166,12 @@ def score(facts: DataFrame) -> DataFrame:
     return kept.where(F.col("score") >= LEAST_SCORE)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def decide(records: DataFrame, scored: DataFrame) -> DataFrame:
     """One decision a record: auto_link, review or create, with the place, score and three alternatives.
 
@@ -191,7 +202,8 @@ def decide(records: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Decisions for a batch of records against the places there are."""
+    """Decisions for a batch of records against the places there are. The keys of both are worked out and written once."""
+    records, places = (_written(keyed(df), name) for df, name in ((records, "records"), (places, "places")))
     facts = pair_facts(promising(records, places, aliases), records, places).where(plausible())
     return decide(records, score(with_ratios(facts, aliases)))
 
