@@ -265,6 +265,51 @@ def e03(records, places):
     return resolve.decide(records, exact_scores(records, places)).select("record_id", "decision", "place_id", "score")
 
 
+# ratios of all sizes, in quarters, so that thresholds and roundings of halves occur; some places have no alias
+_RATIO, _ALIAS = "(60 + (record_id * 7 + place_id * 13) % 160 / 4.0::DOUBLE)", "CASE WHEN place_id % 3 > 0 THEN 60 + (record_id * 11 + place_id * 5) % 160 / 4.0::DOUBLE END"
+RATED = rf"""rat AS (SELECT *, greatest(ratio, alias_ratio) AS best, regexp_matches(r_name, '{_PAR}') OR regexp_matches(p_name, '{_PAR}') AS parent
+ FROM (SELECT *, {_RATIO} AS ratio, coalesce({_ALIAS}, 0) AS alias_ratio, {GEO} AS near FROM pairs WHERE {PLAUSIBLE})),
+sco AS (SELECT * FROM (SELECT record_id, place_id, round_even(best, 0) AS shown, round(least(
+ CASE WHEN r_post = p_post THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN ratio >= 92 THEN 0.30::DOUBLE WHEN ratio >= 85 THEN 0.15::DOUBLE ELSE 0 END
+ + CASE WHEN alias_ratio >= 92 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN r_domain = p_domain THEN 0.25::DOUBLE ELSE 0 END
+ + CASE WHEN r_town = p_town THEN 0.10::DOUBLE ELSE 0 END + near - CASE WHEN best < 85 AND parent THEN 0.20::DOUBLE ELSE 0 END, 1.0::DOUBLE), 6) AS score,
+ coalesce(r_post = p_post, false)::INT + (round_even(ratio, 0) >= 92)::INT + (round_even(alias_ratio, 0) >= 92)::INT
+ + coalesce(r_domain = p_domain, false)::INT + coalesce(near > 0, false)::INT AS strong,
+ round_even(ratio, 0) >= 92 OR round_even(alias_ratio, 0) >= 92 OR coalesce(r_domain = p_domain, false) OR coalesce(near > 0 AND metres <= 25, false) AS identity,
+ array_to_string(list_filter([CASE WHEN r_post = p_post THEN 'postcode_match' END, CASE WHEN ratio >= 85 THEN 'name_ratio_' || round_even(ratio, 0)::INT END,
+ CASE WHEN alias_ratio >= 92 THEN 'alias_ratio_' || round_even(alias_ratio, 0)::INT END, CASE WHEN r_domain = p_domain THEN 'domain_match' END,
+ CASE WHEN r_town = p_town THEN 'city_match' END, CASE WHEN near > 0 THEN 'distance_' || floor(metres)::INT END,
+ CASE WHEN parent AND best < 85 THEN 'parent_org_name' END], lambda x: x IS NOT NULL), ',') AS reasons FROM rat) WHERE score >= 0.25)"""
+
+
+def rated(records, places):
+    facts = resolve.pair_facts(resolve.block(records, places), records, places).where(resolve.plausible())
+    quarters = lambda a, b: 60 + (F.col("record_id") * a + F.col("place_id") * b) % 160 / 4.0
+    return resolve.score(facts.withColumns({"ratio": quarters(7, 13), "alias_ratio": F.when(F.col("place_id") % 3 > 0, quarters(11, 5))}))
+
+
+@query("e01_scores_of_ratios", ("records", "places"), f"WITH {KEYED}, {PAIRS}, {RATED} SELECT record_id, place_id, score, strong, identity, reasons FROM sco")
+def e01_ratios(records, places):
+    return rated(records, places).select("record_id", "place_id", "score", "strong", "identity", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("e03_decisions_of_ratios", ("records", "places"), f"""
+WITH {KEYED}, {PAIRS}, {RATED},
+rk AS (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS top_score, first_value(shown >= 85) OVER w AS top_named
+ FROM sco WINDOW w AS (PARTITION BY record_id ORDER BY score DESC, place_id)),
+fn AS (SELECT *, min(CASE WHEN shown >= 85 THEN rank END) OVER (PARTITION BY record_id) AS first_named FROM rk),
+gp AS (SELECT *, max(CASE WHEN rank = first_named THEN top_score - score END) OVER (PARTITION BY record_id) AS gap FROM fn),
+ch AS (SELECT *, CASE WHEN NOT top_named AND gap <= 0.25 + 1e-9 THEN first_named ELSE 1 END AS chosen FROM gp),
+ag AS (SELECT record_id, max(CASE WHEN rank = chosen THEN place_id END) AS place_id, max(CASE WHEN rank = chosen THEN score END) AS score,
+ max(CASE WHEN rank = chosen THEN strong END) AS strong, bool_or(rank = chosen AND identity) AS identity,
+ max(CASE WHEN rank <> chosen THEN score END) AS second FROM ch GROUP BY record_id)
+SELECT r.record_id, CASE WHEN ag.record_id IS NULL THEN 'create' WHEN coalesce(second, 0) >= 0.5 AND score - second < 0.1 - 1e-9 THEN 'review'
+ WHEN score >= 0.75 AND strong >= 2 AND identity THEN 'auto_link' ELSE 'review' END AS decision, place_id, score
+FROM records r LEFT JOIN ag USING (record_id)""")
+def e03_ratios(records, places):
+    return resolve.decide(records, rated(records, places)).select("record_id", "decision", "place_id", "score")
+
+
 @query("e04_resolve_batch", ("records", "places", "aliases", "sources"))
 def e04(records, places, aliases, sources):
     return resolve.resolve_batch(records, places, aliases, sources)
