@@ -332,3 +332,21 @@ def test_license_scan_equals_sql(spark):
     assert found == sorted(con.sql(licenses.SQL).fetchall(), key=order)
     assert {(0, "MIT-notice"), (1, "MIT-notice"), (5, "MIT-notice"), (8, "MIT"), (11, "MIT-notice"), (None, "MIT-notice")} <= {f[:2] for f in found}
     assert next(f for f in found if f[0] == 3)[3] == 3
+
+
+def test_license_runs_of_repeating_lines(spark):
+    rng = np.random.default_rng(9)
+    words = licenses.TEMPLATES["ISC"].split()
+    lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    texts = ["\n".join(lines * 3), "\n\n".join(lines[1:] + lines[:4] + lines[2:])]
+    for _ in range(4):
+        mine = list(lines)
+        for at in rng.integers(0, len(mine), 5):
+            mine.insert(int(at), str(rng.choice([*lines, "some other words here", ""])))
+        texts.append("\n".join(mine))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    wanted = con.execute(licenses.SQL).fetchall()
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, round(r.dice, 6), r.hits) for r in found) == sorted((a, b, round(c, 6), d) for a, b, c, d in wanted) and len({r.doc_id for r in found}) == len(texts)

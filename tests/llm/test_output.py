@@ -332,3 +332,17 @@ def test_pipeline_stages_keep_rows_by_their_text(spark):
     mixed = mixing.mixed_documents(single, share=2.0)
     assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=order) == sorted(wanted * 2, key=order)
     assert mixed.columns == rows.columns
+
+
+def test_mix_tells_rows_without_id_apart_by_text(spark):
+    import duckdb
+
+    rows = [*((None, " ".join(["w"] * (1 + k % 5)) + f" t{k}", "a") for k in range(40)), *((k, f"x y {k}", "ab"[k % 2]) for k in range(20)), (None, None, "b")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    wanted = con.execute(mixing.SQL)
+    names = [c[0] for c in wanted.description]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).drop("source").collect()
+    assert sorted((tuple(r[n] for n in names) for r in found), key=repr) == sorted(wanted.fetchall(), key=repr)
+    assert {r.taken for r in found if r.doc_id is None} != {0}
