@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from placeloom.functions.geo import lat_cell, lon_cell, metres_between, near_cells
 from placeloom.operators.reads import public_times
-from placeloom.operators.skew import tiled_join
+from placeloom.operators.skew import shuffled, tiled_join
 from placeloom.sources.files import shared_folder
 
 #: Sizes of cells in metres: from a street block by fours to the whole globe.
@@ -48,7 +48,7 @@ def nearest_each(origins: DataFrame, places: DataFrame, origin: str, place: str,
     sizes = F.explode(F.sequence(F.lit(0), F.lit(len(SIZES) - 1))).alias("size")
     looking = origins.where("lat is not null and lon is not null").select(origin, "lat", "lon")
     around = looking.select("*", sizes).select(origin, "lat", "lon", "size", F.inline(_around(F.col("size"), F.col("lat"), F.col("lon"))))
-    held = around.join(counts, ["size", "row", "column"]).groupBy(origin, "lat", "lon", "size").agg(F.sum("n").alias("n"))
+    held = around.join(shuffled(counts), ["size", "row", "column"]).groupBy(origin, "lat", "lon", "size").agg(F.sum("n").alias("n"))
     todo = _kept(held.where(F.col("n") >= least).groupBy(origin, "lat", "lon").agg(F.min("size").alias("size")), "todo")
     done, order = None, Window.partitionBy(origin).orderBy("metres", place)
     for _ in SIZES:
@@ -77,4 +77,4 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 def times_near_each(near: DataFrame, occurrences: DataFrame, sources: DataFrame, day: str) -> DataFrame:
     """Public times of a day at the nearest places of every origin: `near` of nearest_each joined by place."""
-    return public_times(occurrences, sources, day, day).join(near, "place_id")
+    return public_times(occurrences, sources, day, day).join(shuffled(near), "place_id")
