@@ -114,3 +114,28 @@ def test_content_digest(spark):
     assert tuple(export.content_digest(make([])).first()) == (0, 0, sha(""))
     deep = export.content_digest(make(map(str, range(500))), digits=2).first()
     assert deep.lines == 500 and deep.sha256 != export.content_digest(make(map(str, range(500)))).first().sha256
+
+
+def _sent_to_all(df):
+    """Tables that the plan sends through the driver."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_no_table_of_places_passes_the_driver(spark):
+    """Spark takes these tables for small ones; all that is broadcast are the heavy keys of the two keyed joins, once a side."""
+    schema = "record_id long, lat double, lon double, postcode string, city string, country string, name string, website string, precision string, confidence string, class string"
+    records = spark.createDataFrame([(i, 51.0, i / 1e4, f"A{i} 1AB", f"City {i}", "GB", f"n {i}", "", "precise", "high", "mosque") for i in range(4)], schema)
+    places = records.drop("precision", "confidence", "class").withColumnRenamed("record_id", "place_id")
+    assert _sent_to_all(resolve.within(records, places, "record_id", "place_id", 500.0)) == 0
+    assert _sent_to_all(resolve.near_facts(records, places)) == 0
+    assert _sent_to_all(resolve.block(records, places)) == _sent_to_all(resolve.block_facts(records, places)) == 4
+
+
+def test_pairs_of_several_joins_come_once(spark):
+    """Every pair here shares the postcode, the city and the neighbourhood, or two of them, or one."""
+    rows = [(i, 51.0 + i % 2, -1.0, ("A1 1AB", "B2 2AB", None)[i % 3], ("X", "Y", None)[i // 3 % 3], "GB") for i in range(18)]
+    records = spark.createDataFrame(rows, "record_id long, lat double, lon double, postcode string, city string, country string").selectExpr("*", "'n' AS name", "'' AS website")
+    places = records.withColumnRenamed("record_id", "place_id")
+    found = [tuple(r) for r in resolve.block(records, places).collect()]
+    wanted = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] or any(a[k] is not None and a[k] == b[k] for k in (3, 4))}
+    assert len(found) == len(set(found)) and set(found) == wanted
