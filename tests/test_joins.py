@@ -139,3 +139,19 @@ def test_pairs_of_several_joins_come_once(spark):
     found = [tuple(r) for r in resolve.block(records, places).collect()]
     wanted = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] or any(a[k] is not None and a[k] == b[k] for k in (3, 4))}
     assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_leads_of_titles_with_character_references_agree_with_sql(spark, tmp_path):
+    """Titles with &amp;, and without a word or of a few letters, in every kind of lead (page_id % 9)."""
+    import duckdb
+
+    from placeloom import plans
+
+    titles = ["For&amp;&amp;&amp; th strend", "a = &quot;2abc&quot; and more", "Reer.", "***", "Éçé Éçé Éçé", "plain old title"]
+    rows = [(i, f"https://site{i}.example.org/p", f"<html><head><title>{titles[i // 9]}</title></head><body><p>text {i}</p></body></html>") for i in range(9 * len(titles))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {tuple(r) for r in plans.QUERIES["d11_verify_leads"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert found == set(con.execute(plans.ORACLES["d11_verify_leads"]).fetchall())
+    assert (2, "verified", rows[2][1]) in found and (29, "no_match", None) in found
