@@ -23,14 +23,14 @@ def lat_cell(lat: Column, metres: float) -> Column:
 
 
 def columns_of(row: Column, metres: float) -> Column:
-    """How many cells go round the globe in a row of latitude cells: fewer towards the poles, one beyond 89 degrees.
+    """How many cells go round the globe in a row of latitude cells: fewer towards the poles, one where a pole is within `metres`.
 
-    All cells of a row have one width, which is `metres` at least at the row's edge farther from the equator.
+    All cells of a row have one width: no point within `metres` of a point of the row, in whatever row, differs more in longitude.
     """
     height = metres / DEGREE
     edge = F.greatest(F.abs(row * height), F.abs((row + 1) * height))
-    width = metres / DEGREE / F.cos(F.radians(F.least(edge, F.lit(89.0))))
-    return F.when(edge >= 89, 1).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+    width = F.degrees(F.asin(F.lit(math.sin(math.radians(height))) / F.cos(F.radians(edge))))
+    return F.when(edge + height >= 90, 1).otherwise(F.greatest(F.floor(360 / width * (1 - 1e-9)), F.lit(1))).cast("long")
 
 
 def lon_cell(lon: Column, row: Column, metres: float) -> Column:

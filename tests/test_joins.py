@@ -155,3 +155,14 @@ def test_leads_of_titles_with_character_references_agree_with_sql(spark, tmp_pat
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert found == set(con.execute(plans.ORACLES["d11_verify_leads"]).fetchall())
     assert (2, "verified", rows[2][1]) in found and (29, "no_match", None) in found
+
+
+def test_points_by_a_pole_have_cells_of_their_own(spark):
+    """Rows of cells are split close to the poles too, and no near point of another row is lost."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice((1, -1)) * (89.9 + rng.random() / 10), rng.uniform(-180, 180)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, lat double, lon double")
+    found = {(r.a, r.b) for r in resolve.within(df, df.withColumnRenamed("a", "b"), "a", "b", 900.0).collect()}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if metres(a[1:], b[1:]) <= 900}
+    n = spark.range(1).select(geo.columns_of(geo.lat_cell(F.lit(89.95), 200.0), 200.0).alias("n")).first().n
+    assert n > 100
