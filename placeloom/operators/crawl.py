@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.functions.text import domain_class, domain_of, source_hint
+from placeloom.operators.skew import shuffled, tiled_join
+from placeloom.sources.files import shared_folder
 
 RECENT_DAYS, FAILED_AT, RETRYABLE, ATTEMPTS = 30, 3, ("transient_network", "agent_error", "timeout", "validation_failed"), 3
 BACKOFF_HOURS = (2, 4, 8, 24)
@@ -26,22 +28,40 @@ def registration(places: DataFrame, sources: DataFrame, as_of: str) -> DataFrame
     return active.join(crawled, "place_id", "left").join(partner, "place_id", "left").select("place_id", outcome.alias("outcome"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read back, so that what is used twice isn't worked out again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def match_scripts(scripts: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, source_id, how, matches) of scripts: by the hint in their key, else by domain suffix and a part of the name.
 
     scripts: key, domain, name_part. sources: source_id, hint, host, place_name. The suffix join explodes a
-    host into its suffixes (as many as it has dots), so it is an equi-join.
+    host into its suffixes (as many as it has dots), so it is an equi-join. Names are compared once for each distinct
+    part and name of a domain, and matches are counted from these, so the result's rows are only written. A domain
+    that many scripts or sources have is split into tiles.
     """
-    hinted = scripts.withColumn("hint", source_hint(F.col("key"))).join(sources.select("source_id", "hint"), "hint").select("key", "source_id", F.lit("hint").alias("how"))
-    rest = scripts.join(hinted.select("key"), "key", "left_anti")
+    by_hint = scripts.select("key", source_hint(F.col("key")).alias("hint"))
+    hinted = _kept(by_hint.join(shuffled(sources.groupBy("hint").agg(F.count(F.lit(1)).alias("n"))), "hint"), "hinted")
+    rest = _kept(scripts.join(shuffled(hinted.select("key").distinct()), "key", "left_anti").select("key", "domain", "name_part"), "rest")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = sources.where("host is not null").select("source_id", "place_name", F.explode(suffixes).alias("domain"))
-    met = rest.join(hosts, "domain").where(F.contains(F.lower("place_name"), F.lower("name_part"))).select("key", "source_id", F.lit("domain").alias("how"))
-    found = hinted.union(met)
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("matches"))
+    hosts = sources.where("host is not null").select("source_id", F.lower("place_name").alias("named"), F.explode(suffixes).alias("domain"))
+    hosts = hosts.join(shuffled(rest.select("domain").distinct()), "domain", "left_semi")
+    parts, names = rest.select("domain", "name_part").distinct(), hosts.groupBy("domain", "named").agg(F.count(F.lit(1)).alias("n"))
+    fits = _kept(tiled_join(parts, names, ["domain"], F.col("name_part"), F.col("named")).where(F.contains("named", F.lower("name_part"))), "fits")
+    of_part = rest.join(shuffled(fits.groupBy("domain", "name_part").agg(F.sum("n").alias("n"))), ["domain", "name_part"])
+    matches = _kept(hinted.select("key", "n").union(of_part.select("key", "n")).groupBy("key").agg(F.sum("n").alias("matches")), "matches")
+    counted = lambda df, *by: df.join(shuffled(matches), "key").select("key", "matches", *by)
+    met = _kept(fits.select("domain", "name_part", "named").join(shuffled(hosts), ["domain", "named"]).select("domain", "name_part", "source_id"), "met")
+    columns = lambda df, how: df.select("key", "source_id", F.lit(how).alias("how"), "matches")
+    hits = columns(tiled_join(counted(by_hint, "hint"), sources.select("hint", "source_id"), ["hint"], F.col("key"), F.col("source_id")), "hint")
+    hits = hits.union(columns(tiled_join(counted(rest, "domain", "name_part"), met, ["domain", "name_part"], F.col("key"), F.col("source_id")), "domain"))
     # a script that matches nothing stays, without a source
-    return scripts.select("key").distinct().join(found, "key", "left").join(counts, "key", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    none = scripts.select("key").distinct().join(shuffled(matches), "key", "left_anti")
+    return hits.union(none.select("key", F.lit(None).cast(sources.schema["source_id"].dataType), F.lit(None).cast("string"), F.lit(0).cast("long")))
 
 
 def missing_scripts(assignments: DataFrame, scripts: DataFrame) -> DataFrame:

@@ -166,3 +166,17 @@ def test_points_by_a_pole_have_cells_of_their_own(spark):
     assert found == {(a[0], b[0]) for a in rows for b in rows if metres(a[1:], b[1:]) <= 900}
     n = spark.range(1).select(geo.columns_of(geo.lat_cell(F.lit(89.95), 200.0), 200.0).alias("n")).first().n
     assert n > 100
+
+
+def test_scripts_of_a_busy_domain_match_as_brute_force(spark):
+    """One domain has most scripts and sources; matches are counted before the rows are made, and only heavy keys are broadcast."""
+    keys = [(f"site_{i:08x}" if i % 7 == 0 else f"site_plain_{i}", "a.org" if i % 5 else "b.a.org", ("hall", "Old", None)[i % 3]) for i in range(60)]
+    hosts = [(i, f"{i:08x}", ("www.b.a.org", "a.org", None, "xa.org")[i % 4], ("Hall 1", "old hall", "Other", None)[i // 4 % 4]) for i in range(64)]
+    df = crawl.match_scripts(spark.createDataFrame(keys, "key string, domain string, name_part string"), spark.createDataFrame(hosts, "source_id long, hint string, host string, place_name string"))
+    wanted = []
+    for key, domain, part in keys:
+        by = [(key, h[0], "hint") for h in hosts if key[-8:] == h[1] and key[-9] == "_"]
+        by = by or [(key, h[0], "domain") for h in hosts if h[2] and h[3] and part and (h[2] == domain or h[2].endswith("." + domain)) and part.lower() in h[3].lower()]
+        wanted += [(*m, len(by)) for m in by] or [(key, None, None, 0)]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, wanted))
+    assert _sent_to_all(df) == 4
