@@ -275,7 +275,10 @@ SELECT source_id, CASE cls WHEN 'aggregator' THEN 'failed'
 FROM (SELECT *, {class_sql('h')} AS cls FROM (SELECT source_id, url, {HOST.format(c='url')} AS h,
  nullif({HOST.format(c='homepage')}, '') AS own FROM sources))""")
 def d15(sources):
-    return sources.select("source_id", crawl.source_verdict().alias("source_verdict"), crawl.target_verdict(F.col("url"), domain_of(F.col("homepage"))).alias("target_verdict"))
+    # dealt out first: a few small files hold the rows of many sources
+    rows = sources.select("source_id", "url", "homepage").repartition("source_id")
+    rows = crawl.hosted(rows.select("source_id", "url", domain_of(F.col("homepage")).alias("own")), "url")
+    return rows.select("source_id", crawl.source_verdict().alias("source_verdict"), crawl.target_verdict(F.col("url"), F.col("own")).alias("target_verdict"))
 
 
 _LISTED = "CASE WHEN source_id % 4 = 0 THEN NULL ELSE assignment END"
