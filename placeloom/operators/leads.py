@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeloom.functions.similarity import token_set_ratio
 from placeloom.functions.text import compact_postcode, domain_of, is_denied_host, is_directory_host, normalise_name, note_value, shared_tokens
 from placeloom.operators.reads import missing_website
+from placeloom.sources.files import kept
 
 REGISTER_TOKENS, REGISTER_RATIO, SEARCH_RESULTS = 2, 60, 3
 # Metadata keys that hold a place's own homepage, and website tags of a map element.
@@ -94,17 +95,21 @@ def lead_analysis(leads: DataFrame) -> DataFrame:
     and domains without match are cut to their most frequent (ties by value).
     """
     value = lambda k: note_value(F.col("notes"), k)
-    outcome, domain = value("outcome"), domain_of(value("url"))
+    # every value once a row: columns of their own, as several sections use them
+    leads = leads.select("notes", "location", *[value(k).alias(k) for k in ("provider", "outcome", "url", "name_ratio")])
+    leads = leads.withColumns({"domain": domain_of(F.col("url")), "ratio": F.col("name_ratio").try_cast("double")})
+    outcome, domain = F.col("outcome"), F.col("domain")
     lost, failed = outcome == "no_match", outcome == "fetch_failed"
     sections = {
-        "provider": value("provider"), "outcome": outcome, "domain": domain, "location": F.col("location"),
+        "provider": F.col("provider"), "outcome": outcome, "domain": domain, "location": F.col("location"),
         "fetch_failure": F.when(failed, fetch_failure(F.col("notes"))),
-        "name_ratio": F.when(lost, ratio_bucket(value("name_ratio").try_cast("double"))),
+        "name_ratio": F.when(lost, ratio_bucket(F.col("ratio"))),
         "no_match_domain": F.when(lost, domain),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("section"), v.alias("value")) for k, v in sections.items()])
     counts = leads.select(F.inline(pairs)).where("value is not null").groupBy("section", "value")
-    counts = counts.agg(F.count(F.lit(1)).alias("n"))
+    # read four times; written, the notes are read once
+    counts = kept(counts.agg(F.count(F.lit(1)).alias("n")), "lead-counts")
     top = {"domain": TOP_DOMAINS, "location": TOP_LOCATIONS, "no_match_domain": TOP_NO_MATCH}
     cut = [counts.where(F.col("section") == k).orderBy(F.desc("n"), "value").limit(n) for k, n in top.items()]
     out = counts.where(~F.col("section").isin(*top))
