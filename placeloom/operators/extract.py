@@ -53,21 +53,24 @@ def table_rows(
     start_index = {s: column_index(header, starts[s]) if s in starts else F.lit(None).cast("int") for s in slot_columns}
     places = F.array(*[F.struct(F.lit(s).alias("slot"), index[s].alias("at"), start_index[s].alias("start_at")) for s in slot_columns])
     found = table.select("page_id", "table", column_index(header, date_column).alias("date_at"), places.alias("places"))
-    none = lambda kind: F.lit(None).cast(kind)
 
-    def warned(df: DataFrame, slot: Column, code: str) -> DataFrame:
-        fields = [none("int").alias("row"), none("date").alias("slot_date"), slot.alias("slot")]
-        return df.select("page_id", *fields, none("int").alias("main_min"), none("int").alias("start_min"), F.lit(code).alias("warning"))
-
-    dated = found.where("table is not null and date_at is not null")
-    missing = dated.select("page_id", F.inline("places")).where("at is null")
-    out = warned(found.where("table is null"), none("string"), "no_table")
-    out = out.unionByName(warned(found.where("table is not null and date_at is null"), none("string"), "no_date_column"))
-    out = out.unionByName(warned(missing, F.col("slot"), "missing_prayer_column"))
-
-    rows = dated.select("page_id", "date_at", "places", F.posexplode("table").alias("row", "cells")).where("row > 0")
-    rows = rows.select("page_id", "row", "cells", F.get("cells", F.col("date_at")).alias("day"), F.inline("places")).where("at is not null")
-    rows = rows.select("page_id", "row", "day", "slot", F.get("cells", F.col("at")).alias("cell"), F.get("cells", F.col("start_at")).alias("start"))
+    # cells and warnings of a page are one array, so that no page is parsed or grouped again for each kind of warning
+    text = F.lit(None).cast("string")
+
+    def entry(row: Column, day: Column, slot: Column, cell: Column, start: Column, warning: Column) -> Column:
+        fields = {"row": row.cast("int"), "day": day, "slot": slot, "cell": cell, "start": start, "found": warning}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    warned = lambda slot, code: entry(F.lit(None), text, slot, text, text, F.lit(code))
+    missing = F.transform(F.filter("places", lambda p: p["at"].isNull()), lambda p: warned(p["slot"], "missing_prayer_column"))
+    there = F.filter("places", lambda p: p["at"].isNotNull())
+    body = F.slice("table", F.lit(2), F.greatest(F.size("table") - 1, F.lit(0)))
+    cells = F.transform(body, lambda c, i: F.transform(there, lambda p: entry(i + 1, F.get(c, F.col("date_at")), p["slot"], F.get(c, p["at"]), F.get(c, p["start_at"]), text)))
+    entries = (
+        F.when(F.col("table").isNull(), F.array(warned(text, "no_table"))).when(F.col("date_at").isNull(), F.array(warned(text, "no_date_column")))
+        .otherwise(F.concat(missing, F.flatten(cells)))
+    )
+    rows = found.select("page_id", F.inline(entries))
     if carry_forward:
         down = Window.partitionBy("page_id", "slot").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumns({c: carried(F.coalesce(c, F.lit("")), down) for c in ("day", "cell", "start")})
@@ -75,13 +78,16 @@ def table_rows(
     if month is not None:
         date = F.coalesce(date, F.try_to_date(F.concat_ws("-", F.lit(f"{year}-{month:02d}"), F.lpad(day_of_month(F.col("day")).cast("string"), 2, "0"))))
     read = lambda c: afternoon_where_due(minutes_loose(F.col(c)), F.col("slot"))
-    rows = rows.withColumns({"slot_date": date, "time": read("cell"), "start_min": read("start")})
-    rows = rows.where(F.col("slot_date").isNotNull() & (F.coalesce(F.trim("cell"), F.lit("")) != ""))
+    shown = F.coalesce(F.trim("cell"), F.lit("")) != ""
+    parsed = F.struct(date.alias("slot_date"), read("cell").alias("time"), read("start").alias("start_min"))
+    # filtered as an array: a filter of rows would be pushed below and work the dates out twice
+    kept = F.filter(F.array(parsed), lambda x: F.col("found").isNotNull() | (x["slot_date"].isNotNull() & shown))
+    rows = rows.select("page_id", "row", "slot", "found", F.inline(kept))
     warning = F.when(F.col("time").isNull(), "unparseable_time").when(~in_window(F.col("time"), F.col("slot")), "implausible_time")
-    rows = rows.withColumn("warning", warning)
-    kept = lambda c: F.when(F.col("warning").isNull(), F.col(c))
-    rows = rows.select("page_id", "row", "slot_date", "slot", kept("time").alias("main_min"), kept("start_min").alias("start_min"), "warning")
-    return rows.unionByName(out)
+    rows = rows.withColumn("warning", F.coalesce("found", warning))
+    good = lambda c: F.when(F.col("warning").isNull(), F.col(c)).alias(c)
+    dated = F.when(F.col("found").isNull(), F.col("slot_date")).alias("slot_date")
+    return rows.select("page_id", "row", dated, "slot", good("time").alias("main_min"), good("start_min"), "warning")
 
 
 def state_rows(pages: DataFrame) -> DataFrame:
@@ -109,23 +115,26 @@ def calendar_rows(pages: DataFrame, year: int) -> DataFrame:
     shape = "struct<calendar:array<map<string,array<string>>>,iqamaCalendar:array<map<string,array<string>>>,jumua:string,jumua2:string,jumua3:string>"
     conf = pages.select("page_id", F.from_json(raw, shape).alias("c")).where("c is not null")
     fridays = F.filter(F.array("c.jumua", "c.jumua2", "c.jumua3"), lambda t: F.coalesce(t, F.lit("")) != "")
-    months = conf.select("page_id", "c.calendar", fridays.alias("fridays"), F.posexplode("c.iqamaCalendar").alias("month", "days"))
-    days = months.select("page_id", "calendar", "fridays", "month", F.explode("days").alias("day", "times"))
+    # each day gets its own starts before it becomes a row: the calendar isn't copied into every row
+    of_month = lambda days, m: F.transform(F.map_entries(days), lambda e: F.struct(m.alias("month"), e["key"].alias("day"), e["value"].alias("times"), F.try_element_at(F.get("c.calendar", m), e["key"]).alias("starts")))
+    months = F.flatten(F.filter(F.transform("c.iqamaCalendar", of_month), lambda x: x.isNotNull()))
+    days = conf.select("page_id", fridays.alias("fridays"), F.inline(months))
     date = F.try_to_date(F.concat_ws("-", F.lit(str(year)), F.lpad((F.col("month") + 1).cast("string"), 2, "0"), F.lpad("day", 2, "0")))
-    starts = F.try_element_at(F.get("calendar", F.col("month")), F.col("day"))
-    days = days.select("page_id", date.alias("slot_date"), starts.alias("starts"), "times", "fridays").where("slot_date is not null")
+    # here and below filtered as arrays: a filter of rows would be pushed below and work the values out twice
+    days = days.select("page_id", "fridays", "times", "starts", F.explode(F.filter(F.array(date), lambda d: d.isNotNull())).alias("slot_date"))
     names, places = (F.array(*map(F.lit, x)) for x in (("fajr", "dhuhr", "asr", "maghrib", "isha"), (0, 2, 3, 4, 5)))
-    slots = days.select("page_id", "slot_date", "starts", F.posexplode(F.slice("times", 1, 5)).alias("k", "time"))
-    slots = slots.select("page_id", "slot_date", F.get(names, F.col("k")).alias("slot"), "time", F.get("starts", F.get(places, F.col("k"))).alias("start"))
-    read = lambda c, slot: afternoon_where_due(minutes_loose(c), slot)
+    session = lambda slot, n, time, start: F.struct(slot.alias("slot"), n.cast("int").alias("session_no"), time.alias("time"), start.alias("start"))
+    daily = F.transform(F.slice("times", 1, 5), lambda t, k: session(F.get(names, k), F.lit(1), t, F.get("starts", F.get(places, k))))
+    friday = F.transform("fridays", lambda t, k: session(F.lit("jumuah"), k + 1, t, F.lit(None).cast("string")))
+    none = F.filter(friday, lambda _: F.lit(False))
+    sessions = F.concat(F.coalesce(daily, none), F.when(F.weekday("slot_date") == 4, friday).otherwise(none))
+    slots = days.select("page_id", "slot_date", F.inline(sessions))
+    read = lambda c: afternoon_where_due(minutes_loose(F.col(c)), F.col("slot"))
     offset = F.regexp_extract(F.trim("time"), r"^\+(\d{1,3})$", 1).try_cast("int")
-    absolute = F.when(F.contains("time", F.lit(":")), read(F.col("time"), F.col("slot")))
-    when = F.coalesce(absolute, plus_minutes(read(F.col("start"), F.col("slot")), offset))
-    daily = slots.select("page_id", "slot_date", "slot", F.lit(1).alias("session_no"), when.alias("main_min"))
-    daily = daily.where(in_window(F.col("main_min"), F.col("slot")))
-    friday = days.where(F.weekday("slot_date") == 4).select("page_id", "slot_date", F.posexplode("fridays").alias("k", "time"))
-    friday = friday.select("page_id", "slot_date", F.lit("jumuah").alias("slot"), (F.col("k") + 1).alias("session_no"), read(F.col("time"), F.lit("jumuah")).alias("main_min"))
-    return daily.unionByName(friday.where("main_min is not null"))
+    absolute = F.when((F.col("slot") == "jumuah") | F.contains("time", F.lit(":")), read("time"))
+    when = F.coalesce(absolute, plus_minutes(read("start"), offset))
+    fits = lambda m: F.when(F.col("slot") == "jumuah", m.isNotNull()).otherwise(in_window(m, F.col("slot")))
+    return slots.select("page_id", "slot_date", "slot", "session_no", F.explode(F.filter(F.array(when), fits)).alias("main_min"))
 
 
 def as_candidates(rows: DataFrame, sources: DataFrame, contract: str, gate_passed: Column) -> DataFrame:
