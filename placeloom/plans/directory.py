@@ -13,7 +13,7 @@ from placeloom.operators import contributions, extract, publish, reads, versions
 from placeloom.plans.frames import AS_OF
 from placeloom.plans.registry import define, query
 from placeloom.plans.scalar import haversine_sql
-from placeloom.sources.files import shared_folder
+from placeloom.sources.files import kept, shared_folder
 
 PUB = "policy = 'public_redistribution_allowed'"
 DAY = f"DATE '{AS_OF}'"
@@ -247,7 +247,7 @@ WITH {diff_sql(None)} SELECT 5000 + row_number() OVER (ORDER BY place_id, slot_d
  '{{"place_id":' || place_id || ',"date":"' || slot_date || '","slot":"' || slot || '","session_no":' || session_no || ',"main_min":' ||
  CASE WHEN action = 'published' THEN n_main ELSE o_main END || '}}' AS payload FROM dif WHERE action <> 'carried'""")
 def p07(candidates, sources, previous):
-    return publish.events(publish.publish(batch_of(candidates, sources), previous, sources), 5000)
+    return publish.events(kept(publish.publish(batch_of(candidates, sources), previous, sources), "changes"), 5000)
 
 
 def first_version(previous, sources):
@@ -258,12 +258,14 @@ def first_version(previous, sources):
 def published_versions(candidates, sources, previous):
     """An import, a full publication, and two writers at once for the even and the odd places, with later times."""
     table = versions.VersionedTable(candidates.sparkSession, shared_folder(candidates.sparkSession, "versions"), buckets=8)
+    # each publication reads the winners, some of them twice
+    won = kept(batch_of(candidates, sources).select(*publish.KEY, "candidate_id", *publish.VALUES, "confidence"), "batch")
     table.publish(lambda _: first_version(previous, sources), AS_OF)
-    table.publish(lambda old: publish.publish(batch_of(candidates, sources), old, sources), AS_OF)
+    table.publish(lambda old: publish.publish(won, old, sources), AS_OF)
 
     def later(parity):
         mine = F.col("place_id") % 2 == parity
-        batch = batch_of(candidates, sources).where(mine).withColumn("main_min", F.col("main_min") + 7 + 4 * parity)
+        batch = won.where(mine).withColumn("main_min", F.col("main_min") + 7 + 4 * parity)
         return table.publish(lambda old: publish.publish(batch, old, sources, mine), AS_OF)
 
     with ThreadPoolExecutor(2) as writers:
@@ -361,8 +363,10 @@ WITH {diff_sql(None)} SELECT count(*) FILTER (action = 'published') AS published
  (SELECT count(*) FROM pub WHERE outcome IN ('invalid', 'missing_time')) AS skipped_validation,
  (SELECT count(DISTINCT source_id) FROM win) AS sources FROM dif""")
 def f14(candidates, sources, previous):
+    # the marks are read twice, the winners too
     marked = publish.publishable(publish.validate(candidates, sources, AS_OF))
-    batch = batch_of(candidates, sources)
+    marked = kept(marked.select("outcome", *publish.KEY, "candidate_id", *publish.VALUES, "confidence", "run_id"), "marked")
+    batch = kept(publish.one_per_slot(marked.where("outcome = 'publish'")), "batch")
     return publish.summary(marked, batch, publish.publish(batch, previous, sources))
 
 
