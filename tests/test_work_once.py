@@ -4,10 +4,12 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from placeloom import plans
 from placeloom.functions import html
-from placeloom.plans import directory
+from placeloom.operators import export
+from placeloom.plans import directory, registry
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
@@ -35,6 +37,17 @@ def test_f14_and_p07_candidates_are_validated_once(spark):
     assert "o_orderstatus" not in plan_of(spark, "p07_change_events")
 
 
+@needs_tables
+def test_s05_both_files_of_a_snapshot_have_the_same_rows(spark, tmp_path):
+    places, aliases, sources, previous = (registry.frame(spark, SF, n) for n in ("places", "aliases", "sources", "previous"))
+    # a label of its own for each time that a row is worked out
+    rows = export.export_occurrences(previous, places, sources).withColumn("label", F.expr("uuid()"))
+    export.write_snapshot(export.export_places(places, aliases, sources), rows, f"file://{tmp_path}/snap")
+    lines = spark.read.json(f"file://{tmp_path}/snap/snapshot.ndjson").where("record_type = 'occurrence'").select("session_label")
+    table = spark.read.csv(f"file://{tmp_path}/snap/occurrences.csv", header=True).select("session_label")
+    assert lines.count() > 0 and lines.exceptAll(table).count() == 0
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["p05_versioned_publish", "p07_committed_events"])
 def test_publications_validate_their_candidates_once(spark, monkeypatch, name):
