@@ -33,6 +33,15 @@ class Words:
         """A 64-bit hash of each word."""
         return span_hashes(self.raw.astype(np.uint64), self.starts, self.ends) if len(self.starts) else np.empty(0, np.uint64)
 
+    def beginnings(self, letters: int) -> np.ndarray:
+        """A 64-bit hash of the first `letters` characters of each word, of all of a shorter one; other ones than of words."""
+        if not len(self.starts):
+            return np.empty(0, np.uint64)
+        first = (self.raw & 0xC0) != 0x80
+        at = np.append(np.flatnonzero(first), np.full(letters, len(self.raw)))
+        ends = np.minimum(self.ends, at[np.cumsum(first)[self.starts] - 1 + letters])
+        return ~span_hashes(self.raw.astype(np.uint64), self.starts, ends)
+
     def counts(self) -> np.ndarray:
         """How many words each text has."""
         return np.bincount(self.row, minlength=self.texts)

@@ -2,12 +2,14 @@
 
 A model of word pairs for toxic texts and one for ordinary texts are counted on a bounded sample of labelled
 documents; both use absolute discounting, and the mass that they set aside goes to how many words each word
-follows in the class (its continuation counts), and from there to the continuation counts of all documents,
-which the classes share. A text's score is a logistic curve over the difference of its log-likelihoods
+follows in the class (its continuation counts), from there to the beginnings of words (their first `LETTERS`
+characters, so that forms of a toxic word which no labelled text has are known by it), and from there to the
+continuation counts of all documents, which the classes share. A text's score is a logistic curve over the difference of its log-likelihoods
 under both models, divided by its length; labelled documents that the models haven't seen fit the curve.
 
 The shared counts are those of the whole corpus and grow with it: the distinct pairs of neighbouring words of all
-documents, counted by their second word. Words that neither class has are one word, "another one".
+documents, counted by their second word. Words that neither class has are one word for each beginning that some
+class has, "another one of this beginning", and else "another one".
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from placeloom.llm.tokenizing import small_batches
 ROWS, WORDS = 2_500, 1_500_000
 #: Of those documents, one in so many fits the curve.
 CALIBRATION = 4
+#: Characters of a word that are its beginning.
+LETTERS = 5
 #: Discounts (of a word, of a pair) and how many times what is expected of an expression is set aside, that are tried: those with
 #: the least log loss on the calibration's texts are used, the first of equals. The last two are for corpora of mostly toxic texts.
 DISCOUNTS = ((10, 40, 3.0), (3, 40, 3.0), (10, 10, 3.0), (3, 10, 3.0), (3, 3, 3.0), (10, 40, 1.5), (3, 10, 1.5))
@@ -47,7 +51,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, toxic, words): the hashes of the words of the labelled documents that the models learn from.
+    """(doc_id, toxic, words, beginnings): the hashes of the words of the labelled documents that the models learn from, and of their beginnings.
 
     Of each class the first `rows` documents in the order of a hash of their doc_id, of those the first that hold `words`
     words (the last may go beyond). Held-out ones are left out. A doc_id with several labels has its
@@ -61,12 +65,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, words: int = WO
         for batch in small_batches(batches):
             found = words_of(batch.column("text"))
             ends = np.cumsum(found.counts())[:-1]
-            packed = [x.tobytes() for x in np.split(found.hashes(), ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "words"])
+            packed = [pa.array([x.tobytes() for x in np.split(hashes, ends)], pa.binary()) for hashes in (found.hashes(), found.beginnings(LETTERS))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), *packed], names=["doc_id", "toxic", "words", "beginnings"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
     texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    found = written(texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words binary"), "sample")
+    found = written(texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words binary, beginnings binary"), "sample")
     # at most `rows` numbers a class
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     first = found.select("doc_id", "toxic", F.octet_length("words").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -74,15 +78,35 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, words: int = WO
 
 
 class Vocabulary:
-    """Numbers of the words of the sample; 0 is every other word, 1 stands before the first word of a text."""
+    """Numbers of the words of the sample; 0 is every other word, 1 stands before the first word of a text.
 
-    def __init__(self, hashes: np.ndarray):
-        self.index = Index(np.unique(hashes))
-        self.size = len(self.index.known) - 1 + 2
+    With the beginnings of words (their hashes), words that aren't known but for their beginning have a number
+    for each of these, after those of the words. `begins` is the number of each word's beginning; 0 and 1 are their own.
+    """
+
+    def __init__(self, hashes: np.ndarray, beginnings: np.ndarray | None = None):
+        words, at = np.unique(hashes, return_index=True)
+        known, of = np.unique(beginnings if beginnings is not None else np.empty(0, np.uint64), return_inverse=True)
+        self.index, self.parts = Index(words), Index(known)
+        self.size = len(words) + len(known) + 2
+        own = of[at] + 2 if len(of) else np.arange(len(words)) + 2
+        self.begins = np.concatenate(([0, 1], own, np.arange(len(known)) + 2)).astype(np.int64)
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+    def numbers(self, hashes: np.ndarray, beginnings: np.ndarray | None = None) -> np.ndarray:
         found = self.index.find(hashes).astype(np.int64)
-        return np.where(found < 0, 0, found + 2)
+        out = np.where(found < 0, 0, found + 2)
+        if beginnings is not None:
+            other = np.flatnonzero(found < 0)
+            part = self.parts.find(beginnings[other]).astype(np.int64)
+            out[other] = np.where(part < 0, 0, part + len(self.index.known) - 1 + 2)
+        return out
+
+    def only(self, kept: np.ndarray) -> Vocabulary:
+        """The vocabulary of the numbers that are `kept` alone (0 and 1 must be), numbered anew in the same order."""
+        out, words = object.__new__(Vocabulary), len(self.index.known) - 1
+        out.index, out.parts = Index(self.index.known[:-1][kept[2 : 2 + words]]), Index(self.parts.known[:-1][kept[2 + words :]])
+        out.size = int(kept.sum())
+        return out
 
     def pairs(self, second: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Each word's pair with the word before it, first * size + second."""
@@ -124,7 +148,7 @@ def shared_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         seen, pending, waiting = np.empty(0, np.int64), [], 0
         for batch in small_batches(batches):
             words = words_of(batch.column("text"))
-            pending.append(np.unique(vocabulary.pairs(vocabulary.numbers(words.hashes()), words.follows())))
+            pending.append(np.unique(vocabulary.pairs(vocabulary.numbers(words.hashes(), words.beginnings(LETTERS)), words.follows())))
             waiting += len(pending[-1])
             if waiting >= PENDING:
                 seen, pending, waiting = np.unique(np.concatenate((seen, *pending))), [], 0
@@ -183,20 +207,27 @@ def counted_in(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.n
 class ClassModel:
     """P(word | word before, class) by absolute discounting of counts of contexts, down to the shared base.
 
-    A word's discount is `word_discount` or `expected` times what the base leads to expect of it, whichever is more,
-    and a pair's is `pair_discount` or `expected` times what the other class has of it. So rare expressions, and those that aren't much more frequent in the class than elsewhere, take their probability
-    from the shared counts alone.
+    A word's discount is `word_discount` or `expected` times what the other class has of it, whichever is more; a beginning has what
+    its words set aside, discounted likewise, and a pair's discount is `pair_discount` or `expected` times what the other class has.
+    So rare expressions, and those that aren't much more frequent in the class than in the other, take their probability from the
+    shared counts alone. What is expected isn't taken from these: in a corpus much larger than the sample, new contexts of
+    frequent words end and those of rare ones don't, so a rare word of the class would seem to be as frequent elsewhere.
     """
 
-    def __init__(self, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], size: int, base: np.ndarray, word_discount: float, pair_discount: float, expected: float):
+    def __init__(self, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], size: int, base: np.ndarray, word_discount: float, pair_discount: float, expected: float, begins: np.ndarray | None = None):
         (pairs, counts), shared = one, counted_in(one, other)
         first, second = pairs // size, pairs % size
+        begins = np.arange(size) if begins is None else begins
         kinds = np.bincount(second, minlength=size).astype(float)
         total = max(1.0, kinds.sum())
-        aside = np.minimum(kinds, np.maximum(word_discount, expected * total * base))
-        self.common = aside.sum() / total if len(pairs) else 1.0
-        self.own = kinds > aside
-        self.single = (kinds - aside) / total + self.common * base
+        there = np.bincount(other[0] % size, minlength=size) * (total / max(1, len(other[0])))
+        aside = np.minimum(kinds, np.maximum(word_discount, expected * there))
+        parts, part_base = np.bincount(begins, aside, size), np.bincount(begins, base, size)
+        part_aside = np.minimum(parts, np.maximum(word_discount, expected * np.bincount(begins, there, size)))
+        self.common = part_aside.sum() / total if len(pairs) else 1.0
+        self.own = (kinds > aside) | (parts > part_aside)[begins]
+        # a word's share of its beginning is the shared counts'
+        self.single = (kinds - aside) / total + ((parts - part_aside) / total / np.where(part_base > 0, part_base, 1))[begins] * base + self.common * base
         seen = np.bincount(first, counts, size)
         aside = np.minimum(counts, np.maximum(pair_discount, expected * shared))
         self.left = np.where(seen > 0, np.bincount(first, aside, size) / np.maximum(seen, 1), 1.0)
@@ -224,15 +255,15 @@ class LogRatios:
         tells[keys // size] = tells[keys % size] = True
         tells[:2] = True
         number = np.cumsum(tells) - 1
-        self.words = Vocabulary(vocabulary.index.known[:-1][tells[2:]])
+        self.words = vocabulary.only(tells)
         self.single, self.left = np.where(toxic.own | ordinary.own, single, common)[tells], left[tells]
         self.keys = number[keys // size] * self.words.size + number[keys % size]
         self.ratios = toxic.log_of(keys, size) - ordinary.log_of(keys, size)
         self.pairs = Index(mixed(self.keys.astype(np.uint64)))
 
-    def differences(self, hashes: np.ndarray, follows: np.ndarray, row: np.ndarray, texts: int, empty: float) -> np.ndarray:
+    def differences(self, hashes: np.ndarray, beginnings: np.ndarray, follows: np.ndarray, row: np.ndarray, texts: int, empty: float) -> np.ndarray:
         """Length-normalised log-likelihood difference of each text; `empty` for texts without words."""
-        numbers = self.words.numbers(hashes)
+        numbers = self.words.numbers(hashes, beginnings)
         pairs = self.words.pairs(numbers, follows)
         known = self.pairs.find(mixed(pairs.astype(np.uint64)))
         ratio = self.left[pairs // self.words.size] + self.single[numbers]
@@ -252,7 +283,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     """Fitted ratios and the curve of a score. Their size is at most the sample's, whatever the corpus."""
 
-    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary, shared: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], beginnings: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary, shared: np.ndarray):
         back = np.arange(len(texts)) % CALIBRATION == 0
         if len(np.unique(toxic[back])) < 2 or len(np.unique(toxic[~back])) < 2:
             back = np.ones(len(texts), bool)
@@ -265,14 +296,15 @@ class ToxicityModel:
         for part in own:
             words, follows, _ = self._joined(part[: 1 + int(np.searchsorted(np.cumsum([len(t) for t in part]), least))])
             counts.append(distinct_contexts(vocabulary.pairs(vocabulary.numbers(words), follows), follows, vocabulary.size))
-        candidates = [LogRatios([ClassModel(one, other, vocabulary.size, base, *d) for one, other in (counts, counts[::-1])], vocabulary) for d in DISCOUNTS]
+        candidates = [LogRatios([ClassModel(one, other, vocabulary.size, base, *d, vocabulary.begins) for one, other in (counts, counts[::-1])], vocabulary) for d in DISCOUNTS]
         self.ratios, self.center, self.scale, self.curve = candidates[0], 0.0, 1.0, (1.0, 0.0)
         if not toxic.any() or toxic.all():
             # only one class to learn from, or none: all scores say so
             self.scale, self.curve = 0.0, (0.0, 0.0 if not len(toxic) else 3.0 if toxic.all() else -3.0)
             return
         words, follows, row = self._joined([t for t, b in zip(texts, back, strict=True) if b])
-        found = [r.differences(words, follows, row, int(back.sum()), 0.0) for r in candidates]
+        begun = self._joined([t for t, b in zip(beginnings, back, strict=True) if b])[0]
+        found = [r.differences(words, begun, follows, row, int(back.sum()), 0.0) for r in candidates]
         with_words = np.bincount(row, minlength=int(back.sum())) > 0
         own = toxic[back][with_words]
         if len(np.unique(own)) < 2:
@@ -296,7 +328,7 @@ class ToxicityModel:
         return np.concatenate(texts) if texts else np.empty(0, np.uint64), follows, row
 
     def scores(self, words: Words) -> np.ndarray:
-        difference = self.ratios.differences(words.hashes(), words.follows(), words.row, words.texts, self.center)
+        difference = self.ratios.differences(words.hashes(), words.beginnings(LETTERS), words.follows(), words.row, words.texts, self.center)
         return logistic(self.curve[0] * self.scale * (difference - self.center) + self.curve[1])
 
 
@@ -304,9 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, words: int = WORDS
     """Models of labels.toxic on the bounded `sample`, with shared counts of all documents."""
     got = sample(docs, labels, rows, words).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    texts = [np.frombuffer(r.words, np.uint64) for r in got]
-    vocabulary = Vocabulary(np.concatenate(texts) if texts else np.empty(0, np.uint64))
-    return ToxicityModel(texts, np.array([r.toxic == 1 for r in got], bool), vocabulary, shared_counts(docs, vocabulary))
+    texts, beginnings = ([np.frombuffer(r[name], np.uint64) for r in got] for name in ("words", "beginnings"))
+    vocabulary = Vocabulary(*(np.concatenate([np.empty(0, np.uint64), *x]) for x in (texts, beginnings)))
+    return ToxicityModel(texts, beginnings, np.array([r.toxic == 1 for r in got], bool), vocabulary, shared_counts(docs, vocabulary))
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

@@ -231,3 +231,37 @@ def test_queries_match_their_sql(spark, module, name):
     wanted = con.execute(module.SQL)
     names = [c[0] for c in wanted.description]
     assert sorted((tuple(r[n] for n in names) for r in getattr(module, name)(spark, SF).collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+def test_toxicity_knows_new_forms_of_words(spark):
+    # every form of the toxic word stands in one document only, so the held-out ones have forms that no labelled text has
+    rng = np.random.default_rng(13)
+    plain = [f"p{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(400):
+        text = list(rng.choice(plain, 80))
+        if k % 2:
+            for at in range(0, 80, 20):
+                text[at] = f"Grünsch{k}x{at}"
+        rows.append((k, " ".join(text)))
+        labels.append((k, 1, k % 2))
+    found = toxicity.assess(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    assert len(found) > 100 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_rare_words_of_a_class_stay_known_in_a_large_corpus():
+    # all contexts of a rare toxic word are new ones in the corpus, those of frequent words were seen long ago
+    size, word, base = 60, 50, np.ones(60)
+    first, second = np.divmod(np.arange(2, 42 * 10), 10)
+    plain = (np.sort((first + 2) * size + second + 2), np.ones(len(first), np.int64))
+    toxic = np.unique(np.concatenate((plain[0], np.arange(2, 42) * size + word)))
+    base[word] = 40
+    model = toxicity.ClassModel((toxic, np.ones(len(toxic), np.int64)), plain, size, base / base.sum(), *toxicity.DISCOUNTS[0])
+    assert model.own[word]
+
+
+def test_beginnings_of_words():
+    found = alnum.words_of(pa.array(["Straßenbahn straße strand", None, "stra é éééééé ééééé9 " + "x" * 4 + "ü", "str"])).beginnings(5)
+    whole = ~alnum.words_of(pa.array(["straß straß stran stra é ééééé ééééé xxxxü str"])).hashes()
+    assert (found == whole).all()
+    assert len(alnum.words_of(pa.array(["", None])).beginnings(5)) == 0
