@@ -1,12 +1,12 @@
 """Fold of fetch outcomes with timers, and a filter of unchanged pages: keyed state by transformWithState.
 
 The state store is RocksDB (`with_keyed_state`): state lies on the executors' disks with changelogs in the checkpoint,
-not in their memory, and one outcome changes a few entries of its source, not all of them.
+not in their memory. A key is a bucket of sources or bodies, whose rows are worked out together as arrays: a call for each
+source costs milliseconds, however few its rows.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +23,12 @@ SETTLED_DAYS = 60
 #: Days without an outcome (of wall-clock time) after which a source's state is forgotten.
 FORGET_DAYS = 400
 DAY = 86_400_000_000  # microseconds
+#: Keys that sources and bodies are dealt to; it must stay the same as long as a checkpoint is used.
+BUCKETS = 1_024
+#: Columns of a source's head: outcomes seen, last success, latest outcome (microseconds), failures that are a number only, when it
+#: was changed and when it is due (milliseconds).
+HEAD = SOURCE, SEEN, OK_TS, OK_ID, LATEST, FOLDED, TOUCHED, DUE = range(8)
+LEAST, NOT_DUE = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
 
 
 def with_keyed_state(spark: SparkSession) -> None:
@@ -40,11 +46,12 @@ def health_of(failures: int) -> tuple[str, int]:
 
 
 class OutcomeFold(StatefulProcessor):
-    """Failures since the last success of a source, and a timer for its next fetch.
+    """Failures since the last success of each source of a bucket, and a timer for the next fetch that is due.
 
-    The last success and a count are one value, each failure after it an entry of a list, so outcomes may
-    come in any order: a late failure before that success counts nothing, a late success clears what is before it.
-    Failures older than `settled_days` before the latest outcome are folded into a number.
+    `heads` is one row of numbers for each source: its last success, counts, and when it is due. Each failure after that success
+    is an entry of a list, so outcomes may come in any order: a late failure before it counts nothing, a late success
+    clears what is before it. Failures older than `settled_days` before the latest outcome are folded into a number.
+    A bucket's sources are folded together, so a micro-batch costs a call for each bucket, not for each source.
     """
 
     def __init__(self, settled_days: int = SETTLED_DAYS, forget_days: int = FORGET_DAYS):
@@ -52,54 +59,91 @@ class OutcomeFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "seen long, ok_ts long, ok_id long, latest long, folded long", self.forget)
-        self.failed = handle.getListState("failed", "ts long, event_id long", self.forget)
+        self.heads = handle.getValueState("heads", "heads binary", self.forget)
+        self.failed = handle.getListState("failed", "source_id long, ts long, event_id long", self.forget)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        least = int(np.iinfo(np.int64).min)
-        seen, ok_ts, ok_id, latest, folded = self.head.get() if self.head.exists() else (0, least, 0, least, 0)
-        held = [tuple(f) for f in self.failed.get()] if self.failed.exists() else []
-        before, ok, fresh = len(held), (ok_ts, ok_id), []
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known, held, whole = self._held(now)
+        parts, failed = [known], [held]
         for batch in rows:
-            at = np.stack([batch["ts"].to_numpy("datetime64[us]").astype("int64"), batch["event_id"].to_numpy("int64")], axis=1)
+            at = np.stack([batch["source_id"].to_numpy("int64"), batch["ts"].to_numpy("datetime64[us]").astype("int64"), batch["event_id"].to_numpy("int64")], axis=1)
             good = batch["success"].to_numpy(bool)
-            seen, latest = seen + len(at), max(latest, int(at[:, 0].max()))
-            ok = max([ok, *map(tuple, at[good].tolist())])
-            fresh += map(tuple, at[~good].tolist())
-        if ok > (ok_ts, ok_id):
-            # failures that are folded already are older than any success that can still come
-            folded = 0
-        after = [f for f in held + fresh if f > ok]
-        recent = [f for f in after if f[0] >= latest - self.settled]
-        folded += len(after) - len(recent)
-        if recent[:before] == held:
-            if recent[before:]:
-                self.failed.appendList(recent[before:])
-        elif recent:
-            self.failed.put(recent)
-        else:
-            self.failed.clear()
-        self.head.update((seen, ok[0], ok[1], latest, folded))
-        state, wait = health_of(folded + len(recent))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest // 1000 + wait * 3_600_000)
-        yield self._row("health", key, seen, folded + len(recent), None)
+            came = np.zeros((len(at), len(HEAD)), np.int64)
+            came[:, SOURCE], came[:, SEEN], came[:, LATEST], came[:, TOUCHED], came[:, DUE] = at[:, 0], 1, at[:, 1], now, NOT_DUE
+            came[:, OK_TS], came[:, OK_ID] = np.where(good, at[:, 1], LEAST), np.where(good, at[:, 2], 0)
+            parts.append(self._united(came))
+            failed.append(at[~good])
+        fresh = np.unique(np.concatenate([p[:, SOURCE] for p in parts[1:]]))
+        heads, failed = self._united(np.concatenate(parts)), np.concatenate(failed)
+        # failures that are folded already are older than any success that can still come
+        before = np.searchsorted(heads[:, SOURCE], known[:, SOURCE])
+        later = (heads[before, OK_TS] != known[:, OK_TS]) | (heads[before, OK_ID] != known[:, OK_ID])
+        heads[before[later], FOLDED] = 0
+        of = np.searchsorted(heads[:, SOURCE], failed[:, 0])
+        after = (failed[:, 1] > heads[of, OK_TS]) | ((failed[:, 1] == heads[of, OK_TS]) & (failed[:, 2] > heads[of, OK_ID]))
+        recent = after & (failed[:, 1] >= heads[of, LATEST] - self.settled)
+        heads[:, FOLDED] += np.bincount(of[after & ~recent], minlength=len(heads))
+        if not (whole and recent[: len(held)].all()):
+            if recent.any():
+                self.failed.put([tuple(f) for f in failed[recent].tolist()])
+            else:
+                self.failed.clear()
+        elif recent[len(held) :].any():
+            self.failed.appendList([tuple(f) for f in failed[len(held) :][recent[len(held) :]].tolist()])
+        failures = heads[:, FOLDED] + np.bincount(of[recent], minlength=len(heads))
+        is_fresh = np.isin(heads[:, SOURCE], fresh)
+        wait = np.array([health_of(f)[1] for f in failures.tolist()], np.int64)
+        heads[is_fresh, DUE] = (heads[:, LATEST] // 1000 + wait * 3_600_000)[is_fresh]
+        self._keep(heads)
+        yield self._rows("health", key, heads[is_fresh], failures[is_fresh])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.head.exists():
-            seen, *_, folded = self.head.get()
-            due = datetime.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, datetime.UTC)
-            yield self._row("due", key, seen, folded + (len(list(self.failed.get())) if self.failed.exists() else 0), due.replace(tzinfo=None))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        heads, failed, _ = self._held(now)
+        due = heads[:, DUE] <= max(expiredTimerInfo.getExpiryTimeInMs(), now - 1)
+        if due.any():
+            failures = heads[:, FOLDED] + np.bincount(np.searchsorted(heads[:, SOURCE], failed[:, 0]), minlength=len(heads))
+            yield self._rows("due", key, heads[due], failures[due])
+            heads[due, DUE] = NOT_DUE
+            self._keep(heads)
 
     def close(self) -> None:
         pass
 
+    def _held(self, now: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Heads of the bucket's sources, in their order, and failures of these, without sources that are forgotten; if those are all in the list."""
+        heads = np.frombuffer(bytes(self.heads.get()[0]) if self.heads.exists() else b"", np.int64).reshape(-1, len(HEAD))
+        heads = heads[heads[:, TOUCHED] > now - self.forget]
+        failed = np.array(list(self.failed.get()) if self.failed.exists() else [], np.int64).reshape(-1, 3)
+        own = np.isin(failed[:, 0], heads[:, SOURCE])
+        return heads.copy(), failed[own], bool(own.all())
+
+    def _keep(self, heads: np.ndarray) -> None:
+        self.heads.update((np.ascontiguousarray(heads).tobytes(),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        first = int(heads[:, DUE].min())
+        if first < NOT_DUE:
+            self.handle.registerTimer(first)
+
+    @staticmethod
+    def _united(heads: np.ndarray) -> np.ndarray:
+        """One row a source: the latest of times, the sum of counts."""
+        heads = heads[np.lexsort((heads[:, OK_ID], heads[:, OK_TS], heads[:, SOURCE]))]
+        starts = np.flatnonzero(np.concatenate(([True], heads[1:, SOURCE] != heads[:-1, SOURCE]))) if len(heads) else np.empty(0, np.int64)
+        out = heads[np.append(starts[1:], len(heads)) - 1] if len(heads) else heads.copy()
+        if len(out):
+            for column, function in ((SEEN, np.add), (FOLDED, np.add), (LATEST, np.maximum), (TOUCHED, np.maximum), (DUE, np.minimum)):
+                out[:, column] = function.reduceat(heads[:, column], starts)
+        return out
+
     @staticmethod
-    def _row(record: str, key, seen: int, failures: int, due) -> pd.DataFrame:
-        columns = ["record", "source_id", "seen", "failures", "state", "wait_hours", "due_at"]
-        out = pd.DataFrame([(record, key[0], seen, failures, *health_of(failures), due)], columns=columns)
-        return out.astype({"due_at": "datetime64[us]"})
+    def _rows(record: str, key, heads: np.ndarray, failures: np.ndarray) -> pd.DataFrame:
+        state = [health_of(f) for f in failures.tolist()]
+        due = (heads[:, DUE] * 1000).astype("datetime64[us]") if record == "due" else np.full(len(heads), np.datetime64("NaT", "us"))
+        source = pd.array(heads[:, SOURCE], "Int64") if key[0] >= 0 else pd.array([None] * len(heads), "Int64")
+        return pd.DataFrame({"record": record, "source_id": source, "seen": heads[:, SEEN], "failures": failures, "state": [s for s, _ in state], "wait_hours": np.array([w for _, w in state], "int32"), "due_at": due})
 
 
 def fold_outcomes(fetches: DataFrame, settled_days: int = SETTLED_DAYS) -> DataFrame:
@@ -110,8 +154,11 @@ def fold_outcomes(fetches: DataFrame, settled_days: int = SETTLED_DAYS) -> DataF
     outcome comes first; due_at is that time.
     """
     with_keyed_state(fetches.sparkSession)
-    columns = fetches.select("source_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "success")
-    return columns.groupBy("source_id").transformWithStateInPandas(OutcomeFold(settled_days), HEALTH, "Append", "ProcessingTime")
+    source = F.col("source_id").cast("long")
+    # a null source is one of its own
+    bucket = F.when(source.isNull(), -1).otherwise(F.pmod(F.xxhash64(source), F.lit(BUCKETS))).cast("int")
+    columns = fetches.select(bucket.alias("bucket"), F.coalesce(source, F.lit(0)).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.coalesce("success", F.lit(False)).alias("success"))
+    return columns.groupBy("bucket").transformWithStateInPandas(OutcomeFold(settled_days), HEALTH, "Append", "ProcessingTime")
 
 
 def drain_rows(stream: DataFrame, target: str, checkpoint: str) -> None:

@@ -2,7 +2,9 @@
 
 import datetime
 import hashlib
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,70 @@ def test_unchanged_pages_are_skipped_after_a_success_only(spark, tmp_path):
         assert {r.page_id: r.action for r in spark.read.parquet(f"{tmp_path}/out").collect()} == wanted
 
 
+def test_sources_of_a_bucket_are_folded_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outcomes, "BUCKETS", 3, raising=False)
+    schema, rng = "source_id long, ts timestamp, event_id long, success boolean", random.Random(5)
+    # a tenth of the sources have a success in each part, many are touched by one part only; null is a source too
+    rows = [(rng.choice([None, *range(60)]), datetime.datetime(2024, 1, rng.randint(1, 28)), n, rng.random() < 0.3) for n in range(400)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        outcomes.drain_rows(outcomes.fold_outcomes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    wanted, due = {}, {}
+    for s in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == s]
+        ok = max([(r[1], r[2]) for r in own if r[3]], default=(datetime.datetime.min, 0))
+        wanted[s] = sum((r[1], r[2]) > ok for r in own if not r[3])
+        due[s] = (wanted[s], max(r[1] for r in own) + datetime.timedelta(hours=outcomes.health_of(wanted[s])[1]))
+    assert {r.source_id: r.failures for r in outcomes.latest_health(spark, f"{tmp_path}/out").collect()} == wanted
+    assert {r.source_id: (r.failures, r.due_at) for r in outcomes.due_sources(spark, f"{tmp_path}/out").collect()} == due
+    # the state has a key for each bucket (and one for null), not for each source
+    heads = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "heads").load()
+    assert heads.count() == 4
+
+
+class _Kept:
+    """A value or a list as a state store keeps it, and timers."""
+
+    def __init__(self, failed=None):
+        self.rows, self.timers, self.now, self.failed = [], set(), 0, failed
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def getListState(self, *_):  # noqa: N802
+        return self.failed
+
+    exists = lambda self: bool(self.rows)
+    update = lambda self, row: self.rows.__setitem__(slice(None), row)
+    get = lambda self: self.rows
+    put = lambda self, rows: self.rows.__setitem__(slice(None), rows)
+    appendList = lambda self, rows: self.rows.extend(rows)  # noqa: E731, N815
+    clear = lambda self: self.rows.clear()
+    listTimers = lambda self: list(self.timers)  # noqa: E731, N815
+    deleteTimer = lambda self, at: self.timers.discard(at)  # noqa: E731, N815
+    registerTimer = lambda self, at: self.timers.add(at)  # noqa: E731, N815
+    getCurrentProcessingTimeInMs = lambda self: self.now  # noqa: E731, N815
+
+
+def test_a_forgotten_source_starts_anew_beside_others():
+    store = _Kept(_Kept())
+    fold = outcomes.OutcomeFold(60, 400)
+    fold.init(store)
+    day = outcomes.DAY
+
+    def failed(now: int, *at: tuple[int, int]) -> dict:
+        store.now = now * day // 1000
+        rows = pd.DataFrame([(s, d * day, d, False) for s, d in at], columns=["source_id", "ts", "event_id", "success"]).astype({"ts": "datetime64[us]"})
+        return {r.source_id: r.failures for r in next(fold.handleInputRows((0,), iter([rows]), store)).itertuples()}
+
+    assert failed(10, (1, 1), (2, 2), (1, 3)) == {1: 2, 2: 1}
+    assert failed(300, (2, 299)) == {2: 2}
+    assert failed(450, (2, 449)) == {2: 3}  # source 1 is forgotten
+    assert failed(451, (1, 450)) == {1: 1}
+    # one timer, for the first that is due
+    assert store.timers == {(449 * day // 1000) + 8 * 3_600_000}
+
+
 def test_merges_follow_chains_and_refuse_circles(spark):
     merges = lambda pairs: spark.createDataFrame(pairs, "duplicate_id long, canonical_id long")
     assert {tuple(r) for r in resolve.final_targets(merges([(4, 3), (3, 2), (2, 1), (9, 8)])).collect()} == {(4, 1), (3, 1), (2, 1), (9, 8)}
