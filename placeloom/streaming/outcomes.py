@@ -194,24 +194,25 @@ def due_sources(spark: SparkSession, target: str) -> DataFrame:
 class ChangedPages(StatefulProcessor):
     """Which pages need an extraction: those whose body hasn't been extracted with success.
 
-    A key is a source and a body's hash, so a source with very many pages is no hot key; its state is one flag.
+    A body is a source and a hash, as JSON; a key is a bucket of bodies, so a source with very many pages is no hot key. The
+    state is a list of the bodies that are done, which only grows at its end.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "success boolean")
+        self.done = handle.getListState("done", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         every = pd.concat(list(rows), ignore_index=True)
-        done = self.done.exists()
         # in their order; a run before the pages of its instant
-        every = every.assign(page=every["page_id"].notna()).sort_values(["at", "page"], kind="stable")
-        ran = every["success"].map(lambda x: x is True or x == 1.0).to_numpy(bool)
-        before = np.logical_or.accumulate(ran) | done
-        if ran.any() and not done:
-            self.done.update((True,))
-        pages = every["page"].to_numpy(bool)
+        every = every.sort_values(["body", "at", "page"], kind="stable", ignore_index=True)
+        done = {body for (body,) in self.done.get()} if self.done.exists() else set()
+        ran, pages = every["success"].to_numpy(bool), every["page"].to_numpy(bool)
+        before = (every["success"].astype("int64").groupby(every["body"], sort=False).cumsum() > 0).to_numpy() | every["body"].isin(done).to_numpy()
+        new = sorted(set(every["body"][ran]) - done)
+        if new:
+            self.done.appendList([(body,) for body in new])
         if pages.any():
-            yield pd.DataFrame({"page_id": every["page_id"][pages].astype("int64"), "source_id": key[0], "hash": key[1], "action": np.where(before[pages], "skip", "extract")})
+            yield pd.DataFrame({"page_id": every["page_id"][pages].astype("int64"), "body": every["body"][pages], "action": np.where(before[pages], "skip", "extract")})
 
     def close(self) -> None:
         pass
@@ -225,7 +226,9 @@ def changed_pages(pages: DataFrame, runs: DataFrame) -> DataFrame:
     two sources are different bodies.
     """
     with_keyed_state(pages.sparkSession)
-    seen = pages.select("source_id", "hash", "at", F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("boolean").alias("success"))
-    ran = runs.select("source_id", "hash", "at", F.lit(None).cast("long").alias("page_id"), "success")
-    both = seen.unionByName(ran)
-    return both.groupBy("source_id", "hash").transformWithStateInPandas(ChangedPages(), "page_id long, source_id long, hash string, action string", "Append", "None")
+    body = F.to_json(F.struct(F.col("source_id").cast("long").alias("source_id"), "hash")).alias("body")
+    seen = pages.select(body, "at", F.lit(True).alias("page"), F.col("page_id").cast("long").alias("page_id"), F.lit(False).alias("success"))
+    ran = runs.select(body, "at", F.lit(False).alias("page"), F.lit(0).cast("long").alias("page_id"), F.coalesce("success", F.lit(False)).alias("success"))
+    both = seen.unionByName(ran).withColumn("bucket", F.pmod(F.xxhash64("body"), F.lit(BUCKETS)).cast("int"))
+    found = both.groupBy("bucket").transformWithStateInPandas(ChangedPages(), "page_id long, body string, action string", "Append", "None")
+    return found.withColumn("body", F.from_json("body", "source_id long, hash string")).select("page_id", "body.source_id", "body.hash", "action")

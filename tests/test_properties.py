@@ -257,6 +257,19 @@ def test_a_forgotten_source_starts_anew_beside_others():
     assert store.timers == {(449 * day // 1000) + 8 * 3_600_000}
 
 
+def test_bodies_of_a_bucket_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(outcomes, "BUCKETS", 2, raising=False)
+    pages, runs = "source_id long, hash string, at timestamp, page_id long", "source_id long, hash string, at timestamp, success boolean"
+    at = lambda d: datetime.datetime(2024, 1, d)
+    big = 2**53 + 1
+    bodies = [(s, h) for s in (None, 1, big) for h in (None, "a", 'q"x')]
+    spark.createDataFrame([(s, h, at(1), big + n) for n, (s, h) in enumerate(bodies)], pages).write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([(*b, at(1), n % 2 == 0 or None) for n, b in enumerate(bodies)], runs).write.parquet(f"{tmp_path}/runs")
+    outcomes.drain_rows(outcomes.changed_pages(spark.readStream.schema(pages).parquet(f"{tmp_path}/pages"), spark.readStream.schema(runs).parquet(f"{tmp_path}/runs")), f"{tmp_path}/out", f"{tmp_path}/state")
+    found = {(r.page_id, r.source_id, r.hash, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {(big + n, *b, "extract" if n % 2 else "skip") for n, b in enumerate(bodies)}
+
+
 def test_merges_follow_chains_and_refuse_circles(spark):
     merges = lambda pairs: spark.createDataFrame(pairs, "duplicate_id long, canonical_id long")
     assert {tuple(r) for r in resolve.final_targets(merges([(4, 3), (3, 2), (2, 1), (9, 8)])).collect()} == {(4, 1), (3, 1), (2, 1), (9, 8)}
