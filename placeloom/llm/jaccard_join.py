@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from placeloom.llm.common import HOT, ROW_KEYS, WORD, dropped, join_counted, row_keys, written
 from placeloom.llm.components import components
 from placeloom.llm.shingles import set_names, shingle_sets
-from placeloom.llm.tokenizing import small_batches
+from placeloom.llm.tokenizing import FINE, small_batches
 
 #: Shingles are counted in so many buckets of their hash (bits) to put frequent ones last.
 BUCKET_BITS = 16
@@ -272,7 +272,7 @@ def _facts(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             hashes, bounds = shingle_sets(batch.column("text"), size)
             counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
             name, twin = set_names(hashes, bounds)
@@ -300,7 +300,7 @@ def _heads(size: int, percent: int, rank: np.ndarray, wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             if len(met) > MET:
                 met.clear()
             hashes, bounds = shingle_sets(batch.column("text"), size)
@@ -329,7 +329,7 @@ def _members(size: int):
     """(block..., doc_id, tokens) of each set for each of its places, from (doc_id, name, places, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             hashes, bounds = shingle_sets(batch.column("text"), size)
             names = set_names(hashes, bounds)[0].view(np.int64)
             good = np.flatnonzero(names == np.asarray(batch.column("name")))

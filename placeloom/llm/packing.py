@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.llm.common import numbered, running_sums, written
-from placeloom.llm.tokenizing import encoder, small_batches, with_end
+from placeloom.llm.tokenizing import FINE, encoder, small_batches, with_end
 
 WINDOW = 2048
 #: Tokens of a length class, and pieces of a combination.
@@ -105,7 +105,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end: int = END, window: int = WI
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             ids = with_end(*encoder(vocabulary).encode(batch.column("text")), end)
             crcs = [[zlib.crc32(x[i : i + window].astype("<u4")) for i in range(0, len(x), window)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "n", "ids", "crcs"])

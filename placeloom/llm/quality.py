@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from placeloom.llm.common import written
 from placeloom.llm.shingles import word_hashes
-from placeloom.llm.tokenizing import small_batches
+from placeloom.llm.tokenizing import FINE, small_batches
 
 #: n-grams of so many bytes, hashed to 2^BITS indicators.
 ORDERS = (1, 2, 3, 4)
@@ -59,7 +59,9 @@ def indicators(texts: pa.Array, orders: tuple[int, ...] = ORDERS, bits: int = BI
     runs = longest_runs(texts)
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    # a slice of a batch: its own bytes, not those of the whole batch
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
     # a digit counts as 0, whichever it is
     raw = np.where((raw >= 48) & (raw <= 57), np.uint8(48), raw).astype(np.uint32)
     found, bounds = [], [0]
@@ -125,9 +127,16 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, good: np.ndarray, c
 
 
 def margins(found: np.ndarray, bounds: np.ndarray, weights: np.ndarray, values: np.ndarray, bias: float) -> np.ndarray:
-    """Margin of each row; weights are those of the scaled indicators."""
-    sums = lambda x: np.diff(np.concatenate((np.zeros(1), np.cumsum(x, dtype=np.float64)))[bounds])
-    return sums((weights * values)[found]) / np.maximum(np.sqrt(np.maximum(sums((values**2)[found]), 0)), 1e-9) + bias
+    """Margin of each row, whatever rows stand beside it; weights are those of the scaled indicators."""
+    some = np.diff(bounds) > 0
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(some))
+        if some.any():
+            out[some] = np.add.reduceat(x.astype(np.float64)[found], bounds[:-1][some])
+        return out
+
+    return sums(weights * values) / np.maximum(np.sqrt(sums(values**2)), 1e-9) + bias
 
 
 def logistic_fit(margin: np.ndarray, good: np.ndarray, steps: int = 100) -> tuple[float, float]:
@@ -190,7 +199,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, cells: int = CE
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             found, bounds = indicators(batch.column("text"))
             packed = [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "quality", "found"])
@@ -217,7 +226,7 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, *FINE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)

@@ -26,6 +26,8 @@ UNSURE = "[ ][\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2
 REMEMBERED = 2_000_000
 #: Bytes of a piece that is remembered.
 SHORT = 64
+#: Rows and bytes of a small batch where several arrays of eight times its bytes are held at once: a worker keeps what it once took.
+FINE = (256, 500_000)
 
 
 _LETTER, _MARK, _SOLID = (np.zeros(256, bool) for _ in range(3))

@@ -2,6 +2,7 @@
 
 import math
 import textwrap
+import tracemalloc
 import zlib
 
 import duckdb
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.llm import licenses, quality, url_filter
+from placeloom.llm import jaccard_join, licenses, quality, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -227,6 +228,57 @@ def test_dual_descent_separates():
     assert ((margin > 0) == good).all()
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_indicators_of_a_slice_read_its_own_bytes():
+    texts = pa.array([f"row {i} " + "abcdefg " * 120 for i in range(20_000)])  # 20 MB
+    part = texts.slice(10_000, 8)
+    assert peak_mb(lambda: quality.indicators(part)) < 5
+    found, bounds = quality.indicators(part)
+    again = quality.indicators(pa.array(part.to_pylist()))
+    assert found.tolist() == again[0].tolist() and bounds.tolist() == again[1].tolist()
+
+
+def test_a_score_is_the_same_in_any_batch():
+    rng = np.random.default_rng(3)
+    texts = pa.array([None, "", *("".join(rng.choice(list("abcdef 01"), n)) for n in rng.integers(1, 900, 300)), None])
+    model = quality.QualityModel([], np.zeros(0, bool))
+    model.values, model.weights, model.curve = rng.normal(size=quality.SIZE).astype(np.float32), rng.normal(size=quality.SIZE).astype(np.float32), (1.0, 0.1)
+    alone = np.concatenate([model.scores(texts.slice(i, 1)) for i in range(len(texts))])
+    assert model.scores(texts).tolist() == alone.tolist() and alone[0] == alone[1] == 1 / (1 + np.exp(-0.1))
+
+
+@pytest.mark.parametrize("work", ["score", "facts", "heads"])
+def test_a_batch_of_long_texts_takes_little_memory(work):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(rng.choice(words, 330)) for _ in range(4000)]  # 7 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    def scored():
+        class Docs:  # takes the function that Spark would send to its workers
+            schema = quality.StructType([])
+
+            def drop(self, name):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return run
+
+        model = quality.QualityModel([], np.zeros(0, bool))
+        return quality.score(Docs(), model)([batch])
+
+    run = {"score": scored, "facts": lambda: jaccard_join._facts(5, 80)([batch]), "heads": lambda: jaccard_join._heads(5, 80, np.arange(1 << 16), np.ones(1 << 16, bool))([batch])}[work]
+    assert peak_mb(lambda: [None for _ in run()]) < 45
+
+
 def test_longest_runs():
     assert quality.longest_runs(pa.array(["a a a b", None, "", "x", "a b a", "z " * 40])).tolist() == [3, 0, 0, 1, 1, quality.RUN]
 
