@@ -48,6 +48,13 @@ def test_s05_both_files_of_a_snapshot_have_the_same_rows(spark, tmp_path):
     assert lines.count() > 0 and lines.exceptAll(table).count() == 0
 
 
+@needs_tables
+def test_s05_the_digests_are_of_every_file_of_the_snapshot(spark):
+    found = {r.file: r.lines for r in plans.QUERIES["s05_snapshot_digests"](spark, SF).collect()}
+    lines = {r.kind: r.lines for r in plans.QUERIES["s02_snapshot_ndjson"](spark, SF).collect()}
+    assert found == {"occurrences.csv": lines["occurrence"], "snapshot.ndjson": lines["occurrence"] + lines["place"]} and lines["place"] > 0
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["p05_versioned_publish", "p07_committed_events"])
 def test_publications_validate_their_candidates_once(spark, monkeypatch, name):
