@@ -75,6 +75,46 @@ def test_decision_rules(spark):
     assert found == {1: ("auto_link", 10), 2: ("review", 10), 3: ("review", 12), 4: ("create", None)}
 
 
+def test_decisions_and_alternatives_are_those_of_all_candidates(spark):
+    """Ties, equal kinds of candidates and promoted ones against a plain ranking."""
+    rng = random.Random(11)
+    rows = [(r, p, rng.choice((0.3, 0.5, 0.55, 0.75, 0.8)), rng.randrange(1, 4), rng.random() < 0.5, rng.choice((40, 84, 85, 95))) for r in range(120) for p in rng.sample(range(50), rng.randrange(0, 9))]
+    table = spark.createDataFrame(rows, "record_id long, place_id long, score double, strong int, identity boolean, best_ratio int")
+    records = spark.range(120).withColumnRenamed("id", "record_id")
+    found = {r.record_id: (r.decision, r.place_id, r.score, r.alternatives) for r in resolve.decide(records, table).collect()}
+    short = {r.record_id: (r.decision, r.place_id, r.score) for r in resolve.decide(records, table, alternatives=False).collect()}
+    for i in range(120):
+        ranked = sorted((r for r in rows if r[0] == i), key=lambda r: (-r[2], r[1]))
+        if not ranked:
+            assert found[i] == ("create", None, None, None)
+            continue
+        best = ranked[0]
+        named = next((r for r in ranked if r[5] >= 85), None)
+        if best[5] < 85 and named and best[2] - named[2] <= 0.25 + 1e-9:
+            best = named
+        others = [r for r in ranked if r is not best]
+        unclear = others and others[0][2] >= 0.5 and best[2] - others[0][2] < 0.1 - 1e-9
+        decision = "auto_link" if not unclear and best[2] >= 0.75 and best[3] >= 2 and best[4] else "review"
+        assert found[i] == (decision, best[1], best[2], [r[1] for r in [best, *others][:3]] if decision == "review" else None)
+        assert short[i] == found[i][:3]
+
+
+def test_ratios_of_names_and_aliases_are_those_of_all_pairs(spark):
+    """Where a ratio rounds to 85 it is there and exact, whatever number of aliases a place has; a lower one may lack."""
+    names = ["green lane hall", "hall green lane", "east centre 3", "eastern centre 33", "abab ab a", "é 12", "mosque of the east", "mosque off the eastt", ""]
+    sides = lambda key: spark.createDataFrame([(i, n, "AB1 2CD", None, "GB", None, None, None, "precise", "high", "mosque") for i, n in enumerate(names)], f"{key} long, name string, postcode string, city string, country string, website string, lat double, lon double, precision string, confidence string, class string")
+    other = {i: names[: i % 4] for i in range(len(names))}
+    aliases = spark.createDataFrame([(i, n) for i, ns in other.items() for n in ns] + [(0, None)], "place_id long, alias string")
+    found = {(r.record_id, r.place_id): (r.ratio, r.alias_ratio) for r in resolve.with_ratios(resolve.pairs_to_score(sides("record_id"), sides("place_id"), aliases)).collect()}
+    assert len(found) == len(names) ** 2
+    met = 0
+    for (r, p), got in found.items():
+        for have, wanted in zip(got, (token_sort(names[r], names[p]), max([token_sort(names[r], n) for n in other[p]], default=0.0)), strict=True):
+            assert have == (pytest.approx(wanted) if wanted >= 84.5 or have is not None else None)
+            met += have is not None
+    assert met > 10
+
+
 def test_upsert_outcomes(spark):
     day = datetime.date(2024, 1, 5)
     schema = "place_id long, source_id long, slot_date date, slot string, session_no int, candidate_id long, main_min int, start_min int, label string, timezone string, run_id long, status string"

@@ -75,3 +75,30 @@ def test_k03_a_batch_of_pages_is_parsed_in_parts():
     parts = list(html._tables_in_parts(iter([pd.Series(["<table><tr><td>1</td></tr></table>"] * 1000), pd.Series([], dtype=object)])))
     assert max(map(len, parts)) <= html.PAGES and sum(map(len, parts)) == 1000
     assert parts[0].iloc[0] == [[["1"]]]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["e01_pair_score", "e01_scores_of_ratios", "e01_pair_score_given_ratios", "e03_decide_given_ratios", "e03_decisions_of_ratios"])
+def test_a_pair_is_measured_once_and_its_names_are_read_before_it(spark, name):
+    plan = plan_of(spark, name)
+    # a distance in each of the two joins by key; that of near points stands in the join's condition too
+    assert plan.count("ATAN2") == 4
+    # what a name, website or postcode tells alone is read from the written sides, so no pair tries patterns
+    assert "RLIKE" not in plan and "regexp_replace" not in plan
+    assert "BROUND" not in plan.upper()
+
+
+@needs_tables
+def test_names_of_pairs_are_compared_without_another_join(spark):
+    for name, joins in (("e01_pair_score", 3), ("e04_resolve_batch", 8)):
+        plan = plan_of(spark, name)
+        assert plan.count("ArrowEvalPython") == 1
+        # three joins make pairs; those of the batch with its sources and decisions come beside, and the marks of heavy keys
+        assert sum("Join" in line and "rightHint=(strategy=merge)" in line for line in plan.splitlines()) == joins
+
+
+@needs_tables
+def test_candidates_are_counted_before_they_are_ranked(spark):
+    lines = plan_of(spark, "e03_decisions_of_ratios").splitlines()
+    last = max(i for i, line in enumerate(lines) if "Window [" in line)
+    assert any("Aggregate [record_id" in line and "min(place_id" in line for line in lines[last:])
