@@ -180,3 +180,16 @@ def test_scripts_of_a_busy_domain_match_as_brute_force(spark):
         wanted += [(*m, len(by)) for m in by] or [(key, None, None, 0)]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, wanted))
     assert _sent_to_all(df) == 4
+
+
+def test_wide_cells_lose_no_point_and_are_fewer(spark):
+    """Round the globe, by the poles and on the edges of cells, a point meets as many others from about four cells as from nine."""
+    rng = random.Random(9)
+    rows = [(i, *rng.choice(((rng.uniform(89.9, 90), rng.uniform(-180, 180)), (-89.95, rng.uniform(-180, 180)), (10 + rng.random() / 40, rng.choice((179.99, -180.0, 180.0, -179.99)) + rng.uniform(-0.01, 0.01) % 0.01), (60 + rng.random() / 30, rng.random() / 20)))) for i in range(500)]
+    rows += [(500 + i, k * 2 * 900 / geo.DEGREE, m * 360 / 22_237) for i, (k, m) in enumerate((k, m) for k in (-1, 0, 1) for m in (-1, 0, 1))]
+    df = spark.createDataFrame(rows, "a long, lat double, lon double")
+    other = df.withColumnRenamed("a", "b")
+    found = {(r.a, r.b) for r in geo.within(df, other, "a", "b", 900.0, wide=True).collect()}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if metres(a[1:], b[1:]) <= 900} and len(found) > 2 * len(rows)
+    cells = df.agg(*[F.avg(F.size(f(F.col("lat"), F.col("lon"), 900.0))).alias(n) for n, f in (("nine", geo.near_cells), ("wide", geo.touched_cells))]).first()
+    assert cells.wide < 0.6 * cells.nine
